@@ -2,6 +2,6 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import reports
+    from oracles import alerts, columns, reports, streams, tables
 
-    return dict(reports.SQL)
+    return {**reports.SQL, **columns.SQL, **tables.SQL, **alerts.SQL, **streams.SQL}

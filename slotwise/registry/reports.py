@@ -1,45 +1,15 @@
-"""Every operator and report by name, over the driver's tables.
-
-The windows cover the whole tables. Dates are given as text and page averages to six
-decimals, so that results compare across engines; the library itself returns both unrounded.
-"""
+"""Reports and page computations by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from slotwise.functions.numeric import rounded
 from slotwise.operators.joins import unnest_series
 from slotwise.plans import anomaly, city, forecast, heatmap, quality, speed, trend, weather
-from slotwise.sources.driver_tables import DriverTables
-
-AS_OF = datetime(2024, 1, 30, 23, 59, 59)
-DAYS = 30
-SMALL_WINDOW_DAYS = 30
-HOURS = DAYS * 24
-
-Query = Callable[[SparkSession, str], DataFrame]
-REPORTS: dict[str, Query] = {}
-
-
-def comparable(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Dates as text, doubles to ``digits`` decimals."""
-    changed = {}
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.DateType):
-            changed[field.name] = F.date_format(field.name, "yyyy-MM-dd")
-        elif digits is not None and isinstance(field.dataType, T.DoubleType):
-            changed[field.name] = rounded(F.col(field.name), digits)
-    return df.withColumns(changed) if changed else df
-
-
-def register(name: str, build: Callable[[DriverTables], DataFrame], digits: int | None = None) -> None:
-    REPORTS[name] = lambda spark, sf_dir: comparable(build(DriverTables(spark, sf_dir)), digits)
+from slotwise.registry.base import AS_OF, DAYS, HOURS, register
 
 
 def _windowed(report, digits: int | None = None, name: str | None = None, days: int = DAYS, **options):

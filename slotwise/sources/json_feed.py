@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +15,16 @@ from slotwise.functions.timekeys import camera_from_path, slot_from_path
 JSON_SUFFIX = "*.[jJ][sS][oO][nN]"
 
 
-def list_json(spark: SparkSession, prefix: str) -> DataFrame:
+def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> DataFrame:
     """Every JSON object under a prefix, at any depth: path and length, in path order.
 
     Spark lists large trees on the executors and the contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", JSON_SUFFIX)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     return files.load(prefix).select("path", "length").orderBy("path")
 
 
-def read_json(spark: SparkSession, prefix: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
     """All records under a prefix, with ``path``.
 
     Arrays become rows, ``[]`` gives none, and a file that is not JSON is skipped.
@@ -34,7 +37,7 @@ def read_json(spark: SparkSession, prefix: str, schema: T.StructType) -> DataFra
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", JSON_SUFFIX)
+        .option("pathGlobFilter", pattern)
         .json(prefix)
     )
     return records.where(F.col("_bad").isNull()).select(
@@ -47,3 +50,24 @@ def keyed_by_path(records: DataFrame) -> DataFrame:
     return records.withColumn("camera_id", camera_from_path(F.col("path"))).withColumn(
         "slot", slot_from_path(F.col("path"))
     )
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Each task's rows as one file that holds one JSON array.
+
+    Spark's JSON writer has no array form; a task adds the brackets around its rows. The
+    files end in ``.txt``: read them with a pattern such as ``part-*``.
+    """
+
+    def bracket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for batch in batches:
+            if len(batch):
+                lines = "," + batch["value"]
+                lines.iloc[0] = lead + batch["value"].iloc[0]
+                lead = ","
+                yield lines.to_frame()
+        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    rows.mapInPandas(bracket, "value string").write.text(path)
