@@ -35,7 +35,7 @@ def _drain(src, rows: DataFrame, time_column: str = "slot") -> DataFrame:
     root = fresh_dir(src.spark, "stream")
     query = stream.append_days(rows, f"{root}/out", f"{root}/checkpoint", time_column, once=True)
     query.awaitTermination()
-    return src.spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return src.spark.read.schema(rows.schema).parquet(f"{root}/out").drop("dt")
 
 
 def _speed_feed(live) -> DataFrame:
