@@ -41,15 +41,15 @@ def slot_partials() -> list[Column]:
     Summing these again over a coarser key gives that key's counts and averages, so
     rows are reduced per camera before any join or any second shuffle.
     """
-    speed = F.col("speed_avg_kmh")
-    return [
-        F.count(F.lit(1)).alias("slots"),
-        F.sum("vehicles_count").alias("vehicles_sum"),
-        F.count("vehicles_count").alias("vehicles_n"),
-        F.sum(speed).alias("speed_sum"),
-        F.count(speed).alias("speed_n"),
-        F.count(F.when(speed < CONGESTED_BELOW, 1)).alias("slow_slots"),
-    ]
+    measures = {
+        "slots": "count(1)",
+        "vehicles_sum": "sum(vehicles_count)",
+        "vehicles_n": "count(vehicles_count)",
+        "speed_sum": "sum(speed_avg_kmh)",
+        "speed_n": "count(speed_avg_kmh)",
+        "slow_slots": f"count_if(speed_avg_kmh < {CONGESTED_BELOW})",
+    }
+    return [F.expr(f"{measure} AS {name}") for name, measure in measures.items()]
 
 
 def merged_slots() -> Column:

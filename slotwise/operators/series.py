@@ -14,33 +14,44 @@ SECOND = 1_000_000
 CHUNK_SECONDS = 6 * 3600
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def label_sql(name: str, labels: str = "labels") -> str:
+    return f"coalesce(try_element_at({labels}, {_quoted(name)}), '')"
+
+
 def label(name: str, labels: str = "labels") -> Column:
     """A label's value; an absent label is the empty string."""
-    return F.coalesce(F.try_element_at(F.col(labels), F.lit(name)), F.lit(""))
+    return F.expr(label_sql(name, labels))
 
 
-def matches(selector: dict[str, tuple[str, str]], labels: str = "labels") -> Column:
-    """All of ``{label: (operator, text)}`` hold; operators ``=``, ``!=``, ``=~`` and ``!~``.
-
-    Patterns must match the whole value.
-    """
-    condition = F.lit(True)
+def matches_sql(selector: dict[str, tuple[str, str]], labels: str = "labels") -> str:
+    """:func:`matches` as SQL text, for use inside larger expressions."""
+    tests = []
     for name, (operator, text) in selector.items():
-        value = label(name, labels)
+        value = label_sql(name, labels)
         if operator in ("=", "!="):
-            test = value == text
+            tests.append(f"{value} {operator} {_quoted(text)}")
         elif operator in ("=~", "!~"):
-            test = value.rlike(f"^(?:{text})$")
+            tests.append(f"{'NOT ' if operator == '!~' else ''}{value} RLIKE {_quoted(f'^(?:{text})$')}")
         else:
             raise ValueError(f"unknown label operator {operator}")
-        condition = condition & (~test if operator.startswith("!") else test)
-    return condition
+    return " AND ".join(f"({test})" for test in tests) or "true"
+
+
+def matches(selector: dict[str, tuple[str, str]], labels: str = "labels") -> Column:
+    """All of ``{label: (operator, text)}`` hold; operators ``=``, ``!=``, ``=~`` and ``!~``.
+
+    Patterns must match the whole value.
+    """
+    return F.expr(matches_sql(selector, labels))
 
 
 def series_text(labels: str = "labels") -> Column:
     """The labels as one text, ``a=1,b=2`` in label order: a groupable series key."""
-    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return F.array_join(pairs, ",")
+    return F.expr(f"array_join(transform(array_sort(map_entries({labels})), e -> concat(e.key, '=', e.value)), ',')")
 
 
 def micros(ts: str | Column) -> Column:
@@ -110,20 +121,23 @@ def sustained(
     Runs are found inside each time chunk. Only those that touch a chunk's edge, at most
     two per chunk, are joined up across chunks of the series.
     """
-    breach = F.coalesce(F.col("breach"), F.lit(False))
-    rows = samples.withColumn("_us", micros("ts")).withColumn("_chunk", F.floor(F.col("_us") / F.lit(chunk_seconds * SECOND)))
+    rows = samples.select(
+        *keys, "ts", "value", F.coalesce("breach", F.lit(False)).alias("breach"), micros("ts").alias("_us"),
+        F.floor(micros("ts") / F.lit(chunk_seconds * SECOND)).alias("_chunk"),
+    )
     cell = W.partitionBy(*keys, "_chunk")
-    calm = F.count(F.when(~breach, 1))
+    calm = F.expr("count_if(NOT breach)")
     # A run is the breaches that follow the same number of calm samples.
-    rows = rows.withColumn("_run", calm.over(cell.orderBy("_us").rowsBetween(W.unboundedPreceding, 0))).withColumn(
-        "_calm", calm.over(cell)
+    rows = rows.select(
+        "*",
+        calm.over(cell.orderBy("_us").rowsBetween(W.unboundedPreceding, 0)).alias("_run"),
+        calm.over(cell).alias("_calm"),
     )
-    hit = lambda column: F.when(breach, F.col(column))
     runs = rows.groupBy(*keys, "_chunk", "_run", "_calm").agg(
-        F.min(hit("ts")).alias("from_ts"),
-        F.max(hit("ts")).alias("to_ts"),
-        F.count(hit("ts")).alias("samples"),
-        F.max_by("value", hit("ts")).alias("value"),
+        F.expr("min(CASE WHEN breach THEN ts END) AS from_ts"),
+        F.expr("max(CASE WHEN breach THEN ts END) AS to_ts"),
+        F.expr("count_if(breach) AS samples"),
+        F.expr("max_by(value, CASE WHEN breach THEN ts END) AS value"),
     )
     head, tail = F.col("_run") == 0, F.col("_run") == F.col("_calm")
     measures = ["from_ts", "to_ts", "samples", "value"]

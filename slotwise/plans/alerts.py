@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import (
-    children_of, counter_rate, label, label_values, latest, matches, series_text, sum_by, sustained,
+    children_of, counter_rate, label, label_values, latest, matches, matches_sql, series_text, sum_by, sustained,
 )
 
 
@@ -32,8 +32,9 @@ class Rule:
     window: int = 0
     total: str = ""
 
-    def broken(self, value: Column) -> Column:
-        return {">": value > self.limit, "<": value < self.limit, "==": value == self.limit}[self.test]
+    def applies(self) -> str:
+        """SQL text that picks the rule's samples."""
+        return f"metric = '{self.metric}' AND {matches_sql(self.selector)}"
 
 
 _GROUP = {"component_type": ("=", "ProcessGroup")}
@@ -68,19 +69,17 @@ RULES = (
 RULE_KEYS = ["rule", "severity", "hold", "series"]
 
 
-def _judge(points: DataFrame, rules: list[tuple[Rule, Column]], value: Column) -> DataFrame:
+def _judge(points: DataFrame, rules: list[tuple[Rule, str]], value: str) -> DataFrame:
     """Each point once per rule it falls under: rule keys, ts, value, breach. One pass for all rules."""
     entries = [
-        F.when(applies, F.struct(
-            F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.hold).alias("hold"),
-            F.coalesce(rule.broken(value), F.lit(False)).alias("breach"),
-        ))
+        f"CASE WHEN {applies} THEN named_struct('rule', '{rule.name}', 'severity', '{rule.severity}', "
+        f"'hold', {rule.hold}, 'breach', coalesce({value} {rule.test} {rule.limit}D, false)) END"
         for rule, applies in rules
     ]
-    judged = points.withColumn("_value", value).withColumn(
-        "_judged", F.explode(F.filter(F.array(*entries), lambda entry: entry.isNotNull()))
+    judged = points.selectExpr(
+        "ts", "series", f"{value} AS value", f"explode(filter(array({', '.join(entries)}), e -> e IS NOT NULL)) AS judged"
     )
-    return judged.select("ts", "series", F.col("_value").alias("value"), "_judged.*")
+    return judged.select("ts", "series", "value", "judged.*")
 
 
 def _of(rules, form: str) -> list[Rule]:
@@ -91,8 +90,7 @@ def threshold_points(src, rules=RULES, start: datetime | None = None, end: datet
     """Samples under the plain threshold rules."""
     chosen = _of(rules, "value")
     samples = src.metrics(sorted({r.metric for r in chosen}), start, end).withColumn("series", series_text())
-    pairs = [(r, (F.col("metric") == r.metric) & matches(r.selector)) for r in chosen]
-    return _judge(samples, pairs, F.col("value"))
+    return _judge(samples, [(r, r.applies()) for r in chosen], "value")
 
 
 def rate_points(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> list[DataFrame]:
@@ -101,12 +99,9 @@ def rate_points(src, rules=RULES, start: datetime | None = None, end: datetime |
     frames = []
     for window in sorted({r.window for r in chosen}):
         here = [r for r in chosen if r.window == window]
-        applies = [(r, (F.col("metric") == r.metric) & matches(r.selector)) for r in here]
-        any_rule = applies[0][1]
-        for _, condition in applies[1:]:
-            any_rule = any_rule | condition
-        samples = src.metrics(sorted({r.metric for r in here}), start, end).where(any_rule)
-        frames.append(_judge(counter_rate(samples, window), applies, F.col("rate")))
+        samples = src.metrics(sorted({r.metric for r in here}), start, end)
+        samples = samples.where(" OR ".join(f"({r.applies()})" for r in here))
+        frames.append(_judge(counter_rate(samples, window), [(r, r.applies()) for r in here], "rate"))
     return frames
 
 
@@ -149,12 +144,12 @@ def alert_points(src, rules=RULES, start: datetime | None = None, end: datetime
         frames.append(threshold_points(src, rules, start, end))
     frames += rate_points(src, rules, start, end)
     for window in sorted({r.window for r in _of(rules, "busy")}):
-        here = [(r, F.lit(True)) for r in _of(rules, "busy") if r.window == window]
-        busy = cpu_busy(src, window, start, end).withColumn("series", F.concat(F.lit("instance="), F.col("instance")))
-        frames.append(_judge(busy, here, F.col("busy_pct")))
+        here = [(r, "true") for r in _of(rules, "busy") if r.window == window]
+        busy = cpu_busy(src, window, start, end).selectExpr("ts", "concat('instance=', instance) AS series", "busy_pct")
+        frames.append(_judge(busy, here, "busy_pct"))
     if _of(rules, "used"):
-        here = [(r, (F.col("metric") == r.metric) & matches(r.selector)) for r in _of(rules, "used")]
-        frames.append(_judge(used_share(src, rules, start, end), here, F.col("used_share")))
+        here = [(r, r.applies()) for r in _of(rules, "used")]
+        frames.append(_judge(used_share(src, rules, start, end), here, "used_share"))
     points = frames[0]
     for frame in frames[1:]:
         points = points.unionByName(frame)

@@ -23,7 +23,7 @@ class StreamedTables(DriverTables):
         if name != "events":
             return super().table(name)
         # A glob, as a stream takes no single file; it also matches a folder of files.
-        return stream.file_records(self.spark, path[:-1] + "[t]", self.spark.read.parquet(path).schema, "parquet")
+        return stream.file_records(self.spark, path[:-1] + "[t]", self.schema(name), "parquet")
 
 
 def streamed(src) -> StreamedTables:

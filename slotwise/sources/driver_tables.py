@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise import schemas
-from slotwise.functions.timekeys import first_slot_at_or_after, slot_floor
+from slotwise.functions.timekeys import first_slot_at_or_after
 from slotwise.operators.joins import broadcast_below, scan_bytes
 from slotwise.operators.slots import KEYS, overflow, pack
 from slotwise.sources.tables import in_range
@@ -77,6 +77,9 @@ METRIC_SPECS: list[tuple[str, dict[str, str], str]] = [
     ("kafka_topic_partition_replicas", _PARTITION, "2"),
 ]
 
+# The raw record's columns. `_SLOT` is the expression of timekeys.slot_floor as text.
+_SLOT = "ts - make_dt_interval(0, 0, minute(ts) % 5, extract(SECOND FROM ts))"
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
 _SPEED = "CASE WHEN k % 17 = 0 THEN NULL ELSE k * 0.5D END"
 _MAIN = (
     "CASE event_type WHEN 'click' THEN 'Clear' WHEN 'view' THEN 'Clouds' WHEN 'error' THEN 'Rain' "
@@ -88,9 +91,16 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._schemas: dict[str, schemas.T.StructType] = {}
+
+    def schema(self, name: str) -> schemas.T.StructType:
+        """Read from the files once; later scans of the same table do without that job."""
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
+        return self._schemas[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(self.schema(name)).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def raw(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """One record per driver event, with its slot.
@@ -99,56 +109,55 @@ class DriverTables:
         """
         align = lambda moment: None if moment is None else first_slot_at_or_after(moment)
         events = in_range(self.table("events"), "ts", align(start), align(end))
-        return events.select(
-            F.concat(F.lit("cam_"), F.col("user_id").cast("string")).alias("camera_id"),
+        return events.selectExpr(
+            "concat('cam_', CAST(user_id AS STRING)) AS camera_id",
             "ts",
-            slot_floor(F.col("ts")).alias("slot"),
+            f"{_SLOT} AS slot",
             "event_type",
             "event_id",
             "user_id",
             "value",
-            F.floor("value").cast("double").alias("vehicles"),
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
+            "CAST(floor(value) AS DOUBLE) AS vehicles",
+            f"{_K} AS k",
         )
 
     def _samples(self, start=None, end=None) -> DataFrame:
         return (
             self.raw(start, end)
-            .withColumn("speed", F.expr(_SPEED))
-            .where(F.col("speed").isNotNull())
-            .select(*KEYS, F.col("ts").alias("time"), "speed")
+            .selectExpr(*KEYS, "ts AS time", f"{_SPEED} AS speed")
+            .where("speed IS NOT NULL")
         )
 
     def events(self, start: datetime | None = None, end: datetime | None = None, series: bool = False) -> DataFrame:
         """The events table; ``speed_series`` is packed only on request, as it gathers records."""
-        rows = self.raw(start, end).withColumn("speed", F.expr(_SPEED)).withColumn("main", F.expr(_MAIN))
-        slots = rows.groupBy(*KEYS).agg(
-            F.sum("vehicles").alias("vehicles_count"),
-            F.count("speed").cast("int").alias("speed_count"),
-            F.avg("speed").alias("speed_avg_kmh"),
-            F.min("speed").alias("speed_min_kmh"),
-            F.max("speed").alias("speed_max_kmh"),
-            F.min("main").alias("main"),
-            F.max(F.expr("20 + k % 17")).cast("double").alias("temp"),
-            F.max(F.expr("50 + k % 46")).alias("humidity"),
-            F.max(F.expr("k % 19 * 0.5D")).alias("wind_speed"),
-            F.max("k").alias("clouds_all"),
-        )
+        rows = self.raw(start, end).selectExpr(*KEYS, "vehicles", "k", f"{_SPEED} AS speed", f"{_MAIN} AS main")
+        measures = [
+            "sum(vehicles) AS vehicles_count",
+            "CAST(count(speed) AS INT) AS speed_count",
+            "avg(speed) AS speed_avg_kmh",
+            "min(speed) AS speed_min_kmh",
+            "max(speed) AS speed_max_kmh",
+            "min(main) AS main",
+            "CAST(max(20 + k % 17) AS DOUBLE) AS temp",
+            "max(50 + k % 46) AS humidity",
+            "max(k % 19 * 0.5D) AS wind_speed",
+            "max(k) AS clouds_all",
+        ]
+        slots = rows.groupBy(*KEYS).agg(*map(F.expr, measures))
         if series:
             slots = slots.join(pack(self._samples(start, end), "speed_series", ["time", "speed"]), KEYS, "left")
-        else:
-            slots = slots.withColumn("speed_series", F.lit(None).cast(schemas.SERIES))
         known = ("main", "temp", "humidity", "wind_speed", "clouds_all")
-        weather = F.struct(*[
-            (F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
+        weather = ", ".join(
+            f"'{f.name}', CAST({f.name if f.name in known else 'NULL'} AS {f.dataType.simpleString()})"
             for f in schemas.WEATHER.fields
-        ])
-        return slots.select(
+        )
+        return slots.selectExpr(
             *KEYS,
-            (F.col("slot") + F.expr("INTERVAL 5 MINUTES")).alias("generated_at"),
-            F.lit(300).alias("duration_sec"),
-            "vehicles_count", "speed_count", "speed_avg_kmh", "speed_min_kmh", "speed_max_kmh", "speed_series",
-            weather.alias("weather"),
+            "slot + INTERVAL 5 MINUTES AS generated_at",
+            "300 AS duration_sec",
+            "vehicles_count", "speed_count", "speed_avg_kmh", "speed_min_kmh", "speed_max_kmh",
+            "speed_series" if series else f"CAST(NULL AS {schemas.SERIES.simpleString()}) AS speed_series",
+            f"named_struct({weather}) AS weather",
         )
 
     def overflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
@@ -157,32 +166,31 @@ class DriverTables:
     def cameras(self) -> DataFrame:
         customer, nation = self.table("customer"), self.table("nation")
         nation = broadcast_below(nation, scan_bytes(nation) * EXPANSION)
-        place = lambda base: F.when(F.col("c_custkey") % 20 != 0, F.lit(base) + F.col("c_custkey") % 64 * F.lit(0.0078125))
-        segment = F.col("c_mktsegment")
-        kind = F.col("c_custkey") % 3
-        cameras = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.concat(F.lit("cam_"), (F.col("c_custkey") - 1).cast("string")).alias("camera_id"),
-            F.col("c_name").alias("display_name"),
-            F.when(F.col("n_nationkey") != 7, F.col("n_name")).alias("district"),
-            place(106.5).alias("location_lon"),
-            place(10.5).alias("location_lat"),
-            F.when(segment == "BUILDING", "DOWN").when(segment == "MACHINERY", "NOT_IMAGE").otherwise("UP").alias("status"),
-            F.when(F.col("c_custkey") % 2 == 0, "YES").otherwise("NO").alias("ptz"),
-            F.when(kind == 0, "FIXED").when(kind == 1, "PTZ").otherwise("DOME").alias("cam_type"),
+        place = "CASE WHEN c_custkey % 20 <> 0 THEN {base}D + c_custkey % 64 * 0.0078125D END AS {name}"
+        cameras = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+            "concat('cam_', CAST(c_custkey - 1 AS STRING)) AS camera_id",
+            "c_name AS display_name",
+            "CASE WHEN n_nationkey <> 7 THEN n_name END AS district",
+            place.format(base=106.5, name="location_lon"),
+            place.format(base=10.5, name="location_lat"),
+            "CASE c_mktsegment WHEN 'BUILDING' THEN 'DOWN' WHEN 'MACHINERY' THEN 'NOT_IMAGE' ELSE 'UP' END AS status",
+            "CASE WHEN c_custkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS ptz",
+            "CASE c_custkey % 3 WHEN 0 THEN 'FIXED' WHEN 1 THEN 'PTZ' ELSE 'DOME' END AS cam_type",
         )
         return broadcast_below(cameras, scan_bytes(customer) * EXPANSION)
 
     def predicts(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Forecasts for every slot whose weather is not mist, so the join has gaps."""
-        steps = F.sequence(F.lit(1), F.lit(12))
-        count = lambda i: F.col("vehicles_count") + ((i * 7 + F.hour("slot")) % 11).cast("double") - 5
-        speed = lambda i: F.greatest(
-            F.lit(0.0), F.coalesce("speed_avg_kmh", F.lit(25.0)) + ((i * 5 + F.hour("slot")) % 9).cast("double") - 4
-        )
+        count = "vehicles_count + CAST((i * 7 + hour(slot)) % 11 AS DOUBLE) - 5"
+        speed = "greatest(0D, coalesce(speed_avg_kmh, 25D) + CAST((i * 5 + hour(slot)) % 9 AS DOUBLE) - 4)"
         return (
             self.events(start, end)
-            .where(F.col("weather.main") != "Mist")
-            .select(*KEYS, F.transform(steps, count).alias("count_preds"), F.transform(steps, speed).alias("avg_kmh_preds"))
+            .where("weather.main <> 'Mist'")
+            .selectExpr(
+                *KEYS,
+                f"transform(sequence(1, 12), i -> {count}) AS count_preds",
+                f"transform(sequence(1, 12), i -> {speed}) AS avg_kmh_preds",
+            )
         )
 
     def metrics(
@@ -196,10 +204,8 @@ class DriverTables:
                 continue
             pairs = ", ".join(f"'{name}', {expr.format(text='STRING')}" for name, expr in sorted(labels.items()))
             samples.append(f"struct('{metric}' AS metric, map({pairs}) AS labels, CAST({value} AS DOUBLE) AS value)")
-        events = in_range(self.table("events"), "ts", start, end).withColumn(
-            "k", F.get_json_object("props", "$.k").cast("int")
-        )
-        return events.select("ts", F.expr(f"inline(array({', '.join(samples)}))"))
+        events = in_range(self.table("events"), "ts", start, end).selectExpr("*", f"{_K} AS k")
+        return events.selectExpr("ts", f"inline(array({', '.join(samples)}))")
 
     def raw_speed(self, start=None, end=None) -> DataFrame:
         """Raw speed records as the JSON feed has them: times as text, some speeds unusable."""

@@ -131,17 +131,17 @@ def test_suspicious_needs_fast_and_steady(spark):
         ("da", True), ("db", False), ("dc", False)]
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 256])
-def test_quantiles_are_exact(spark, ranges):
+@pytest.mark.parametrize("resolution", [1, 16, 256])
+def test_quantiles_are_exact(spark, resolution):
     df = spark.range(1000).select(
-        (F.col("id") % 2).alias("g"), (F.when(F.col("id") < 400, F.lit(3.0)).otherwise((F.col("id") * 7919 % 1009) / 4)).alias("v"))
+        (F.col("id") % 2).alias("g"), (F.when(F.col("id") < 400, F.lit(3.0)).otherwise((F.col("id") * 7919 % 1009) / 4 - 50)).alias("v"))
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 1.0]
     want = {(r["g"], p): q for r in dicts(df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")))
             for p, q in zip(probs, r["q"])}
-    got = {(r["g"], r["prob"]): r["quantile"] for r in dicts(exact_quantiles(df, "v", probs, ["g"], ranges=ranges))}
+    got = {(r["g"], r["prob"]): r["quantile"] for r in dicts(exact_quantiles(df, "v", probs, ["g"], resolution=resolution))}
     assert got == pytest.approx(want)
     weighted = df.groupBy("v").agg(F.count("*").alias("n"))
-    alone = dicts(exact_quantiles(weighted, "v", [0.05], weight="n", ranges=ranges))
+    alone = dicts(exact_quantiles(weighted, "v", [0.05], weight="n", resolution=resolution))
     assert alone[0]["quantile"] == pytest.approx(dicts(df.agg(F.percentile("v", F.lit(0.05)).alias("q")))[0]["q"])
     assert exact_quantiles(df.where("false"), "v", [0.5]).count() == 0
 
