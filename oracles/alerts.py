@@ -58,8 +58,8 @@ DISK = used("node_filesystem_avail_bytes", "node_filesystem_size_bytes")
 GROUP = "labels['component_type'] = 'ProcessGroup'"
 
 SQL["threshold"] = metrics("\nUNION ALL ".join(
-    f"SELECT '{name}' AS rule, '{severity}' AS severity, series, ts, value FROM t_metrics WHERE {applies} AND {broken}"
-    for name, severity, _, applies, broken in VALUE_RULES))
+    f"SELECT '{name}' AS rule, series, ts, value FROM t_metrics WHERE {applies} AND {broken}"
+    for name, _, _, applies, broken in VALUE_RULES))
 SQL["counter_rate"] = metrics(
     f"SELECT ts, metric, series, value, {q6('rate')} AS rate FROM cr",
     *rated("SELECT * FROM t_metrics", 3600, "cr"),

@@ -1,4 +1,4 @@
-"""Operators over labelled time series: columns ts, metric, labels, value.
+"""Operators over labelled time series: columns ts, metric, labels, value, perhaps series.
 
 A series has at most one sample per instant. Ordered work runs per series *and* time
 chunk, so one series holding most samples is still spread over many tasks.
@@ -54,6 +54,11 @@ def series_text(labels: str = "labels") -> Column:
     return F.expr(f"array_join(transform(array_sort(map_entries({labels})), e -> concat(e.key, '=', e.value)), ',')")
 
 
+def with_series(samples: DataFrame) -> DataFrame:
+    """The samples with their ``series`` key, computed only where it is not stored."""
+    return samples if "series" in samples.columns else samples.withColumn("series", series_text())
+
+
 def micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
@@ -71,11 +76,12 @@ def counter_rate(samples: DataFrame, seconds: int, chunk_seconds: int = CHUNK_SE
     own = F.floor(F.col("_us") / F.lit(chunk))
     near_end = F.col("_us") >= (own + 1) * chunk - reach
     spread = (
-        samples.select("ts", "metric", "labels", series_text().alias("series"), "value", micros("ts").alias("_us"))
+        with_series(samples)
+        .select("ts", "metric", "labels", "series", "value", micros("ts").alias("_us"))
         .withColumn("_own", own)
         .withColumn("_chunk", F.explode(F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     )
-    ordered = W.partitionBy("metric", "series", "_chunk").orderBy("_us")
+    ordered = W.partitionBy("_chunk", "metric", "series").orderBy("_us")
     before = F.lag("value").over(ordered)
     step = F.when(F.col("value") >= before, F.col("value") - before).when(before.isNotNull(), F.col("value"))
     frame = ordered.rangeBetween(-reach, 0)
@@ -89,7 +95,8 @@ def counter_rate(samples: DataFrame, seconds: int, chunk_seconds: int = CHUNK_SE
 def latest(samples: DataFrame, *keep: Column) -> DataFrame:
     """The last value of every series."""
     return (
-        samples.groupBy("metric", series_text().alias("series"), *keep)
+        with_series(samples)
+        .groupBy("metric", "series", *keep)
         .agg(F.max_by("value", "ts").alias("value"))
     )
 
@@ -125,39 +132,41 @@ def sustained(
         *keys, "ts", "value", F.coalesce("breach", F.lit(False)).alias("breach"), micros("ts").alias("_us"),
         F.floor(micros("ts") / F.lit(chunk_seconds * SECOND)).alias("_chunk"),
     )
-    cell = W.partitionBy(*keys, "_chunk")
-    calm = F.expr("count_if(NOT breach)")
+    cell = W.partitionBy("_chunk", *keys)
     # A run is the breaches that follow the same number of calm samples.
-    rows = rows.select(
-        "*",
-        calm.over(cell.orderBy("_us").rowsBetween(W.unboundedPreceding, 0)).alias("_run"),
-        calm.over(cell).alias("_calm"),
-    )
-    runs = rows.groupBy(*keys, "_chunk", "_run", "_calm").agg(
-        F.expr("min(CASE WHEN breach THEN ts END) AS from_ts"),
-        F.expr("max(CASE WHEN breach THEN ts END) AS to_ts"),
-        F.expr("count_if(breach) AS samples"),
-        F.expr("max_by(value, CASE WHEN breach THEN ts END) AS value"),
+    past_calm = F.expr("count_if(NOT breach)").over(cell.orderBy("_us").rowsBetween(W.unboundedPreceding, 0))
+    runs = (
+        rows.withColumn("_run", past_calm)
+        .groupBy("_chunk", *keys, "_run")
+        .agg(
+            F.expr("min(CASE WHEN breach THEN ts END) AS from_ts"),
+            F.expr("max(CASE WHEN breach THEN ts END) AS to_ts"),
+            F.expr("count_if(breach) AS samples"),
+            F.expr("max_by(value, CASE WHEN breach THEN ts END) AS value"),
+        )
+        .withColumn("_calm", F.max("_run").over(cell))
     )
     head, tail = F.col("_run") == 0, F.col("_run") == F.col("_calm")
-    measures = ["from_ts", "to_ts", "samples", "value"]
-    inner = runs.where(~head & ~tail & (F.col("samples") > 0)).select(*keys, *measures)
-
-    # Every chunk has a tail, perhaps an empty one; a head exists where the chunk starts in a breach.
-    along = W.partitionBy(*keys).orderBy("_chunk", "_run")
+    lasting = (F.col("samples") > 0) & (micros("to_ts") - micros("from_ts") >= hold_seconds * SECOND)
+    edge = head | tail
+    # Runs inside a chunk are final, and keep to their chunk; runs at an edge meet per series.
+    # Every chunk has a tail, perhaps an empty one; a head exists where it starts in a breach.
+    along = W.partitionBy(*keys, "_part").orderBy("_chunk", "_run")
     joins_previous = head & (F.coalesce(F.lag("samples").over(along), F.lit(0)) > 0)
-    edges = runs.where(head | tail).withColumn("_new", F.when(joins_previous, 0).otherwise(1))
-    joined = (
-        edges.withColumn("_id", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*keys, "_id")
+    numbered = (
+        runs.where(edge | lasting)
+        .withColumn("_part", F.when(~edge, F.col("_chunk")))
+        .withColumn("_new", F.when(joins_previous, 0).otherwise(1))
+        .withColumn("_id", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    )
+    return (
+        numbered.groupBy(*keys, "_part", "_id")
         .agg(
             F.min("from_ts").alias("from_ts"),
             F.max("to_ts").alias("to_ts"),
             F.sum("samples").alias("samples"),
             F.max_by("value", "to_ts").alias("value"),
         )
-        .where(F.col("samples") > 0)
-        .select(*keys, *measures)
+        .where(lasting)
+        .select(*keys, "from_ts", "to_ts", "samples", "value")
     )
-    lasting = micros("to_ts") - micros("from_ts") >= hold_seconds * SECOND
-    return inner.unionByName(joined).where(lasting)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import (
-    children_of, counter_rate, label, label_values, latest, matches, matches_sql, series_text, sum_by, sustained,
+    children_of, counter_rate, label, label_values, latest, matches, matches_sql, sum_by, sustained, with_series,
 )
 
 
@@ -66,20 +66,23 @@ RULES = (
     Rule("KafkaTopicNoMessages", "info", "kafka_topic_partition_current_offset", "==", 0, 600, "rate", window=300),
 )
 
-RULE_KEYS = ["rule", "severity", "hold", "series"]
-
 
 def _judge(points: DataFrame, rules: list[tuple[Rule, str]], value: str) -> DataFrame:
-    """Each point once per rule it falls under: rule keys, ts, value, breach. One pass for all rules."""
-    entries = [
-        f"CASE WHEN {applies} THEN named_struct('rule', '{rule.name}', 'severity', '{rule.severity}', "
-        f"'hold', {rule.hold}, 'breach', coalesce({value} {rule.test} {rule.limit}D, false)) END"
-        for rule, applies in rules
-    ]
-    judged = points.selectExpr(
-        "ts", "series", f"{value} AS value", f"explode(filter(array({', '.join(entries)}), e -> e IS NOT NULL)) AS judged"
-    )
-    return judged.select("ts", "series", "value", "judged.*")
+    """Each point once per rule it falls under: rule, series, ts, value, breach. One pass for all rules."""
+    by_samples: dict[str, list[str]] = {}
+    for rule, applies in rules:
+        entry = f"named_struct('rule', '{rule.name}', 'breach', coalesce({value} {rule.test} {rule.limit}D, false))"
+        by_samples.setdefault(applies, []).append(entry)
+    none = "CAST(array() AS ARRAY<STRUCT<rule: STRING, breach: BOOLEAN>>)"
+    lists = [f"CASE WHEN {applies} THEN array({', '.join(found)}) ELSE {none} END" for applies, found in by_samples.items()]
+    return points.selectExpr("ts", "series", f"{value} AS value", f"inline(concat({', '.join(lists)}))")
+
+
+def _per_rule(rules, attribute: str) -> Column:
+    """A rule's attribute, looked up by its name."""
+    quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    whens = " ".join(f"WHEN '{r.name}' THEN {quote(getattr(r, attribute))}" for r in rules)
+    return F.expr(f"CASE rule {whens} END")
 
 
 def _of(rules, form: str) -> list[Rule]:
@@ -89,7 +92,7 @@ def _of(rules, form: str) -> list[Rule]:
 def threshold_points(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Samples under the plain threshold rules."""
     chosen = _of(rules, "value")
-    samples = src.metrics(sorted({r.metric for r in chosen}), start, end).withColumn("series", series_text())
+    samples = with_series(src.metrics(sorted({r.metric for r in chosen}), start, end))
     return _judge(samples, [(r, r.applies()) for r in chosen], "value")
 
 
@@ -125,8 +128,8 @@ def used_share(src, rules=RULES, start: datetime | None = None, end: datetime |
         what = what.when(F.col("metric").isin(free, total), F.lit(free))
     is_free = F.col("metric").isin(*[free for free, _ in pairs])
     grouped = (
-        src.metrics(names, start, end)
-        .groupBy("ts", what.alias("metric"), series_text().alias("series"))
+        with_series(src.metrics(names, start, end))
+        .groupBy("ts", what.alias("metric"), "series")
         .agg(
             F.any_value("labels").alias("labels"),
             F.max(F.when(is_free, F.col("value"))).alias("free"),
@@ -158,8 +161,8 @@ def alert_points(src, rules=RULES, start: datetime | None = None, end: datetime
 
 def alert_table(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Fired alerts: rule, severity, series, first and last instant, samples, last value."""
-    fired = sustained(alert_points(src, rules, start, end), RULE_KEYS, F.col("hold"))
-    return fired.drop("hold")
+    fired = sustained(alert_points(src, rules, start, end), ["rule", "series"], _per_rule(rules, "hold"))
+    return fired.withColumn("severity", _per_rule(rules, "severity"))
 
 
 # Message-broker panels

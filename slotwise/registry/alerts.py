@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotwise.operators.series import children_of, counter_rate, matches, series_text, sum_by, sustained
+from slotwise.operators.series import children_of, counter_rate, matches, sum_by, sustained
 from slotwise.plans import alerts
 from slotwise.registry.base import register
 
 STAGE = "IMAGE_INGESTION|AI"
 
-register("threshold", lambda src: alerts.threshold_points(src).where("breach").select("rule", "severity", "series", "ts", "value"))
+register("threshold", lambda src: alerts.threshold_points(src).where("breach").select("rule", "series", "ts", "value"))
 register("counter_rate", lambda src: counter_rate(
     src.metrics(["nifi_amount_flowfiles_received", "kafka_topic_partition_current_offset"]), 3600).select(
     "ts", "metric", "series", "value", "rate"), 6)
@@ -18,12 +18,12 @@ register("cpu_busy", lambda src: alerts.cpu_busy(src, 3600), 6)
 register("ratio", lambda src: alerts.used_share(src).select("ts", "metric", "series", "used_share"), 6)
 register("sustained", lambda src: sustained(
     src.metrics(["nifi_jvm_heap_usage"]).select(
-        "ts", series_text().alias("series"), "value", (F.col("value") > 0.25).alias("breach")),
+        "ts", "series", "value", (F.col("value") > 0.25).alias("breach")),
     ["series"], F.lit(1800)))
 register("sum_by", lambda src: sum_by(src.metrics(["kafka_consumergroup_lag"]), "topic", "partition"))
 register("label_filter", lambda src: src.metrics(["nifi_amount_flowfiles_sent", "nifi_amount_items_queued"]).where(
     matches({"component_type": ("=", "ProcessGroup"), "component_name": ("=~", ".*_INGESTION"), "component_id": ("!~", "pg-e.*")})
-).select("ts", "metric", series_text().alias("series"), "value"))
+).select("ts", "metric", "series", "value"))
 register("kafka_overview", lambda src: alerts.broker_overview(src, "traffic-.*"))
 register("kafka_detail", lambda src: alerts.broker_detail(src, "traffic-.*", "group-.*"))
 register("label_values", alerts.topics)
@@ -33,7 +33,7 @@ register("label_join", lambda src: children_of(
     src.metrics(["nifi_amount_items_queued"]).where(matches({"component_type": ("=", "Processor")})),
     src.metrics(["nifi_amount_flowfiles_sent"]).where(
         matches({"component_type": ("=", "ProcessGroup"), "component_name": ("=~", STAGE)})),
-).select("ts", series_text().alias("series"), "value"))
+).select("ts", "series", "value"))
 register("alert_table", alerts.alert_table, 6)
 register("lag_by_partition", alerts.lag_by_partition)
 register("queued_by_group", alerts.queued_by_group)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from slotwise import schemas
 from slotwise.functions import cleaning as clean
 from slotwise.operators import slots as batch
-from slotwise.operators.series import series_text
 from slotwise.registry.base import BUCKET, register
 from slotwise.session import fresh_dir
 from slotwise.sources.driver_tables import DriverTables
@@ -111,7 +110,7 @@ register("stream_reject", _stream_reject)
 def _stream_rate(src):
     live = streamed(src)
     samples = live.metrics(["nifi_amount_flowfiles_received"]).select(
-        F.col("ts").cast("timestamp").alias("ts"), "metric", series_text().alias("series"), "value")
+        F.col("ts").cast("timestamp").alias("ts"), "metric", "series", "value")
     return _drain(src, stream.stream_rate(samples, "1 hour", "10 minutes"), "window_start")
 
 

@@ -70,6 +70,7 @@ METRICS = T.StructType([
     T.StructField("ts", T.TimestampNTZType(), False),
     T.StructField("metric", T.StringType(), False),
     T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("series", T.StringType()),
     T.StructField("value", T.DoubleType()),
 ])
 

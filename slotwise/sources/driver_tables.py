@@ -20,6 +20,8 @@ from slotwise.sources.tables import in_range
 
 # Parquet expands in memory; a factor this large covers the camera columns.
 EXPANSION = 8
+# Spark's default size of an input split.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 # Metric samples per raw event: metric, labels, value. The label values and the value are
 # SQL text both engines read, so the test oracle sees the same samples.
@@ -196,16 +198,40 @@ class DriverTables:
     def metrics(
         self, names: Iterable[str] | None = None, start: datetime | None = None, end: datetime | None = None
     ) -> DataFrame:
-        """Long metric samples; only the named metrics are generated."""
+        """Long metric samples; only the named metrics are generated.
+
+        Each distinct label text is computed once per event, and metrics with the same
+        labels share one map.
+        """
         wanted = None if names is None else set(names)
-        samples = []
+        texts: dict[str, str] = {}
+        by_labels: dict[str, list[str]] = {}
         for metric, labels, value in METRIC_SPECS:
             if wanted is not None and metric not in wanted:
                 continue
-            pairs = ", ".join(f"'{name}', {expr.format(text='STRING')}" for name, expr in sorted(labels.items()))
-            samples.append(f"struct('{metric}' AS metric, map({pairs}) AS labels, CAST({value} AS DOUBLE) AS value)")
-        events = in_range(self.table("events"), "ts", start, end).selectExpr("*", f"{_K} AS k")
-        return events.selectExpr("ts", f"inline(array({', '.join(samples)}))")
+            pairs, series = [], []
+            for name, text in sorted(labels.items()):
+                column = texts.setdefault(text.format(text="STRING"), f"_l{len(texts)}")
+                pairs.append(f"'{name}', {column}")
+                series.append(f"'{name}=', {column}")
+            comma = ", ',', "
+            keyed = f"'labels', map({', '.join(pairs)}), 'series', concat({comma.join(series)})"
+            point = f"named_struct('metric', '{metric}', 'value', CAST({value} AS DOUBLE))"
+            by_labels.setdefault(keyed, []).append(point)
+        sets = [f"named_struct({keyed}, 'points', array({', '.join(points)}))" for keyed, points in by_labels.items()]
+        events = self._spread(in_range(self.table("events"), "ts", start, end)).selectExpr("*", f"{_K} AS k")
+        labelled = events.selectExpr(
+            "ts", "event_id", "user_id", "value", "k", *[f"{text} AS {column}" for text, column in texts.items()]
+        )
+        return labelled.selectExpr("ts", f"inline(array({', '.join(sets)}))").selectExpr(
+            "ts", "labels", "series", "inline(points)"
+        ).select("ts", "metric", "labels", "series", "value")
+
+    def _spread(self, events: DataFrame) -> DataFrame:
+        """A table of fewer splits than cores is spread over all of them before rows multiply."""
+        cores = self.spark.sparkContext.defaultParallelism
+        small = not events.isStreaming and scan_bytes(self.table("events")) < cores * SPLIT_BYTES
+        return events.repartition(cores) if small else events
 
     def raw_speed(self, start=None, end=None) -> DataFrame:
         """Raw speed records as the JSON feed has them: times as text, some speeds unusable."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.operators.series import with_series
+
 
 def write_days(
     df: DataFrame,
@@ -49,7 +51,8 @@ def write_cameras(cameras: DataFrame, root: str) -> None:
 
 
 def write_metrics(samples: DataFrame, root: str, **options) -> None:
-    write_days(samples, f"{root}/metrics", time_column="ts", sort=("metric", "ts"), **options)
+    """The series key is stored with the samples, so that reports need not derive it."""
+    write_days(with_series(samples), f"{root}/metrics", time_column="ts", sort=("metric", "ts"), **options)
 
 
 def write_slot_documents(documents: DataFrame, path: str) -> None:
