@@ -22,10 +22,11 @@ def latest_slots(events: DataFrame, n: int) -> DataFrame:
     return events.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def mark_top(df: DataFrame, key: str, measure: Column, k: int) -> DataFrame:
-    """``df`` with ``in_top``: whether ``key`` is among the ``k`` with the largest measure."""
-    best = top(
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("_m")),
-        k, F.col("_m").desc_nulls_last(), F.col(key),
-    ).select(F.col(key), F.lit(True).alias("_hit"))
-    return df.join(F.broadcast(best), key, "left").withColumn("in_top", F.col("_hit").isNotNull()).drop("_hit")
+def mark_top(df: DataFrame, key: str, measure: str, k: int) -> DataFrame:
+    """``df`` with ``in_top``: whether ``key`` is among the ``k`` with the largest sum of ``measure``.
+
+    For aggregated rows only: the ranking window is one partition.
+    """
+    total = F.sum(measure).over(W.partitionBy(key))
+    place = F.dense_rank().over(W.orderBy(F.col("_total").desc_nulls_last(), F.col(key)))
+    return df.withColumn("_total", total).withColumn("in_top", place <= k).drop("_total")

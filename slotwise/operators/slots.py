@@ -101,26 +101,24 @@ def completeness(*parts: Column) -> Column:
 def slot_parts(frames: DataFrame, samples: DataFrame, weather: DataFrame) -> DataFrame:
     """One row per slot that any feed mentions, with what each feed contributed.
 
-    The three feeds are stacked and grouped once, instead of two full outer joins.
-    ``weather`` is one row per slot, see :func:`latest_weather`.
+    Frames and samples are stacked and grouped once; only numbers are aggregated, so the
+    grouping stays a hash aggregate. ``weather`` is one row per slot (:func:`latest_weather`)
+    and is grouped by the same keys, so joining it needs no further shuffle.
     """
-    doc_type = weather.schema["weather"].dataType
-    none = lambda kind: F.lit(None).cast(kind)
-    stacked = (
-        frames.select(*KEYS, F.lit(1).alias("frame"), none("double").alias("speed"), none(doc_type).alias("doc"))
-        .unionByName(samples.select(*KEYS, none("int").alias("frame"), "speed", none(doc_type).alias("doc")))
-        .unionByName(
-            weather.select(*KEYS, none("int").alias("frame"), none("double").alias("speed"), F.col("weather").alias("doc"))
-        )
+    stacked = frames.select(*KEYS, F.lit(1).alias("frame"), F.lit(None).cast("double").alias("speed")).unionByName(
+        samples.select(*KEYS, F.lit(None).cast("int").alias("frame"), "speed")
     )
-    merged = stacked.groupBy(*KEYS).agg(
+    counted = stacked.groupBy(*KEYS).agg(
         F.count("frame").cast("int").alias("frame_count"),
         F.count("speed").cast("int").alias("speed_count"),
         F.avg("speed").alias("speed_avg_kmh"),
         F.min("speed").alias("speed_min_kmh"),
         F.max("speed").alias("speed_max_kmh"),
-        F.any_value("doc", F.lit(True)).alias("weather"),
     )
+    merged = counted.join(weather.select(*KEYS, "weather"), KEYS, "full").withColumns({
+        "frame_count": F.coalesce("frame_count", F.lit(0)),
+        "speed_count": F.coalesce("speed_count", F.lit(0)),
+    })
     return merged.withColumn(
         "completeness",
         completeness(F.col("frame_count") > 0, F.col("speed_count") > 0, F.col("weather").isNotNull()),

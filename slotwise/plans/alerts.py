@@ -129,9 +129,8 @@ def used_share(src, rules=RULES, start: datetime | None = None, end: datetime |
     is_free = F.col("metric").isin(*[free for free, _ in pairs])
     grouped = (
         with_series(src.metrics(names, start, end))
-        .groupBy("ts", what.alias("metric"), "series")
+        .groupBy("ts", what.alias("metric"), "series", "labels")
         .agg(
-            F.any_value("labels").alias("labels"),
             F.max(F.when(is_free, F.col("value"))).alias("free"),
             F.max(F.when(~is_free, F.col("value"))).alias("total"),
         )

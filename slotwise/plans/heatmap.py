@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions import timekeys as tk
@@ -53,8 +54,8 @@ def district_by_hour(hourly: DataFrame) -> DataFrame:
         .groupBy("district", "hour")
         .agg(F.avg("avg_vehicles").alias("avg_vehicles"))
     )
-    totals = cells.groupBy("district").agg(F.sum("avg_vehicles").alias("district_total"))
-    return cells.join(totals, "district").orderBy(F.col("district_total").desc_nulls_last(), "district", "hour")
+    total = F.sum("avg_vehicles").over(W.partitionBy("district"))
+    return cells.withColumn("district_total", total).orderBy(F.col("district_total").desc_nulls_last(), "district", "hour")
 
 
 def district_by_hour_wide(hourly: DataFrame) -> DataFrame:
@@ -70,10 +71,14 @@ def camera_by_hour(hourly: DataFrame, districts: Sequence[str] | None = None, k:
     """Mean per camera name and hour for the busiest names."""
     chosen = in_list(hourly, "district", districts).where(F.col("display_name").isNotNull())
     cells = chosen.groupBy("display_name", "hour").agg(F.avg("avg_vehicles").alias("avg_vehicles"))
-    rows = cells.groupBy("display_name").agg(F.avg("avg_vehicles").alias("row_mean"))
+    # A name's row has at most 24 cells.
+    rows = cells.groupBy("display_name").agg(
+        F.avg("avg_vehicles").alias("row_mean"), F.collect_list(F.struct("hour", "avg_vehicles")).alias("cells")
+    )
     best = top(rows, k, F.col("row_mean").desc_nulls_last(), F.col("display_name"))
-    # `best` holds at most k rows.
-    return cells.join(F.broadcast(best), "display_name").orderBy(F.col("row_mean").desc_nulls_last(), "display_name", "hour")
+    return best.select("display_name", "row_mean", F.inline("cells")).orderBy(
+        F.col("row_mean").desc_nulls_last(), "display_name", "hour"
+    )
 
 
 def weekday_stack(hourly: DataFrame, k: int = 6) -> DataFrame:
@@ -86,7 +91,7 @@ def weekday_stack(hourly: DataFrame, k: int = 6) -> DataFrame:
         .groupBy("dow_num", "day_name", "district")
         .agg(F.sum("avg_vehicles").alias("total"))
     )
-    marked = mark_top(sums, "district", F.sum("total"), k)
+    marked = mark_top(sums, "district", "total", k)
     group = F.when(F.col("in_top"), F.col("district")).otherwise(OTHER)
     return (
         marked.groupBy("dow_num", "day_name", group.alias("district"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions import labels
@@ -117,8 +118,8 @@ def district_hour_speed(src, as_of: datetime, days: float = 7, districts: Sequen
 def speed_heat(src, as_of: datetime, days: float = 7, districts: Sequence[str] | None = None) -> DataFrame:
     """:func:`district_hour_speed` with the row mean, slowest district first."""
     cells = district_hour_speed(src, as_of, days, districts)
-    rows = cells.groupBy("district").agg(F.avg("avg_speed").alias("district_mean"))
-    return cells.join(rows, "district").orderBy(F.col("district_mean").asc_nulls_last(), "district", "hour")
+    row_mean = F.avg("avg_speed").over(W.partitionBy("district"))
+    return cells.withColumn("district_mean", row_mean).orderBy(F.col("district_mean").asc_nulls_last(), "district", "hour")
 
 
 def congestion_index(src, as_of: datetime, days: float = 7) -> DataFrame:

@@ -43,20 +43,20 @@ def daily_volume(src, as_of: datetime, days: float = 30) -> DataFrame:
 
     ``day_is_empty`` marks days on which no district has any volume.
     """
-    slots = _daily(src, as_of, days)
-    daily = (
-        slots.where(F.col("district").isNotNull())
-        .groupBy("day", "district")
-        .agg(_total().alias("total_vehicles"))
+    daily = _daily(src, as_of, days).groupBy("day", "district").agg(_total().alias("total"))
+    # One row per day and district from here on; unknown districts only stretch the calendar.
+    everything = W.partitionBy()
+    spanned = daily.select(
+        "*", F.min("day").over(everything).alias("first"), F.max("day").over(everything).alias("last")
     )
-    first = slots.agg(F.min("day")).scalar()
-    last = slots.agg(F.max("day")).scalar()
-    calendar = daily.select("district").distinct().select(
-        "district", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("day")
-    )
-    full = calendar.join(daily, ["day", "district"], "left").withColumn(
-        "total_vehicles", F.coalesce("total_vehicles", F.lit(0.0))
+    by_district = (
+        spanned.where(F.col("district").isNotNull())
+        .groupBy("district", "first", "last")
+        .agg(F.map_from_entries(F.collect_list(F.struct("day", "total"))).alias("totals"))
     )
+    full = by_district.select(
+        "district", "totals", F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("day")
+    ).select("day", "district", F.expr("coalesce(try_element_at(totals, day), 0D) AS total_vehicles"))
     day_total = F.sum("total_vehicles").over(W.partitionBy("day"))
     return full.withColumn("day_is_empty", day_total == 0).orderBy("day", "district")
 

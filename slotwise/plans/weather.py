@@ -170,8 +170,8 @@ def weather_district(src, as_of: datetime, days: float = 7, chosen: Sequence[str
     """Mean speed per district and weather class, slowest district first."""
     slots = _page_slots(src, as_of, days, chosen).dropna(subset=["district", "weather_main"])
     cells = slots.groupBy("district", "weather_main").agg(merged_speed().alias("avg_speed"))
-    rows = cells.groupBy("district").agg(F.avg("avg_speed").alias("district_mean"))
-    return cells.join(rows, "district").orderBy(F.col("district_mean").asc_nulls_last(), "district", "weather_main")
+    row_mean = F.avg("avg_speed").over(W.partitionBy("district"))
+    return cells.withColumn("district_mean", row_mean).orderBy(F.col("district_mean").asc_nulls_last(), "district", "weather_main")
 
 
 def weather_district_wide(src, as_of: datetime, days: float = 7, chosen: Sequence[str] | None = None) -> DataFrame:

@@ -89,6 +89,11 @@ _MAIN = (
 )
 
 
+# The classes in name order: the smallest code is the smallest name, and numbers aggregate by hash.
+_CLASSES = "array('Clear', 'Clouds', 'Drizzle', 'Mist', 'Rain')"
+_CODE = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 5 WHEN 'signup' THEN 4 ELSE 3 END"
+
+
 class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -132,14 +137,14 @@ class DriverTables:
 
     def events(self, start: datetime | None = None, end: datetime | None = None, series: bool = False) -> DataFrame:
         """The events table; ``speed_series`` is packed only on request, as it gathers records."""
-        rows = self.raw(start, end).selectExpr(*KEYS, "vehicles", "k", f"{_SPEED} AS speed", f"{_MAIN} AS main")
+        rows = self.raw(start, end).selectExpr(*KEYS, "vehicles", "k", f"{_SPEED} AS speed", f"{_CODE} AS code")
         measures = [
             "sum(vehicles) AS vehicles_count",
             "CAST(count(speed) AS INT) AS speed_count",
             "avg(speed) AS speed_avg_kmh",
             "min(speed) AS speed_min_kmh",
             "max(speed) AS speed_max_kmh",
-            "min(main) AS main",
+            "min(code) AS code",
             "CAST(max(20 + k % 17) AS DOUBLE) AS temp",
             "max(50 + k % 46) AS humidity",
             "max(k % 19 * 0.5D) AS wind_speed",
@@ -148,9 +153,9 @@ class DriverTables:
         slots = rows.groupBy(*KEYS).agg(*map(F.expr, measures))
         if series:
             slots = slots.join(pack(self._samples(start, end), "speed_series", ["time", "speed"]), KEYS, "left")
-        known = ("main", "temp", "humidity", "wind_speed", "clouds_all")
+        known = {c: c for c in ("temp", "humidity", "wind_speed", "clouds_all")} | {"main": f"element_at({_CLASSES}, code)"}
         weather = ", ".join(
-            f"'{f.name}', CAST({f.name if f.name in known else 'NULL'} AS {f.dataType.simpleString()})"
+            f"'{f.name}', CAST({known.get(f.name, 'NULL')} AS {f.dataType.simpleString()})"
             for f in schemas.WEATHER.fields
         )
         return slots.selectExpr(

@@ -30,19 +30,15 @@ def read_json(spark: SparkSession, prefix: str, schema: T.StructType, pattern: s
     Arrays become rows, ``[]`` gives none, and a file that is not JSON is skipped.
     ``{}`` gives a row of NULLs, which the cleaning operators drop.
     """
-    with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     records = (
-        spark.read.schema(with_bad)
+        spark.read.schema(schema)
         .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
+        .option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .json(prefix)
     )
-    return records.where(F.col("_bad").isNull()).select(
-        *[f.name for f in schema.fields], F.col("_metadata.file_path").alias("path")
-    )
+    return records.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("path"))
 
 
 def keyed_by_path(records: DataFrame) -> DataFrame:

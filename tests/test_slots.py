@@ -88,10 +88,11 @@ def test_json_files(spark, tmp_path):
         "a.json": '{"time": "2024-01-01T00:06:00", "speed": 31}',
         "b.JSON": '[{"time": "2024-01-01T00:07:00", "speed": "30.5"}, {"timestamp": "2024-01-01T00:08:00", "speed": 1}]',
         "c.json": "{}", "d.json": "[]", "e.json": '{"time": ', "f.json": '{"time": "t", "speed": null}', "g.txt": '{"time": "t", "speed": 9}',
+        "h.json": '[{"time": "t", "speed": 8}, {"time": ',
     }
     for name, text in files.items():
         (folder / name).write_text(text)
-    assert json_feed.list_json(spark, str(tmp_path)).count() == 6
+    assert json_feed.list_json(spark, str(tmp_path)).count() == 7
     records = json_feed.keyed_by_path(json_feed.read_json(spark, str(tmp_path), schemas.RAW_SPEED))
     cleaned = dicts(slots.clean_speed(records).orderBy("time"))
     assert [(r["camera_id"], r["slot"], r["time"], r["speed"]) for r in cleaned] == [
