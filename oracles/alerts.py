@@ -26,20 +26,17 @@ def metrics(sql: str, *more: str, names: tuple[str, ...] = ()) -> str:
 
 
 def rated(source: str, seconds: int, alias: str) -> list[str]:
-    """Increase per second from pairs of samples inside the window, by self-join over the pairs."""
+    """Increase per second: the window's steps without the first one, which starts before it."""
     return [
         f"""{alias}_step AS (
-  SELECT *, lag(ts) OVER w AS prev_ts,
-         CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w ELSE value END AS step
+  SELECT *, coalesce(CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w
+                          WHEN lag(value) OVER w IS NOT NULL THEN value END, 0) AS step
   FROM ({source}) x WINDOW w AS (PARTITION BY metric, series ORDER BY ts))""",
-        f"""{alias}_win AS (
-  SELECT *, list(struct_pack(prev := prev_ts, step := step)) OVER (
-           PARTITION BY metric, series ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECOND PRECEDING AND CURRENT ROW) AS pairs
-  FROM {alias}_step)""",
         f"""{alias} AS (
-  SELECT ts, metric, labels, series, value, CASE WHEN len(pairs) >= 2 THEN
-           list_sum(list_transform(list_filter(pairs, lambda p: p.prev >= ts - INTERVAL {seconds} SECOND), lambda p: p.step)) / CAST({seconds} AS DOUBLE) END AS rate
-  FROM {alias}_win)""",
+  SELECT ts, metric, labels, series, value,
+         CASE WHEN count(*) OVER w >= 2 THEN (sum(step) OVER w - first_value(step) OVER w) / CAST({seconds} AS DOUBLE) END AS rate
+  FROM {alias}_step
+  WINDOW w AS (PARTITION BY metric, series ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECOND PRECEDING AND CURRENT ROW))""",
     ]
 
 

@@ -70,7 +70,9 @@ def counter_rate(samples: DataFrame, seconds: int, chunk_seconds: int = CHUNK_SE
     extrapolated to the window's edges, and a window with one sample gives NULL.
 
     Samples in the last ``seconds`` of a chunk also go to the next one, which is all that
-    its first windows can reach back to.
+    its first windows can reach back to. The increase is the difference of two running
+    sums. The one at the window's start is found by a probe sorted in among the samples, so
+    the work is linear however many samples a window holds.
     """
     chunk, reach = max(chunk_seconds, seconds) * SECOND, seconds * SECOND
     own = F.floor(F.col("_us") / F.lit(chunk))
@@ -81,15 +83,27 @@ def counter_rate(samples: DataFrame, seconds: int, chunk_seconds: int = CHUNK_SE
         .withColumn("_own", own)
         .withColumn("_chunk", F.explode(F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     )
-    ordered = W.partitionBy("_chunk", "metric", "series").orderBy("_us")
-    before = F.lag("value").over(ordered)
+    cell = W.partitionBy("_chunk", "metric", "series")
+    before = F.lag("value").over(cell.orderBy("_us"))
     step = F.when(F.col("value") >= before, F.col("value") - before).when(before.isNotNull(), F.col("value"))
-    frame = ordered.rangeBetween(-reach, 0)
-    increase = F.coalesce(F.sum("_step").over(frame), F.lit(0.0)) - F.coalesce(F.first("_step").over(frame), F.lit(0.0))
-    rated = spread.withColumn("_step", step).withColumn(
-        "rate", F.when(F.count(F.lit(1)).over(frame) >= 2, increase / seconds)
+    upto = W.unboundedPreceding, W.currentRow
+    summed = spread.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn(
+        "_sum", F.sum("_step").over(cell.orderBy("_us").rowsBetween(*upto))
+    )
+    sample = "named_struct('probe', false, 'at', _us)"
+    probed = summed.withColumn("_p", F.expr(
+        f"explode(CASE WHEN _chunk = _own THEN array({sample}, named_struct('probe', true, 'at', _us - {reach})) "
+        f"ELSE array({sample}) END)"
+    ))
+    # Backwards in time, the last sample seen before a probe is the first one of its window.
+    back = cell.orderBy(F.col("_p.at").desc(), F.col("_p.probe")).rowsBetween(*upto)
+    first = F.last(F.expr("CASE WHEN NOT _p.probe THEN struct(_us, _sum) END"), ignorenulls=True).over(back)
+    rate = F.when(F.col("_first._us") < F.col("_us"), (F.col("_sum") - F.col("_first._sum")) / seconds)
+    return (
+        probed.withColumn("_first", first)
+        .where("_p.probe")
+        .select("ts", "metric", "labels", "series", "value", rate.alias("rate"))
     )
-    return rated.where(F.col("_chunk") == F.col("_own")).select("ts", "metric", "labels", "series", "value", "rate")
 
 
 def latest(samples: DataFrame, *keep: Column) -> DataFrame:
