@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotwise import schemas
 from slotwise.operators.joins import broadcast_below, scan_bytes
+from slotwise.session import path_exists
 
 
 def in_range(df: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
@@ -52,6 +53,9 @@ class StoredTables:
         return self._fact("events", schemas.EVENTS, "slot", start, end)
 
     def overflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Samples of oversized slots; empty where none were ever written."""
+        if not path_exists(self.spark, f"{self.root}/speed_overflow"):
+            return self.spark.createDataFrame([], schemas.SPEED_OVERFLOW)
         return self._fact("speed_overflow", schemas.SPEED_OVERFLOW, "slot", start, end)
 
     def predicts(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:

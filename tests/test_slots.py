@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from slotwise import schemas
 from slotwise.operators import slots
 from slotwise.operators.joins import unnest_series
+from slotwise.plans import ingest
 from slotwise.sources import json_feed, sinks
 from slotwise.sources.tables import StoredTables
 
@@ -125,3 +126,18 @@ def test_camera_folders(spark, tmp_path):
     rows = spark.createDataFrame([("a", SLOT, [1.0], [1.0]), ("b", SLOT, [1.0], [1.0])], schemas.PREDICTS)
     sinks.write_days(rows, str(tmp_path / "p"), camera_folders=True)
     assert sorted(p.name for p in (tmp_path / "p" / "dt=2024-01-01").iterdir()) == ["camera_id=a", "camera_id=b"]
+
+
+def test_batch_job_stores_complete_slots_whole(spark, tmp_path):
+    tables = StoredTables(spark, str(tmp_path / "t"))
+    assert tables.overflow().count() == 0
+    open_slot = at("2024-01-01 00:10:00")
+    samples = samples_of(spark, [("hot", SLOT, f"2024-01-01 00:00:{i:02d}", float(i)) for i in range(12)]
+                         + [("calm", SLOT, "2024-01-01 00:01:00", 7.0), ("calm", open_slot, "2024-01-01 00:11:00", 8.0)])
+    frames, weather = frames_of(spark, [("calm", SLOT, "t", "s3://b/i")]), weather_of(spark, ["calm"])
+    ingest.store_slots(frames, samples, weather, tables.root, at("2024-01-01 00:12:00"), cell_records=10)
+    stored = {r["camera_id"]: r for r in dicts(tables.events())}
+    assert stored["hot"]["speed_count"] == 12 and stored["hot"]["speed_series"] is None
+    assert stored["calm"]["speed_series"] == [{"time": at("2024-01-01 00:01:00"), "speed": 7.0}]
+    whole = unnest_series(tables.events(), tables.overflow())
+    assert whole.count() == 13 and whole.agg(F.max("time")).first()[0] == at("2024-01-01 00:01:00")
