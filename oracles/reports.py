@@ -60,6 +60,10 @@ SELECT camera_id, slot, vehicles_count AS actual_count, speed_avg_kmh AS actual_
        w_temp AS weather_temp, display_name, district, location_lon, location_lat, c1 AS pred_count_t1,
        s1 AS pred_speed_t1, abs(vehicles_count - c1) AS count_error_abs
 FROM pe JOIN t_cameras USING (camera_id)""")
+SQL["forecast_frame"] = over("""
+SELECT camera_id, slot, vehicles_count AS actual_count, speed_avg_kmh AS actual_speed, c1 AS pred_count_t1, s1 AS pred_speed_t1,
+       abs(vehicles_count - c1) AS count_error_abs
+FROM pe JOIN t_cameras USING (camera_id)""")
 _QUALITY = f"""
 SELECT c.camera_id, c.display_name, c.district, c.cam_type, c.status AS camera_status, {{ptz}}
        {n('count(te.slot)')} AS slots_today, max(te.slot) AS last_event, {AV} AS avg_vehicles

@@ -45,6 +45,13 @@ def predictions(src, as_of: datetime, days: float = 1) -> DataFrame:
     )
 
 
+def forecast_frame(src, as_of: datetime, days: float = 1) -> DataFrame:
+    """The actual, forecast and error columns alone."""
+    return predictions(src, as_of, days).select(
+        "camera_id", "slot", "actual_count", "actual_speed", "pred_count_t1", "pred_speed_t1", "count_error_abs"
+    )
+
+
 def ml_performance(src, as_of: datetime, days: float = 7) -> DataFrame:
     """Daily mean absolute errors and means."""
     return (

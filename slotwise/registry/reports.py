@@ -25,7 +25,8 @@ def _hourly(name: str, build: Callable[[DataFrame], DataFrame], digits: int = 6)
 
 
 for _report in (
-    city.traffic_events, city.rush_offpeak, heatmap.heatmap_hourly, forecast.predictions, city.city_kpi,
+    city.traffic_events, city.rush_offpeak, heatmap.heatmap_hourly, forecast.predictions,
+    forecast.forecast_frame, city.city_kpi,
     city.top_congestion, city.dow_profile, speed.flow_speed_trend, speed.speed_bins, speed.hourly_pattern,
     weather.weather_impact, forecast.ml_performance, forecast.ml_accuracy, city.operations_kpi,
     city.congestion_by_district, speed.speed_distribution, city.traffic_scatter, weather.weather_summary,
