@@ -1,5 +1 @@
 """Operators for training-data pipelines; nothing outside this folder imports them."""
-
-from slotwise.llm.queries import QUERIES, SQL
-
-__all__ = ["QUERIES", "SQL"]
