@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import licenses, main_text, packing, secrets
+from slotwise.llm import ann, licenses, main_text, near_vectors, packing, secrets
 from slotwise.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op5_packing": op5_packing,
+    "op7_learned_partitions": op7_learned_partitions,
+    "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
     "op10_main_text": op10_main_text,
 }
