@@ -2,9 +2,9 @@
 
 1. One pass gives each document the size and digest of its shingle set and a small sketch.
    Equal sets become one set.
-2. Groups: sets that share a sketch are compared with the first set of that sketch only;
-   those similar to it form a group, so that thousands of near copies cost one comparison
-   each.
+2. Groups: sets that share a number of their sketches are compared with one hub among them
+   only; those similar to it form a group, so that thousands of near copies cost a few
+   comparisons each.
 3. The matrix: a set can only be similar to one it shares one of its rarest shingles with
    (a fifth of its own and one). The rarest shingles of all sets are joined across groups;
    that says which groups a query may have to visit.
@@ -20,6 +20,7 @@ the threshold. Inside a group all sets are connected already.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from slotwise.llm.common import arrow_schema, components, rows_of, stored
 from slotwise.llm.shingles import WORDS, shingles, similar, sketch
@@ -39,6 +39,8 @@ PERCENT = 80
 COMMON_GROUPS, MOST_COMMON = 16, 1_000_000
 #: Bits of a group's map per shingle of its union.
 BITS = 16
+#: Pairs compared in one call, on average.
+CELL = 4000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -72,38 +74,59 @@ def signatures(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _same(words: int, percent: int):
-    """A column function: whether two texts are similar."""
+def _cells(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with a cell number: a chessboard of hashed left ids by hashed right ids, so
+    large that a cell has CELL pairs on average. A text that occurs in many pairs is sent to
+    one row or column of the board at most, not to each of its pairs."""
+    side = max(4, math.isqrt(pairs.count() // CELL) + 1)
+    return pairs.withColumn(
+        "cell", F.pmod(F.xxhash64(left), F.lit(side)) * side + F.pmod(F.xxhash64(F.lit(1), right), F.lit(side))
+    )
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    """The same columns under new names, so that a frame can meet another made from it."""
+    return df.select(*[F.col(c).alias(f"{c}_") for c in df.columns])
 
-    @pandas_udf(T.BooleanType())
-    def same(one: pd.Series, two: pd.Series) -> pd.Series:
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0))
-        out = []
-        for a, b in zip(one, two, strict=True):
-            if b != last[0]:
-                last = (b, shingles(b, words))
-            out.append(similar(shingles(a, words), last[1], percent))
-        return pd.Series(out, dtype=bool)
 
-    return same
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) of document ids of which any texts are similar."""
+    pairs = _cells(pairs.select("a", "b"), "a", "b")
+    ids = pairs.select("cell", F.col("a").alias("doc_id")).unionByName(pairs.select("cell", F.col("b").alias("doc_id")))
+    texts = ids.distinct().join(docs.select("doc_id", "text"), "doc_id").select("cell", "doc_id", "text")
 
+    def compare(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list[np.ndarray]] = {}
+        for doc, text in zip(held.doc_id, held.text, strict=True):
+            found = shingles(text, words)
+            if not any(np.array_equal(found, known) for known in sets.get(doc, ())):
+                sets.setdefault(doc, []).append(found)
+        kept = [
+            any(similar(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ()))
+            for a, b in zip(asked.a_, asked.b_, strict=True)
+        ]
+        return asked.loc[kept, ["a_", "b_"]].set_axis(["a", "b"], axis=1)
 
-def _verified(pairs: DataFrame, docs: DataFrame, same, label: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.join(one, "a").join(two, "b").where(same("text_a", "text_b")).select("a", "b").distinct(), label)
+    checked = texts.groupBy("cell").cogroup(_renamed(pairs).groupBy("cell_")).applyInPandas(compare, "a long, b long")
+    return stored(checked, label)
 
 
 def _star(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the smallest of the sets that come first in its sketch's buckets."""
+    """(a, b): each set with the hub of each of its sketch's buckets.
+
+    The hub is the set whose own buckets are the largest: near copies that were changed
+    least share most of their sketch with the others.
+    """
     buckets = sets.select("rep", F.explode(F.array(*[
         F.struct(F.lit(k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(4)
     ])).alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return (
-        buckets.join(first, "bucket").groupBy(F.col("rep").alias("a")).agg(F.min("b").alias("b")).where("a <> b")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = stored(buckets.join(sizes, "bucket"), "join-buckets")
+    weight = sized.groupBy("rep").agg(F.sum("n").alias("weight"))
+    hubs = sized.join(weight, "rep").groupBy("bucket").agg(
+        F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("b")
     )
+    return sized.join(hubs, "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
@@ -181,9 +204,8 @@ def _maps(texts: DataFrame, words: int) -> DataFrame:
                 )
 
     pieces = wide.mapInArrow(run, schema).groupBy("grp", "word").agg(F.bit_or("bits").alias("bits"))
-    return pieces.groupBy("grp").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits")
-    ).join(sized, "grp")
+    whole = pieces.groupBy("grp").agg(F.collect_list(F.struct("word", "bits")).alias("map")).join(sized, "grp")
+    return whole.select("grp", "largest", F.col("map.word").alias("words"), F.col("map.bits").alias("bits"))
 
 
 def _length(largest: int) -> int:
@@ -200,23 +222,38 @@ def _bitmap(hashes: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return place.astype("int64"), bits
 
 
-def _bound(words: int, percent: int):
-    """A column function: whether a text's overlap with a group's union can reach the threshold."""
-
-    @pandas_udf(T.BooleanType())
-    def reaches(text: pd.Series, bits: pd.Series, largest: pd.Series) -> pd.Series:
-        out = []
-        for t, held, size in zip(text, bits, largest, strict=True):
-            held, found = dict(held), shingles(t, words)
-            place, own = _bitmap(found, size)
-            at = found & np.uint64(_length(size) - 1)
-            union = np.array([held.get(int(p), 0) for p in place], dtype="int64").view(np.uint64)
-            word = union[np.searchsorted(place, (at >> np.uint64(6)).astype("int64"))]
-            overlap = int(((word >> (at & np.uint64(63))) & np.uint64(1)).sum())
-            out.append(100 * overlap >= percent * len(found))
-        return pd.Series(out, dtype=bool)
+def _opened(visits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The visits (a, grp) where a's overlap with the group's union can reach the threshold."""
+    visits = _cells(visits, "a", "grp")
+    maps = _maps(texts.join(visits.select("grp").distinct(), "grp", "left_semi"), words)
+    own = visits.select("cell", "a").distinct().join(texts.select(F.col("rep").alias("a"), "text"), "a")
+    held = visits.select("cell", "grp").distinct().join(maps, "grp")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("largest", "long"), ("words", "array<int>"), ("bits", "array<long>"))]
+    held = held.select("cell", "grp", F.lit(None).cast("string").alias("text"), "largest", "words", "bits").unionByName(
+        own.select("cell", F.col("a").alias("grp"), "text", *none)
+    )
 
-    return reaches
+    def bound(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        groups, sets = {}, {}
+        for key, text, largest, at, bits in zip(held.grp, held.text, held.largest, held.words, held.bits, strict=True):
+            if at is None:
+                sets[key] = shingles(text, words)
+            else:
+                size = int(largest)
+                union = np.zeros(_length(size) // 64, dtype=np.uint64)
+                union[np.asarray(at)] = np.asarray(bits, dtype="int64").view(np.uint64)
+                groups[key] = (_length(size), union)
+        kept = []
+        for a, group in zip(asked.a_, asked.grp_, strict=True):
+            (size, union), found = groups[group], sets[a]
+            at = found & np.uint64(size - 1)
+            overlap = int(((union[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).sum())
+            kept.append(100 * overlap >= percent * len(found))
+        return asked.loc[kept, ["a_", "grp_"]].set_axis(["a", "grp"], axis=1)
+
+    return stored(
+        held.groupBy("cell").cogroup(_renamed(visits).groupBy("cell_")).applyInPandas(bound, "a long, grp long"), "join-opened"
+    )
 
 
 def linked(
@@ -241,10 +278,9 @@ def linked(
             F.min("doc_id").alias("rep"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)]
         ), "join-sets",
     )
-    same = _same(words, percent)
-
+    known = docs.where("doc_id is not null")
     star = stored(_star(sets), "join-star")
-    near = _verified(star, docs, same, "join-near")
+    near = _verified(star, known, words, percent, "join-near")
     groups = components(near, "join-groups")
     grouped = sets.select("rep", "n").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "rep", "n", F.coalesce("component", "rep").alias("grp")
@@ -260,11 +296,15 @@ def linked(
         (100 * F.col("n") >= percent * F.col("n_2")) & (100 * F.col("n_2") >= percent * F.col("n"))
     )
     met = stored(met.select(F.col("rep").alias("a"), F.col("rep_2").alias("b"), F.col("grp_2").alias("grp")).distinct(), "join-met")
-    visits = met.select("a", "grp").distinct()
-    maps = _maps(texts.join(visits.select("grp").distinct(), "grp", "left_semi"), words)
-    asked = visits.join(maps, "grp").join(texts.select(F.col("rep").alias("a"), "text"), "a")
-    opened = asked.where(_bound(words, percent)("text", "bits", "largest")).select("a", "grp").distinct()
-    across = _verified(stored(met.join(opened, ["a", "grp"]).select("a", "b"), "join-open"), docs, same, "join-across")
+    # A group of one is its own union: comparing with it at once is the tightest bound.
+    several = texts.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
+    visits = stored(met.join(several, "grp", "left_semi").select("a", "grp").distinct(), "join-visits")
+    opened = _opened(visits, texts, words, percent)
+    shut = visits.join(opened, ["a", "grp"], "left_anti")
+    across = _verified(
+        stored(met.join(shut, ["a", "grp"], "left_anti").select("a", "b"), "join-open"),
+        texts.select(F.col("rep").alias("doc_id"), "text"), words, percent, "join-across",
+    )
 
     # A repeated id ties its texts' sets together.
     named = signed.join(sets.select("n", "digest", "rep"), ["n", "digest"])

@@ -65,5 +65,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union; empty sets are similar to nothing."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * common >= percent * (len(a) + len(b) - common)
