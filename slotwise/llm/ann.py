@@ -23,12 +23,12 @@ from slotwise.llm.vectors import dimension, matrix, sampled, usable
 
 #: Vectors the partition is learned from, at most.
 SAMPLE = 4096
-#: Rows a part should hold, and the largest number of parts.
-PART_ROWS, MOST_PARTS = 1024, 128
+#: The largest number of parts; below it, the cube root of the rows.
+MOST_PARTS = 256
 #: Recall that the number of visited parts must reach on the sample.
 RECALL = 0.96
 #: Rows and queries that one task compares at a time, at most about so many.
-BLOCK = 2048
+BLOCK = 4096
 
 
 class Router(NamedTuple):
@@ -115,7 +115,7 @@ def learned(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router
 
 
 def search(
-    vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS,
+    vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SAMPLE, most_parts: int = MOST_PARTS,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` rows of largest inner product for each row whose id is divisible by ``every``.
@@ -133,7 +133,7 @@ def search(
     dim = dimension(vectors, vector_col)
     rows = stored(usable(vectors, dim, id_col=id_col, vector_col=vector_col), "ann-rows")
     n = rows.count()
-    parts = int(max(1, min(MOST_PARTS, n // part_rows)))
+    parts = int(max(1, min(most_parts, round(n ** (1 / 3)))))
     router = learned(sampled(rows, sample, dim), parts, k) if parts > 1 else Router(np.zeros((dim + 1, 1)), 1)
 
     @pandas_udf(T.IntegerType())
