@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import ann, licenses, main_text, mixing, near_vectors, ngram_join, packing, secrets, toxicity
+from slotwise.llm import ann, licenses, main_text, mixing, near_vectors, ngram_join, packing, personal, secrets, toxicity
 from slotwise.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
+    "op6_personal": op6_personal,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
