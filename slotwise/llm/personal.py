@@ -16,8 +16,9 @@ from slotwise.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: An identifier this certain is personal data; a pattern counts with so many known
-#: identifiers at least, and its share is taken as if it had seen so many unknown ones more.
+#: An identifier this certain is personal data, and counts as known in the next round; a
+#: pattern counts with so many known identifiers at least, and its share is taken as if it
+#: had seen so many unknown ones more.
 CERTAIN, LEAST_KNOWN, DOUBT = 0.9, 3.0, 2.0
 
 _MARK = "\u0001"
@@ -33,7 +34,7 @@ _PATTERNS = {
 }
 #: What may be an identifier of any kind.
 _IDENTIFIER = (
-    r"(?<![A-Za-z0-9._%+-])" + _EMAIL_AT + r"|\+[0-9][\x20().0-9-]+[0-9]|(?<![A-Za-z0-9])[0-9](?:[\x20.-]?[0-9]){4,}+"
+    r"(?<![A-Za-z0-9._%+-])" + _EMAIL_AT + r"|\+[0-9][\x20().0-9-]+[0-9]|(?<![A-Za-z0-9])[0-9](?:[\x20.-]?[0-9]){4,}+(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,32}[0-9])[A-Za-z0-9_-]{5,64}(?![A-Za-z0-9_-])"
 )
 
@@ -177,13 +178,13 @@ def certain_identifiers(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     nodes = edges.groupBy("value").agg(F.max(F.col("known").cast("double")).alias("certainty"))
     for k in range(rounds):
-        mass = F.sum("certainty")
+        mass = F.sum((F.col("certainty") >= CERTAIN).cast("double"))
         scores = (
             edges.join(nodes, "value").groupBy("pattern")
             .agg(mass.alias("mass"), F.count("*").alias("n")).where(F.col("mass") >= LEAST_KNOWN)
             .select("pattern", (F.col("mass") / (F.col("n") + DOUBT)).alias("share"))
         )
-        doubt = F.sum(F.log1p(-F.least("share", F.lit(0.999999))))
+        doubt = F.sum(F.log1p(-F.col("share")))  # a share is below 1; null without a trusted pattern
         nodes = stored(
             edges.join(scores, "pattern", "left").groupBy("value").agg(
                 F.max("known").alias("known"), F.coalesce(doubt, F.lit(0.0)).alias("doubt")
