@@ -318,3 +318,15 @@ def linked(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of connected ones: that with the smallest id.
+
+    All columns are kept. Of rows that repeat an id the smallest stays, by the columns in
+    their order; rows without id all stay, as do documents without words.
+    """
+    kept = linked(docs.select("doc_id", "text"), percent=percent).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.columns
+    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*own)).alias("row"))
+    return first.select("row.*").select(*own).unionByName(docs.where("doc_id is null"))

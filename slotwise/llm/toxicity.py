@@ -298,6 +298,21 @@ def _learned_terms(sample: DataFrame, counts: dict[bool, int]) -> dict[str, floa
     }
 
 
+def clean(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; learned as
+    in ``score``, from the labelled among these documents. Null or empty texts stay."""
+    model = learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), rows=rows)
+    at, arrow = docs.columns.index("text"), arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            scores = model.score([features(text, model.lexicon) for text in batch.column(at).to_pylist()])
+            kept = batch.filter(pa.array(scores < 0.5))
+            yield pa.RecordBatch.from_arrays(kept.columns, schema=arrow)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(
     docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic",
