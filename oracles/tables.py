@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles.columns import FRAMES, SAMPLES
-from oracles.views import CAMERAS, RAW, i, n, over, q6, r, with_
+from oracles.views import metrics_cte, CAMERAS, RAW, i, n, over, q6, r, with_
 
 SQL: dict[str, str] = {}
 
@@ -58,6 +58,9 @@ SELECT camera_id, slot, slot + INTERVAL 5 MINUTE AS generated_at, 300 AS duratio
        {TEMP} AS weather_temp, 50 + wk % 46 AS weather_humidity, wk % 19 * CAST(0.5 AS DOUBLE) AS weather_wind_speed,
        wk * 3 AS weather_wind_deg, wk AS weather_clouds_all, CAST(NULL AS INTEGER) AS weather_pressure
 FROM parts""")
+SQL["ingest_batch"] = f"""SELECT b.*, p.frame_count FROM ({SQL['batch_to_events']}) b
+JOIN ({SQL['slot_frame_count']}) p ON b.camera_id = p.camera_id AND b.slot = p.slot
+WHERE b.slot <= TIMESTAMP '2024-01-30 23:50:00'"""
 SQL["flatten_slot"] = parts(f"""
 SELECT camera_id, slot, CASE WHEN speed_count > 0 THEN speed_count END AS speed_count, {q6('speed_avg_kmh')} AS speed_avg_kmh,
        wk + 500 AS weather_id, CASE WHEN wk IS NOT NULL THEN 'Mist' END AS weather_main,
@@ -78,12 +81,12 @@ FROM t_cameras"""
 _PREDICTS = """
 SELECT camera_id, slot, CAST(len(count_preds) AS INTEGER) AS steps, count_preds[1] AS count_t1, avg_kmh_preds[12] AS speed_t12
 FROM t_predicts"""
-SQL["src_predicts"] = over(_PREDICTS + f" WHERE {RANGE}")
+SQL["src_predicts"] = over(_PREDICTS)
 SQL["sink_predicts"] = over(_PREDICTS)
 SQL["sink_events"] = over(f"SELECT {PLAIN}, speed_count AS samples FROM t_events")
-SQL["src_metrics"] = with_(RAW) + """
-SELECT ts, 'nifi_jvm_heap_usage' AS metric, 'host-' || event_type AS instance, k * CAST(0.0078125 AS DOUBLE) AS value
-FROM t_raw WHERE ts >= TIMESTAMP '2024-01-03 06:00:00' AND ts < TIMESTAMP '2024-01-28 18:00:00'"""
+SQL["src_metrics"] = with_(RAW, metrics_cte()) + f"""
+SELECT metric, series, {n('count(value)')} AS samples, min(ts) AS first_ts, max(ts) AS last_ts, min(value) AS least, max(value) AS most
+FROM t_metrics GROUP BY metric, series"""
 
 # JSON
 SQL["src_json_load"] = with_(RAW, SAMPLES) + "SELECT camera_id, strftime(slot, '%Y-%m-%dT%H:%M:%S') AS slot, time, speed FROM sp"
@@ -93,3 +96,9 @@ SELECT camera_id, {n("count(*) FILTER (WHERE event_type <> 'view')")} AS speeds,
 FROM t_raw GROUP BY camera_id"""
 SQL["src_json_list"] = parts(
     "SELECT strftime(slot, '%Y-%m-%d') AS dt, true AS has_content FROM parts GROUP BY ALL")
+SQL["src_json_weather"] = with_(RAW) + """
+SELECT camera_id, strftime(slot, '%Y-%m-%dT%H:%M:%S') AS slot, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stored_at, k + 500 AS weather_id,
+       'Mist' AS weather_main, CAST(20 + k % 17 AS DOUBLE) AS weather_temp, 50 + k % 46 AS weather_humidity,
+       k % 19 * CAST(0.5 AS DOUBLE) AS weather_wind_speed, k * 3 AS weather_wind_deg, k AS weather_clouds_all,
+       CAST(NULL AS INTEGER) AS weather_pressure
+FROM t_raw WHERE event_type = 'signup'"""

@@ -37,12 +37,9 @@ def left_join_slots(cameras: DataFrame, per_camera: DataFrame) -> DataFrame:
     return cameras.join(per_camera, "camera_id", "left")
 
 
-def unnest_series(events: DataFrame, overflow: DataFrame | None = None) -> DataFrame:
-    """One row per speed sample; slots without samples vanish.
+def unnest_series(events: DataFrame) -> DataFrame:
+    """One row per speed sample of slots that carry arrays; slots without samples vanish.
 
-    ``overflow`` holds the samples of slots too large for one array cell.
+    Table sources keep samples in long form: ask them for ``samples()`` instead.
     """
-    samples = events.select("camera_id", "slot", F.inline("speed_series"))
-    if overflow is None:
-        return samples
-    return samples.unionByName(overflow.select("camera_id", "slot", "time", "speed"))
+    return events.select("camera_id", "slot", F.inline("speed_series"))

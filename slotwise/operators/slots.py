@@ -1,8 +1,8 @@
 """Raw records to slot rows: statistics, series, documents, flat events.
 
 Statistics merge in the shuffle's map side, so a camera or slot holding a large share
-of all records costs one partial row per task. Only the array cells gather records;
-:func:`pack` bounds them.
+of all records costs one partial row per task. Only documents with arrays gather the
+records of a slot.
 """
 
 from __future__ import annotations
@@ -16,12 +16,6 @@ from slotwise.functions.timekeys import SLOT_SECONDS
 
 KEYS = ["camera_id", "slot"]
 
-# A slot with more records than this is not packed into one array cell; its records stay
-# in long form. At 10^12 records no more than 10^6 slots can be that large, which is what
-# bounds the broadcast list of their keys below.
-CELL_RECORDS = 1_000_000
-
-
 def clean_speed(raw: DataFrame) -> DataFrame:
     """Usable samples: camera_id, slot, time (text), speed."""
     return (
@@ -67,29 +61,21 @@ def slot_speed_stats(samples: DataFrame) -> DataFrame:
     )
 
 
-def oversized(records: DataFrame, cell_records: int = CELL_RECORDS) -> DataFrame:
-    """Keys of the slots whose records do not go into one array cell."""
-    return records.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell_records).select(*KEYS)
-
+def pack(records: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """Per slot, its records as a time-ordered array of structs, whatever their number.
 
-def pack(records: DataFrame, name: str, fields: list[str], cell_records: int = CELL_RECORDS) -> DataFrame:
-    """Per slot, its records as a time-ordered array of structs.
-
-    Oversized slots are left out before the shuffle; :func:`overflow` returns them whole.
+    Nothing here stores this form: records are kept long, and an array is built when a
+    caller asks for one.
     """
-    fits = records.join(F.broadcast(oversized(records, cell_records)), KEYS, "left_anti")
-    return fits.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-
-
-def overflow(records: DataFrame, cell_records: int = CELL_RECORDS) -> DataFrame:
-    """The records of oversized slots, in long form."""
-    return records.join(F.broadcast(oversized(records, cell_records)), KEYS, "left_semi")
+    return records.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
 def latest_weather(raw: DataFrame, order: str) -> DataFrame:
     """The last weather document per slot: later objects overwrite earlier ones."""
     payload = [c for c in raw.columns if c not in (*KEYS, order)]
-    return raw.groupBy(*KEYS).agg(F.max_by(F.struct(*payload), F.col(order)).alias("weather"))
+    # Of documents of the same instant the largest as text is kept, so that a re-run agrees.
+    last = F.struct(F.col(order), F.to_json(F.struct(*payload)))
+    return raw.groupBy(*KEYS).agg(F.max_by(F.struct(*payload), last).alias("weather"))
 
 
 def completeness(*parts: Column) -> Column:
@@ -98,22 +84,30 @@ def completeness(*parts: Column) -> Column:
     return F.floor(present * 100 / len(parts)).cast("int")
 
 
-def slot_parts(frames: DataFrame, samples: DataFrame, weather: DataFrame) -> DataFrame:
+def slot_parts(frames: DataFrame, samples: DataFrame, weather: DataFrame, arrays: bool = False) -> DataFrame:
     """One row per slot that any feed mentions, with what each feed contributed.
 
-    Frames and samples are stacked and grouped once; only numbers are aggregated, so the
-    grouping stays a hash aggregate. ``weather`` is one row per slot (:func:`latest_weather`)
-    and is grouped by the same keys, so joining it needs no further shuffle.
+    Frames and samples are stacked and grouped once; without ``arrays`` only numbers are
+    aggregated, so the grouping stays a hash aggregate. ``weather`` is one row per slot
+    (:func:`latest_weather`) and is grouped by the same keys, so joining it needs no further
+    shuffle. ``arrays`` adds ``frame_list`` and ``series``, time-ordered.
     """
-    stacked = frames.select(*KEYS, F.lit(1).alias("frame"), F.lit(None).cast("double").alias("speed")).unionByName(
-        samples.select(*KEYS, F.lit(None).cast("int").alias("frame"), "speed")
+    frame = F.struct("time", "image_ref") if arrays else F.lit(1)
+    sample = F.struct("time", "speed") if arrays else F.lit(1)
+    stacked = frames.select(*KEYS, frame.alias("frame")).unionByName(
+        samples.select(*KEYS, "speed", sample.alias("sample")), allowMissingColumns=True
     )
+    lists = [
+        F.array_sort(F.collect_list("frame")).alias("frame_list"),
+        F.array_sort(F.collect_list("sample")).alias("series"),
+    ]
     counted = stacked.groupBy(*KEYS).agg(
         F.count("frame").cast("int").alias("frame_count"),
         F.count("speed").cast("int").alias("speed_count"),
         F.avg("speed").alias("speed_avg_kmh"),
         F.min("speed").alias("speed_min_kmh"),
         F.max("speed").alias("speed_max_kmh"),
+        *(lists if arrays else []),
     )
     merged = counted.join(weather.select(*KEYS, "weather"), KEYS, "full").withColumns({
         "frame_count": F.coalesce("frame_count", F.lit(0)),
@@ -125,26 +119,23 @@ def slot_parts(frames: DataFrame, samples: DataFrame, weather: DataFrame) -> Dat
     )
 
 
-def slot_documents(
-    frames: DataFrame, samples: DataFrame, weather: DataFrame, cell_records: int = CELL_RECORDS
-) -> DataFrame:
+def slot_documents(frames: DataFrame, samples: DataFrame, weather: DataFrame, arrays: bool = True) -> DataFrame:
     """The nested document of every (camera, slot) at once.
 
-    ``slot`` is a timestamp here; ``speed`` is NULL for a slot without samples, and the
-    arrays of an oversized slot are NULL (its records are in :func:`overflow`).
+    ``slot`` is a timestamp here; ``speed`` is NULL for a slot without samples. Without
+    ``arrays`` the two lists are NULL and no record is gathered.
     """
-    parts = slot_parts(frames, samples, weather)
-    frame_lists = pack(frames, "frame_list", ["time", "image_ref"], cell_records)
-    series = pack(samples, "series", ["time", "speed"], cell_records)
-    joined = parts.join(frame_lists, KEYS, "left").join(series, KEYS, "left")
+    parts = slot_parts(frames, samples, weather, arrays)
     text = "yyyy-MM-dd HH:mm:ss"
-    empty = F.array().cast(frame_lists.schema["frame_list"].dataType)
-    return joined.select(
+    none_frames = F.lit(None).cast("array<struct<time:string,image_ref:string>>")
+    none_series = F.lit(None).cast("array<struct<time:string,speed:double>>")
+    frame_list = F.coalesce("frame_list", F.array().cast("array<struct<time:string,image_ref:string>>")) if arrays else none_frames
+    return parts.select(
         "camera_id",
         F.date_format("slot", text).alias("slot"),
         F.date_format(F.col("slot") + F.expr(f"INTERVAL {SLOT_SECONDS} SECONDS"), text).alias("generated_at"),
         F.lit(SLOT_SECONDS).alias("duration_sec"),
-        F.when(F.col("frame_count") == 0, empty).otherwise(F.col("frame_list")).alias("frames"),
+        frame_list.alias("frames"),
         F.when(
             F.col("speed_count") > 0,
             F.struct(
@@ -152,7 +143,7 @@ def slot_documents(
                 F.col("speed_avg_kmh").alias("avg_kmh"),
                 F.col("speed_min_kmh").alias("min_kmh"),
                 F.col("speed_max_kmh").alias("max_kmh"),
-                "series",
+                (F.col("series") if arrays else none_series).alias("series"),
             ),
         ).alias("speed"),
         "weather",

@@ -7,9 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise import schemas
 from slotwise.functions.timekeys import slot_previous
 from slotwise.operators import slots
-from slotwise.sources import sinks
+from slotwise.session import fresh_dir
+from slotwise.sources import json_feed, sinks
+from slotwise.sources.tables import StoredTables
 
 
 def complete_only(records: DataFrame, as_of: datetime) -> DataFrame:
@@ -18,20 +21,66 @@ def complete_only(records: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def store_slots(
-    frames: DataFrame,
-    samples: DataFrame,
-    weather: DataFrame,
-    root: str,
-    as_of: datetime,
-    cell_records: int = slots.CELL_RECORDS,
+    frames: DataFrame, samples: DataFrame, weather: DataFrame, tables: StoredTables, as_of: datetime,
+    whole_days: bool = True,
 ) -> None:
-    """Write the complete slots of the feeds; give whole days, as a day is replaced.
+    """Write the complete slots of the feeds: slot rows, samples and frames, in long form.
 
-    ``frames`` and ``samples`` are cleaned, ``weather`` is one row per slot. Samples of
-    oversized slots go to the overflow table.
+    ``frames`` and ``samples`` are cleaned, ``weather`` is one row per slot. The days that
+    the feeds mention are replaced in all three tables, also where a feed has nothing for a
+    day. With ``whole_days`` off, only the (camera, slot) pairs that the feeds mention are
+    replaced, and the days' other slots stay.
     """
+    spark = tables.spark
     frames, samples, weather = (complete_only(feed, as_of) for feed in (frames, samples, weather))
-    documents = slots.slot_documents(frames, samples, weather, cell_records)
-    sinks.write_events(slots.flatten_documents(documents), root)
-    long = slots.overflow(samples, cell_records).withColumn("time", F.col("time").try_cast("timestamp_ntz"))
-    sinks.write_overflow(long, root)
+    samples = samples.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
+    events = slots.flatten_documents(slots.slot_documents(frames, samples.withColumn(
+        "time", F.col("time").cast("string")), weather, arrays=False)).drop("speed_series")
+    names = ("events", "speed_samples", "frames")
+    new = dict(zip(names, (events, samples.select(*schemas.SPEED_SAMPLES.fieldNames()), frames.select(
+        *schemas.FRAMES.fieldNames())), strict=True))
+    if not whole_days:
+        old = {"events": tables.events, "speed_samples": tables.samples, "frames": tables.frames}
+        touched = _settled(events.select(*slots.KEYS), "touched")
+        days = touched.select(F.to_date("slot").alias("day")).distinct()
+        for name in names:
+            if name == "events" and not tables.exists():
+                continue
+            rows = old[name]().drop("speed_series")
+            kept = rows.join(days, F.to_date("slot") == F.col("day"), "left_semi").join(touched, slots.KEYS, "left_anti")
+            # A folder cannot be read while it is replaced.
+            new[name] = _settled(new[name].unionByName(kept), name)
+    events = _settled(new["events"], "events")
+    sinks.write_events(events, tables.root)
+    days = [row.dt for row in events.select(F.to_date("slot").alias("dt")).distinct().collect()]  # one per day
+    for name, write in (("speed_samples", sinks.write_samples), ("frames", sinks.write_frames)):
+        sinks.drop_days(spark, f"{tables.root}/{name}", days)
+        write(new[name], tables.root)
+
+
+def _settled(df: DataFrame, label: str) -> DataFrame:
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ingest(
+    tables: StoredTables, raw: str, bucket: str, as_of: datetime, pattern: str = json_feed.JSON_SUFFIX,
+    whole_days: bool = True,
+) -> None:
+    """Raw JSON objects under ``raw``/manifest, /speed and /weather to the stored tables.
+
+    Camera and slot are fields of the records; weather documents of one slot are taken in
+    the order of their ``stored_at``.
+    """
+    spark = tables.spark
+
+    def read(kind: str, schema) -> DataFrame:
+        records = json_feed.read_json(spark, f"{raw}/{kind}", schema, pattern)
+        return records.withColumn("slot", F.col("slot").try_cast("timestamp_ntz"))
+
+    weather = read("weather", schemas.STORED_WEATHER).drop("path").where(F.col("camera_id").isNotNull())
+    store_slots(
+        slots.clean_frames(read("manifest", schemas.RAW_FRAME), bucket), slots.clean_speed(read("speed", schemas.RAW_SPEED)),
+        slots.latest_weather(weather, "stored_at"), tables, as_of, whole_days,
+    )

@@ -168,7 +168,7 @@ def _left_join(src):
 
 
 register("left_join_today", _left_join)
-register("unnest", lambda src: unnest_series(src.events(series=True), src.overflow()).groupBy("camera_id").agg(
+register("unnest", lambda src: unnest_series(src.events(series=True)).groupBy("camera_id").agg(
     F.count(F.lit(1)).alias("samples"), F.sum("speed").alias("speed_sum"), F.max("time").alias("last_time")))
 register("calendar_fill", lambda src: fill_calendar(
     src.table("orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("orders"))))

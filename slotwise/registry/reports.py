@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.operators.joins import unnest_series
 from slotwise.plans import anomaly, city, forecast, heatmap, quality, speed, trend, weather
 from slotwise.registry.base import AS_OF, DAYS, HOURS, register
 
@@ -38,7 +37,7 @@ for _report in (anomaly.anomalies, quality.camera_quality, quality.data_freshnes
 register("prediction_risk", lambda src: forecast.prediction_risk(src, AS_OF, HOURS))
 register("prediction_congestion", lambda src: forecast.prediction_congestion(src, AS_OF, HOURS))
 register("hot_humid_speed", weather.hot_humid_speed, 6)
-register("unnest_series", lambda src: unnest_series(src.events(series=True), src.overflow()))
+register("unnest_series", lambda src: src.samples())
 register("weather_condition_agg", weather.weather_condition_agg, 6)
 register("rain_rows", weather.rain_rows)
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise import schemas
+from slotwise.functions.cleaning import flat_weather
 from slotwise.operators import slots
-from slotwise.registry.base import BUCKET, register
+from slotwise.plans import ingest
+from slotwise.registry.base import AS_OF, BUCKET, register
 from slotwise.session import fresh_dir
 from slotwise.sources import json_feed, sinks
 from slotwise.sources.tables import StoredTables
@@ -68,11 +70,14 @@ def _document_columns(documents: DataFrame) -> DataFrame:
 register("slot_document", lambda src: _document_columns(_documents(src)), 6)
 
 
-def _event_columns(events: DataFrame) -> DataFrame:
+WEATHER_FIELDS = ("id", "main", "temp", "humidity", "wind_speed", "wind_deg", "clouds_all", "pressure")
+
+
+def _event_columns(events: DataFrame, *more: str) -> DataFrame:
     return events.select(
         *KEY, "generated_at", "duration_sec", "vehicles_count", "speed_count", "speed_avg_kmh", "speed_min_kmh",
         "speed_max_kmh", F.coalesce(F.get("speed_series", F.size("speed_series") - 1)["time"]).alias("last_time"),
-        *[F.col(f"weather.{f}").alias(f"weather_{f}") for f in ("id", "main", "temp", "humidity", "wind_speed", "wind_deg", "clouds_all", "pressure")],
+        *[F.col(f"weather.{f}").alias(f"weather_{f}") for f in WEATHER_FIELDS], *more,
     )
 
 
@@ -125,16 +130,16 @@ def _predict_columns(predicts: DataFrame) -> DataFrame:
 def _src_predicts(src):
     tables = stored(src)
     sinks.write_predicts(src.predicts(), tables.root)
-    return _predict_columns(tables.predicts(EARLY, LATE))
+    return _predict_columns(tables.predicts())
 
 
 def _sink_events(src):
     """Written twice: a re-run of the same days replaces them."""
     tables = stored(src)
-    events = src.events(series=True)
-    sinks.write_events(events, tables.root)
-    sinks.write_events(src.events(EARLY.replace(hour=0), LATE.replace(hour=0), series=True), tables.root)
-    written = tables.events()
+    for start, end in ((None, None), (EARLY.replace(hour=0), LATE.replace(hour=0))):
+        sinks.write_events(src.events(start, end), tables.root)
+        sinks.write_samples(src.samples(start, end), tables.root)
+    written = tables.events(series=True)
     return written.select(*PLAIN, F.coalesce(F.size("speed_series"), F.lit(0)).alias("samples"))
 
 
@@ -146,9 +151,10 @@ def _sink_predicts(src):
 
 def _src_metrics(src):
     tables = stored(src)
-    sinks.write_metrics(src.metrics(["nifi_jvm_heap_usage", "kafka_brokers"]), tables.root)
-    return tables.metrics(["nifi_jvm_heap_usage"], EARLY, LATE).select(
-        "ts", "metric", F.element_at("labels", "instance").alias("instance"), "value")
+    sinks.write_metrics(src.metrics(), tables.root)
+    return tables.metrics().groupBy("metric", "series").agg(
+        F.count("value").alias("samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 register("src_events", _src_events)
@@ -195,6 +201,37 @@ def _src_json_merge(src):
         F.count("speed").alias("speeds"), F.count(F.coalesce("image_ref", "image_key")).alias("frames"))
 
 
+def _write_weather(src, path: str) -> None:
+    documents = src.raw_weather().withColumns({
+        "slot": F.date_format("slot", "yyyy-MM-dd'T'HH:mm:ss"), "stored_at": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    }).drop("ts")
+    json_feed.write_json_arrays(documents, path)
+
+
+def _src_json_weather(src):
+    """Weather documents as objects hold them, flattened."""
+    path = fresh_dir(src.spark, "raw-json")
+    _write_weather(src, path)
+    records = json_feed.read_json(src.spark, path, schemas.STORED_WEATHER, "part-*")
+    flat = flat_weather(F.struct(*schemas.WEATHER_DOC.fieldNames()))
+    return records.select("camera_id", "slot", "stored_at", flat.alias("w")).select(
+        "camera_id", "slot", "stored_at", *[F.col(f"w.{f}").alias(f"weather_{f}") for f in WEATHER_FIELDS])
+
+
+def _ingest_batch(src):
+    """Raw objects of three feeds to stored tables: all days at once, then one day again slot by slot."""
+    path, tables = fresh_dir(src.spark, "raw-json"), stored(src)
+    json_feed.write_json_arrays(_raw_speed_text(src), f"{path}/speed")
+    frames = src.raw_frames().withColumn("slot", F.date_format("slot", "yyyy-MM-dd'T'HH:mm:ss"))
+    json_feed.write_json_arrays(frames, f"{path}/manifest")
+    _write_weather(src, f"{path}/weather")
+    ingest.ingest(tables, path, BUCKET, AS_OF, "part-*")
+    ingest.ingest(tables, path, BUCKET, EARLY, "part-*", whole_days=False)
+    per_slot = tables.frames().groupBy(*KEY).agg(F.count(F.lit(1)).alias("frame_count"))
+    events = tables.events(series=True).join(per_slot, KEY, "left").withColumn("frame_count", F.coalesce("frame_count", F.lit(0)).cast("int"))
+    return _event_columns(events, "frame_count")
+
+
 def _src_json_list(src):
     """The day files of the slot documents; their number per day depends on the cluster."""
     path = fresh_dir(src.spark, "slot-json")
@@ -207,3 +244,5 @@ def _src_json_list(src):
 register("src_json_load", _src_json_load)
 register("src_json_merge", _src_json_merge)
 register("src_json_list", _src_json_list)
+register("src_json_weather", _src_json_weather)
+register("ingest_batch", _ingest_batch, 6)

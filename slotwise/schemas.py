@@ -59,13 +59,20 @@ PREDICTS = T.StructType([
     T.StructField("avg_kmh_preds", T.ArrayType(T.DoubleType()), False),
 ])
 
-SPEED_OVERFLOW = T.StructType([
+SPEED_SAMPLES = T.StructType([
     T.StructField("camera_id", T.StringType(), False),
     T.StructField("slot", T.TimestampNTZType(), False),
     T.StructField("time", T.TimestampNTZType()),
     T.StructField("speed", T.DoubleType()),
 ])
 
+FRAMES = T.StructType([
+    T.StructField("camera_id", T.StringType(), False),
+    T.StructField("slot", T.TimestampNTZType(), False),
+    T.StructField("time", T.StringType()),
+    T.StructField("image_ref", T.StringType()),
+])
+
 METRICS = T.StructType([
     T.StructField("ts", T.TimestampNTZType(), False),
     T.StructField("metric", T.StringType(), False),
@@ -122,3 +129,6 @@ RAW_WEATHER = T.StructType([
     T.StructField("slot", T.StringType()),
     *WEATHER_DOC.fields,
 ])
+
+# With the instant the document was stored at, as text that sorts by time.
+STORED_WEATHER = T.StructType([*RAW_WEATHER.fields, T.StructField("stored_at", T.StringType())])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slotwise import schemas
 from slotwise.functions.timekeys import first_slot_at_or_after
 from slotwise.operators.joins import broadcast_below, scan_bytes
-from slotwise.operators.slots import KEYS, overflow, pack
+from slotwise.operators.slots import KEYS, pack
 from slotwise.sources.tables import in_range
 
 # Parquet expands in memory; a factor this large covers the camera columns.
@@ -128,7 +128,8 @@ class DriverTables:
             f"{_K} AS k",
         )
 
-    def _samples(self, start=None, end=None) -> DataFrame:
+    def samples(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Every usable speed sample, in long form."""
         return (
             self.raw(start, end)
             .selectExpr(*KEYS, "ts AS time", f"{_SPEED} AS speed")
@@ -152,7 +153,7 @@ class DriverTables:
         ]
         slots = rows.groupBy(*KEYS).agg(*map(F.expr, measures))
         if series:
-            slots = slots.join(pack(self._samples(start, end), "speed_series", ["time", "speed"]), KEYS, "left")
+            slots = slots.join(pack(self.samples(start, end), "speed_series", ["time", "speed"]), KEYS, "left")
         known = {c: c for c in ("temp", "humidity", "wind_speed", "clouds_all")} | {"main": f"element_at({_CLASSES}, code)"}
         weather = ", ".join(
             f"'{f.name}', CAST({known.get(f.name, 'NULL')} AS {f.dataType.simpleString()})"
@@ -167,9 +168,6 @@ class DriverTables:
             f"named_struct({weather}) AS weather",
         )
 
-    def overflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        return overflow(self._samples(start, end))
-
     def cameras(self) -> DataFrame:
         customer, nation = self.table("customer"), self.table("nation")
         nation = broadcast_below(nation, scan_bytes(nation) * EXPANSION)
@@ -224,7 +222,7 @@ class DriverTables:
             point = f"named_struct('metric', '{metric}', 'value', CAST({value} AS DOUBLE))"
             by_labels.setdefault(keyed, []).append(point)
         sets = [f"named_struct({keyed}, 'points', array({', '.join(points)}))" for keyed, points in by_labels.items()]
-        events = self._spread(in_range(self.table("events"), "ts", start, end)).selectExpr("*", f"{_K} AS k")
+        events = in_range(self.table("events"), "ts", start, end).selectExpr("*", f"{_K} AS k")
         labelled = events.selectExpr(
             "ts", "event_id", "user_id", "value", "k", *[f"{text} AS {column}" for text, column in texts.items()]
         )
@@ -232,12 +230,6 @@ class DriverTables:
             "ts", "labels", "series", "inline(points)"
         ).select("ts", "metric", "labels", "series", "value")
 
-    def _spread(self, events: DataFrame) -> DataFrame:
-        """A table of fewer splits than cores is spread over all of them before rows multiply."""
-        cores = self.spark.sparkContext.defaultParallelism
-        small = not events.isStreaming and scan_bytes(self.table("events")) < cores * SPLIT_BYTES
-        return events.repartition(cores) if small else events
-
     def raw_speed(self, start=None, end=None) -> DataFrame:
         """Raw speed records as the JSON feed has them: times as text, some speeds unusable."""
         t = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

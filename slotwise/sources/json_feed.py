@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from slotwise.functions.timekeys import camera_from_path, slot_from_path
 
 # Fixed value: the suffix is matched in any case.
 JSON_SUFFIX = "*.[jJ][sS][oO][nN]"
+CORRUPT = "_corrupt_record"
 
 
 def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> DataFrame:
@@ -24,21 +25,61 @@ def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> D
     return files.load(prefix).select("path", "length").orderBy("path")
 
 
-def read_json(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
-    """All records under a prefix, with ``path``.
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with every leaf as text, which takes any JSON value."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    return T.StringType()
 
-    Arrays become rows, ``[]`` gives none, and a file that is not JSON is skipped.
-    ``{}`` gives a row of NULLs, which the cleaning operators drop.
-    """
+
+def _typed(column: Column, kind: T.DataType) -> Column:
+    """Text leaves as their own type; one that cannot be read is NULL and costs only itself."""
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_typed(column[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(column.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda item: _typed(item, kind.elementType))
+    return column if isinstance(kind, T.StringType) else column.try_cast(kind)
+
+
+def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str) -> DataFrame:
+    """Records with text leaves, ``path``, and whether the file is no JSON at all."""
+    loose = T.StructType([*_as_text(schema).fields, T.StructField(CORRUPT, T.StringType())])
     records = (
-        spark.read.schema(schema)
+        spark.read.schema(loose)
         .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .json(prefix)
     )
-    return records.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("path"))
+    nothing = F.lit(True)
+    for name in schema.fieldNames():
+        nothing = nothing & F.col(name).isNull()
+    broken = nothing | F.try_parse_json(F.col(CORRUPT)).isNull()
+    return records.select(
+        *schema.fieldNames(), F.col("_metadata.file_path").alias("path"),
+        (F.col(CORRUPT).isNotNull() & broken).alias("unreadable"),
+    )
+
+
+def read_json(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
+    """All records under a prefix, with ``path``.
+
+    Arrays become rows, ``[]`` gives none, and a file that is not JSON gives none either;
+    :func:`unreadable_files` names it. A field of the wrong type is NULL, the rest of its
+    record stays. ``{}`` gives a row of NULLs, which the cleaning operators drop.
+    """
+    records = _parsed(spark, prefix, schema, pattern).where(~F.col("unreadable"))
+    return records.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields], "path")
+
+
+def unreadable_files(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
+    """The paths of the files that :func:`read_json` could not read as JSON."""
+    return _parsed(spark, prefix, schema, pattern).where("unreadable").select("path").distinct()
 
 
 def keyed_by_path(records: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import with_series
@@ -35,11 +38,25 @@ def write_days(
 
 
 def write_events(events: DataFrame, root: str, **options) -> None:
-    write_days(events, f"{root}/events", **options)
+    """Slot rows without their samples, which are a table of their own."""
+    write_days(events.drop("speed_series"), f"{root}/events", **options)
+
+
+def write_samples(samples: DataFrame, root: str, **options) -> None:
+    """Every speed sample of every slot, in long form."""
+    write_days(samples, f"{root}/speed_samples", sort=("camera_id", "slot", "time"), **options)
 
 
-def write_overflow(samples: DataFrame, root: str, **options) -> None:
-    write_days(samples, f"{root}/speed_overflow", sort=("camera_id", "slot", "time"), **options)
+def write_frames(frames: DataFrame, root: str, **options) -> None:
+    """Every frame of every slot, in long form."""
+    write_days(frames, f"{root}/frames", sort=("camera_id", "slot", "time"), **options)
+
+
+def drop_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
+    """Remove whole days of a stored table."""
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_predicts(predicts: DataFrame, root: str, **options) -> None:
@@ -56,10 +73,12 @@ def write_metrics(samples: DataFrame, root: str, **options) -> None:
 
 
 def write_slot_documents(documents: DataFrame, path: str) -> None:
-    """Slot documents as JSON lines, one folder per day."""
+    """Slot documents as JSON lines, one folder per day; other days stay."""
     (
         documents.withColumn("dt", F.to_date(F.col("slot").try_cast("timestamp_ntz")))
+        .hint("rebalance", F.col("dt"))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dt")
         .json(path)
     )

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise import schemas
-from slotwise.operators.joins import broadcast_below, scan_bytes
+from slotwise.operators.joins import broadcast_below, scan_bytes, unnest_series
+from slotwise.operators.slots import KEYS, pack
 from slotwise.session import path_exists
 
 
+# Bytes in memory of one byte of a Parquet file, at most, for the broadcast check.
+EXPANSION = 8
+
+
 def in_range(df: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
     """Half-open time range ``[start, end)``; an open side is left open."""
     if start is not None:
@@ -49,21 +54,36 @@ class StoredTables:
     def events(
         self, start: datetime | None = None, end: datetime | None = None, series: bool = False
     ) -> DataFrame:
-        """``series`` matters only to derived tables: here the column is stored, or pruned."""
-        return self._fact("events", schemas.EVENTS, "slot", start, end)
-
-    def overflow(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        """Samples of oversized slots; empty where none were ever written."""
-        if not path_exists(self.spark, f"{self.root}/speed_overflow"):
-            return self.spark.createDataFrame([], schemas.SPEED_OVERFLOW)
-        return self._fact("speed_overflow", schemas.SPEED_OVERFLOW, "slot", start, end)
+        """Slot rows; ``series`` builds each slot's array from the long samples on request."""
+        events = self._fact("events", schemas.EVENTS, "slot", start, end)
+        if not series:
+            return events
+        packed = pack(self.samples(start, end), "speed_series", ["time", "speed"])
+        return events.drop("speed_series").join(packed, KEYS, "left").select(*schemas.EVENTS.fieldNames())
+
+    def exists(self) -> bool:
+        """Whether any events were ever written."""
+        return path_exists(self.spark, f"{self.root}/events")
+
+    def _long(self, name: str, schema, start, end) -> DataFrame:
+        if not path_exists(self.spark, f"{self.root}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self._fact(name, schema, "slot", start, end)
+
+    def samples(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Every speed sample; none where none were ever written."""
+        return self._long("speed_samples", schemas.SPEED_SAMPLES, start, end)
+
+    def frames(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """Every frame; none where none were ever written."""
+        return self._long("frames", schemas.FRAMES, start, end)
 
     def predicts(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         return self._fact("predicts", schemas.PREDICTS, "slot", start, end)
 
     def cameras(self) -> DataFrame:
         cameras = self._read("cameras", schemas.CAMERAS)
-        return broadcast_below(cameras, scan_bytes(cameras))
+        return broadcast_below(cameras, scan_bytes(cameras) * EXPANSION)
 
     def metrics(
         self, names: Iterable[str] | None = None, start: datetime | None = None, end: datetime | None = None
@@ -75,16 +95,17 @@ class StoredTables:
 class FrameTables:
     """The same interface over DataFrames that already exist."""
 
-    def __init__(self, events=None, cameras=None, predicts=None, metrics=None, overflow=None, small_cameras=False):
+    def __init__(self, events=None, cameras=None, predicts=None, metrics=None, samples=None, small_cameras=False):
         self._events, self._cameras, self._predicts = events, cameras, predicts
-        self._metrics, self._overflow = metrics, overflow
+        self._metrics, self._samples = metrics, samples
         self._small_cameras = small_cameras
 
     def events(self, start=None, end=None, series=False) -> DataFrame:
         return in_range(self._events, "slot", start, end)
 
-    def overflow(self, start=None, end=None) -> DataFrame | None:
-        return None if self._overflow is None else in_range(self._overflow, "slot", start, end)
+    def samples(self, start=None, end=None) -> DataFrame:
+        samples = unnest_series(self._events) if self._samples is None else self._samples
+        return in_range(samples, "slot", start, end)
 
     def predicts(self, start=None, end=None) -> DataFrame:
         return in_range(self._predicts, "slot", start, end)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from slotwise import schemas
 from slotwise.operators import slots
-from slotwise.operators.joins import unnest_series
 from slotwise.plans import ingest
 from slotwise.sources import json_feed, sinks
 from slotwise.sources.tables import StoredTables
@@ -63,18 +62,23 @@ def test_flatten_fills_defaults(spark):
     assert [f.name for f in flat.schema] == schemas.EVENTS.fieldNames()
 
 
-def test_an_oversized_slot_stays_whole_in_long_form(spark):
+def test_a_busy_slot_is_an_array_on_request(spark):
     rows = [("hot", SLOT, f"2024-01-01 00:00:{i:02d}", float(i)) for i in range(30)] + [("calm", SLOT, "2024-01-01 00:00:00", 5.0)]
     samples = samples_of(spark, rows)
-    packed = slots.pack(samples, "speed_series", ["time", "speed"], cell_records=10)
-    rest = slots.overflow(samples, cell_records=10)
-    assert [r["camera_id"] for r in dicts(packed)] == ["calm"]
-    assert rest.count() == 30
-    whole = unnest_series(packed, rest)
-    assert sorted(r["speed"] for r in dicts(whole)) == sorted([5.0, *map(float, range(30))])
-    documents = slots.slot_documents(frames_of(spark, []), samples, weather_of(spark, []), cell_records=10)
+    documents = slots.slot_documents(frames_of(spark, []), samples, weather_of(spark, []))
     hot = [r for r in dicts(documents) if r["camera_id"] == "hot"][0]
-    assert hot["speed"]["count"] == 30 and hot["speed"]["series"] is None
+    assert hot["speed"]["count"] == 30 and [s["speed"] for s in hot["speed"]["series"]] == list(map(float, range(30)))
+    bare = slots.slot_documents(frames_of(spark, []), samples, weather_of(spark, []), arrays=False)
+    assert bare.schema == documents.schema or [f.name for f in bare.schema] == [f.name for f in documents.schema]
+    assert all(r["speed"]["series"] is None for r in dicts(bare))
+
+
+def test_weather_of_the_same_instant_is_the_same_each_time(spark):
+    docs = [{**DOC, "main": {"temp": t}} for t in (1.0, 2.0)]
+    for order in (docs, docs[::-1]):
+        raw = spark.createDataFrame([("a", SLOT, SLOT, json.dumps(d)) for d in order], "camera_id string, slot timestamp_ntz, ts timestamp_ntz, j string")
+        typed = raw.select("camera_id", "slot", "ts", F.from_json("j", schemas.WEATHER_DOC).alias("d")).select("camera_id", "slot", "ts", "d.*")
+        assert slots.latest_weather(typed, "ts").first().weather["main"]["temp"] == 2.0
 
 
 def test_rejects(spark):
@@ -128,16 +132,70 @@ def test_camera_folders(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "p" / "dt=2024-01-01").iterdir()) == ["camera_id=a", "camera_id=b"]
 
 
+def stored(tables):
+    events = {(r["camera_id"], r["slot"]): r for r in dicts(tables.events(series=True))}
+    frames = sorted((r["camera_id"], r["slot"], r["image_ref"]) for r in dicts(tables.frames()))
+    return events, frames
+
+
 def test_batch_job_stores_complete_slots_whole(spark, tmp_path):
     tables = StoredTables(spark, str(tmp_path / "t"))
-    assert tables.overflow().count() == 0
+    assert tables.samples().count() == tables.frames().count() == 0
     open_slot = at("2024-01-01 00:10:00")
     samples = samples_of(spark, [("hot", SLOT, f"2024-01-01 00:00:{i:02d}", float(i)) for i in range(12)]
                          + [("calm", SLOT, "2024-01-01 00:01:00", 7.0), ("calm", open_slot, "2024-01-01 00:11:00", 8.0)])
     frames, weather = frames_of(spark, [("calm", SLOT, "t", "s3://b/i")]), weather_of(spark, ["calm"])
-    ingest.store_slots(frames, samples, weather, tables.root, at("2024-01-01 00:12:00"), cell_records=10)
-    stored = {r["camera_id"]: r for r in dicts(tables.events())}
-    assert stored["hot"]["speed_count"] == 12 and stored["hot"]["speed_series"] is None
-    assert stored["calm"]["speed_series"] == [{"time": at("2024-01-01 00:01:00"), "speed": 7.0}]
-    whole = unnest_series(tables.events(), tables.overflow())
-    assert whole.count() == 13 and whole.agg(F.max("time")).first()[0] == at("2024-01-01 00:01:00")
+    ingest.store_slots(frames, samples, weather, tables, at("2024-01-01 00:12:00"))
+    events, stored_frames = stored(tables)
+    assert events["hot", SLOT]["speed_count"] == 12 and len(events["hot", SLOT]["speed_series"]) == 12
+    assert events["calm", SLOT]["speed_series"] == [{"time": at("2024-01-01 00:01:00"), "speed": 7.0}]
+    assert stored_frames == [("calm", SLOT, "s3://b/i")] and ("calm", open_slot) not in events
+    assert tables.samples().count() == 13 and tables.samples().agg(F.max("time")).first()[0] == at("2024-01-01 00:01:00")
+
+
+def test_second_run_loses_and_doubles_nothing(spark, tmp_path):
+    tables, late = StoredTables(spark, str(tmp_path / "t")), at("2024-01-09 00:00:00")
+    other, next_day = at("2024-01-01 00:05:00"), at("2024-01-02 00:00:00")
+
+    def feed(*rows):
+        return samples_of(spark, [(c, slot, f"{slot:%Y-%m-%d %H:%M}:{k:02d}", float(k)) for c, slot, n in rows for k in range(n)])
+
+    none, frames = frames_of(spark, []), frames_of(spark, [("a", SLOT, "t", "s3://b/i"), ("b", next_day, "t", "s3://b/j")])
+    ingest.store_slots(frames, feed(("a", SLOT, 9), ("a", other, 4), ("b", next_day, 2)), weather_of(spark, ["a"]), tables, late)
+    # The first day again, with fewer samples and no frames.
+    ingest.store_slots(none, feed(("a", SLOT, 3), ("a", other, 4)), weather_of(spark, ["a"]), tables, late)
+    events, kept_frames = stored(tables)
+    assert {k: r["speed_count"] for k, r in events.items()} == {("a", SLOT): 3, ("a", other): 4, ("b", next_day): 2}
+    assert all(len(r["speed_series"]) == r["speed_count"] for r in events.values()) and tables.samples().count() == 9
+    assert kept_frames == [("b", next_day, "s3://b/j")]
+    # One slot alone: the day's other slots stay.
+    ingest.store_slots(frames_of(spark, [("a", other, "t", "s3://b/k")]), feed(("a", other, 1)), weather_of(spark, []), tables, late, whole_days=False)
+    events, kept_frames = stored(tables)
+    assert {k: r["speed_count"] for k, r in events.items()} == {("a", SLOT): 3, ("a", other): 1, ("b", next_day): 2}
+    assert tables.samples().count() == 6 and len(kept_frames) == 2 and events["a", SLOT]["weather"]["main"] == "Rain"
+
+
+def test_slot_documents_replace_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "json")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        slot = at(f"{day} 00:00:00")
+        sinks.write_slot_documents(slots.slot_documents(
+            frames_of(spark, [("a", slot, "t", "s3://b/i")]), samples_of(spark, []), weather_of(spark, [])), path)
+    assert sorted(r.dt for r in spark.read.json(path).select(F.col("dt").cast("string").alias("dt")).collect()) == ["2024-01-01", "2024-01-02"]
+
+
+def test_a_bad_field_costs_only_itself(spark, tmp_path):
+    files = {
+        "a.json": json.dumps({**DOC, "camera_id": "a", "main": {"temp": "n/a", "humidity": 40}}),
+        "b.json": json.dumps([{**DOC, "camera_id": "b", "main": {"temp": "bad"}}, {**DOC, "camera_id": "c", "wind": "none"}, {**DOC, "camera_id": "d"}]),
+        "e.json": "not json", "f.json": '{"camera_id": "f", "main": ', "g.json": "{}",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = {r.camera_id: r for r in json_feed.read_json(spark, str(tmp_path), schemas.RAW_WEATHER).collect()}
+    assert {"a", "b", "c", "d"} <= set(got)
+    assert got["a"].main.temp is None and got["a"].main.humidity == 40 and got["a"].clouds["all"] == 75
+    assert got["b"].main.temp is None and got["b"].wind.speed == 2.0 and got["d"].main.temp == 30.5
+    assert got["c"].wind is None or got["c"].wind.speed is None
+    lost = json_feed.unreadable_files(spark, str(tmp_path), schemas.RAW_WEATHER).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in lost) == ["e.json", "f.json"]
