@@ -33,13 +33,13 @@ FROM sp WHERE {SPEED_CLOSED} GROUP BY ALL"""
 SQL["stream_last_wins"] = with_(RAW, FRAMES) + """
 SELECT camera_id, max(ts) AS ts, arg_max(image_ref, ts) AS image_ref FROM fr GROUP BY camera_id"""
 SQL["stream_reject"] = with_(RAW, ROUTED) + "SELECT * FROM rt"
+# From the definition: in each window, the sum of the steps from sample to sample.
 SQL["stream_rate"] = with_(RAW, metrics_cte("nifi_amount_flowfiles_received")) + f"""
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, metric, series, {n('count(*)')} AS samples,
-       {q6('''CASE WHEN arg_max(value, ts) >= arg_min(value, ts) AND max(value) = arg_max(value, ts)
-                   THEN arg_max(value, ts) - arg_min(value, ts)
-                   ELSE max(value) - arg_min(value, ts) + arg_max(value, ts) END / 3600''')} AS rate
-FROM (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) - back * INTERVAL 10 MINUTE AS window_start
-      FROM t_metrics, range(0, 6) b(back)) x
-WHERE {closed('SELECT max(ts) FROM t_metrics', 'window_start + INTERVAL 1 HOUR')}
+SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, metric, series, {n('count(*)')} AS samples,
+       {q6("sum(CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END) / 600")} AS rate
+FROM (SELECT *, lag(value) OVER (PARTITION BY window_start, metric, series ORDER BY ts, value) AS before
+      FROM (SELECT *, time_bucket(INTERVAL 15 SECOND, ts) - back * INTERVAL 15 SECOND AS window_start
+            FROM t_metrics, range(0, 40) b(back)) x) y
+WHERE {closed('SELECT max(ts) FROM t_metrics', 'window_start + INTERVAL 10 MINUTE')}
 GROUP BY window_start, metric, series HAVING count(*) >= 2"""
 SQL["stream_source"] = with_(RAW, SAMPLES) + "SELECT camera_id, slot, time, speed FROM sp"

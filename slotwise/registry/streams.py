@@ -111,7 +111,7 @@ def _stream_rate(src):
     live = streamed(src)
     samples = live.metrics(["nifi_amount_flowfiles_received"]).select(
         F.col("ts").cast("timestamp").alias("ts"), "metric", "series", "value")
-    return _drain(src, stream.stream_rate(samples, "1 hour", "10 minutes"), "window_start")
+    return _drain(src, stream.stream_rate(samples), "window_start")
 
 
 register("stream_rate", _stream_rate, 6)

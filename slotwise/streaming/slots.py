@@ -25,16 +25,12 @@ LATENESS = "5 minutes"
 TOPICS = {"frame": "traffic-images", "speed": "traffic-speed", "weather": "traffic-weather", "metrics": "metrics"}
 
 
-def kafka_records(spark: SparkSession, servers: str, topic: str, schema: T.StructType, per_trigger: int = 1_000_000) -> DataFrame:
+def kafka_records(spark: SparkSession, servers: str, topic: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
     """JSON messages of a topic as rows, with the broker's timestamp as ``ts``."""
-    stream = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("maxOffsetsPerTrigger", per_trigger)
-        .load()
-    )
-    return decode(stream, schema)
+    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    if per_trigger:
+        stream = stream.option("maxOffsetsPerTrigger", per_trigger)
+    return decode(stream.load(), schema)
 
 
 def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
@@ -114,30 +110,52 @@ def stream_slot_rows(feeds: DataFrame, lateness: str = LATENESS) -> DataFrame:
 def stream_rate(samples: DataFrame, window: str = "10 minutes", slide: str = "15 seconds", lateness: str = LATENESS) -> DataFrame:
     """Counter increase per second over sliding windows of each ``series``.
 
-    First, last and largest value tell the increase when the counter restarted at most
-    once in the window; restarts without a visible drop cannot be seen by any reader.
+    Samples are first reduced to panes of one slide: first and last value, and the increase
+    from sample to sample, where a drop is a restart from 0. A window then adds its panes'
+    increases and the steps between them, so any number of restarts is counted, and a
+    window's state is one small row per pane, not per sample.
     """
+    step = lambda before, after: F.when(after >= before, after - before).otherwise(after)
+    panes = (
+        samples.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", slide).alias("pane"), "metric", "series")
+        .agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("_s"))
+    )
+    values = F.transform("_s", lambda s: s["value"])
+    panes = panes.select("pane", "metric", "series", values.alias("_v")).select(
+        "pane", "metric", "series",
+        F.struct(
+            F.col("pane.start").alias("at"), F.size("_v").alias("n"), F.get("_v", F.lit(0)).alias("first"),
+            F.element_at("_v", -1).alias("last"), _increase(F.col("_v"), lambda x: x, lambda x: x, lambda x: F.lit(0.0), step).alias("rise"),
+        ).alias("_p"),
+    )
     seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / 1_000_000
-    rose = F.col("_last") - F.col("_first")
-    restarted = (F.col("_top") - F.col("_first")) + F.col("_last")
-    increase = F.when((F.col("_last") >= F.col("_first")) & (F.col("_top") == F.col("_last")), rose).otherwise(restarted)
+    rise = _increase(F.col("_ps"), lambda p: p["first"], lambda p: p["last"], lambda p: p["rise"], step)
     return (
-        samples.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", window, slide), "metric", "series")
-        .agg(
-            F.count(F.lit(1)).alias("samples"),
-            F.min_by("value", "ts").alias("_first"),
-            F.max_by("value", "ts").alias("_last"),
-            F.max("value").alias("_top"),
-        )
+        panes.groupBy(F.window("pane", window, slide), "metric", "series")
+        .agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+        .withColumn("samples", F.aggregate("_ps", F.lit(0), lambda n, p: n + p["n"]).cast("long"))
         .where(F.col("samples") >= 2)
         .select(
             _wall_clock("window.start").alias("window_start"), _wall_clock("window.end").alias("window_end"),
-            "metric", "series", "samples", (increase / seconds).alias("rate"),
+            "metric", "series", "samples", (rise / seconds).alias("rate"),
         )
     )
 
 
+def _increase(items: Column, first, last, rise, step) -> Column:
+    """The items' own increases and the steps from each to the next."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("before"))
+    return F.aggregate(
+        items, start,
+        lambda acc, x: F.struct(
+            (acc["sum"] + rise(x) + F.when(acc["before"].isNull(), 0.0).otherwise(step(acc["before"], first(x)))).alias("sum"),
+            last(x).alias("before"),
+        ),
+        lambda acc: acc["sum"],
+    )
+
+
 def append_days(rows: DataFrame, path: str, checkpoint: str, time_column: str = "slot", once: bool = False) -> StreamingQuery:
     """Append to Parquet, one folder per day; exactly once through the file sink's log."""
     writer = (
@@ -186,7 +204,9 @@ def keep_latest(records: DataFrame, path: str, checkpoint: str, once: bool = Fal
 
 
 def last_per_camera(records: DataFrame) -> DataFrame:
-    return records.groupBy("camera_id").agg(F.max_by(F.struct(*records.columns), "ts").alias("_r")).select("_r.*")
+    """The newest record per camera; of several at its instant the largest, column by column."""
+    newest = F.struct("ts", F.struct(*records.columns))
+    return records.groupBy("camera_id").agg(F.max_by(F.struct(*records.columns), newest).alias("_r")).select("_r.*")
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

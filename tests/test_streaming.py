@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from helpers import at, dicts
 from pyspark.sql import functions as F
 
 from slotwise import schemas
 from slotwise.operators import slots as batch
+from slotwise.operators.series import counter_rate
 from slotwise.streaming import slots as stream
 
 FEED = "camera_id string, ts string, kind string, speed double, temp double"
@@ -99,6 +101,22 @@ def test_sliding_rate_with_a_restart(spark, tmp_path):
     assert got == {(at("2023-12-31 23:55:00"), 2, 10.0), (at("2024-01-01 00:00:00"), 3, 15.0)}
 
 
+@pytest.mark.parametrize("values", [[100.0, 120.0, 0.0, 200.0], [5.0, 9.0, 2.0, 4.0, 1.0, 8.0], [3.0, 3.0, 0.0, 0.0, 7.0]])
+def test_streamed_rate_is_the_batch_rate(spark, tmp_path, values):
+    """Any number of restarts, in one pane and across panes."""
+    rows = [("s", f"2024-01-01 00:0{k * 20 // 60}:{k * 20 % 60:02d}", "m", v, None) for k, v in enumerate(values)]
+    write(tmp_path / "in", "1.json", [*rows, ("s", "2024-01-01 02:00:00", "m", 1.0, None)])
+    live = stream.file_records(spark, str(tmp_path / "in"), schemas.T.StructType.fromDDL(FEED)).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("kind").alias("metric"), F.col("camera_id").alias("series"), F.col("speed").alias("value"))
+    stream.append_days(stream.stream_rate(live, "10 minutes", "5 minutes"), f"{tmp_path}/out", f"{tmp_path}/ck", "window_start", once=True).awaitTermination()
+    got = {r["window_start"]: r["rate"] for r in dicts(read(spark, tmp_path))}
+    samples = spark.createDataFrame([(at(t), "m", {"s": "s"}, "s", v) for _, t, _, v, _ in rows], schemas.METRICS)
+    want = dicts(counter_rate(samples, 600).orderBy("ts"))[-1]["rate"]
+    assert got[at("2024-01-01 00:00:00")] == pytest.approx(want)
+    if values[0] == 100.0:
+        assert want * 600 == pytest.approx(220.0)
+
+
 def test_decode(spark):
     messages = spark.createDataFrame([(b'{"camera_id": "a", "speed": 3}', at("2024-01-01")), (b"{bad", at("2024-01-01"))], "value binary, timestamp timestamp")
     assert [r["camera_id"] for r in dicts(stream.decode(messages, schemas.RAW_SPEED))] == ["a", None]
