@@ -1,4 +1,4 @@
-"""Exact quantiles that never gather a column in one task."""
+"""Exact quantiles that never gather or order a column in one task."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Bins per unit of log(1 + |value|): a bin is about 0.4 % of its values wide. No double has
-# more than 2 * 256 * 710 bins, which bounds the histogram of a group.
-RESOLUTION = 256
+from slotwise.session import fresh_dir
 
+# How many bits of a value's rank-preserving form each pass looks at; 64 in all.
+PASSES = (24, 20, 20)
 
-def magnitude_bin(value: Column, resolution: int) -> Column:
-    """A bin number that never falls as the value rises."""
-    return F.signum(value) * F.floor(F.log1p(F.abs(value)) * resolution)
+
+def ordered_bits(value: Column) -> Column:
+    """A long that rises with the double; equal doubles, and only they, give equal longs."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
 
 def exact_quantiles(
@@ -22,48 +24,57 @@ def exact_quantiles(
     probs: list[float],
     by: list[str] | None = None,
     weight: str | None = None,
-    resolution: int = RESOLUTION,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: columns ``by``, ``prob``, ``quantile``.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer.
-    Here a histogram by magnitude finds the bins that hold the wanted ranks, and only the
-    values of those bins are counted and put in order. Both passes combine on the map side.
+    The built-in exact percentile keeps every distinct value of a group in one buffer. Here
+    each pass is a histogram, combined on the map side: the first by the leading bits of
+    the values, the next by the following bits of those values only that share their
+    leading bits with a wanted rank. After the last pass a bin is one value. What is put in
+    order is bins, of which a pass has a fixed number at most, however the values lie.
 
     ``by`` must name a fixed small set of groups (weekdays, say): the wanted bins of all
-    groups are broadcast. Rows with a NULL group or value are left out. ``weight`` names a
+    groups, two per group and probability at most, pass through the driver between the
+    passes. The values are written once, so that a pass reads just them. Rows with a NULL
+    group or value are left out. ``weight`` names a
     column that says how many times a row counts.
     """
     by = by or []
-    spots = [*by, "_bin"]
     count = F.sum(weight) if weight else F.count(F.lit(1))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
-    rows = rows.withColumn("_bin", magnitude_bin(F.col("_v"), resolution))
-
-    # One row per bin.
-    bins = rows.groupBy(*spots).agg(count.alias("_in_bin"))
-    wanted = (
-        bins.withColumn("_end", F.sum("_in_bin").over(W.partitionBy(*by).orderBy("_bin")))
-        .withColumn("_total", F.sum("_in_bin").over(W.partitionBy(*by)))
-        .withColumn("_start", F.col("_end") - F.col("_in_bin"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", F.col("prob") * (F.col("_total") - 1))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-        .select(*spots, "prob", "_pos", (F.col("_rank") - F.col("_start")).alias("_offset"))
-    )
-
-    # At most two bins per group and probability are wanted.
-    inside = rows.join(F.broadcast(wanted.select(*spots).distinct()), spots, "left_semi")
-    ordered = inside.groupBy(*spots, "_v").agg(count.alias("_n")).withColumn(
-        "_last", F.sum("_n").over(W.partitionBy(*spots).orderBy("_v"))
-    )
-    picked = ordered.join(F.broadcast(wanted), spots).where(
-        (F.col("_offset") < F.col("_last")) & (F.col("_offset") >= F.col("_last") - F.col("_n"))
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), *([weight] if weight else []))
+    path = fresh_dir(df.sparkSession, "quantiles")
+    rows = rows.dropna(subset=by) if by else rows
+    rows.groupBy(*by, "_v").agg(count.alias("_w")).withColumn("_o", ordered_bits(F.col("_v"))).write.parquet(path)
+    rows, count = df.sparkSession.read.parquet(path), F.sum("_w")
+    wanted, shift = None, 64
+    for bits in PASSES:
+        shift -= bits
+        binned = rows.withColumn("_bin", F.shiftright("_o", shift))
+        if wanted is None:
+            bins = binned.groupBy(*by, "_bin").agg(count.alias("_n"), F.min("_v").alias("_v"))
+            group = W.partitionBy(*by)
+            total = F.sum("_n").over(group)
+            bins = bins.withColumn("_last", F.sum("_n").over(group.orderBy("_bin"))).withColumn("_total", total)
+            bins = bins.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+                "_pos", F.col("prob") * (F.col("_total") - 1)
+            ).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+        else:
+            # At most two bins per group and probability are wanted.
+            parents = F.broadcast(wanted.select(*by, F.col("_bin").alias("_parent")).distinct())
+            inside = binned.withColumn("_parent", F.shiftright("_bin", bits)).join(parents, [*by, "_parent"])
+            bins = inside.groupBy(*by, "_parent", "_bin").agg(count.alias("_n"), F.min("_v").alias("_v"))
+            bins = bins.withColumn("_last", F.sum("_n").over(W.partitionBy(*by, "_parent").orderBy("_bin")))
+            asked = wanted.select(*by, "prob", "_pos", "_rank", F.col("_bin").alias("_parent"))
+            bins = bins.join(F.broadcast(asked), [*by, "_parent"])
+        found = bins.where((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_n")))
+        # Ranks are counted from the bin's start on.
+        found = found.select(
+            *by, "prob", "_pos", "_bin", "_v", (F.col("_rank") - (F.col("_last") - F.col("_n"))).alias("_rank")
+        )
+        wanted = df.sparkSession.createDataFrame(found.collect(), found.schema)
     pos = F.any_value("_pos")
     return (
-        picked.groupBy(*by, "prob")
+        wanted.groupBy(*by, "prob")
         .agg((F.min("_v") + (F.max("_v") - F.min("_v")) * (pos - F.floor(pos))).alias("quantile"))
         .select(*by, "prob", "quantile")
     )

@@ -131,21 +131,37 @@ def test_suspicious_needs_fast_and_steady(spark):
         ("da", True), ("db", False), ("dc", False)]
 
 
-@pytest.mark.parametrize("resolution", [1, 16, 256])
-def test_quantiles_are_exact(spark, resolution):
+def test_quantiles_are_exact(spark):
     df = spark.range(1000).select(
         (F.col("id") % 2).alias("g"), (F.when(F.col("id") < 400, F.lit(3.0)).otherwise((F.col("id") * 7919 % 1009) / 4 - 50)).alias("v"))
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 1.0]
     want = {(r["g"], p): q for r in dicts(df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")))
             for p, q in zip(probs, r["q"])}
-    got = {(r["g"], r["prob"]): r["quantile"] for r in dicts(exact_quantiles(df, "v", probs, ["g"], resolution=resolution))}
+    got = {(r["g"], r["prob"]): r["quantile"] for r in dicts(exact_quantiles(df, "v", probs, ["g"]))}
     assert got == pytest.approx(want)
     weighted = df.groupBy("v").agg(F.count("*").alias("n"))
-    alone = dicts(exact_quantiles(weighted, "v", [0.05], weight="n", resolution=resolution))
+    alone = dicts(exact_quantiles(weighted, "v", [0.05], weight="n"))
     assert alone[0]["quantile"] == pytest.approx(dicts(df.agg(F.percentile("v", F.lit(0.05)).alias("q")))[0]["q"])
     assert exact_quantiles(df.where("false"), "v", [0.5]).count() == 0
 
 
+def test_quantiles_of_values_that_lie_close_or_far_apart(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    close = 30.0 + rng.integers(0, 4000, 3000) * 1e-13
+    far = np.concatenate([10.0 ** rng.uniform(-300, 300, 500), -(10.0 ** rng.uniform(-300, 300, 500)), [0.0, -0.0, 5e-324, -5e-324]])
+    for values in (close, far, np.array([7.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        got = {r["prob"]: r["quantile"] for r in dicts(exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.999, 1.0]))}
+        ordered = np.sort(values)
+        for prob, found in got.items():
+            low, high = ordered[int(np.floor(prob * (len(values) - 1)))], ordered[int(np.ceil(prob * (len(values) - 1)))]
+            assert low <= found <= high
+            if low == high:
+                assert found == low
+
+
 def test_latest_slots(spark):
     rows = [("a", f"2024-01-10 01:{5 * i:02d}:00", float(i), 1.0) for i in range(6)] + [("b", "2024-01-09 01:00:00", 1.0, 1.0)]
     got = latest_slots(events(spark, rows), 2)
