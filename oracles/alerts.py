@@ -178,3 +178,24 @@ JOIN (SELECT labels['component_name'] AS component_name, {_total('nifi_amount_it
       FROM last WHERE {_PROC} GROUP BY ALL) b USING (component_name)""",
     _LAST,
     *rated(f"SELECT * FROM t_metrics WHERE {_PROC} AND {_CHOSEN} AND metric IN ('nifi_amount_flowfiles_sent', 'nifi_amount_bytes_written', 'nifi_total_task_duration')", 3600, "cr"))
+
+
+# The last values of series that spoke in the last two days before the end of the table.
+_NOW = _LAST.replace("FROM t_metrics", "FROM t_metrics WHERE ts >= TIMESTAMP '2024-01-28 23:59:59' AND ts < TIMESTAMP '2024-01-30 23:59:59'")
+SQL["kafka_overview_at"] = SQL["kafka_overview"].replace(_LAST, _NOW)
+SQL["host_overview_at"] = SQL["host_overview"].replace(_LAST, _NOW)
+
+
+def _over_time(panels: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN '{metric}' THEN '{panel}'" for panel, metric in panels.items())
+    return (f"SELECT ts, component_name, panel, {q6('rate')} AS rate FROM (SELECT ts, labels['component_name'] AS component_name, "
+            f"CASE metric {cases} END AS panel, sum(rate) AS rate FROM cr GROUP BY ALL) x")
+
+
+SQL["flow_rates"] = metrics(
+    _over_time({"rate_in": "nifi_amount_flowfiles_received", "rate_out": "nifi_amount_flowfiles_sent"}),
+    *rated(f"SELECT * FROM t_metrics WHERE {GROUP}", 3600, "cr"), names=("nifi_amount_flowfiles_received", "nifi_amount_flowfiles_sent"))
+SQL["processor_rates"] = metrics(
+    _over_time({"sent_rate": "nifi_amount_flowfiles_sent", "write_rate": "nifi_amount_bytes_written", "duration_rate": "nifi_total_task_duration"}),
+    *rated(f"SELECT * FROM t_metrics WHERE {_PROC} AND {_CHOSEN}", 3600, "cr"),
+    names=("nifi_amount_flowfiles_sent", "nifi_amount_bytes_written", "nifi_total_task_duration"))

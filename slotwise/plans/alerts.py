@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +164,25 @@ def alert_table(src, rules=RULES, start: datetime | None = None, end: datetime |
     return fired.withColumn("severity", _per_rule(rules, "severity"))
 
 
+# Every panel takes the range it shows, ``[start, end)``, which reaches the ``dt`` partitions;
+# an open side is open. A gauge is read at the end of the range: a series that said nothing
+# in the last LOOK_BACK of it has stopped and is left out. Without an end, a series' last
+# value counts however old it is.
+
+LOOK_BACK = timedelta(minutes=5)
+
+
+def _gauges(src, names, end: datetime | None, look_back: timedelta) -> DataFrame:
+    return src.metrics(names, None if end is None else end - look_back, end)
+
+
 # Message-broker panels
 
 INTERNAL_TOPICS = "__consumer_offsets|__transaction_state|_schemas"
 _BROKER = {"instance": ("=", "kafka")}
 
 
-def broker_overview(src, topic: str = ".*", group: str = ".*") -> DataFrame:
+def broker_overview(src, topic: str = ".*", group: str = ".*", end: datetime | None = None, look_back: timedelta = LOOK_BACK) -> DataFrame:
     """One row: brokers, partitions, produced and committed offsets, lag, under-replicated partitions."""
     by_topic = {**_BROKER, "topic": ("=~", topic)}
     by_group = {**by_topic, "consumergroup": ("=~", group)}
@@ -183,7 +195,7 @@ def broker_overview(src, topic: str = ".*", group: str = ".*") -> DataFrame:
         "consumer_lag": ("kafka_consumergroup_lag", by_group),
         "under_replicated": ("kafka_topic_partition_under_replicated_partition", by_topic),
     }
-    samples = src.metrics([metric for metric, _ in panels.values()])
+    samples = _gauges(src, [metric for metric, _ in panels.values()], end, look_back)
     panel = F.when(F.lit(False), "")
     for name, (metric, selector) in panels.items():
         panel = panel.when((F.col("metric") == metric) & matches(selector), F.lit(name))
@@ -191,14 +203,14 @@ def broker_overview(src, topic: str = ".*", group: str = ".*") -> DataFrame:
     return last.agg(*[F.sum(F.when(F.col("panel") == name, F.col("value"))).alias(name) for name in panels])
 
 
-def broker_detail(src, topic: str = ".*", group: str = ".*") -> DataFrame:
+def broker_detail(src, topic: str = ".*", group: str = ".*", start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Per-partition samples of offsets, lag and replicas."""
     names = [
         "kafka_topic_partition_current_offset", "kafka_topic_partition_oldest_offset", "kafka_consumergroup_lag",
         "kafka_consumergroup_current_offset", "kafka_topic_partition_in_sync_replica", "kafka_topic_partition_replicas",
     ]
     grouped = F.col("metric").startswith("kafka_consumergroup")
-    chosen = src.metrics(names).where(
+    chosen = src.metrics(names, start, end).where(
         matches({**_BROKER, "topic": ("=~", topic)}) & (~grouped | matches({"consumergroup": ("=~", group)}))
     )
     return chosen.select(
@@ -207,35 +219,42 @@ def broker_detail(src, topic: str = ".*", group: str = ".*") -> DataFrame:
     )
 
 
-def lag_by_partition(src, group: str = ".*") -> DataFrame:
-    lag = src.metrics(["kafka_consumergroup_lag"]).where(matches({**_BROKER, "consumergroup": ("=~", group)}))
+def lag_by_partition(src, group: str = ".*", start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    lag = src.metrics(["kafka_consumergroup_lag"], start, end).where(matches({**_BROKER, "consumergroup": ("=~", group)}))
     return sum_by(lag, "topic", "partition").drop("metric")
 
 
-def topics(src) -> DataFrame:
+def topics(src, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Topic names for a picker, without the broker's internal ones."""
-    offsets = src.metrics(["kafka_topic_partition_current_offset"])
+    offsets = src.metrics(["kafka_topic_partition_current_offset"], start, end)
     return label_values(offsets.where(matches({**_BROKER, "topic": ("!~", INTERNAL_TOPICS)})), "topic")
 
 
-def consumer_groups(src) -> DataFrame:
-    return label_values(src.metrics(["kafka_consumergroup_lag"]).where(matches(_BROKER)), "consumergroup")
+def consumer_groups(src, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    return label_values(src.metrics(["kafka_consumergroup_lag"], start, end).where(matches(_BROKER)), "consumergroup")
 
 
 # Flow panels
 
 _PROCESSOR = {"component_type": ("=", "Processor")}
+# Metric per rate panel.
+_MOVED = {"rate_in": "nifi_amount_flowfiles_received", "rate_out": "nifi_amount_flowfiles_sent"}
+_WORKED = {
+    "sent_rate": "nifi_amount_flowfiles_sent",
+    "write_rate": "nifi_amount_bytes_written",
+    "duration_rate": "nifi_total_task_duration",
+}
 
 
-def queued_by_group(src, stages: str = _STAGES) -> DataFrame:
+def queued_by_group(src, stages: str = _STAGES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Items queued per process group and instant; duplicate series of a group add up."""
-    chosen = src.metrics(["nifi_amount_items_queued"]).where(matches({**_GROUP, "component_name": ("=~", stages)}))
+    chosen = src.metrics(["nifi_amount_items_queued"], start, end).where(matches({**_GROUP, "component_name": ("=~", stages)}))
     return sum_by(chosen, "component_name").drop("metric")
 
 
-def processors_of(src, group: str, window: int = 300) -> DataFrame:
+def processors_of(src, group: str, window: int = 300, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Sent rate of the processors that belong to the process groups matching ``group``."""
-    sent = src.metrics(["nifi_amount_flowfiles_sent"])
+    sent = src.metrics(["nifi_amount_flowfiles_sent"], start, end)
     parents = sent.where(matches({**_GROUP, "component_name": ("=~", group)}))
     chosen = children_of(sent.where(matches(_PROCESSOR)), parents)
     return counter_rate(chosen, window).select(
@@ -243,35 +262,55 @@ def processors_of(src, group: str, window: int = 300) -> DataFrame:
     )
 
 
-def flow_overview(src, window: int = 300, stages: str = _STAGES) -> DataFrame:
+def flow_rates(src, window: int = 300, stages: str = _STAGES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Per process group and instant, the rates in and out."""
+    chosen = src.metrics(_MOVED.values(), start, end).where(matches({**_GROUP, "component_name": ("=~", stages)}))
+    return _rates_over_time(chosen, _MOVED, window)
+
+
+def processor_rates(src, group: str, window: int = 300, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Per processor of a group and instant, the sent, written and busy rates."""
+    parents = src.metrics(["nifi_amount_flowfiles_sent"], start, end).where(matches({**_GROUP, "component_name": ("=~", group)}))
+    counters = children_of(src.metrics(_WORKED.values(), start, end).where(matches(_PROCESSOR)), parents)
+    return _rates_over_time(counters, _WORKED, window)
+
+
+def _rates_over_time(counters: DataFrame, names: dict[str, str], window: int) -> DataFrame:
+    panel = F.element_at(F.create_map(*[F.lit(x) for name, metric in names.items() for x in (metric, name)]), F.col("metric"))
+    return counter_rate(counters, window).groupBy("ts", label("component_name").alias("component_name"), panel.alias("panel")).agg(
+        F.sum("rate").alias("rate")
+    )
+
+
+def flow_overview(src, window: int = 300, stages: str = _STAGES, start: datetime | None = None, end: datetime | None = None, look_back: timedelta = LOOK_BACK) -> DataFrame:
     """Per process group: last queue sizes and threads, and mean rates in and out."""
     chosen = {**_GROUP, "component_name": ("=~", stages)}
-    # Metric per gauge and per rate.
+    # Metric per gauge.
     gauges = {
         "items_queued": "nifi_amount_items_queued",
         "bytes_queued": "nifi_size_content_queued_total",
         "threads": "nifi_amount_threads_active",
     }
-    rates = {"rate_in": "nifi_amount_flowfiles_received", "rate_out": "nifi_amount_flowfiles_sent"}
+    rates = _MOVED
     group = label("component_name").alias("component_name")
-    last = latest(src.metrics(gauges.values()).where(matches(chosen)), group)
+    last = latest(_gauges(src, gauges.values(), end, look_back).where(matches(chosen)), group)
     now = last.groupBy("component_name").agg(
         *[F.sum(F.when(F.col("metric") == metric, F.col("value"))).alias(name) for name, metric in gauges.items()]
     )
-    moved = counter_rate(src.metrics(rates.values()).where(matches(chosen)), window)
+    moved = counter_rate(src.metrics(rates.values(), start, end).where(matches(chosen)), window)
     speed = moved.groupBy(group).agg(
         *[F.avg(F.when(F.col("metric") == metric, F.col("rate"))).alias(name) for name, metric in rates.items()]
     )
     return now.join(speed, "component_name", "full").orderBy("component_name")
 
 
-def back_pressure(src) -> DataFrame:
+def back_pressure(src, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Connections whose queue is filling: samples above 0 %."""
-    links = src.metrics(["nifi_percent_used_count"]).where(matches({"component_type": ("=", "Connection")}))
+    links = src.metrics(["nifi_percent_used_count"], start, end).where(matches({"component_type": ("=", "Connection")}))
     return links.where(F.col("value") > 0).select("ts", label("component_name").alias("connection"), "value")
 
 
-def host_overview(src) -> DataFrame:
+def host_overview(src, end: datetime | None = None, look_back: timedelta = LOOK_BACK) -> DataFrame:
     """Last value per host of threads, uptime and repository sizes."""
     # Metric per panel.
     panels = {
@@ -280,27 +319,25 @@ def host_overview(src) -> DataFrame:
         "content_repo": "nifi_content_repo_used_space_bytes",
         "flow_file_repo": "nifi_flow_file_repo_used_space_bytes",
     }
-    samples = src.metrics(panels.values()).where(label("instance") != "")
+    samples = _gauges(src, panels.values(), end, look_back).where(label("instance") != "")
     last = latest(samples, label("instance").alias("instance"))
     return last.groupBy("instance").agg(
         *[F.sum(F.when(F.col("metric") == metric, F.col("value"))).alias(name) for name, metric in panels.items()]
     ).orderBy("instance")
 
 
-def processor_panels(src, group: str, window: int = 300) -> DataFrame:
+def processor_panels(
+    src, group: str, window: int = 300, start: datetime | None = None, end: datetime | None = None,
+    look_back: timedelta = LOOK_BACK,
+) -> DataFrame:
     """Per processor of a group: sent, written and busy rates, and the last queue size."""
-    parents = src.metrics(["nifi_amount_flowfiles_sent"]).where(matches({**_GROUP, "component_name": ("=~", group)}))
-    # Metric per rate panel.
-    rates = {
-        "sent_rate": "nifi_amount_flowfiles_sent",
-        "write_rate": "nifi_amount_bytes_written",
-        "duration_rate": "nifi_total_task_duration",
-    }
+    parents = src.metrics(["nifi_amount_flowfiles_sent"], start, end).where(matches({**_GROUP, "component_name": ("=~", group)}))
+    rates = _WORKED
     name = label("component_name").alias("component_name")
-    counters = children_of(src.metrics(rates.values()).where(matches(_PROCESSOR)), parents)
+    counters = children_of(src.metrics(rates.values(), start, end).where(matches(_PROCESSOR)), parents)
     moved = counter_rate(counters, window).groupBy(name).agg(
         *[F.avg(F.when(F.col("metric") == metric, F.col("rate"))).alias(column) for column, metric in rates.items()]
     )
-    queued = children_of(src.metrics(["nifi_amount_items_queued"]).where(matches(_PROCESSOR)), parents)
+    queued = children_of(_gauges(src, ["nifi_amount_items_queued"], end, look_back).where(matches(_PROCESSOR)), parents)
     last = latest(queued, name).groupBy("component_name").agg(F.sum("value").alias("items_queued"))
     return moved.join(last, "component_name", "full").orderBy("component_name")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import children_of, counter_rate, matches, sum_by, sustained
 from slotwise.plans import alerts
-from slotwise.registry.base import register
+from slotwise.registry.base import AS_OF, register
 
 STAGE = "IMAGE_INGESTION|AI"
 
@@ -37,6 +39,10 @@ register("label_join", lambda src: children_of(
 register("alert_table", alerts.alert_table, 6)
 register("lag_by_partition", alerts.lag_by_partition)
 register("queued_by_group", alerts.queued_by_group)
+register("kafka_overview_at", lambda src: alerts.broker_overview(src, "traffic-.*", end=AS_OF, look_back=timedelta(days=2)))
+register("host_overview_at", lambda src: alerts.host_overview(src, AS_OF, timedelta(days=2)))
+register("flow_rates", lambda src: alerts.flow_rates(src, 3600), 6)
+register("processor_rates", lambda src: alerts.processor_rates(src, STAGE, 3600), 6)
 register("flow_overview", lambda src: alerts.flow_overview(src, 3600), 6)
 register("host_overview", alerts.host_overview)
 register("back_pressure", alerts.back_pressure)
