@@ -32,7 +32,7 @@ SELECT event_id, 'latest/' || camera_id || '.jpg' AS latest_key, image_key,
        'manifest/dt=' || d || '/' || camera_id || '/' || s || '/' || camera_id || '_' || f || '.json' AS manifest_key,
        'batch/dt=' || d || '/' || camera_id || '_' || s || '.json' AS batch_key,
        's3://traffic-data/' || image_key AS image_ref, path_slot, camera_id AS path_camera
-FROM (SELECT *, 'raw/dt=' || d || '/images/' || camera_id || '_' || f || '.jpg' AS image_key
+FROM (SELECT *, 'raw/dt=' || d || '/images/' || camera_id || '_' || replace(f[:10] || 'T' || replace(f[12:], '-', ':'), 'TT', 'T') || '.jpg' AS image_key
       FROM (SELECT event_id, camera_id, {LOCAL_SLOT} AS path_slot, strftime({LOCAL_SLOT}, '%Y-%m-%d') AS d,
                    strftime({LOCAL_SLOT}, {DASHED}) AS s, strftime({LOCAL}, {DASHED}) AS f FROM t_raw) x) y""")
 ROUTED = """rt AS (

@@ -335,6 +335,11 @@ SELECT month, total, {q6('(total / before - 1) * 100')} AS growth_pct
 FROM (SELECT month, total, lag(total) OVER (ORDER BY month) AS before
       FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(floor(o_totalprice)) AS total FROM orders GROUP BY ALL) m) x
 WHERE before IS NOT NULL"""
+SQL["traffic_month_growth"] = over(f"""
+SELECT month, total, {q6('(total / before - 1) * 100')} AS growth_pct
+FROM (SELECT month, total, lag(total) OVER (ORDER BY month) AS before
+      FROM (SELECT strftime(d, '%Y-%m') AS month, coalesce(sum(total), 0) AS total FROM dd GROUP BY ALL) m) x
+WHERE before IS NOT NULL""", DAILY)
 SQL["completeness"] = over(f"""
 SELECT {n('count(*)')} AS expected_days, {n('count(total)')} AS present_days, {n('count(*) - count(total)')} AS missing_days,
        {r(pct('count(total)', 'count(*)'))} AS complete_pct

@@ -82,7 +82,8 @@ def generated_at(text: Column, now_local: Column) -> Column:
 def object_keys(camera_id: Column, local: Column, bucket: str) -> dict[str, Column]:
     """Object keys of one frame taken at local time ``local``.
 
-    Slots inside keys use ``HH-mm-ss``: Spark's file reader rejects colons in paths.
+    Keys that Spark lists use ``HH-mm-ss``, as its file reader rejects colons in paths;
+    images are only referred to, so their keys have the time as the source writes it.
     """
     slot = slot_floor(local)
     dt = F.date_format(slot, "yyyy-MM-dd")
@@ -92,7 +93,7 @@ def object_keys(camera_id: Column, local: Column, bucket: str) -> dict[str, Colu
     # The folder layout.
     keys = {
         "latest_key": fill("latest/%s.jpg", camera_id),
-        "image_key": fill("raw/dt=%s/images/%s_%s.jpg", dt, camera_id, frame_part),
+        "image_key": fill("raw/dt=%s/images/%s_%s.jpg", dt, camera_id, F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")),
         "weather_key": fill("raw/dt=%s/weather/%s_%s.json", dt, camera_id, slot_part),
         "speed_key": fill("raw/dt=%s/speed/%s/%s/%s_%s.json", dt, camera_id, slot_part, camera_id, frame_part),
         "manifest_key": fill("manifest/dt=%s/%s/%s/%s_%s.json", dt, camera_id, slot_part, camera_id, frame_part),

@@ -84,21 +84,20 @@ def weekday_box(src, as_of: datetime, days: float = 30) -> DataFrame:
     quartiles = exact_quantiles(values, "v", [0.25, 0.5, 0.75], by=["dow_num"], weight="n")
     pick = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
     box = quartiles.groupBy("dow_num").agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
-    # `box` holds one row per weekday.
-    joined = values.join(F.broadcast(box), "dow_num")
+    centre = values.groupBy("dow_num").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    # `box` and `centre` hold one row per weekday.
+    joined = values.join(F.broadcast(box), "dow_num").join(F.broadcast(centre), "dow_num")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)
-    total, rows = F.sum(F.col("v") * F.col("n")), F.sum("n")
-    squares = F.sum(F.col("v") * F.col("v") * F.col("n"))
-    variance = F.try_divide(squares - total * total / rows, (rows - 1).cast("double"))
-    stats = joined.groupBy("dow_num", "q1", "median", "q3").agg(
+    rows, off = F.sum("n"), F.col("v") - F.col("mean")
+    variance = F.try_divide(F.sum(off * off * F.col("n")), (rows - 1).cast("double"))
+    stats = joined.groupBy("dow_num", "q1", "median", "q3", "mean").agg(
         rows.alias("n"),
-        (total / rows).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd"),
+        F.sqrt(variance).alias("sd"),
         F.sum(F.when(outside, F.col("n")).otherwise(F.lit(0))).alias("outliers"),
     )
     name = F.element_at(F.array(*map(F.lit, tk.DAY_NAMES)), F.col("dow_num"))
-    return stats.withColumn("day_name", name).orderBy((F.col("dow_num") + 5) % 7)
+    return stats.select("dow_num", "q1", "median", "q3", "n", "mean", "sd", "outliers", name.alias("day_name")).orderBy((F.col("dow_num") + 5) % 7)
 
 
 def rolling_week(src, as_of: datetime, days: float = 30) -> DataFrame:

@@ -151,16 +151,22 @@ def weather_kpi(src, as_of: datetime, days: float = 7, chosen: Sequence[str] | N
 def weather_stats(src, as_of: datetime, days: float = 7, chosen: Sequence[str] | None = None) -> DataFrame:
     """Mean vehicles, mean speed and its sample deviation per weather class."""
     speed = F.col("speed_avg_kmh")
-    spread = (F.sum(speed * speed).alias("speed_sq"),)
+    # Squared deviations are merged, not raw squares: those cancel for large or steady values.
+    spread = ((F.var_pop(speed) * F.count(speed)).alias("speed_m2"),)
     slots = _page_slots(src, as_of, days, chosen, extra=spread).where(F.col("weather_main").isNotNull())
-    n, total = F.sum("speed_n"), F.sum("speed_sum")
-    variance = F.try_divide(F.sum("speed_sq") - total * total / n, (n - 1).cast("double"))
+    # One row per camera and class here.
+    whole = W.partitionBy("weather_main")
+    centre = F.sum("speed_sum").over(whole) / F.sum("speed_n").over(whole)
+    off = F.try_divide(F.col("speed_sum"), F.col("speed_n")) - centre
+    slots = slots.withColumn("_m2", F.col("speed_m2") + F.col("speed_n") * off * off)
+    n = F.sum("speed_n")
+    variance = F.try_divide(F.sum("_m2"), (n - 1).cast("double"))
     return (
         slots.groupBy("weather_main")
         .agg(
             merged_vehicles().alias("avg_vehicles"),
             merged_speed().alias("avg_speed"),
-            F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_speed"),
+            F.sqrt(variance).alias("std_speed"),
         )
         .orderBy(F.col("avg_vehicles").desc_nulls_last(), "weather_main")
     )

@@ -81,5 +81,6 @@ register(
     lambda src: trend.month_growth(src.table("orders").withColumn("price", F.floor("o_totalprice").cast("double")), "o_orderdate", "price"),
     6,
 )
+register("traffic_month_growth", lambda src: trend.traffic_month_growth(src, AS_OF), 6)
 _windowed(trend.completeness, 6)
 _windowed(trend.completeness_days, 6)

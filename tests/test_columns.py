@@ -67,7 +67,7 @@ def test_object_keys_and_their_inverse(spark):
     keys = tk.object_keys(F.lit("cam"), F.lit("2025-11-19 00:03:21").cast(NTZ), "bucket")
     row = spark.range(1).select(*[v.alias(k) for k, v in keys.items()]).first().asDict()
     assert row["speed_key"] == "raw/dt=2025-11-19/speed/cam/2025-11-19T00-00-00/cam_2025-11-19T00-03-21.json"
-    assert row["image_ref"] == "s3://bucket/raw/dt=2025-11-19/images/cam_2025-11-19T00-03-21.jpg"
+    assert row["image_ref"] == "s3://bucket/raw/dt=2025-11-19/images/cam_2025-11-19T00:03:21.jpg"
     assert one(spark, tk.slot_from_path(F.lit("file:/x/" + row["speed_key"]))) == at("2025-11-19 00:00:00")
     assert one(spark, tk.camera_from_path(F.lit("file:/x/" + row["manifest_key"]))) == "cam"
 

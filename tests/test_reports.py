@@ -162,6 +162,19 @@ def test_quantiles_of_values_that_lie_close_or_far_apart(spark):
                 assert found == low
 
 
+def test_month_growth_over_two_months(spark):
+    src = tables(spark, [("a", "2023-12-30 01:00:00", 100.0, 1.0), ("a", "2024-01-02 01:00:00", 50.0, 1.0),
+                         ("a", "2024-01-09 01:00:00", 70.0, 1.0)], [("a", "d")])
+    got = dicts(trend.traffic_month_growth(src, NOON))
+    assert [(r["month"], r["total"], r["growth_pct"]) for r in got] == [("2024-01", 120.0, pytest.approx(20.0))]
+
+
+def test_deviation_of_large_steady_values(spark):
+    rows = [("a", f"2024-01-09 {h:02d}:00:00", 1e9 + h % 2, 1e8 + h % 2) for h in range(10)]
+    src = tables(spark, rows, [("a", "d")])
+    assert dicts(trend.weekday_box(src, NOON))[0]["sd"] == pytest.approx(0.527046, abs=1e-4)
+
+
 def test_latest_slots(spark):
     rows = [("a", f"2024-01-10 01:{5 * i:02d}:00", float(i), 1.0) for i in range(6)] + [("b", "2024-01-09 01:00:00", 1.0, 1.0)]
     got = latest_slots(events(spark, rows), 2)
