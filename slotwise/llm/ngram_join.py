@@ -2,19 +2,18 @@
 
 1. One pass gives each document the size and digest of its shingle set and a small sketch.
    Equal sets become one set.
-2. Groups: sets that share a number of their sketches are compared with one hub among them
-   only; those similar to it form a group, so that thousands of near copies cost a few
-   comparisons each.
+2. Groups: sets that share half of their sketch with one hub are a group, so a cloud of
+   near copies is one, whether its members link or not. The members of a group are compared
+   block by block.
 3. The matrix: a set can only be similar to one it shares one of its rarest shingles with
    (a fifth of its own and one). The rarest shingles of all sets are joined across groups;
    that says which groups a query may have to visit.
 4. Each group keeps the union of its members' shingles as a bit map. A query's overlap
    with the union bounds its overlap with every member; only groups where the bound
-   reaches the threshold are opened, and members that share a rare shingle with the query
-   are compared with it exactly.
+   reaches the threshold are opened, and their members compared with it exactly.
 
-No link between different groups is lost: steps 3 and 4 only drop pairs that cannot reach
-the threshold. Inside a group all sets are connected already.
+No link is lost: every pair inside a group is compared, and steps 3 and 4 drop only pairs
+of different groups that cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -39,8 +38,13 @@ PERCENT = 80
 COMMON_GROUPS, MOST_COMMON = 16, 1_000_000
 #: Bits of a group's map per shingle of its union.
 BITS = 16
-#: Pairs compared in one call, on average.
-CELL = 4000
+#: Pairs compared in one call, on average; sets of one block of a group; cells of a matrix.
+CELL, BLOCK, DENSE = 4000, 256, 4_000_000
+#: Numbers in a sketch, and how many of them a set shares with the hub of its group.
+SKETCH, ALIKE = 8, 4
+#: The shingles with the smallest hashes, this share of all, are counted and taken first.
+COUNTED = 0.6
+_LAST = np.uint64(int(COUNTED * 2**64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -48,10 +52,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n (size of its set), digest, s0 to s3 (its sketch; null without shingles)."""
+    """Per row: doc_id, n (size of its set), digest, s0 to s7 (its sketch; null without shingles)."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False),
-        *(T.StructField(name, T.LongType()) for name in ("digest", "s0", "s1", "s2", "s3")),
+        *(T.StructField(name, T.LongType()) for name in ("digest", *(f"s{k}" for k in range(SKETCH)))),
     ])
     arrow = arrow_schema(schema)
 
@@ -65,8 +69,8 @@ def signatures(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", t
                     digest = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
                     out.append([int.from_bytes(digest, "little", signed=True), *_signed(sketch(found)).tolist()])
                 else:
-                    out.append([None] * 5)
-            columns = list(zip(*out, strict=True)) or [()] * 5
+                    out.append([None] * (1 + SKETCH))
+            columns = list(zip(*out, strict=True)) or [()] * (1 + SKETCH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], schema=arrow
             )
@@ -111,14 +115,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, label
     return stored(checked, label)
 
 
-def _star(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the hub of each of its sketch's buckets.
+def _attached(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with a hub it shares at least ALIKE of the SKETCH numbers with.
 
-    The hub is the set whose own buckets are the largest: near copies that were changed
-    least share most of their sketch with the others.
+    The sets that share a number are a bucket; its hub is the set whose own buckets are the
+    largest: near copies that were changed least share most numbers with the others.
     """
     buckets = sets.select("rep", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("band"), F.col(f"s{k}").alias("value")) for k in range(4)
+        F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("low")) for k in range(SKETCH)
     ])).alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     sized = stored(buckets.join(sizes, "bucket"), "join-buckets")
@@ -126,12 +130,110 @@ def _star(sets: DataFrame) -> DataFrame:
     hubs = sized.join(weight, "rep").groupBy("bucket").agg(
         F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("b")
     )
-    return sized.join(hubs, "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    shared = sized.join(hubs, "bucket").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").count()
+    return shared.where(F.col("count") >= ALIKE).select("a", "b")
+
+
+def _joined(cells: DataFrame, keys: list[str], words: int, percent: int, label: str) -> DataFrame:
+    """Edges (a, b) that join all linked sets of each cell: one per set and cell at most.
+
+    A cell's sets on side 0 are compared with those on side 1, or with each other where it
+    has no side 1, in one matrix product of sets by shared shingles. Pairs are never rows.
+    """
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["rep", "side"], kind="stable")
+        found, ids, side = [shingles(t, words) for t in cell.text], cell.rep.to_numpy(), cell.side.to_numpy()
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if side.any() else one
+        x, y = _linked_pairs([found[k] for k in one], [found[k] for k in two], percent)
+        node, root = _spanning(one[x], two[y], len(ids))
+        kept = ids[node] != ids[root]
+        return pd.DataFrame({"a": ids[node][kept], "b": ids[root][kept]})
+
+    return stored(cells.select(*keys, "side", "rep", "text").groupBy(*keys).applyInPandas(compare, "a long, b long"), label)
+
+
+def _sized(texts: DataFrame) -> DataFrame:
+    """grp, blocks: into how many blocks the members of a group are dealt; groups of one are left out."""
+    sizes = texts.groupBy("grp").agg(F.count("*").alias("members"))
+    return sizes.where("members > 1").select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+
+
+def _numbered(column: str, blocks: str):
+    return F.pmod(F.xxhash64(column), blocks).cast("int")
+
+
+def _within(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges that join all linked sets of each group: every two of its members are compared,
+    each pair of its blocks in one cell. A text goes to as many cells as its group has blocks."""
+    member = texts.join(_sized(texts), "grp").withColumn("own", _numbered("rep", "blocks"))
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "text",
+    )
+    return _joined(dealt, ["grp", "i", "j"], words, percent, "join-within")
+
+
+def _visited(opened: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges that join the queries (a, grp) with all members they link to: a block of queries
+    and a block of members meet in one cell."""
+    asked = opened.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("calls"))
+    sizes = asked.join(_sized(texts), "grp")
+    queries = opened.join(sizes, "grp").join(texts.select(F.col("rep").alias("a"), "text"), "a").select(
+        "grp", _numbered("a", "calls").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
+        F.lit(0).alias("side"), F.col("a").alias("rep"), "text",
+    )
+    members = texts.join(sizes, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("i"), _numbered("rep", "blocks").alias("j"),
+        F.lit(1).alias("side"), "rep", "text",
+    )
+    return _joined(queries.unionByName(members), ["grp", "i", "j"], words, percent, "join-visited")
+
+
+def _linked_pairs(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the similar pairs of two lists of sets."""
+    sets = one + two
+    if not one or not two:
+        return np.empty(0, dtype="int64"), np.empty(0, dtype="int64")
+    known, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets])
+    column = np.cumsum(counts > 1) - 1  # shingles of one set alone are in no intersection
+    row, shared = np.repeat(np.arange(len(sets)), sizes), counts[inverse] > 1
+    row, column, width = row[shared], column[inverse[shared]], int((counts > 1).sum())
+    common = np.zeros((len(one), len(two)), dtype="float64")
+    step = max(1, DENSE // max(1, len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, width, step):
+        part = slice(*np.searchsorted(column, (low, low + step)))
+        matrix = np.zeros((len(sets), min(step, width - low)), dtype="float32")
+        matrix[row[part], column[part] - low] = 1
+        common += matrix[: len(one)] @ matrix[len(one):].T
+    union = sizes[: len(one), None] + sizes[None, len(one):] - common
+    return np.nonzero((union > 0) & (100 * common >= percent * union))
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A node and the smallest node reachable from it, for the nodes that are not smallest."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            node = np.flatnonzero(label != np.arange(n))
+            return node, label[node]
+        label = new
 
 
 def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
-    """Without ``common``: the shingles of each group's first set. With it: the rarest
-    shingles of every set, one of which every similar set shares."""
+    """Without ``common``: the counted shingles of each group's first set, as 48 bits of
+    their hashes. With it: the first shingles of every set in one order of all shingles, as
+    many as make sure that similar sets share one: counted ones that are not common, then
+    those not counted, then the common ones, each by hash."""
     fields = [T.StructField("shingle", T.LongType(), False)]
     if common is not None:
         fields += [T.StructField(k, T.LongType(), False) for k in ("rep", "grp", "n")]
@@ -143,14 +245,17 @@ def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | No
             parts, rows = [], []
             for rep, group, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = shingles(text, words)
-                if common is not None:
-                    at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
-                    last = common[at] == found if len(common) else np.zeros(len(found), dtype=bool)
-                    need = len(found) - -(-len(found) * percent // 100) + 1
-                    rows.append((rep, group, len(found), need))
-                    found = np.concatenate([found[~last], found[last]])[:need]
-                parts.append(found)
-            columns = [pa.array(_signed(np.concatenate(parts)))] if parts else [pa.array([], pa.int64())]
+                counted = found[: np.searchsorted(found, _LAST)]
+                if common is None:
+                    parts.append(_short(counted))
+                    continue
+                own = _short(counted)
+                at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+                last = common[at] == own if len(common) else np.zeros(len(own), dtype=bool)
+                need = len(found) - -(-len(found) * percent // 100) + 1
+                rows.append((rep, group, len(found), need))
+                parts.append(_signed(np.concatenate([counted[~last], found[len(counted):], counted[last]])[:need]))
+            columns = [pa.array(np.concatenate(parts) if parts else np.empty(0, dtype="int64"))]
             if common is not None:
                 each = np.array(rows, dtype="int64").reshape(-1, 4)
                 columns += [pa.array(np.repeat(each[:, k], each[:, 3])) for k in range(3)]
@@ -161,8 +266,12 @@ def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | No
     return texts.select("rep", "grp", "text").mapInArrow(run, schema)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(16)).astype("int64")
+
+
 def _common(texts: DataFrame, words: int, percent: int, least: int, most: int) -> np.ndarray:
-    """Sorted hashes of the shingles that occur in more than ``least`` groups, or in more
+    """Sorted 48-bit hashes of the counted shingles that occur in more than ``least`` groups, or in more
     than the number that leaves ``most`` of them."""
     counts = _emitted(texts, words, percent).groupBy("shingle").count().where(F.col("count") > least)
     counts = stored(counts, "join-common")
@@ -174,7 +283,7 @@ def _common(texts: DataFrame, words: int, percent: int, least: int, most: int) -
             floor = max(floor, 2 ** int(row.power))
             break
     rows = counts.where(F.col("count") > floor).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype("int64").view(np.uint64))
+    return np.sort(rows.column(0).to_numpy().astype("int64"))
 
 
 def _maps(texts: DataFrame, words: int) -> DataFrame:
@@ -275,42 +384,50 @@ def linked(
     signed = stored(signatures(docs, words=words), "join-signatures")
     sets = stored(
         signed.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(
-            F.min("doc_id").alias("rep"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)]
+            F.min("doc_id").alias("rep"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]
         ), "join-sets",
     )
     known = docs.where("doc_id is not null")
-    star = stored(_star(sets), "join-star")
-    near = _verified(star, known, words, percent, "join-near")
-    groups = components(near, "join-groups")
-    grouped = sets.select("rep", "n").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+    groups = components(_attached(sets), "join-groups").select(F.col("id").alias("rep"), "component")
+    grouped = sets.select("rep", "n").join(groups, "rep", "left").select(
         "rep", "n", F.coalesce("component", "rep").alias("grp")
     )
-    texts = stored(grouped.join(docs, grouped.rep == docs.doc_id).select("rep", "grp", "n", "text"), "join-texts")
+    texts = stored(grouped.join(known, grouped.rep == known.doc_id).select("rep", "grp", "n", "text"), "join-texts")
+    near = _within(texts, words, percent)
 
     common = _common(texts, words, percent, common_groups, most_common)
     rare = stored(_emitted(texts, words, percent, common), "join-rare")
     shared = rare.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    rare = stored(rare.join(shared.select("shingle"), "shingle"), "join-shared")
-    other = rare.select("shingle", *[F.col(k).alias(f"{k}_2") for k in ("rep", "grp", "n")])
-    met = rare.join(other, "shingle").where("grp < grp_2").where(
-        (100 * F.col("n") >= percent * F.col("n_2")) & (100 * F.col("n_2") >= percent * F.col("n"))
+    several = texts.groupBy("grp").agg(
+        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")
+    ).where("members > 1").drop("members")
+    rare = rare.join(shared.select("shingle"), "shingle").join(several, "grp", "left")
+    rare = stored(rare.select("shingle", "rep", "grp", "n", "low", "high"), "join-shared")
+    alone = rare.where("low is null").select("shingle", "rep", "n")
+    fits = (100 * F.col("n") >= percent * F.col("n_2")) & (100 * F.col("n_2") >= percent * F.col("n"))
+    # A group of one is its own union: its set is compared at once, the tightest bound.
+    other = alone.select("shingle", F.col("rep").alias("rep_2"), F.col("n").alias("n_2"))
+    met = alone.join(other, "shingle").where("rep < rep_2").where(fits).select(
+        F.col("rep").alias("a"), F.col("rep_2").alias("b")
+    )
+    # The matrix has a shingle and a group once, however many members share it. Of two
+    # groups, the sets of the first visit the second.
+    matrix = rare.where("low is not null").select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("grp", "low", "high")]).distinct()
+    visits = rare.join(matrix, "shingle").where("grp <> grp_2 and (low is null or grp < grp_2)").where(
+        (100 * F.col("n") >= percent * F.col("low_2")) & (100 * F.col("high_2") >= percent * F.col("n"))
     )
-    met = stored(met.select(F.col("rep").alias("a"), F.col("rep_2").alias("b"), F.col("grp_2").alias("grp")).distinct(), "join-met")
-    # A group of one is its own union: comparing with it at once is the tightest bound.
-    several = texts.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
-    visits = stored(met.join(several, "grp", "left_semi").select("a", "grp").distinct(), "join-visits")
+    visits = stored(visits.select(F.col("rep").alias("a"), F.col("grp_2").alias("grp")).distinct(), "join-visits")
     opened = _opened(visits, texts, words, percent)
-    shut = visits.join(opened, ["a", "grp"], "left_anti")
+    visited = _visited(opened, texts, words, percent)
     across = _verified(
-        stored(met.join(shut, ["a", "grp"], "left_anti").select("a", "b"), "join-open"),
-        texts.select(F.col("rep").alias("doc_id"), "text"), words, percent, "join-across",
+        stored(met.distinct(), "join-met"), texts.select(F.col("rep").alias("doc_id"), "text"), words, percent, "join-across"
     )
 
     # A repeated id ties its texts' sets together.
     named = signed.join(sets.select("n", "digest", "rep"), ["n", "digest"])
     several = named.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b < high")
     tied = named.join(several, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
-    found = components(near.unionByName(across).unionByName(tied), "join")
+    found = components(near.unionByName(visited).unionByName(across).unionByName(tied), "join")
     homes = sets.select("n", "digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "digest", F.coalesce("component", "rep").alias("component")
     )

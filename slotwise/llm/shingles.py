@@ -56,9 +56,8 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Four numbers; sets of similarity s share each of them with probability s squared."""
-    lows = np.array([((hashes ^ o) * f).min() for f, o in zip(_FACTORS, _OFFSETS, strict=True)])
-    return _mixed(lows[0::2] * _BASE + _mixed(lows[1::2]))
+    """Eight numbers; sets of similarity s share each of them with probability s."""
+    return np.array([((hashes ^ o) * f).min() for f, o in zip(_FACTORS, _OFFSETS, strict=True)])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

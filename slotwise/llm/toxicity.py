@@ -243,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> M
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
-    """One of the documents that share any of the four numbers of their sketch."""
+    """One of the documents that share any of four pairs of numbers of their sketch."""
     fields = [*sample.schema.fields, *(T.StructField(f"s{k}", T.LongType()) for k in range(4))]
     schema = T.StructType(fields)
     arrow = arrow_schema(schema)
@@ -251,7 +251,8 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             found = [shingles(text) for text in batch.column(2).to_pylist()]
-            marks = np.array([sketch(s).view(np.int64) if len(s) else [0, 0, 0, 0] for s in found]).reshape(-1, 4)
+            lows = np.array([sketch(s) if len(s) else np.zeros(8, dtype="uint64") for s in found]).reshape(-1, 8)
+            marks = (lows[:, 0::2] * np.uint64(0x9E3779B97F4A7C15) ^ lows[:, 1::2]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(marks[:, k], pa.int64()) for k in range(4))], schema=arrow
             )
