@@ -34,12 +34,39 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() an
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the others for letters from 256 on, in their order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTER = _byte_letters()
+
+
+class _Memory(dict):
+    """Values by key, made when first asked for; emptied at the bound."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary never joins characters across white space, nor a run of letters with
     the ASCII punctuation beside it (but for apostrophes), so a text's ids are those of its
-    words in order, and each word is encoded once and remembered.
+    words in order, and each word is encoded once and remembered. A word of letters alone
+    is one unit to the vocabulary: its merges are applied to its bytes at once.
     """
 
     def __init__(self, path: str):
@@ -47,39 +74,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self._normalized = self._tokenizer.normalizer.normalize_str
+        self._merged = self._tokenizer.model.tokenize
+        self._words, self._parts = _Memory(self._word), _Memory(self._part)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if not part.isalpha():
+            return self._whole(part)
+        plain = part if part.isascii() else self._normalized(part)
+        if not plain.isalpha():
+            return self._whole(part)
+        unit = plain if plain.isascii() else "".join([_LETTER[b] for b in plain.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._merged(unit)])
+
+    def _word(self, word: str) -> bytes:
+        """Leading punctuation, letters, trailing punctuation; or the word as it is."""
+        core = word.strip(_PUNCTUATION)
+        if not core.isalpha():
+            return self._parts[word]
+        start = word.index(core)
+        known, letters = self._parts, core.lower() if core.isascii() else core
+        if len(core) == len(word):
+            return known[letters]
+        return b"".join([known[p] for p in (word[:start], letters, word[start + len(core):]) if p])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or _SEPARATORS.search(text):
-            return self._ids([text])[0]
-        words = text.split()
-        known = self._words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                self._parts.clear()
-                new = list(dict.fromkeys(words))
-            split = {w: _parts(w) for w in new}
-            missing = [p for p in dict.fromkeys(p for ps in split.values() for p in ps) if p not in self._parts]
-            self._parts.update(zip(missing, self._ids(missing), strict=True))
-            for word, parts in split.items():
-                known[word] = b"".join([self._parts[p] for p in parts])
-        return b"".join([known[w] for w in words])
-
-
-def _parts(word: str) -> list[str]:
-    """Leading punctuation, letters, trailing punctuation; or the word as it is."""
-    core = word.strip(_PUNCTUATION)
-    if not core.isalpha():
-        return [word]
-    start = word.index(core)
-    return [p for p in (word[:start], core.lower(), word[start + len(core):]) if p]
+            return self._whole(text)
+        return b"".join(map(self._words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

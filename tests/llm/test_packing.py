@@ -47,7 +47,7 @@ def test_query(spark):
 
 
 def test_awkward_rows(spark):
-    more = ["It's a <|endoftext|> mark", "Ünïcode ΣΑΣ. «x» don't we'll", "a\x1cb\x85c​d 　 e", "12,345.67!? (x) --- '", "日本語 text"]
+    more = ["It's a <|endoftext|> mark", "Ünïcode ΣΑΣ. «x» don't we'll", "a\x1cb\x85c​d 　 e", "12,345.67!? (x) --- '", "日本語 text", "İstanbul ΣΊΣΥΦΟΣ ǅ ﬁn ＡＢ ª º ß ŉ ı K", "e\u0301a \u0301x A\u030a. ÇÃO! naïve's"]
     df = cases.odd(spark, more).repartition(3)
     texts = [(r.doc_id, r.text) for r in df.collect()]
     pieces = packing.pack(df).collect()
