@@ -19,16 +19,17 @@ SPEED_CLOSED = closed("SELECT max(ts) FROM sp")
 ALL_CLOSED = closed("""SELECT max(ts) FROM t_raw WHERE event_type IN ('view', 'click', 'signup')
   OR (event_type <> 'view' AND k % 17 <> 0)""")
 
+# Slots carry local labels, seven hours ahead of UTC.
 SQL["stream_slots"] = with_(RAW, SAMPLES) + f"""
-SELECT camera_id, slot, {i('count(*)')} AS speed_count, avg(speed) AS speed_avg_kmh, min(speed) AS speed_min_kmh, max(speed) AS speed_max_kmh
+SELECT camera_id, slot + INTERVAL 7 HOUR AS slot, {i('count(*)')} AS speed_count, avg(speed) AS speed_avg_kmh, min(speed) AS speed_min_kmh, max(speed) AS speed_max_kmh
 FROM sp WHERE {SPEED_CLOSED} GROUP BY ALL"""
 SQL["stream_merge"] = parts(f"""
-SELECT camera_id, slot, slot + INTERVAL 5 MINUTE AS generated_at, frame_count, speed_count, {q6('speed_avg_kmh')} AS speed_avg_kmh,
+SELECT camera_id, slot + INTERVAL 7 HOUR AS slot, slot + INTERVAL 7 HOUR + INTERVAL 5 MINUTE AS generated_at, frame_count, speed_count, {q6('speed_avg_kmh')} AS speed_avg_kmh,
        speed_min_kmh, speed_max_kmh, wk + 500 AS weather_id, {TEMP} AS weather_temp, completeness
 FROM parts WHERE {ALL_CLOSED}""")
-SQL["stream_close"] = parts(f"SELECT camera_id, slot, completeness FROM parts WHERE {ALL_CLOSED}")
+SQL["stream_close"] = parts(f"SELECT camera_id, slot + INTERVAL 7 HOUR AS slot, completeness FROM parts WHERE {ALL_CLOSED}")
 SQL["stream_sink"] = with_(RAW, SAMPLES) + f"""
-SELECT strftime(slot, '%Y-%m-%d') AS dt, {n('count(DISTINCT camera_id || slot)')} AS slots, {n('count(*)')} AS samples
+SELECT strftime(slot + INTERVAL 7 HOUR, '%Y-%m-%d') AS dt, {n('count(DISTINCT camera_id || slot)')} AS slots, {n('count(*)')} AS samples
 FROM sp WHERE {SPEED_CLOSED} GROUP BY ALL"""
 SQL["stream_last_wins"] = with_(RAW, FRAMES) + """
 SELECT camera_id, max(ts) AS ts, arg_max(image_ref, ts) AS image_ref FROM fr GROUP BY camera_id"""

@@ -11,6 +11,9 @@ SLOT_MINUTES = 5
 SLOT_SECONDS = 300
 LOCAL_ZONE = "Asia/Ho_Chi_Minh"
 
+# Fixed value: the format of an HTTP date after its weekday.
+HTTP_DATE = "dd MMM yyyy HH:mm:ss z"
+
 # The two rush-hour sets in use (SQL reports / speed page).
 RUSH_HOURS = (7, 8, 9, 17, 18, 19, 20)
 RUSH_HOURS_SPEED_PAGE = (7, 8, 9, 17, 18, 19)
@@ -55,8 +58,7 @@ def parse_http_date(header: Column, fallback: Column) -> Column:
 
     The weekday is skipped (Spark cannot parse it); anything unreadable gives ``fallback``.
     """
-    # Fixed value: the header's format after the weekday.
-    instant = F.try_to_timestamp(F.substring(F.trim(header), 6, 64), F.lit("dd MMM yyyy HH:mm:ss z"))
+    instant = F.try_to_timestamp(F.substring(F.trim(header), 6, 64), F.lit(HTTP_DATE))
     return F.coalesce(as_utc(instant), fallback)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from slotwise import schemas
 from slotwise.functions import cleaning as clean
+from slotwise.functions.timekeys import HTTP_DATE, as_utc, to_local
 from slotwise.operators.slots import completeness
 
 SLOT = "5 minutes"
@@ -59,12 +60,25 @@ def feed(records: DataFrame, kind: str, speed: Column | None = None, doc: Column
     )
 
 
-def _wall_clock(instant: str) -> Column:
-    return F.col(instant).cast("timestamp_ntz")
+def _wall_clock(instant: str, local: bool = False) -> Column:
+    """An instant as UTC or local wall-clock time, whatever the session's zone."""
+    utc = as_utc(F.col(instant))
+    return to_local(utc) if local else utc
 
 
-def stream_speed_slots(samples: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Speed statistics of closed slots. ``ts`` must be an instant (TIMESTAMP)."""
+def event_time(records: DataFrame, header: Column) -> DataFrame:
+    """``ts`` as the instant that the source's HTTP ``Date`` header names; unreadable headers
+    leave the time of arrival."""
+    named = F.try_to_timestamp(F.substring(F.trim(header), 6, 64), F.lit(HTTP_DATE))
+    return records.withColumn("ts", F.coalesce(named, F.col("ts").cast("timestamp")))
+
+
+def stream_speed_slots(samples: DataFrame, lateness: str = LATENESS, local: bool = True) -> DataFrame:
+    """Speed statistics of closed slots. ``ts`` must be an instant (TIMESTAMP).
+
+    ``slot`` is the label in the object keys: local wall-clock time, in any session zone;
+    UTC with ``local`` off.
+    """
     return (
         samples.withWatermark("ts", lateness)
         .groupBy(F.window("ts", SLOT), "camera_id")
@@ -74,14 +88,15 @@ def stream_speed_slots(samples: DataFrame, lateness: str = LATENESS) -> DataFram
             F.min("speed").alias("speed_min_kmh"),
             F.max("speed").alias("speed_max_kmh"),
         )
-        .select("camera_id", _wall_clock("window.start").alias("slot"), "speed_count", "speed_avg_kmh", "speed_min_kmh", "speed_max_kmh")
+        .select("camera_id", _wall_clock("window.start", local).alias("slot"), "speed_count", "speed_avg_kmh", "speed_min_kmh", "speed_max_kmh")
     )
 
 
-def stream_slot_rows(feeds: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def stream_slot_rows(feeds: DataFrame, lateness: str = LATENESS, local: bool = True) -> DataFrame:
     """The three stacked feeds as one row per closed slot; the last weather document wins.
 
-    One windowed aggregation: no stream-stream join, so no buffered rows.
+    One windowed aggregation: no stream-stream join, so no buffered rows. ``local`` as in
+    :func:`stream_speed_slots`.
     """
     is_kind = lambda kind: F.when(F.col("kind") == kind, 1)
     merged = (
@@ -98,8 +113,8 @@ def stream_slot_rows(feeds: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
     return merged.select(
         "camera_id",
-        _wall_clock("window.start").alias("slot"),
-        _wall_clock("window.end").alias("generated_at"),
+        _wall_clock("window.start", local).alias("slot"),
+        _wall_clock("window.end", local).alias("generated_at"),
         F.lit(300).alias("duration_sec"),
         "frame_count", "speed_count", "speed_avg_kmh", "speed_min_kmh", "speed_max_kmh",
         clean.flat_weather(F.col("_doc")).alias("weather"),

@@ -41,15 +41,15 @@ def test_late_records_are_dropped_and_the_last_weather_wins(spark, tmp_path):
         ("a", "2024-01-01 00:03:00", "frame", None, None),
         ("b", "2024-01-01 00:04:00", "speed", 40.0, None),
     ])
-    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in")), tmp_path)
+    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in"), local=False), tmp_path)
     # On time for slot 00:00 (watermark 23:59), then the watermark moves to 00:25.
     write(tmp_path / "in", "2.json", [("a", "2024-01-01 00:04:59", "speed", 30.0, None)])
-    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in")), tmp_path)
+    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in"), local=False), tmp_path)
     write(tmp_path / "in", "3.json", [("a", "2024-01-01 00:30:00", "speed", 50.0, None)])
-    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in")), tmp_path)
+    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in"), local=False), tmp_path)
     # Too late for slot 00:00.
     write(tmp_path / "in", "4.json", [("a", "2024-01-01 00:00:20", "speed", 99.0, None), ("a", "2024-01-01 00:50:00", "frame", None, None)])
-    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in")), tmp_path)
+    drain(stream.stream_slot_rows(feeds(spark, tmp_path / "in"), local=False), tmp_path)
     rows = {(r["camera_id"], r["slot"]): r for r in dicts(read(spark, tmp_path))}
     first = rows[("a", at("2024-01-01 00:00:00"))]
     assert (first["speed_count"], first["speed_avg_kmh"], first["completeness"]) == (2, 20.0, 100)
@@ -62,7 +62,7 @@ def test_late_records_are_dropped_and_the_last_weather_wins(spark, tmp_path):
 def test_stream_equals_batch_for_closed_slots(spark, tmp_path):
     rows = [(f"c{i % 3}", str(at("2024-01-01 00:00:00").replace(minute=i // 2, second=i % 60)), "speed", float(i), None) for i in range(100)]
     write(tmp_path / "in", "1.json", rows)
-    drain(stream.stream_speed_slots(feeds(spark, tmp_path / "in").drop("doc")), tmp_path)
+    drain(stream.stream_speed_slots(feeds(spark, tmp_path / "in").drop("doc"), local=False), tmp_path)
     samples = spark.createDataFrame(rows, FEED).select(
         "camera_id", F.window(F.col("ts").cast("timestamp"), "5 minutes").start.cast("timestamp_ntz").alias("slot"), "speed")
     newest = max(r[1] for r in rows)
@@ -101,6 +101,23 @@ def test_sliding_rate_with_a_restart(spark, tmp_path):
     assert got == {(at("2023-12-31 23:55:00"), 2, 10.0), (at("2024-01-01 00:00:00"), 3, 15.0)}
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Ho_Chi_Minh", "America/New_York"])
+def test_slot_labels_are_local_in_any_session_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        dates = ["Tue, 18 Nov 2025 17:03:21 GMT", "Tue, 18 Nov 2025 18:00:00 GMT"]
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"camera_id": "a", "date": d, "speed": 4.0}) for d in dates))
+        live = stream.file_records(spark, str(tmp_path / "in"), schemas.T.StructType.fromDDL("camera_id string, date string, speed double"))
+        live = stream.event_time(live.withColumn("ts", F.current_timestamp()), F.col("date"))
+        drain(stream.stream_speed_slots(live), tmp_path)
+        slots = {str(r["slot"]) for r in dicts(read(spark, tmp_path))}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert slots == {"2025-11-19 00:00:00"}
+
+
 @pytest.mark.parametrize("values", [[100.0, 120.0, 0.0, 200.0], [5.0, 9.0, 2.0, 4.0, 1.0, 8.0], [3.0, 3.0, 0.0, 0.0, 7.0]])
 def test_streamed_rate_is_the_batch_rate(spark, tmp_path, values):
     """Any number of restarts, in one pane and across panes."""
