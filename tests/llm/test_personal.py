@@ -61,7 +61,7 @@ def test_plan_has_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-CONTEXT = [f"name{k} member number 10.0.{k}.7 please" for k in range(40)] + ["other member number QX-88-1234 please", "order number QX-99-5678 now"]
+CONTEXT = [f"name{k} member number 10.0.{k}.7 please" for k in range(40)] + ["other member number QX-88-1234 please", "order code QX-99-5678 now"]
 
 
 def test_trusted_patterns_find_unseen_identifiers(spark):
