@@ -18,27 +18,23 @@ def ids(text):
 
 
 def check(pieces, texts, window=2048):
-    """Each id of each text in one piece; sequences gapless and full."""
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
-    for p in pieces:
-        by_doc[p.doc_id].append(p)
-        by_sequence[p.sequence_id].append(p)
-    assert sorted(by_doc, key=str) == sorted({k for k, _ in texts}, key=str)
+    """Each row's ids in consecutive pieces; sequences gapless and full."""
+    want, seen = defaultdict(list), defaultdict(int)
     for k, text in texts:
-        want, at = ids(text), 0
-        own = sorted({(p.start, p.length, p.ids_crc32, p.doc_tokens) for p in by_doc[k]})
-        for start, length, crc, n in own:
-            assert (start, n) == (at, len(want)) and crc == zlib.crc32(want[start: start + length].tobytes())
-            at += length
-        assert at == len(want)
-    last = max(by_sequence, default=-1)
-    assert sorted(by_sequence) == list(range(last + 1))
-    for sequence, own in by_sequence.items():
-        at = 0
-        for p in sorted(own, key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        assert at == window or sequence == last and at <= window
+        want[k].append(ids(text))
+    ordered, place = sorted(pieces, key=lambda p: (p.sequence_id, p.offset)), 0
+    while ordered:
+        whole, at = ordered[0], 0
+        matching = [w for w in want[whole.doc_id] if len(w) == whole.doc_tokens]
+        while at < whole.doc_tokens:
+            p = ordered.pop(0)
+            assert (p.doc_id, p.start, p.doc_tokens) == (whole.doc_id, at, whole.doc_tokens)
+            assert (p.sequence_id, p.offset) == divmod(place, window) and p.length <= window - p.offset
+            matching = [w for w in matching if zlib.crc32(w[at: at + p.length].tobytes()) == p.ids_crc32]
+            at, place = at + p.length, place + p.length
+        assert matching and at == whole.doc_tokens
+        seen[whole.doc_id] += 1
+    assert seen == {k: len(v) for k, v in want.items()}
 
 
 def test_query(spark):
