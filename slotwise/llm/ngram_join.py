@@ -38,8 +38,9 @@ PERCENT = 80
 COMMON_GROUPS, MOST_COMMON = 16, 1_000_000
 #: Bits of a group's map per shingle of its union.
 BITS = 16
-#: Pairs compared in one call, on average; sets of one block of a group; cells of a matrix.
-CELL, BLOCK, DENSE = 4000, 256, 4_000_000
+#: Pairs compared in one call, on average; sets of one block of a group, and shingles of
+#: its sets together, on average; cells of a matrix.
+CELL, BLOCK, BLOCK_SHINGLES, DENSE = 1000, 128, 100_000, 2_000_000
 #: Numbers in a sketch, and how many of them a set shares with the hub of its group.
 SKETCH, ALIKE = 8, 4
 #: The shingles with the smallest hashes, this share of all, are counted and taken first.
@@ -154,12 +155,6 @@ def _joined(cells: DataFrame, keys: list[str], words: int, percent: int, label:
     return stored(cells.select(*keys, "side", "rep", "text").groupBy(*keys).applyInPandas(compare, "a long, b long"), label)
 
 
-def _sized(texts: DataFrame) -> DataFrame:
-    """grp, blocks: into how many blocks the members of a group are dealt; groups of one are left out."""
-    sizes = texts.groupBy("grp").agg(F.count("*").alias("members"))
-    return sizes.where("members > 1").select("grp", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-
-
 def _numbered(column: str, blocks: str):
     return F.pmod(F.xxhash64(column), blocks).cast("int")
 
@@ -167,7 +162,7 @@ def _numbered(column: str, blocks: str):
 def _within(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges that join all linked sets of each group: every two of its members are compared,
     each pair of its blocks in one cell. A text goes to as many cells as its group has blocks."""
-    member = texts.join(_sized(texts), "grp").withColumn("own", _numbered("rep", "blocks"))
+    member = texts.where("blocks is not null").withColumn("own", _numbered("rep", "blocks"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "text",
@@ -179,12 +174,12 @@ def _visited(opened: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Edges that join the queries (a, grp) with all members they link to: a block of queries
     and a block of members meet in one cell."""
     asked = opened.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("calls"))
-    sizes = asked.join(_sized(texts), "grp")
+    sizes = texts.where("rep = grp").select("grp", "blocks").distinct().join(asked, "grp")
     queries = opened.join(sizes, "grp").join(texts.select(F.col("rep").alias("a"), "text"), "a").select(
         "grp", _numbered("a", "calls").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
         F.lit(0).alias("side"), F.col("a").alias("rep"), "text",
     )
-    members = texts.join(sizes, "grp").select(
+    members = texts.join(asked, "grp").select(
         "grp", F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("i"), _numbered("rep", "blocks").alias("j"),
         F.lit(1).alias("side"), "rep", "text",
     )
@@ -233,17 +228,17 @@ def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | No
     """Without ``common``: the counted shingles of each group's first set, as 48 bits of
     their hashes. With it: the first shingles of every set in one order of all shingles, as
     many as make sure that similar sets share one: counted ones that are not common, then
-    those not counted, then the common ones, each by hash."""
+    those not counted, then the common ones, each by hash. low and high are 0 for groups of one."""
     fields = [T.StructField("shingle", T.LongType(), False)]
     if common is not None:
-        fields += [T.StructField(k, T.LongType(), False) for k in ("rep", "grp", "n")]
+        fields += [T.StructField(k, T.LongType()) for k in ("rep", "grp", "n", "low", "high")]
     schema = T.StructType(fields)
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 256):
             parts, rows = [], []
-            for rep, group, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for rep, group, low, high, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 found = shingles(text, words)
                 counted = found[: np.searchsorted(found, _LAST)]
                 if common is None:
@@ -253,17 +248,17 @@ def _emitted(texts: DataFrame, words: int, percent: int, common: np.ndarray | No
                 at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
                 last = common[at] == own if len(common) else np.zeros(len(own), dtype=bool)
                 need = len(found) - -(-len(found) * percent // 100) + 1
-                rows.append((rep, group, len(found), need))
+                rows.append((rep, group, len(found), low or 0, high or 0, need))
                 parts.append(_signed(np.concatenate([counted[~last], found[len(counted):], counted[last]])[:need]))
             columns = [pa.array(np.concatenate(parts) if parts else np.empty(0, dtype="int64"))]
             if common is not None:
-                each = np.array(rows, dtype="int64").reshape(-1, 4)
-                columns += [pa.array(np.repeat(each[:, k], each[:, 3])) for k in range(3)]
+                each = np.array(rows, dtype="int64").reshape(-1, 6)
+                columns += [pa.array(np.repeat(each[:, k], each[:, 5])) for k in range(5)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     if common is None:
         texts = texts.where("rep = grp")
-    return texts.select("rep", "grp", "text").mapInArrow(run, schema)
+    return texts.select("rep", "grp", "low", "high", "text").mapInArrow(run, schema)
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -290,8 +285,7 @@ def _maps(texts: DataFrame, words: int) -> DataFrame:
     """grp, bits: the union of the members' shingles, each shingle one bit. The length is a
     power of two set by the largest member; the maps of a group's members are joined bit by
     bit on the way, so that no group's shingles are gathered."""
-    sized = texts.groupBy("grp").agg(F.max("n").alias("largest"))
-    wide = texts.join(sized, "grp").select("grp", "largest", "text")
+    wide = texts.select("grp", F.col("high").alias("largest"), "text")
     schema = T.StructType([
         T.StructField("grp", T.LongType(), False), T.StructField("word", T.IntegerType(), False),
         T.StructField("bits", T.LongType(), False),
@@ -313,6 +307,7 @@ def _maps(texts: DataFrame, words: int) -> DataFrame:
                 )
 
     pieces = wide.mapInArrow(run, schema).groupBy("grp", "word").agg(F.bit_or("bits").alias("bits"))
+    sized = texts.where("rep = grp").select("grp", F.col("high").alias("largest")).distinct()
     whole = pieces.groupBy("grp").agg(F.collect_list(F.struct("word", "bits")).alias("map")).join(sized, "grp")
     return whole.select("grp", "largest", F.col("map.word").alias("words"), F.col("map.bits").alias("bits"))
 
@@ -392,18 +387,23 @@ def linked(
     grouped = sets.select("rep", "n").join(groups, "rep", "left").select(
         "rep", "n", F.coalesce("component", "rep").alias("grp")
     )
-    texts = stored(grouped.join(known, grouped.rep == known.doc_id).select("rep", "grp", "n", "text"), "join-texts")
+    grouped = stored(grouped, "join-grouped")
+    # What a set must know of its group is joined to numbers, before its text comes along.
+    sizes = grouped.groupBy("grp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"),
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+    ).where("members > 1").drop("members")
+    grouped = grouped.join(sizes, "grp", "left")
+    texts = stored(
+        grouped.join(known, grouped.rep == known.doc_id).select("rep", "grp", "n", "low", "high", "blocks", "text"), "join-texts"
+    )
     near = _within(texts, words, percent)
 
     common = _common(texts, words, percent, common_groups, most_common)
     rare = stored(_emitted(texts, words, percent, common), "join-rare")
     shared = rare.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    several = texts.groupBy("grp").agg(
-        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")
-    ).where("members > 1").drop("members")
-    rare = rare.join(shared.select("shingle"), "shingle").join(several, "grp", "left")
-    rare = stored(rare.select("shingle", "rep", "grp", "n", "low", "high"), "join-shared")
-    alone = rare.where("low is null").select("shingle", "rep", "n")
+    rare = stored(rare.join(shared.select("shingle"), "shingle"), "join-shared")
+    alone = rare.where("low = 0").select("shingle", "rep", "n")
     fits = (100 * F.col("n") >= percent * F.col("n_2")) & (100 * F.col("n_2") >= percent * F.col("n"))
     # A group of one is its own union: its set is compared at once, the tightest bound.
     other = alone.select("shingle", F.col("rep").alias("rep_2"), F.col("n").alias("n_2"))
@@ -412,8 +412,8 @@ def linked(
     )
     # The matrix has a shingle and a group once, however many members share it. Of two
     # groups, the sets of the first visit the second.
-    matrix = rare.where("low is not null").select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("grp", "low", "high")]).distinct()
-    visits = rare.join(matrix, "shingle").where("grp <> grp_2 and (low is null or grp < grp_2)").where(
+    matrix = rare.where("low > 0").select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("grp", "low", "high")]).distinct()
+    visits = rare.join(matrix, "shingle").where("grp <> grp_2 and (low = 0 or grp < grp_2)").where(
         (100 * F.col("n") >= percent * F.col("low_2")) & (100 * F.col("high_2") >= percent * F.col("n"))
     )
     visits = stored(visits.select(F.col("rep").alias("a"), F.col("grp_2").alias("grp")).distinct(), "join-visits")

@@ -47,6 +47,7 @@ _LISTS = {
             sagte sagt schrieb nannte laut behauptete dit disait écrit appelait selon dijo dice escribió llamó según""",
 }
 _CLOSED = {word: symbol for symbol, words in _LISTS.items() for word in words.split()}
+_TAGS = {symbol: (symbol, 1.0) for symbol in (*_LISTS, "o")}
 _QUOTES = frozenset("\"“”„«»")
 
 
@@ -135,8 +136,8 @@ class Lexicon:
         found = self._known.get(word)
         if found is None:
             weights = [self.terms[t] for t in _terms(word) if t in self.terms]
-            found = ("I", max(weights)) if weights else (_CLOSED.get(word, "o"), 1.0)
-            if len(self._known) > 500_000:
+            found = ("I", max(weights)) if weights else _TAGS[_CLOSED.get(word, "o")]
+            if len(self._known) > 200_000:
                 self._known.clear()
             self._known[word] = found
         return found
