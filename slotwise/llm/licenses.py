@@ -1,8 +1,8 @@
 """License detection by ordered signature rules.
 
 A rule is a regular expression over the lower-cased text with a label, a priority and a
-keyword. Rules are tried only on texts that hold their keyword. Detections that overlap are
-resolved in order: higher priority first, then the longer, then the earlier; a detection
+keyword. Rules are tried only on texts that hold their keyword, whatever white space stands
+between its words. Detections that overlap are resolved in order: higher priority first, then the longer, then the earlier; a detection
 whose interval lies inside one that is kept already is suppressed.
 """
 
@@ -79,11 +79,11 @@ cc-by-nc | nc | cc.by.nc | 2 2.5 3 4
 cc-by-nd | nd | cc.by.nd | 2 2.5 3 4
 cc-by-sa | sa | cc.by.sa | 1 2 2.5 3 4
 cc-by | cc | cc.by | 1 2 2.5 3 4
-cc-by-nc-nd | noderiv | (?:creative commons )?attribution.non.?commercial.no.?deriv(?:s|atives?|ative works) | 2 2.5 3 4
+cc-by-nc-nd | deriv | (?:creative commons )?attribution.non.?commercial.no.?deriv(?:s|atives?|ative works) | 2 2.5 3 4
 cc-by-nc-sa | sharealike | (?:creative commons )?attribution.non.?commercial.sharealike | 2 2.5 3 4
 cc-by-nc-sa | share alike | (?:creative commons )?attribution.non.?commercial.share alike | 2 2.5 3 4
 cc-by-nc | commercial | (?:creative commons )?attribution.non.?commercial | 2 2.5 3 4
-cc-by-nd | noderiv | (?:creative commons )?attribution.no.?deriv(?:s|atives?) | 2 2.5 3 4
+cc-by-nd | deriv | (?:creative commons )?attribution.no.?deriv(?:s|atives?) | 2 2.5 3 4
 cc-by-sa | share | (?:creative commons )?attribution.share.?alike | 1 2 2.5 3 4
 cc-by | creative commons attribution | creative commons attribution | 1 2 2.5 3 4
 odbl | open database | open (?:data commons open )?database licen[cs]e | 1
@@ -100,16 +100,16 @@ openssl | openssl licen | openssl licen[cs]e | -
 postgresql | postgresql licen | postgresql licen[cs]e | -
 qpl | q public | q public licen[cs]e | 1
 upl | universal permissive | universal permissive licen[cs]e | 1
-ncsa | illinois | (?:university of illinois/ncsa|ncsa) open source licen[cs]e | -
+ncsa | ncsa | (?:university of illinois/ncsa|ncsa) open source licen[cs]e | -
 zpl | zope public | zope public licen[cs]e | 1.1 2 2.1
 w3c | w3c | w3c software (?:notice and )?licen[cs]e | -
 vim | vim licen | vim licen[cs]e | -
 tcl | tcl/tk | tcl/tk licen[cs]e | -
 unicode | unicode licen | unicode licen[cs]e | 3
 json | json licen | json licen[cs]e | -
-beerware | beer.ware | beer.ware licen[cs]e | 42
+beerware | beer | beer.ware licen[cs]e | 42
 llama | llama | llama 2? ?community licen[cs]e | 2 3
-openrail | openrail | (?:creativeml )?open ?rail(?:-m|\+\+-m)? licen[cs]e | -
+openrail | rail | (?:creativeml )?open ?rail(?:-m|\+\+-m)? licen[cs]e | -
 commons-clause | commons clause | commons clause | 1
 polyform | polyform | polyform (?:noncommercial|small business|strict|shield|perimeter) licen[cs]e | 1
 cecill | cecill | cecill(?:-[abc])? | 1 2 2.1
@@ -182,8 +182,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+#: Escapes, classes and dots of a pattern; a dot stands for one character or white space of any length.
+_DOTS = re.compile(r"\\.|\[[^]]*\]|\.")
+
+
 def _compiled(pattern: str) -> re.Pattern:
-    return re.compile(r"(?<![a-z0-9])" + pattern.replace(" ", r"\s+").replace(r"\s+?", r"\s*") + r"(?![a-z0-9])")
+    pattern = pattern.replace(" ", r"\s+").replace(r"\s+?", r"\s*")
+    pattern = _DOTS.sub(lambda m: r"(?:\S|\s++)" if m.group() == "." else m.group(), pattern)
+    return re.compile(r"(?<![a-z0-9])" + pattern + r"(?![a-z0-9])")
 
 
 def _lines(block: str) -> list[list[str]]:
@@ -227,8 +233,12 @@ def _prefilter() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
     return automaton, gated
 
 
+#: Runs of ASCII white space other than one blank.
+_BLANKS = re.compile(r"[\t-\r\x1c-\x20]{2,}|[\t-\r\x1c-\x1f]")
+
+
 def _plausible(text: str) -> bool:
-    """Whether any license word occurs at all; every rule needs one of these."""
+    """Whether any license word occurs at all in a text with single blanks; every rule needs one of these."""
     return any(word in text for word in (
         "licen", "gpl", "cc", "spdx", "public domain", "all rights reserved", "attribution", "proprietary", "bsd",
         "wtfpl", "cecill", ".org", ".net", ".gov", ".eu", "redistribut", "commons", "without fee", "to deal in", "perl",
@@ -236,17 +246,19 @@ def _plausible(text: str) -> bool:
     ))
 
 
-def detections(text: str) -> list[tuple[int, int, Rule]]:
-    """The kept detections of a lower-cased text, by start."""
+def candidates(text: str) -> list[Rule]:
+    """The rules to try on a lower-cased text. White space beyond ASCII, which is part of
+    words in the contract, separates no words of a keyword."""
+    text = _BLANKS.sub(" ", text)
     if not _plausible(text):
         return []
     automaton, gated = _prefilter()
-    found = [
-        (match.start(), match.end(), rule)
-        for keyword in {word for _, word in automaton.iter(text)}
-        for rule in gated[keyword]
-        for match in rule.pattern.finditer(text)
-    ]
+    return [rule for keyword in {word for _, word in automaton.iter(text)} for rule in gated[keyword]]
+
+
+def detections(text: str) -> list[tuple[int, int, Rule]]:
+    """The kept detections of a lower-cased text, by start."""
+    found = [(match.start(), match.end(), rule) for rule in candidates(text) for match in rule.pattern.finditer(text)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     longest = max((end - start for start, end, _ in found), default=0)
     kept: list[tuple[int, int, Rule]] = []
