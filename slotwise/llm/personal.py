@@ -143,7 +143,7 @@ def extracted(docs: DataFrame, *, id_col: str, text_col: str, keep: tuple[str, .
     text = F.col("__text")
     present = {
         "email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{11}"),
-        "phone": text.rlike(r"\+[0-9]"), "any": text.rlike("[0-9]"),
+        "phone": text.rlike(r"\+[0-9]"), "any": text.rlike("[0-9@]"),
     }
     patterns = {**_PATTERNS, "any": _IDENTIFIER}
     df = df.withColumns({f"__p_{k}": _parts(text, pattern, present[k]) for k, pattern in patterns.items()})
