@@ -327,7 +327,7 @@ def _bitmap(hashes: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _opened(visits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The visits (a, grp) where a's overlap with the group's union can reach the threshold."""
+    """The visits (a, grp) where the overlap of any text of a with the group's union can reach the threshold."""
     visits = _cells(visits, "a", "grp")
     maps = _maps(texts.join(visits.select("grp").distinct(), "grp", "left_semi"), words)
     own = visits.select("cell", "a").distinct().join(texts.select(F.col("rep").alias("a"), "text"), "a")
@@ -337,11 +337,16 @@ def _opened(visits: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         own.select("cell", F.col("a").alias("grp"), "text", *none)
     )
 
+    def overlap(found: np.ndarray, size: int, union: np.ndarray) -> int:
+        at = found & np.uint64(size - 1)
+        return int(((union[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).sum())
+
     def bound(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        groups, sets = {}, {}
+        groups: dict[int, tuple[int, np.ndarray]] = {}
+        sets: dict[int, list[np.ndarray]] = {}
         for key, text, largest, at, bits in zip(held.grp, held.text, held.largest, held.words, held.bits, strict=True):
             if at is None:
-                sets[key] = shingles(text, words)
+                sets.setdefault(key, []).append(shingles(text, words))
             else:
                 size = int(largest)
                 union = np.zeros(_length(size) // 64, dtype=np.uint64)
@@ -349,10 +354,8 @@ def _opened(visits: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 groups[key] = (_length(size), union)
         kept = []
         for a, group in zip(asked.a_, asked.grp_, strict=True):
-            (size, union), found = groups[group], sets[a]
-            at = found & np.uint64(size - 1)
-            overlap = int(((union[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).sum())
-            kept.append(100 * overlap >= percent * len(found))
+            size, union = groups[group]
+            kept.append(any(100 * overlap(found, size, union) >= percent * len(found) for found in sets[a]))
         return asked.loc[kept, ["a_", "grp_"]].set_axis(["a", "grp"], axis=1)
 
     return stored(
