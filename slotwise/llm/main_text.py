@@ -9,6 +9,7 @@ labelled table says which blocks are main text.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -31,6 +32,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer h1 h2 "
     "h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: What a head can hold.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _FURNITURE = frozenset("nav footer aside menu".split())
 _ARTICLE = frozenset("article main".split())
 #: Words in class, id or role that name furniture.
@@ -52,13 +55,23 @@ class Block(NamedTuple):
     article: bool
 
 
+class _Skip(NamedTuple):
+    """An open element of _SKIP: its name and what there was before it."""
+    tag: str
+    start: int
+    depth: int
+    anchors: int
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[Block] = []
+        self._found: list[Block | None] = []
         self._open: list[tuple[str, bool]] = []  # containers, with whether they are furniture
         self._furniture = self._article = self._anchors = 0
-        self._skipped: list[str] = []
+        self._skipped: list[_Skip] = []
+        self._skips: Counter[str] = Counter()
+        self._left: dict[str, list[tuple[int, int]]] = defaultdict(list)  # skipped parts that lost their parent
         self._text: list[tuple[str, bool]] = []
 
     def flush(self) -> None:
@@ -67,16 +80,45 @@ class _Blocks(HTMLParser):
         if text:
             words = len(text.split(" "))
             linked = len(" ".join(p for p, anchored in parts if anchored).split())
-            self.blocks.append(Block(text, words, min(1.0, linked / words), self._furniture > 0, self._article > 0))
+            self._found.append(Block(text, words, min(1.0, linked / words), self._furniture > 0, self._article > 0))
+
+    def blocks(self) -> list[Block]:
+        return [block for block in self._found if block is not None]
+
+    def _close(self, depth: int) -> None:
+        while len(self._open) > depth:
+            name, furniture = self._open.pop()
+            self._furniture -= furniture
+            self._article -= name in _ARTICLE
+
+    def _pop(self) -> _Skip:
+        skip = self._skipped.pop()
+        self._skips[skip.tag] -= 1
+        return skip
+
+    def _drop(self, tag: str) -> None:
+        """Ends the innermost skipped ``tag`` and takes out what was read since its start."""
+        self.flush()
+        while (skip := self._pop()).tag != tag:
+            pass
+        del self._found[skip.start:]
+        for parts in self._left.values():
+            while parts and parts[-1][1] > skip.start:
+                parts.pop()
+        self._close(skip.depth)
+        self._anchors = skip.anchors
+
+    def _leave_head(self, tag: str) -> None:
+        """Ends a head without end tag where something starts that it cannot hold."""
+        if self._skips["head"] and (tag == "body" or (self._skipped[-1].tag == "head" and tag not in _IN_HEAD)):
+            self._drop("head")
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if self._skipped:
-            if tag == self._skipped[-1] and tag not in _VOID:
-                self._skipped.append(tag)
-            return
+        self._leave_head(tag)
         if tag in _SKIP:
             self.flush()
-            self._skipped.append(tag)
+            self._skipped.append(_Skip(tag, len(self._found), len(self._open), self._anchors))
+            self._skips[tag] += 1
         elif tag == "br":
             self._text.append((" ", False))
         elif tag == "a":
@@ -104,24 +146,28 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self._skipped:
-            if tag == self._skipped[-1]:
-                self._skipped.pop()
-            return
-        if tag == "a":
+        if tag in _SKIP:
+            if self._skips[tag]:
+                self._drop(tag)
+            elif self._left[tag]:
+                start, end = self._left[tag].pop()
+                self._found[start:end] = [None] * (end - start)
+        elif tag == "a":
             self._anchors = max(0, self._anchors - 1)
         elif tag in _BLOCK:
             self.flush()
-            if any(name == tag for name, _ in self._open):
-                while True:
-                    name, furniture = self._open.pop()
-                    self._furniture -= furniture
-                    self._article -= name in _ARTICLE
-                    if name == tag:
-                        break
+            at = next((k for k in range(len(self._open) - 1, -1, -1) if self._open[k][0] == tag), None)
+            if at is not None:
+                # Skipped elements inside end with it; without an end tag later on, their text stays.
+                while self._skipped and self._skipped[-1].depth > at:
+                    skip = self._pop()
+                    self._left[skip.tag].append((skip.start, len(self._found)))
+                self._close(at)
 
     def handle_data(self, data: str) -> None:
-        if not self._skipped:
+        if self._skipped and data.strip():
+            self._leave_head("")
+        if not (self._skips["script"] or self._skips["style"]):
             self._text.append((data, self._anchors > 0))
 
 
@@ -130,7 +176,7 @@ def blocks(page: str | None) -> list[Block]:
     parser.feed(page or "")
     parser.close()
     parser.flush()
-    return parser.blocks
+    return parser.blocks()
 
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
@@ -211,8 +257,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """The main text of each page: page_id, url, text, n_chars, one row per row of ``pages``.
 
     Null or empty html, or a page without main text: empty text, 0 characters. Broken
-    markup is read as far as it goes, unclosed elements end with the page; pages of any
-    length are read whole. Null ids or urls and repeated rows stay as they are; an empty
+    markup is read as far as it goes; a head without end tag ends at the first thing it
+    cannot hold. Forms, objects and the like that are left out end with their end tag; where
+    it is missing their text is judged like any other, so that nothing after them is lost.
+    An unclosed script or style holds the rest of the page, as in HTML. Pages of any length
+    are read whole. Null ids or urls and repeated rows stay as they are; an empty
     table gives no rows. Other columns are not read. One scan, no shuffle.
     """
     schema = T.StructType([
