@@ -2,7 +2,7 @@
 
 A page becomes a flat list of text blocks. Each block is described by its word count and
 link density and those of the blocks before and after it, and by whether an enclosing
-element is named as page furniture or as the article; a decision tree grown on a small
+element is named as page furniture, and does not hold the article, or as the article; a decision tree grown on a small
 labelled table says which blocks are main text.
 """
 
@@ -36,14 +36,15 @@ _BLOCK = frozenset(
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _FURNITURE = frozenset("nav footer aside menu".split())
 _ARTICLE = frozenset("article main".split())
-#: Words in class, id or role that name furniture.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|"
-    r"site-?header|masthead|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|comment-?list|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|toolbar|"
-    r"pagination|pager|copyright|disclaimer|legal|search\w*|complementary|navigation|contentinfo|skip\w*)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that name furniture: a whole name in class, id or role consists of them and of _PLAIN.
+_WORDS = (
+    r"(?:ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|nav[a-z]*|menu[a-z]*|breadcrumbs?|side-?bar[a-z]*|"
+    r"footer|site-?header|masthead|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"login|comments?|respond|replies|reply|disqus|share|sharing|social|related|recommend[a-z]*|widget|toolbar|pagination|"
+    r"pager|copyright|disclaimer|legal|search[a-z]*|complementary|contentinfo|skip[a-z]*)"
 )
+_PLAIN = r"(?:area|bar|block|bottom|box|buttons?|container|form|items?|links?|list|main|page|section|site|top|wrapper|[0-9]+)"
+_NAMED = re.compile(rf"(?:^|(?<=\s))(?:{_PLAIN}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_PLAIN}))*(?=\s|$)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 
@@ -66,9 +67,11 @@ class _Skip(NamedTuple):
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self._found: list[Block | None] = []
-        self._open: list[tuple[str, bool]] = []  # containers, with whether they are furniture
-        self._furniture = self._article = self._anchors = 0
+        self._found: list[tuple[Block, int] | None] = []  # with the innermost mark
+        self._open: list[tuple[str, bool, int]] = []  # containers, with whether they are furniture, and the mark before
+        self._marks: list[tuple[int, bool]] = []  # containers with a name: the mark around, whether it counts
+        self._mark = -1
+        self._furniture = self._article = self._anchors = self._depth = 0
         self._skipped: list[_Skip] = []
         self._skips: Counter[str] = Counter()
         self._left: dict[str, list[tuple[int, int]]] = defaultdict(list)  # skipped parts that lost their parent
@@ -80,16 +83,31 @@ class _Blocks(HTMLParser):
         if text:
             words = len(text.split(" "))
             linked = len(" ".join(p for p, anchored in parts if anchored).split())
-            self._found.append(Block(text, words, min(1.0, linked / words), self._furniture > 0, self._article > 0))
+            block = Block(text, words, min(1.0, linked / words), self._furniture > 0, self._article > 0)
+            self._found.append((block, self._mark))
 
     def blocks(self) -> list[Block]:
-        return [block for block in self._found if block is not None]
+        named: list[bool] = []  # whether a mark or one around it counts
+        for around, counts in self._marks:
+            named.append(counts or (around >= 0 and named[around]))
+        return [
+            block._replace(furniture=True) if mark >= 0 and named[mark] else block
+            for block, mark in filter(None, self._found)
+        ]
+
+    def _unmark(self) -> None:
+        """Names of containers around an article do not count; those inside one do, as do comments there."""
+        at = self._mark if self._depth == 0 else -1
+        while at >= 0 and self._marks[at][1]:
+            self._marks[at] = (self._marks[at][0], False)
+            at = self._marks[at][0]
 
     def _close(self, depth: int) -> None:
         while len(self._open) > depth:
-            name, furniture = self._open.pop()
+            name, furniture, self._mark = self._open.pop()
             self._furniture -= furniture
             self._article -= name in _ARTICLE
+            self._depth -= name == "article"
 
     def _pop(self) -> _Skip:
         skip = self._skipped.pop()
@@ -131,12 +149,16 @@ class _Blocks(HTMLParser):
             named = " ".join(value for key, value in attrs if key in ("class", "id", "role") and value)
             hidden = any(key == "hidden" for key, _ in attrs)
             # An article's own header holds its title; any other is the page's.
-            furniture = hidden or tag in _FURNITURE or (tag == "header" and not self._article) or (
-                tag not in ("body", "html") and bool(named) and bool(_NAMED.search(named))
-            )
-            self._open.append((tag, furniture))
+            furniture = hidden or tag in _FURNITURE or (tag == "header" and not self._article)
+            self._open.append((tag, furniture, self._mark))
             self._furniture += furniture
             self._article += tag in _ARTICLE
+            if tag in _ARTICLE:
+                self._unmark()
+                self._depth += tag == "article"
+            elif tag not in ("body", "html") and named and _NAMED.search(named):
+                self._marks.append((self._mark, True))
+                self._mark = len(self._marks) - 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in _VOID:
@@ -207,6 +229,8 @@ LABELLED = np.array([
     [8, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0], [6, 0.00, 8, 0.10, 7, 0.14, 0, 0, 0], [4, 0.00, 6, 0.00, 0, 0.00, 0, 0, 0],
     [45, 0.00, 12, 0.00, 50, 0.00, 0, 0, 1], [120, 0.03, 45, 0.00, 80, 0.00, 0, 0, 1], [80, 0.08, 120, 0.03, 4, 0.75, 0, 0, 1],
     [30, 0.00, 60, 0.00, 25, 0.00, 0, 0, 1], [22, 0.10, 70, 0.00, 90, 0.00, 0, 0, 1], [200, 0.00, 3, 1.00, 2, 1.00, 0, 0, 1],
+    [200, 0.00, 150, 0.00, 180, 0.00, 1, 0, 1], [260, 0.02, 40, 0.00, 90, 0.00, 1, 0, 1], [400, 0.00, 8, 0.00, 12, 0.00, 1, 0, 1],
+    [180, 0.05, 220, 0.00, 3, 1.00, 1, 0, 1], [240, 0.00, 12, 0.00, 0, 0.00, 1, 1, 1], [190, 0.00, 170, 0.00, 200, 0.00, 1, 1, 1],
     [26, 0.05, 9, 0.00, 18, 0.00, 0, 0, 1], [18, 0.00, 40, 0.00, 33, 0.00, 0, 0, 1], [60, 0.20, 2, 1.00, 44, 0.00, 0, 0, 1],
 ])
 
