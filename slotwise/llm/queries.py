@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import ann, licenses, main_text, mixing, near_vectors, ngram_join, packing, personal, secrets, toxicity
+from slotwise.llm import (
+    ann,
+    centroids,
+    language,
+    licenses,
+    main_text,
+    middle,
+    mixing,
+    near_vectors,
+    ngram_join,
+    packing,
+    personal,
+    secrets,
+    toxicity,
+)
 from slotwise.llm.common import table
 
 
@@ -51,6 +65,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -62,9 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
     "op10_main_text": op10_main_text,
+    "op11_middle": op11_middle,
+    "op12_language": op12_language,
+    "op13_centroids": op13_centroids,
 }
 
 #: DuckDB SQL where it can express the operator.
 SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op11_middle": middle.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
