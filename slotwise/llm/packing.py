@@ -91,9 +91,10 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self._merged(unit)])
 
     def _word(self, word: str) -> bytes:
-        """Leading punctuation, letters, trailing punctuation; or the word as it is."""
+        """Leading punctuation, letters, trailing punctuation; or the word as it is, also
+        where lower-casing gives a mark, which the vocabulary joins with the punctuation."""
         core = word.strip(_PUNCTUATION)
-        if not core.isalpha():
+        if not core.isalpha() or not (core.isascii() or self._normalized(core).isalpha()):
             return self._parts[word]
         start = word.index(core)
         known, letters = self._parts, core.lower() if core.isascii() else core

@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -62,3 +63,17 @@ def test_words_are_forgotten_at_the_bound(monkeypatch):
     encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
     for text in ("a b c d", "e f g a", "one two three four five six seven", "a"):
         assert encoder.encode(text) + ids("")[-1:].tobytes() == ids(text).tobytes()
+
+
+def test_random_strings_have_the_ids_of_the_tokenizer():
+    """Letters, marks, punctuation, digits and special signs, all words of 100,000 texts."""
+    draw = random.Random(20)
+    signs = [
+        *"abcxyzABCXYZ", *"İIıiŞÇÖÜßǅﬁŉKΣςσÅéñ", *"\u0301\u0307\u030a\u0338\u20e3", *".,;:!?'\"-_()[]<>=%$#&*+/|~^`@\\{}", *"0179²½Ⅷ٣",
+        *"漢字かなกี한", *"😀♥€«»—…", " ", " ", " ", "\t", "\u00a0", "\x85", "'s", "'ll",
+    ]
+    encoder = packing.encoder(packing.VOCABULARY)
+    texts = ["".join(draw.choices(signs, k=draw.randint(1, 12))) for _ in range(100_000)]
+    texts += ["GAZİ.", "SAHİBİ, BELEDİYESİ!", "(İ)", "İ\u0307.", "'İ'", "İ's"]
+    for text, whole in zip(texts, TOKENIZER.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == whole.ids, text
