@@ -1,9 +1,10 @@
 """Main text of web pages from shallow block features.
 
-A page becomes a flat list of text blocks. Each block is described by its word count and
-link density and those of the blocks before and after it, and by whether an enclosing
-element is named as page furniture, and does not hold the article, or as the article; a decision tree grown on a small
-labelled table says which blocks are main text.
+A page becomes a flat list of text blocks. Markup that says what it is (menus, footers,
+forms, containers named as adverts or comments) is never main text, whatever its length,
+but stays in the list as a neighbour. Every other block is described by its word count and
+link density, those of the blocks before and after it, and whether it lies inside the
+page's article; a decision tree grown on a small labelled table says which are main text.
 """
 
 from __future__ import annotations
@@ -36,24 +37,61 @@ _BLOCK = frozenset(
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _FURNITURE = frozenset("nav footer aside menu".split())
 _ARTICLE = frozenset("article main".split())
-#: Words that name furniture: a whole name in class, id or role consists of them and of _PLAIN.
-_WORDS = (
-    r"(?:ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|nav[a-z]*|menu[a-z]*|breadcrumbs?|side-?bar[a-z]*|"
-    r"footer|site-?header|masthead|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"login|comments?|respond|replies|reply|disqus|share|sharing|social|related|recommend[a-z]*|widget|toolbar|pagination|"
-    r"pager|copyright|disclaimer|legal|search[a-z]*|complementary|contentinfo|skip[a-z]*)"
+#: Parts of a class, id or role that make furniture of any name they stand in.
+_COMMENT = re.compile(r"comments?(?:list|form|box|area|section|thread|wrap(?:per)?)?|disqus")
+_ALWAYS = re.compile(
+    r"ads?(?:box|slot|unit|space|zone|block|text|banner|container|wrap(?:per)?|sense|choices)?|advert[a-z]*|"
+    r"(?:top|sub|side|main|foot|mega)?(?:nav|menu)s?(?:bar|igation|list|links?|items?)?|side(?:bar|rail)[a-z]*|breadcrumbs?|"
+    r"(?:site|page)?footer|tagcloud|outbrain|taboola"
 )
-_PLAIN = r"(?:area|bar|block|bottom|box|buttons?|container|form|items?|links?|list|main|page|section|site|top|wrapper|[0-9]+)"
-_NAMED = re.compile(rf"(?:^|(?<=\s))(?:{_PLAIN}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_PLAIN}))*(?=\s|$)", re.IGNORECASE)
+#: Parts that do so where the rest of the name says no more than a kind, a place or a number.
+_SOMETIMES = re.compile(
+    r"sponsor[a-z]*|promo[a-z]*|banners?|masthead|topbar|header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
+    r"newsletter|subscri[a-z]*|signup|signin|login|respond|replies|reply|sharing|shar(?:e|ing)[a-z]*|social[a-z]*|related|recommend[a-z]*|"
+    r"widgets?|toolbar|paginat[a-z]*|pager|copyright|disclaimer|legal|search[a-z]*|complementary|contentinfo|dialog|skip[a-z]*|tags|follow"
+)
+_PLAIN = frozenset(
+    "area bar block bottom box button buttons container content form global icon icons inner inline item items left link links list "
+    "message main media outer page panel policy post posts primary right row secondary section site small sticky text thread to top "
+    "unit us user wrap wrapper".split()
+)
+#: An article's own header holds its title.
+_OWN_HEADER = frozenset("article content entry post story".split())
+#: Parts that tell a state of what is inside: has-sidebar, comments-open.
+_STATE = frozenset(
+    "has is no not with without open opened close closed enabled disabled show shown hide off free active layout".split()
+)
+_PARTS = re.compile(r"[-_:]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _named(name: str) -> str:
+    """What a class, id or role names: ``comment``, ``header``, other ``furniture``, or nothing."""
+    parts = [p for p in (part.lower().rstrip("0123456789") for part in _PARTS.split(name)) if p and not p[:-1].isdigit()]
+    pairs = [a + b for a, b in zip(parts, parts[1:])]
+    if _STATE.intersection(parts):
+        return ""
+    if any(map(_COMMENT.fullmatch, parts + pairs)):
+        return "comment"
+    if any(map(_ALWAYS.fullmatch, parts + pairs)):
+        return "furniture"
+    rest = [part for part in parts if not _SOMETIMES.fullmatch(part)]
+    if len(rest) == len(parts) or not _PLAIN.issuperset(rest):
+        return ""
+    if "header" in parts:
+        return "" if _OWN_HEADER.intersection(parts) else "header"
+    return "furniture"
+
+
 class Block(NamedTuple):
+    """A block of text; ``article`` is 1 inside the page's article, -1 outside of it and 0
+    on pages without one."""
     text: str
     words: int
     links: float
     furniture: bool
-    article: bool
+    article: int
 
 
 class _Skip(NamedTuple):
@@ -68,10 +106,11 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self._found: list[tuple[Block, int] | None] = []  # with the innermost mark
-        self._open: list[tuple[str, bool, int]] = []  # containers, with whether they are furniture, and the mark before
-        self._marks: list[tuple[int, bool]] = []  # containers with a name: the mark around, whether it counts
+        self._open: list[tuple[str, bool, bool, int]] = []  # containers: whether furniture, whether article, the mark before
+        self._marks: list[tuple[int, str]] = []  # containers with a name: the mark around, what it names
+        self._around: list[int] = []  # the marks around outermost articles
         self._mark = -1
-        self._furniture = self._article = self._anchors = self._depth = 0
+        self._furniture = self._article = self._anchors = 0
         self._skipped: list[_Skip] = []
         self._skips: Counter[str] = Counter()
         self._left: dict[str, list[tuple[int, int]]] = defaultdict(list)  # skipped parts that lost their parent
@@ -83,31 +122,44 @@ class _Blocks(HTMLParser):
         if text:
             words = len(text.split(" "))
             linked = len(" ".join(p for p, anchored in parts if anchored).split())
-            block = Block(text, words, min(1.0, linked / words), self._furniture > 0, self._article > 0)
+            block = Block(text, words, min(1.0, linked / words), self._furniture > 0, int(self._article > 0))
             self._found.append((block, self._mark))
 
     def blocks(self) -> list[Block]:
+        found = [entry for entry in self._found if entry]
+        read = self._judged(found, frozenset())
+        around = frozenset(chain for mark in self._around for chain in self._chain(mark))
+        if around:
+            # A name around an article counts, unless more of the page's text is inside
+            # such articles than in all that no name speaks against.
+            freed = self._judged(found, around)
+            inside = sum(new.words for old, new in zip(read, freed, strict=True) if old.furniture and not new.furniture and new.article)
+            if inside > sum(block.words for block in read if not block.furniture and block.links < 0.5):
+                read = freed
+        own = [block for block in read if not block.furniture and block.links < 0.5]
+        # An article with less text than the rest of the page is not the page's article.
+        inside = sum(block.words for block in own if block.article)
+        if not inside or 2 * inside < sum(block.words for block in own):
+            return [block._replace(article=0) for block in read]
+        return [block if block.article else block._replace(article=-1) for block in read]
+
+    def _judged(self, found: list[tuple[Block, int]], ignored: frozenset[int]) -> list[Block]:
         named: list[bool] = []  # whether a mark or one around it counts
-        for around, counts in self._marks:
-            named.append(counts or (around >= 0 and named[around]))
-        return [
-            block._replace(furniture=True) if mark >= 0 and named[mark] else block
-            for block, mark in filter(None, self._found)
-        ]
-
-    def _unmark(self) -> None:
-        """Names of containers around an article do not count; those inside one do, as do comments there."""
-        at = self._mark if self._depth == 0 else -1
-        while at >= 0 and self._marks[at][1]:
-            self._marks[at] = (self._marks[at][0], False)
-            at = self._marks[at][0]
+        for k, (around, _) in enumerate(self._marks):
+            named.append(k not in ignored or (around >= 0 and named[around]))
+        return [block._replace(furniture=True) if mark >= 0 and named[mark] else block for block, mark in found]
+
+    def _chain(self, mark: int) -> Iterator[int]:
+        """A mark and those around it that do not name comments."""
+        while mark >= 0 and self._marks[mark][1] != "comment":
+            yield mark
+            mark = self._marks[mark][0]
 
     def _close(self, depth: int) -> None:
         while len(self._open) > depth:
-            name, furniture, self._mark = self._open.pop()
+            _, furniture, article, self._mark = self._open.pop()
             self._furniture -= furniture
-            self._article -= name in _ARTICLE
-            self._depth -= name == "article"
+            self._article -= article
 
     def _pop(self) -> _Skip:
         skip = self._skipped.pop()
@@ -146,20 +198,27 @@ class _Blocks(HTMLParser):
             self._anchors = 0
             if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "hr"):
                 return
-            named = " ".join(value for key, value in attrs if key in ("class", "id", "role") and value)
-            hidden = any(key == "hidden" for key, _ in attrs)
+            given = {key: value or "" for key, value in reversed(attrs)}
+            names = {_named(name) for key in ("class", "id", "role") for name in given.get(key, "").split()}
+            article = (tag in _ARTICLE or given.get("role") in _ARTICLE) and "comment" not in names
             # An article's own header holds its title; any other is the page's.
-            furniture = hidden or tag in _FURNITURE or (tag == "header" and not self._article)
-            self._open.append((tag, furniture, self._mark))
+            furniture = "hidden" in given or tag in _FURNITURE or (tag == "header" and not self._article)
+            self._open.append((tag, furniture, article, self._mark))
             self._furniture += furniture
-            self._article += tag in _ARTICLE
-            if tag in _ARTICLE:
-                self._unmark()
-                self._depth += tag == "article"
-            elif tag not in ("body", "html") and named and _NAMED.search(named):
-                self._marks.append((self._mark, True))
+            if article and not self._article:
+                self._around.append(self._mark)
+            elif tag == "article" and self._mark >= 0 and self._main_only():
+                self._around.append(self._mark)
+            self._article += article
+            names -= {"", "header"} if self._article else {""}
+            if names and tag not in ("body", "html") and not article:
+                self._marks.append((self._mark, "comment" if "comment" in names else "furniture"))
                 self._mark = len(self._marks) - 1
 
+    def _main_only(self) -> bool:
+        """Whether no article element is open around the innermost element."""
+        return not any(name == "article" and article for name, _, article, _ in self._open[:-1])
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in _VOID:
             self.handle_starttag(tag, attrs)
@@ -201,44 +260,85 @@ def blocks(page: str | None) -> list[Block]:
     return parser.blocks()
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
-
-#: The labelled table: one block per row, the features above and 1 for main text.
-LABELLED = np.array([
-    # words links before links after links furniture article label
-    [1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0], [1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0], [2, 1.00, 1, 1.00, 9, 0.00, 1, 0, 0],
-    [3, 1.00, 2, 1.00, 2, 1.00, 0, 0, 0], [2, 1.00, 3, 1.00, 3, 1.00, 0, 0, 0], [1, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0],
-    [8, 0.00, 1, 1.00, 14, 0.00, 1, 0, 0], [12, 0.00, 1, 1.00, 60, 0.02, 1, 0, 0], [25, 0.00, 2, 1.00, 11, 0.00, 1, 0, 0],
-    [9, 0.00, 120, 0.00, 0, 0.00, 1, 0, 0], [6, 0.30, 80, 0.01, 0, 0.00, 1, 0, 0], [60, 0.00, 45, 0.00, 12, 0.00, 1, 0, 0],
-    [140, 0.00, 90, 0.00, 70, 0.00, 1, 0, 0], [33, 0.05, 20, 0.00, 18, 0.00, 1, 0, 0], [4, 0.00, 50, 0.00, 30, 0.00, 1, 1, 0],
-    [35, 0.00, 120, 0.00, 28, 0.00, 1, 1, 0], [90, 0.00, 60, 0.00, 10, 0.00, 1, 1, 0], [7, 0.86, 50, 0.00, 45, 0.00, 1, 1, 0],
-    [2, 1.00, 70, 0.00, 2, 1.00, 1, 1, 0], [3, 0.33, 10, 0.00, 5, 0.60, 0, 0, 0], [5, 0.60, 3, 0.33, 4, 0.75, 0, 0, 0],
-    [4, 0.00, 2, 1.00, 3, 0.67, 0, 0, 0], [6, 0.00, 4, 0.50, 0, 0.00, 0, 0, 0], [10, 0.70, 8, 0.62, 6, 0.50, 0, 0, 0],
-    [16, 0.75, 20, 0.60, 12, 0.83, 0, 0, 0], [5, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0], [3, 0.00, 6, 0.50, 5, 0.40, 0, 0, 0],
-    [9, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0], [7, 0.00, 12, 0.50, 0, 0.00, 0, 0, 0], [2, 0.00, 3, 1.00, 1, 1.00, 0, 0, 0],
-    [10, 0.00, 8, 0.00, 30, 0.00, 0, 1, 1], [12, 0.00, 9, 0.00, 85, 0.00, 0, 1, 1], [3, 0.00, 60, 0.00, 70, 0.00, 0, 1, 1],
-    [1, 0.00, 40, 0.00, 12, 0.00, 0, 1, 1], [2, 0.00, 3, 0.00, 2, 0.00, 0, 1, 1], [2, 0.00, 90, 0.00, 9, 0.00, 0, 1, 1],
-    [45, 0.00, 12, 0.00, 60, 0.00, 0, 1, 1], [150, 0.02, 45, 0.00, 80, 0.00, 0, 1, 1], [90, 0.10, 150, 0.02, 3, 0.00, 0, 1, 1],
-    [300, 0.00, 2, 0.00, 10, 0.00, 0, 1, 1], [20, 0.25, 80, 0.05, 75, 0.00, 0, 1, 1], [8, 0.50, 60, 0.00, 55, 0.00, 0, 1, 1],
-    [6, 1.00, 60, 0.00, 70, 0.00, 0, 1, 1], [1, 0.00, 1, 1.00, 50, 0.00, 0, 1, 1], [5, 0.00, 1, 1.00, 2, 0.00, 0, 1, 1],
-    [40, 0.00, 30, 0.00, 9, 0.00, 0, 1, 1], [1, 0.00, 10, 0.00, 9, 0.00, 0, 1, 1], [9, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1],
-    [6, 0.00, 30, 0.40, 4, 0.75, 0, 1, 1], [3, 0.00, 8, 0.60, 12, 0.50, 0, 1, 1], [12, 0.50, 5, 0.80, 6, 0.67, 0, 1, 1],
-    [4, 0.75, 6, 0.67, 3, 1.00, 0, 1, 1], [9, 0.33, 7, 0.57, 8, 0.62, 0, 1, 1], [30, 0.40, 20, 0.50, 6, 1.00, 0, 1, 1],
-    [2, 0.50, 3, 0.67, 2, 1.00, 0, 1, 1], [5, 0.20, 4, 0.50, 9, 0.44, 0, 1, 1],
-    [3, 0.00, 2, 0.00, 3, 0.00, 0, 0, 0], [5, 0.00, 4, 0.00, 2, 0.00, 0, 0, 0], [2, 0.00, 5, 0.00, 6, 0.00, 0, 0, 0],
-    [8, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0], [6, 0.00, 8, 0.10, 7, 0.14, 0, 0, 0], [4, 0.00, 6, 0.00, 0, 0.00, 0, 0, 0],
-    [45, 0.00, 12, 0.00, 50, 0.00, 0, 0, 1], [120, 0.03, 45, 0.00, 80, 0.00, 0, 0, 1], [80, 0.08, 120, 0.03, 4, 0.75, 0, 0, 1],
-    [30, 0.00, 60, 0.00, 25, 0.00, 0, 0, 1], [22, 0.10, 70, 0.00, 90, 0.00, 0, 0, 1], [200, 0.00, 3, 1.00, 2, 1.00, 0, 0, 1],
-    [200, 0.00, 150, 0.00, 180, 0.00, 1, 0, 1], [260, 0.02, 40, 0.00, 90, 0.00, 1, 0, 1], [400, 0.00, 8, 0.00, 12, 0.00, 1, 0, 1],
-    [180, 0.05, 220, 0.00, 3, 1.00, 1, 0, 1], [240, 0.00, 12, 0.00, 0, 0.00, 1, 1, 1], [190, 0.00, 170, 0.00, 200, 0.00, 1, 1, 1],
-    [26, 0.05, 9, 0.00, 18, 0.00, 0, 0, 1], [18, 0.00, 40, 0.00, 33, 0.00, 0, 0, 1], [60, 0.20, 2, 1.00, 44, 0.00, 0, 0, 1],
-])
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article")
+
+IN, NONE, OUT = 1, 0, -1
+
+#: The labelled table: pages as rows of blocks in their order. A block is its place (inside
+#: the article, no article on the page, outside of it), word count, link density and label:
+#: 1 for main text, None for furniture that markup names, a neighbour only.
+LABELLED = [
+    # Articles between menus and footers.
+    [(OUT, 1, 1.0, None), (OUT, 1, 1.0, None), (OUT, 8, 0.0, None), (IN, 10, 0.0, 1), (IN, 90, 0.0, 1), (IN, 1, 0.0, 1), (IN, 240, 0.0, 1), (OUT, 9, 0.0, None)],
+    [(OUT, 2, 1.0, None), (IN, 5, 0.0, 1), (OUT, 9, 0.0, None)], [(OUT, 2, 1.0, None), (IN, 2, 0.0, 1), (OUT, 3, 1.0, None)],
+    [(OUT, 14, 0.0, None), (IN, 30, 0.0, 1), (OUT, 2, 1.0, None)], [(OUT, 60, 1.0, None), (IN, 3, 0.0, 1), (IN, 2, 0.0, 1), (OUT, 25, 0.9, None)],
+    [(IN, 6, 0.0, 1), (IN, 12, 0.0, 1), (IN, 2, 0.0, 1), (IN, 3, 0.0, 1), (IN, 1, 0.0, 1), (IN, 4, 0.0, 1), (IN, 25, 0.0, 1)],
+    # Linked titles, linked text and lists of links in articles.
+    [(OUT, 1, 1.0, None), (IN, 7, 1.0, 1), (IN, 60, 0.0, 1), (IN, 4, 1.0, 1), (IN, 80, 0.05, 1), (OUT, 3, 1.0, None)],
+    [(IN, 40, 0.3, 1), (IN, 22, 0.2, 1), (IN, 35, 0.45, 1), (IN, 12, 0.33, 1), (IN, 50, 0.0, 1), (IN, 9, 1.0, 1), (IN, 33, 0.0, 1)],
+    [(IN, 70, 0.0, 1), (IN, 1, 1.0, 0), (IN, 2, 1.0, 0), (IN, 1, 1.0, 0), (IN, 1, 1.0, 0), (IN, 3, 1.0, 0), (IN, 45, 0.0, 1), (IN, 3, 0.0, 1)],
+    [(IN, 55, 0.0, 1), (IN, 4, 1.0, 0), (IN, 6, 1.0, 0), (IN, 5, 0.8, 0), (OUT, 9, 0.0, None)], [(IN, 24, 0.0, 1), (IN, 25, 1.0, 0), (IN, 40, 0.0, 1)],
+    [(IN, 55, 0.0, 1), (IN, 31, 0.9, 0), (OUT, 8, 0.0, None)], [(IN, 20, 0.0, 1), (IN, 18, 1.0, 0), (IN, 8, 0.0, 1)], [(IN, 90, 0.0, 1), (IN, 60, 0.8, 0), (IN, 30, 0.0, 1)],
+    [(IN, 2, 0.0, 1), (IN, 3, 1.0, 0), (IN, 4, 1.0, 0), (IN, 2, 0.0, 1), (IN, 5, 1.0, 0), (IN, 3, 1.0, 0), (IN, 6, 0.0, 1)],
+    # Pages without an article: titles, short paragraphs, subheadings and list items among text.
+    [(NONE, 3, 1.0, 0), (NONE, 2, 1.0, 0), (NONE, 4, 1.0, 0), (NONE, 8, 0.0, 1), (NONE, 12, 0.0, 1), (NONE, 60, 0.0, 1), (NONE, 3, 0.0, 1), (NONE, 45, 0.0, 1),
+     (NONE, 4, 0.0, 1), (NONE, 5, 0.0, 1), (NONE, 2, 0.0, 1), (NONE, 70, 0.0, 1), (NONE, 3, 1.0, 0), (NONE, 2, 1.0, 0)],
+    [(NONE, 2, 1.0, 0), (NONE, 7, 0.0, 1), (NONE, 3, 0.0, 1), (NONE, 50, 0.0, 1), (NONE, 20, 0.0, 1), (NONE, 2, 0.0, 1), (NONE, 2, 1.0, 0), (NONE, 3, 1.0, 0)],
+    [(NONE, 5, 0.0, 1)], [(NONE, 2, 0.0, 1), (NONE, 3, 0.0, 1)], [(NONE, 200, 0.0, 1)], [(NONE, 9, 0.0, 1), (NONE, 150, 0.0, 1), (NONE, 40, 0.0, 1)],
+    [(NONE, 2, 1.0, None), (NONE, 6, 0.0, 1), (NONE, 30, 0.0, 1), (NONE, 4, 0.0, 1), (NONE, 12, 0.0, None)], [(NONE, 1, 1.0, None), (NONE, 25, 0.0, 1), (NONE, 2, 1.0, None)],
+    [(NONE, 2, 1.0, 0), (NONE, 26, 0.0, 1), (NONE, 2, 1.0, 0)], [(NONE, 3, 1.0, 0), (NONE, 80, 0.0, 1), (NONE, 5, 1.0, 0), (NONE, 2, 1.0, 0)],
+    # Labels among links, and what stands at the ends of such pages.
+    [(NONE, 2, 1.0, 0), (NONE, 3, 0.0, 0), (NONE, 2, 1.0, 0)], [(NONE, 1, 1.0, 0), (NONE, 2, 0.0, 0), (NONE, 3, 1.0, 0), (NONE, 5, 1.0, 0), (NONE, 8, 0.0, 0), (NONE, 4, 1.0, 0)],
+    [(NONE, 60, 0.0, 1), (NONE, 2, 1.0, 0), (NONE, 2, 1.0, 0), (NONE, 6, 0.0, 0)], [(NONE, 44, 0.0, 1), (NONE, 3, 1.0, 0), (NONE, 9, 0.0, 0)],
+    [(NONE, 36, 0.0, 1), (NONE, 9, 0.4, 0)], [(NONE, 60, 0.0, 1), (NONE, 12, 0.5, 0), (NONE, 3, 1.0, 0)], [(NONE, 5, 0.6, 0), (NONE, 8, 0.0, 1), (NONE, 40, 0.0, 1)],
+    [(NONE, 4, 0.75, 0), (NONE, 9, 0.0, 1), (NONE, 50, 0.0, 1)], [(NONE, 6, 0.5, 0), (NONE, 4, 0.5, 0), (NONE, 70, 0.0, 1)], [(NONE, 2, 1.0, 0), (NONE, 70, 0.0, 1)],
+    # Linked text, linked headings, menus and tag clouds on them.
+    [(NONE, 30, 0.0, 1), (NONE, 25, 0.3, 1), (NONE, 45, 0.1, 1), (NONE, 18, 0.28, 1), (NONE, 33, 0.0, 1), (NONE, 40, 0.45, 1), (NONE, 50, 0.0, 1)],
+    [(NONE, 60, 0.0, 1), (NONE, 5, 1.0, 1), (NONE, 70, 0.0, 1)], [(NONE, 6, 1.0, 1), (NONE, 75, 0.0, 1)], [(NONE, 40, 0.0, 1), (NONE, 7, 1.0, 1), (NONE, 32, 0.1, 1)],
+    [(NONE, 30, 1.0, 0), (NONE, 8, 0.0, 1), (NONE, 60, 0.0, 1)], [(NONE, 200, 1.0, 0), (NONE, 60, 0.0, 1)], [(NONE, 12, 0.9, 0), (NONE, 50, 0.0, 1)],
+    [(NONE, 60, 0.0, 1), (NONE, 25, 1.0, 0), (NONE, 50, 0.0, 1)], [(NONE, 58, 0.0, 1), (NONE, 26, 0.96, 0)], [(NONE, 35, 0.0, 1), (NONE, 16, 0.85, 0), (NONE, 20, 0.0, 1)],
+    [(NONE, 4, 1.0, 0), (NONE, 22, 0.8, 0), (NONE, 7, 1.0, 0), (NONE, 15, 0.7, 0), (NONE, 3, 1.0, 0)], [(NONE, 45, 0.0, 1), (NONE, 3, 1.0, 0), (NONE, 2, 1.0, 0), (NONE, 3, 1.0, 0), (NONE, 30, 0.0, 1)],
+    [(NONE, 2, 1.0, 0), (NONE, 5, 1.0, 0), (NONE, 6, 1.0, 0), (NONE, 60, 0.0, 1)], [(NONE, 3, 1.0, 0), (NONE, 7, 1.0, 0), (NONE, 80, 0.0, 1)],
+    [(NONE, 6, 1.0, 0), (NONE, 8, 1.0, 0), (NONE, 45, 0.0, 1)], [(IN, 70, 0.0, 1), (IN, 5, 1.0, 0), (IN, 6, 1.0, 0), (IN, 45, 0.0, 1)],
+    [(IN, 20, 0.0, 1), (IN, 8, 0.0, 1), (IN, 5, 1.0, 1), (IN, 6, 0.0, 1), (IN, 9, 0.0, 1)], [(NONE, 30, 0.0, 1), (NONE, 8, 0.0, 1), (NONE, 5, 1.0, 1), (NONE, 9, 0.0, 1), (NONE, 30, 0.0, 1)],
+    [(IN, 7, 0.0, 1), (IN, 2, 1.0, 1), (IN, 12, 0.0, 1), (IN, 3, 1.0, 1), (IN, 15, 0.0, 1)], [(NONE, 20, 0.0, 1), (NONE, 3, 1.0, 1), (NONE, 14, 0.0, 1), (NONE, 6, 0.67, 1), (NONE, 11, 0.0, 1)],
+    # Short blocks after links: a title where unlinked text follows, a label where links do, a note where nothing does.
+    [(NONE, 2, 1.0, 0), (NONE, 5, 0.0, 1), (NONE, 2, 0.0, 1), (NONE, 60, 0.0, 1)], [(NONE, 3, 1.0, 0), (NONE, 9, 0.0, 1), (NONE, 6, 0.0, 1), (NONE, 40, 0.0, 1)],
+    [(NONE, 4, 1.0, 0), (NONE, 4, 0.0, 1), (NONE, 30, 0.0, 1)], [(NONE, 1, 1.0, 0), (NONE, 1, 0.0, 1), (NONE, 11, 0.0, 1), (NONE, 24, 0.0, 1)], [(NONE, 9, 1.0, 0), (NONE, 3, 0.0, 1), (NONE, 4, 0.0, 1), (NONE, 18, 0.0, 1)],
+    [(NONE, 3, 1.0, 0), (NONE, 4, 0.0, 0), (NONE, 2, 1.0, 0), (NONE, 1, 0.0, 0), (NONE, 6, 1.0, 0)], [(NONE, 2, 1.0, 0), (NONE, 6, 0.0, 0), (NONE, 9, 1.0, 0)], [(NONE, 5, 0.8, 0), (NONE, 9, 0.0, 0), (NONE, 4, 0.6, 0), (NONE, 3, 1.0, 0)],
+    [(NONE, 4, 1.0, 0), (NONE, 3, 0.0, 0)], [(NONE, 2, 1.0, 0), (NONE, 12, 0.0, 0)], [(NONE, 6, 1.0, 0), (NONE, 7, 0.0, 0)], [(NONE, 70, 0.0, 1), (NONE, 3, 1.0, 0), (NONE, 50, 0.0, 1)],
+    [(NONE, 50, 0.0, 1), (NONE, 8, 0.0, 1)], [(NONE, 40, 0.0, 1), (NONE, 9, 0.0, 1)], [(NONE, 30, 0.0, 1), (NONE, 6, 0.0, 1), (NONE, 7, 0.0, 1)], [(NONE, 25, 0.0, 1), (NONE, 2, 0.0, 1), (NONE, 1, 1.0, 0), (NONE, 2, 1.0, 0)],
+    [(NONE, 60, 0.0, 1), (NONE, 8, 0.38, 0)], [(NONE, 28, 0.0, 1), (NONE, 7, 0.43, 0), (NONE, 2, 1.0, 0)], [(NONE, 42, 0.0, 1), (NONE, 5, 0.4, 0), (NONE, 3, 1.0, 0)],
+    # Beside an article: slogans, notes and links; text among text.
+    [(OUT, 2, 1.0, 0), (OUT, 4, 0.0, 0), (IN, 9, 0.0, 1), (IN, 60, 0.0, 1), (IN, 25, 0.0, 1), (OUT, 6, 0.0, 0), (OUT, 3, 1.0, 0)],
+    [(OUT, 12, 0.0, 0), (IN, 7, 0.0, 1), (IN, 100, 0.0, 1), (OUT, 30, 0.0, 0)], [(IN, 80, 0.0, 1), (OUT, 20, 0.0, 0), (OUT, 15, 0.0, 0)],
+    [(IN, 45, 0.0, 1), (OUT, 160, 0.0, 0)], [(OUT, 130, 0.0, 0), (IN, 6, 0.0, 1), (IN, 55, 0.0, 1)], [(IN, 60, 0.0, 1), (OUT, 40, 0.9, 0), (OUT, 7, 0.0, 0)],
+    [(IN, 90, 0.0, 1), (OUT, 70, 0.0, 1), (OUT, 65, 0.05, 1), (IN, 80, 0.0, 1)], [(IN, 75, 0.0, 1), (OUT, 85, 0.0, 1), (IN, 95, 0.0, 1)], [(IN, 64, 0.0, 1), (OUT, 5, 0.0, 0), (IN, 70, 0.0, 1)],
+]
+
+
+def _row(before: tuple, own: tuple, after: tuple) -> tuple:
+    """The features of a block from (article, words, links) of it and its neighbours."""
+    return own[1], own[2], before[1], before[2], after[1], after[2], own[0]
+
+
+_EDGE = (0, 0, 0.0)
+
+
+def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
+    rows, labels = [], []
+    for page in LABELLED:
+        for before, own, after in zip([_EDGE, *page], page, [*page[1:], _EDGE]):
+            if own[3] is not None:
+                rows.append(_row(before, own, after))
+                labels.append(own[3])
+    return np.array(rows, dtype=float), np.array(labels, dtype=float)
 
 
 class Tree:
     """A classification tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 1):
         self.feature, self.value = -1, float(y.mean())
         if depth == 0 or len(y) < 2 * least or self.value in (0.0, 1.0):
             return
@@ -262,19 +362,16 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def tree() -> Tree:
-    return Tree(LABELLED[:, :-1], LABELLED[:, -1])
+    return Tree(*labelled_rows())
 
 
 def main_text(page: str | None) -> str:
     found, grown = blocks(page), tree()
-    kept = []
-    for k, block in enumerate(found):
-        before = found[k - 1] if k else Block("", 0, 0.0, False, False)
-        after = found[k + 1] if k + 1 < len(found) else Block("", 0, 0.0, False, False)
-        row = (block.words, block.links, before.words, before.links, after.words, after.links, block.furniture, block.article)
-        if grown(row) >= 0.5:
-            kept.append(block.text)
-    return "\n".join(kept)
+    about = [_EDGE, *[(block.article, block.words, block.links) for block in found], _EDGE]
+    return "\n".join(
+        block.text for k, block in enumerate(found)
+        if not block.furniture and grown(_row(about[k], about[k + 1], about[k + 2])) >= 0.5
+    )
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
