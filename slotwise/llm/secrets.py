@@ -1,10 +1,11 @@
 """Secret scanning: formats of credentials learned by grammar inference.
 
-Pass one finds the base spans and every other token that could be a credential. The base
-spans are labelled credentials; a bounded sample of them per kind becomes a prefix tree
-over character classes, whose statistically compatible states are merged (Hoeffding
-bounds) into a probabilistic automaton. Pass two scores all candidates by the likelihood
-of their format against that of ordinary text, whole corpus, no second scan of the texts.
+Pass one finds the base spans, and counts how character classes follow each other in all
+other text. The base spans are labelled credentials; a bounded sample of them per kind
+becomes a prefix tree over character classes, whose statistically compatible states are
+merged (Hoeffding bounds) into a probabilistic automaton. Pass two takes every token of the
+labelled credentials' alphabet and least length as a candidate, and scores it by the
+likelihood of its format against that of the corpus's ordinary text.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +32,17 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Tokens that may be credentials: long, of credential characters.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may be a credential: tokens of the alphabet and least length of the labelled ones.
+LEAST = 12
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 _KEYWORDS = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-#: Labelled credentials per kind that an automaton is learned from, at most.
-SAMPLE = 400
+#: An automaton is learned from so many labelled credentials of its kind at most, those
+#: with the smallest hashes, and from so many characters of them in all.
+SAMPLE, SAMPLE_CHARACTERS = 400, 32_768
 #: Significance of the merge test, and the mean advantage per character (in nats) over
 #: ordinary text that the weakest of the labelled credentials still reaches.
-ALPHA, KEEP = 0.05, 0.02
+ALPHA, KEEP, LEAST_ADVANTAGE = 0.05, 0.02, 0.25
 _FLOOR = 1e-4
 
 _CLASSES = {
@@ -44,15 +50,42 @@ _CLASSES = {
     **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"), **dict.fromkeys("+/", "s"),
     **dict.fromkeys("_-.", "p"), "=": "e",
 }
-_SYMBOLS = "dhlHUspe"
-#: How often ordinary text has each class; lower-case words with few digits.
-_ORDINARY = {"d": 0.02, "h": 0.25, "l": 0.55, "H": 0.04, "U": 0.08, "s": 0.02, "p": 0.03, "e": 0.01}
+#: The classes, and one for every other character, which tokens begin after.
+_SYMBOLS = "dhlHUspe "
+_NUMBER = np.full(256, len(_SYMBOLS) - 1, dtype=np.uint8)
+for _character, _symbol in _CLASSES.items():
+    _NUMBER[ord(_character)] = _SYMBOLS.index(_symbol)
+#: Ordinary text before any was seen: lower-case words with few digits, and how many pairs
+#: of characters that guess is worth.
+_GUESS = {"d": 0.02, "h": 0.25, "l": 0.55, "H": 0.04, "U": 0.08, "s": 0.02, "p": 0.03, "e": 0.01}
+_GUESS_WORTH = 50.0
 
 
 def classes(value: str) -> str:
     return "".join([_CLASSES.get(c, "p") for c in value])
 
 
+def class_pairs(text: str, spans: Iterable[tuple[str, int, int, str]] = ()) -> np.ndarray:
+    """How often each class follows each other one outside the spans, as a square table."""
+    data = np.frombuffer(text.encode("latin-1", "replace").replace(b"?", b" "), dtype=np.uint8)
+    number = _NUMBER[np.concatenate([[32], data])].astype(np.int64)
+    for _, start, end, _ in spans:
+        number[start + 1: end + 1] = len(_SYMBOLS) - 1
+    size = len(_SYMBOLS)
+    return np.bincount(number[:-1] * size + number[1:], minlength=size * size)
+
+
+class Ordinary:
+    """The log-likelihood of each class after each other one in ordinary text."""
+
+    def __init__(self, pairs: np.ndarray | None = None):
+        size = len(_SYMBOLS)
+        seen = np.zeros((size, size)) if pairs is None else np.asarray(pairs, dtype=float).reshape(size, size)
+        guess = np.array([_GUESS.get(s, 0.0) for s in _SYMBOLS])
+        shares = (seen[:, :-1] + _GUESS_WORTH * guess[:-1]) / (seen[:, :-1].sum(axis=1, keepdims=True) + _GUESS_WORTH)
+        self.log = {a + b: math.log(max(shares[j, k], 1e-6)) for j, a in enumerate(_SYMBOLS) for k, b in enumerate(_SYMBOLS[:-1])}
+
+
 class Automaton:
     """A probabilistic automaton: per state, the count of words that end there and of each
     symbol's way out."""
@@ -127,32 +160,37 @@ class Automaton:
                 settled.append(state)
             edge = [(s, p) for p in settled for s in sorted(self.next[p]) if self.next[p][s] not in settled]
 
-    def advantage(self, word: str) -> float:
+    def advantage(self, word: str, ordinary: Ordinary) -> float:
         """Mean log-likelihood per symbol over that of ordinary text."""
-        state, total = 0, 0.0
+        state, total, before = 0, 0.0, " "
         for symbol in word:
             n = self._total(state) if state is not None else 0
             p = self.count[state].get(symbol, 0) / n if n else 0.0
-            total += math.log(max(p, _FLOOR)) - math.log(_ORDINARY[symbol])
+            total += math.log(max(p, _FLOOR)) - ordinary.log[before + symbol]
+            before = symbol
             state = self.next[state].get(symbol, 0) if state is not None else 0
         return total / max(1, len(word))
 
 
 class Grammar:
-    """One automaton per kind that has labelled credentials, each with its least advantage."""
+    """One automaton per kind that has labelled credentials, each with its least advantage
+    over ordinary text, given as a table of class pairs."""
 
-    def __init__(self, labelled: dict[str, list[str]]):
+    def __init__(self, labelled: Mapping[str, list[str]], pairs: np.ndarray | None = None):
+        self.ordinary = Ordinary(pairs)
         self.automata: dict[str, tuple[Automaton, float]] = {}
         for kind, values in sorted(labelled.items()):
             words = [classes(v) for v in values]
             automaton = Automaton(words)
-            scores = sorted(automaton.advantage(w) for w in words)
-            self.automata[kind] = (automaton, max(0.25, scores[int(KEEP * len(scores))]))
+            scores = sorted(automaton.advantage(w, self.ordinary) for w in words)
+            self.automata[kind] = (automaton, max(LEAST_ADVANTAGE, scores[int(KEEP * len(scores))]))
 
     def score(self, value: str) -> float:
         """How far the best format's advantage lies above its least; 0 or more: a credential."""
-        word = classes(value)
-        return max((a.advantage(word) - least for a, least in self.automata.values()), default=-math.inf)
+        return self.score_classes(classes(value))
+
+    def score_classes(self, word: str) -> float:
+        return max((a.advantage(word, self.ordinary) - least for a, least in self.automata.values()), default=-math.inf)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -167,17 +205,20 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens with letters and digits that no base span touches."""
+    """Tokens that no base span touches; full stops at their ends are not part of them."""
     taken = sorted((start, end) for _, start, end, _ in base)
     found, k = [], 0
     for match in _CANDIDATE.finditer(text):
-        value = match.group()
-        if value.isalpha() or not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
+        value = match.group().rstrip(".")
+        end = match.start() + len(value)
+        value = value.lstrip(".")
+        if len(value) < LEAST:
             continue
-        while k < len(taken) and taken[k][1] <= match.start():
+        start = end - len(value)
+        while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if k == len(taken) or taken[k][0] >= match.end():
-            found.append((match.start(), match.end(), value))
+        if k == len(taken) or taken[k][0] >= end:
+            found.append((start, end, value))
     return found
 
 
@@ -186,51 +227,57 @@ def _joined(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]])))
 
 
-_SPAN = T.StructType([
-    T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False),
-    T.StructField("end", T.IntegerType(), False), T.StructField("value", T.StringType(), False),
-])
-
-
-def extracted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pass one: doc_id, base and candidates (arrays of kind, start, end, value)."""
+def observed(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Pass one: (kind, value, n). Labelled credentials by their kind, and pairs of classes
+    in the text around them under the kind ``pair``, added up per partition and then by
+    Spark."""
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType),
-        T.StructField("base", T.ArrayType(_SPAN, False), False),
-        T.StructField("candidates", T.ArrayType(_SPAN, False), False),
+        T.StructField("kind", T.StringType(), False), T.StructField("value", T.StringType(), False), T.StructField("n", T.LongType(), False),
     ])
     arrow = arrow_schema(schema)
 
+    def rows(found: Mapping[tuple[str, str], int]) -> pa.RecordBatch:
+        columns = list(zip(*((k, v, n) for (k, v), n in found.items()), strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("kind", "start", "end", "value")
+        pairs = np.zeros(len(_SYMBOLS) ** 2, dtype=np.int64)
         for batch in rows_of(batches):
-            base, other = [], []
-            for text in batch.column(1).to_pylist():
-                found = base_spans(text or "")
-                base.append([dict(zip(names, x, strict=True)) for x in found])
-                other.append([dict(zip(names, ("format", *x), strict=True)) for x in candidates(text or "", found)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, arrow.field("base").type), pa.array(other, arrow.field("candidates").type)],
-                schema=arrow,
-            )
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-
-
-def learned(found: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """The grammar of the labelled credentials in ``found``; at most ``sample`` distinct
-    values of each of the three kinds come to the driver, those with the smallest hash."""
-    credentials = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
+            found: Counter[tuple[str, str]] = Counter()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    base = base_spans(text)
+                    pairs += class_pairs(text, base)
+                    found.update((kind, value) for kind, _, _, value in base)
+            if found:
+                yield rows(found)
+        yield rows({("pair", str(k)): int(n) for k, n in enumerate(pairs) if n})
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
+
+def learned(docs: DataFrame, *, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS, text_col: str = "text") -> Grammar:
+    """The grammar of the labelled credentials in ``docs``, from at most ``sample`` distinct
+    values and ``characters`` characters of each of the three kinds; ordinary text is
+    counted whole."""
+    seen = stored(observed(docs, text_col=text_col), "secrets")
     labelled = {}
     for kind in KINDS:
         rows = (
-            credentials.where(F.col("kind") == kind).where(F.length("value") <= 256)
-            .groupBy("value").agg(F.first("kind").alias("kind"))
-            .orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+            seen.where(F.col("kind") == kind).where(F.length("value") <= characters)
+            .orderBy(F.xxhash64("value"), "value").limit(sample).select("value").collect()
         )
-        if rows:
-            labelled[kind] = [r.value for r in rows]
-    return Grammar(labelled)
+        left, values = characters, []
+        for r in rows:
+            if len(r.value) <= left:
+                left -= len(r.value)
+                values.append(r.value)
+        if values:
+            labelled[kind] = values
+    pairs = np.zeros(len(_SYMBOLS) ** 2)
+    for r in seen.where("kind = 'pair'").collect():  # as many as there are pairs of classes
+        pairs[int(r.value)] = r.n
+    return Grammar(labelled, pairs)
 
 
 def scan(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,12 +286,11 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_format (the learned
     formats' own spans, kind "format" in spans). Null or empty text: no spans, the digest
     of the empty string. A corpus without labelled credentials learns no format and adds
-    none. Whole texts are read. Spans that start together stand in the order assign, access,
-    hex, format. Repeated rows and null ids stay as they are; an empty table gives no rows.
-    Other columns are not read.
+    none. Whole texts are read, twice. Spans that start together stand in the order assign,
+    access, hex, format. Repeated rows and null ids stay as they are; an empty table gives
+    no rows. Other columns are not read.
     """
-    found = stored(extracted(docs, id_col=id_col, text_col=text_col), "secrets")
-    grammar = learned(found, sample)
+    grammar = learned(docs, sample=sample, text_col=text_col)
     counts = [f"n_{kind}" for kind in (*KINDS, "format")]
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -255,18 +301,21 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 4096):
+        score = lru_cache(maxsize=1 << 17)(grammar.score_classes)
+        for batch in rows_of(batches):
             out = []
-            for base, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = [(s["kind"], s["start"], s["end"]) for s in base]
-                more = [("format", s["start"], s["end"]) for s in other if grammar.score(s["value"]) >= 0]
-                kinds = [s[0] for s in own + more]
+            for text in batch.column(1).to_pylist():
+                base = base_spans(text or "")
+                own = [s[:3] for s in base]
+                tokens = candidates(text or "", base) if grammar.automata else []
+                more = [("format", start, end) for start, end, value in tokens if score(classes(value)) >= 0]
+                kinds = Counter(s[0] for s in own + more)
                 digest = hashlib.sha256(_joined(own).encode()).hexdigest()
-                out.append((*(kinds.count(k) for k in (*KINDS, "format")), digest, _joined(own + more)))
+                out.append((*(kinds[k] for k in (*KINDS, "format")), digest, _joined(own + more)))
             columns = list(zip(*out, strict=True)) or [()] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))],
                 schema=arrow,
             )
 
-    return found.select("doc_id", "base", "candidates").mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
