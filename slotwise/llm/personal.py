@@ -32,10 +32,11 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier of any kind.
+#: What may be an identifier of any kind: base forms, five digits or more, and words of
+#: five characters or more that hold a digit, of any length.
 _IDENTIFIER = (
     r"(?<![A-Za-z0-9._%+-])" + _EMAIL_AT + r"|\+[0-9][\x20().0-9-]+[0-9]|(?<![A-Za-z0-9])[0-9](?:[\x20.-]?[0-9]){4,}+(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,32}[0-9])[A-Za-z0-9_-]{5,64}(?![A-Za-z0-9_-])"
+    r"|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{5,}+"
 )
 
 
@@ -66,15 +67,28 @@ def _starts(parts: Column) -> Column:
     ), lambda acc: F.flatten(acc["starts"]))
 
 
-def _matched(parts: Column, starts: Column) -> Column:
-    """The matches: array of start, end, value, before, after. ``parts`` and ``starts`` are
-    columns of their own, else they are computed anew for each match."""
+def _matched(parts: Column, starts: Column, context: bool = False) -> Column:
+    """The matches: array of start, end, value, and with ``context`` the words beside them:
+    left, second (the one before it) and right. ``parts`` and ``starts`` are columns of
+    their own, else they are computed anew for each match."""
     odd = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k % 2 == 1)
-    return F.transform(odd, lambda k: F.struct(
-        F.get(starts, k).alias("start"), (F.get(starts, k) + F.length(F.get(parts, k))).alias("end"),
-        F.get(parts, k).alias("value"), F.substring(F.get(parts, k - 1), -80, 80).alias("before"),
-        F.substring(F.get(parts, k + 1), 1, 80).alias("after"),
-    ))
+
+    def match(k: Column) -> Column:
+        fields = [
+            F.get(starts, k).alias("start"), (F.get(starts, k) + F.length(F.get(parts, k))).alias("end"), F.get(parts, k).alias("value"),
+        ]
+        if context:
+            # Backwards, the words before a match are the first ones: a pattern tied to the
+            # start of the gap reads no more of it than these words.
+            back = F.reverse(F.get(parts, k - 1))
+            fields += [
+                F.lower(F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1))).alias("left"),
+                F.lower(F.reverse(F.regexp_extract(back, r"^\s*+\S++\s++(\S++)", 1))).alias("second"),
+                F.lower(F.regexp_extract(F.get(parts, k + 1), r"^\s*+(\S++)", 1)).alias("right"),
+            ]
+        return F.struct(*fields)
+
+    return F.transform(odd, match)
 
 
 def _digits(value: Column) -> Column:
@@ -117,10 +131,6 @@ def _is_seed(value: Column) -> Column:
     )
 
 
-def _word(gap: Column, pattern: str) -> Column:
-    return F.lower(F.regexp_extract(gap, pattern, 1))
-
-
 def _identifiers(matched: Column, base: Column) -> Column:
     """Identifiers with what stands around them; known are those of a base kind. Identifiers
     that only touch a base span are left out."""
@@ -129,15 +139,13 @@ def _identifiers(matched: Column, base: Column) -> Column:
     ))
     return F.transform(free, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), _is_seed(m["value"]).alias("known"),
-        _word(m["before"], r"([^\s]++)\s*+$").alias("left"),
-        _word(m["before"], r"([^\s]++)\s++[^\s]++\s*+$").alias("second"),
-        _word(m["after"], r"^\s*+([^\s]++)").alias("right"),
+        m["left"].alias("left"), m["second"].alias("second"), m["right"].alias("right"),
     ))
 
 
 def extracted(docs: DataFrame, *, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: __row (a number of its own), ``keep``, __id, __text (with ``keep`` only),
-    __base (all base spans, by kind as listed, then start) and __identifiers."""
+    """Per row: __row (a number of its own), ``keep``, __id, __base (all base spans, by kind
+    as listed, then start) and __identifiers."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, "\u0002")
     df = docs.select(*keep, F.col(id_col).alias("__id"), text.alias("__text"))
     text = F.col("__text")
@@ -148,11 +156,10 @@ def extracted(docs: DataFrame, *, id_col: str, text_col: str, keep: tuple[str, .
     patterns = {**_PATTERNS, "any": _IDENTIFIER}
     df = df.withColumns({f"__p_{k}": _parts(text, pattern, present[k]) for k, pattern in patterns.items()})
     df = df.withColumns({f"__s_{k}": _starts(F.col(f"__p_{k}")) for k in patterns})
-    df = df.withColumns({f"__m_{k}": _matched(F.col(f"__p_{k}"), F.col(f"__s_{k}")) for k in patterns})
+    df = df.withColumns({f"__m_{k}": _matched(F.col(f"__p_{k}"), F.col(f"__s_{k}"), k == "any") for k in patterns})
     df = df.withColumn("__base", F.concat(*[_spans(kind, F.col(f"__m_{kind}")) for kind in KINDS]))
     df = df.withColumn("__identifiers", _identifiers(F.col("__m_any"), F.col("__base")))
-    wanted = ("__text",) if keep else ()
-    return df.select(*keep, *wanted, "__id", "__base", "__identifiers", F.monotonically_increasing_id().alias("__row"))
+    return df.select(*keep, "__id", "__base", "__identifiers", F.monotonically_increasing_id().alias("__row"))
 
 
 def certain_identifiers(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -214,8 +221,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """The personal data of each text; one row per row of ``docs``.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context. Spans are
-    kind:start:end by kind (email, ip, card, phone, context), then start. Null or empty
-    text: no spans, the digest of the empty string. Without seeds no pattern is trusted.
+    kind:start:end by kind (email, ip, card, phone, context), then start. Identifiers, and
+    the words beside them, may have any length. Null or empty text: no spans, the digest of the empty string. Without seeds no pattern is trusted.
     Very long texts are read whole. Repeated rows and null ids stay as they are; an empty
     table gives no rows. Other columns are not read.
     """
@@ -244,15 +251,15 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind")
     )))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
-        text, end = F.col("__text"), -s["last"]
+        end = -s["last"]
         piece = F.when(s["start"] >= acc["at"], F.array(
             F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         )).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["pieces"], piece).alias("pieces"))
 
-    text = F.col("__text")
     whole = F.aggregate(order, start, step, lambda acc: F.concat(
         F.array_join(acc["pieces"], ""), F.substring(text, acc["at"] + 1, F.length(text))
     ))

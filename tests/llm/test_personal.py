@@ -70,13 +70,53 @@ def test_trusted_patterns_find_unseen_identifiers(spark):
     assert found[41].n_context == 0
 
 
+def contexts(left, second, right, values):
+    seeds = [f"{second}{k} {second} {left} 10.0.{k}.7 {right}" for k in range(40)]
+    return seeds + [f"other {second} {left} {v} {right}" for v in values]
+
+
+def test_identifiers_and_words_of_any_length(spark):
+    long_id, late_digit = "QX" + "Ab-_c" * 14 + "9", "q" * 200 + "-1"
+    texts = contexts("m" * 100, "s" * 120, "é" * 90, [long_id, late_digit, "x" * 70 + "no-digit"])
+    # Words that only end alike are other contexts.
+    texts += [f"other {'s' * 120} x{'m' * 100} QX-11-2222 {'é' * 90}x", "x" * 60_000 + " " * 60_000 + "QX-1234 " + "y" * 60_000]
+    found = {r.doc_id: r for r in personal.find(cases.documents(spark, texts)).collect()}
+    for k, value in ((40, long_id), (41, late_digit)):
+        start = texts[k].index(value)
+        assert found[k].spans == f"context:{start}:{start + len(value)}"
+    assert found[42].spans == found[43].spans == found[44].spans == ""
+
+
+def plain_words(text, start, end):
+    before, after = text[:start].split(), text[end:].split()
+    return (before[-1:] or [""])[0].lower(), (before[-2:-1] or [""])[0].lower(), (after[:1] or [""])[0].lower()
+
+
+def test_context_words_match_a_plain_reading(spark):
+    """The words between an identifier and the one before and after it."""
+    texts = [
+        "one Two 12345 three", "12345", " 12345 \n", "a\tb\n c  12345\u3000d AB-12 e", "x" * 300 + " y 99999 " + "z" * 300, "a@b.cd 12345 é ÀB1 x",
+    ]
+    df = personal.extracted(cases.documents(spark, texts), id_col="doc_id", text_col="text")
+    for r in df.collect():
+        text, at = texts[r["__id"]], 0
+        spans = sorted((m.start, m.end) for m in r["__identifiers"])
+        for m in sorted(r["__identifiers"], key=lambda m: m.start):
+            k = spans.index((m.start, m.end))
+            end = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+            left, second, right = plain_words(text[at:end], m.start - at, m.end - at)
+            if "\u3000" not in text:
+                assert (m.left, m.second, m.right) == (left, second, right)
+            at = m.end
+
+
 def test_redaction(spark):
     df = cases.odd(spark, ["mail a@b.cd now +1 (743) 555-3824", "10.0.0.1\x01", "nothing"] + CONTEXT[:41])
     texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     redacted = personal.redact(df)
     assert redacted.columns == df.columns and redacted.count() == df.count()
     found = {r.doc_id: r.text for r in redacted.select("doc_id", "text").collect()}
-    assert found[8] == "mail <EMAIL> now <PHONE>" and found[9].startswith("<IP>") and found[10] == "nothing"
+    assert found[8] == "mail <EMAIL> now <PHONE>" and found[9] == "<IP>\x01" and found[10] == "nothing"
     assert found[51] == "other member number <CONTEXT> please"
     assert found[0] is None and found[4] == texts[4]
     assert personal.redact(cases.empty(spark)).count() == 0
