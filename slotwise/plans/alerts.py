@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import (
-    children_of, counter_rate, label, label_values, latest, matches, matches_sql, sum_by, sustained, with_series,
+    children_of, counter_rate, counter_rates, label, label_values, latest, matches, matches_sql, sum_by, sustained, with_series,
 )
 
 
@@ -96,18 +97,6 @@ def threshold_points(src, rules=RULES, start: datetime | None = None, end: datet
     return _judge(samples, [(r, r.applies()) for r in chosen], "value")
 
 
-def rate_points(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> list[DataFrame]:
-    """Samples under the counter-rate rules, one frame per window length."""
-    chosen = _of(rules, "rate")
-    frames = []
-    for window in sorted({r.window for r in chosen}):
-        here = [r for r in chosen if r.window == window]
-        samples = src.metrics(sorted({r.metric for r in here}), start, end)
-        samples = samples.where(" OR ".join(f"({r.applies()})" for r in here))
-        frames.append(_judge(counter_rate(samples, window), [(r, r.applies()) for r in here], "rate"))
-    return frames
-
-
 def cpu_busy(src, window: int = 300, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Busy percentage per instant and instance: 100 minus the mean idle rate of its processors."""
     idle = src.metrics(["node_cpu_seconds_total"], start, end).where(matches(_IDLE))
@@ -139,12 +128,31 @@ def used_share(src, rules=RULES, start: datetime | None = None, end: datetime |
     return grouped.withColumn("used_share", share).where(F.col("used_share").isNotNull())
 
 
+def rate_points(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Samples under the counter-rate rules: one read and one pass for all windows."""
+    chosen = _of(rules, "rate")
+    windows = sorted({r.window for r in chosen})
+    wanted = ", ".join(
+        f"CASE WHEN {' OR '.join(f'({r.applies()})' for r in chosen if r.window == w)} THEN {w} END" for w in windows
+    )
+    samples = with_series(src.metrics(sorted({r.metric for r in chosen}), start, end)).selectExpr(
+        "*", f"explode(array_compact(array({wanted}))) AS window"
+    )
+    rated = counter_rates(samples, windows, ["labels"])
+    return _judge(rated, [(r, f"window = {r.window} AND {r.applies()}") for r in chosen], "rate")
+
+
 def alert_points(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Every evaluated point of every rule."""
+    """Every evaluated point of every rule: rule, series, ts, value, breach.
+
+    One read per form of rule, and these read different metrics: gauges are judged as they
+    stand, free and total amounts meet first, counters take one pass for all windows.
+    """
     frames = []
     if _of(rules, "value"):
         frames.append(threshold_points(src, rules, start, end))
-    frames += rate_points(src, rules, start, end)
+    if _of(rules, "rate"):
+        frames.append(rate_points(src, rules, start, end))
     for window in sorted({r.window for r in _of(rules, "busy")}):
         here = [(r, "true") for r in _of(rules, "busy") if r.window == window]
         busy = cpu_busy(src, window, start, end).selectExpr("ts", "concat('instance=', instance) AS series", "busy_pct")
@@ -158,9 +166,15 @@ def alert_points(src, rules=RULES, start: datetime | None = None, end: datetime
     return points
 
 
-def alert_table(src, rules=RULES, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Fired alerts: rule, severity, series, first and last instant, samples, last value."""
-    fired = sustained(alert_points(src, rules, start, end), ["rule", "series"], _per_rule(rules, "hold"))
+def alert_table(
+    src, rules=RULES, start: datetime | None = None, end: datetime | None = None, panes: Sequence[int] = (3600,)
+) -> DataFrame:
+    """Fired alerts: rule, severity, series, first and last instant, samples, last value.
+
+    ``panes`` are those of :func:`sustained`; the default holds some hundred samples of a
+    scraped series. Take shorter ones where series are denser.
+    """
+    fired = sustained(alert_points(src, rules, start, end), ["rule", "series"], _per_rule(rules, "hold"), panes)
     return fired.withColumn("severity", _per_rule(rules, "severity"))
 
 

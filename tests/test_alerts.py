@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -5,7 +7,7 @@ from helpers import at, dicts
 from pyspark.sql import functions as F
 
 from slotwise import schemas
-from slotwise.operators.series import children_of, counter_rate, matches, series_text, sum_by, sustained
+from slotwise.operators.series import children_of, counter_rate, counter_rates, matches, series_text, sum_by, sustained
 from slotwise.plans import alerts
 from slotwise.sources.tables import FrameTables
 
@@ -25,19 +27,19 @@ def breaches(spark, *patterns, step=15):
     return spark.createDataFrame(rows, "series string, ts timestamp_ntz, value double, breach boolean")
 
 
-@pytest.mark.parametrize("chunk", [15, 60, 6 * 3600])
-def test_only_an_unbroken_breach_of_the_full_length_fires(spark, chunk):
+@pytest.mark.parametrize("panes", [(15,), (60, 240), (60, 6 * 3600), (15, 45, 135, 405)])
+def test_only_an_unbroken_breach_of_the_full_length_fires(spark, panes):
     # 4 min 45 s, then 5 min 0 s
     pattern = "." + "x" * 20 + "." + "x" * 21 + "."
-    got = dicts(sustained(breaches(spark, pattern), ["series"], F.lit(300), chunk))
+    got = dicts(sustained(breaches(spark, pattern), ["series"], F.lit(300), panes))
     assert [(r["samples"], r["value"], r["to_ts"] - r["from_ts"]) for r in got] == [(21, 42.0, timedelta(minutes=5))]
 
 
-@pytest.mark.parametrize("chunk", [15, 45, 90, 6 * 3600])
-def test_runs_do_not_depend_on_the_chunks(spark, chunk):
+@pytest.mark.parametrize("panes", [(15,), (45,), (15, 45, 90), (30, 60, 120, 240), (60, 6 * 3600)])
+def test_runs_do_not_depend_on_the_panes(spark, panes):
     patterns = ["xxxx", "x..x", ".xx.xxx.x", "....", "xx......xx", "x.x.x.xx", "xxxxxxx.xxxxx"]
     want = sorted((p, len(run)) for p in patterns for run in p.split(".") if run)
-    got = dicts(sustained(breaches(spark, *patterns), ["series"], F.lit(0), chunk))
+    got = dicts(sustained(breaches(spark, *patterns), ["series"], F.lit(0), panes))
     assert sorted((r["series"], r["samples"]) for r in got) == want
 
 
@@ -47,15 +49,15 @@ def test_counter_reset_never_gives_a_negative_increase(spark):
     assert [None if r["rate"] is None else r["rate"] * 180 for r in got] == [None, 10.0, 15.0, 25.0]
 
 
-@pytest.mark.parametrize("chunk", [120, 600, 6 * 3600])
-def test_rates_do_not_depend_on_the_chunks(spark, chunk):
+@pytest.mark.parametrize("panes", [1, 2, 4, 7, 60])
+def test_rates_do_not_depend_on_the_panes(spark, panes):
     rows = [(i * 37, {"a": str(i % 2)}, (i * i * 13) % 400) for i in range(60)]
     want = []
     for i, (second, labels, _) in enumerate(rows):
         inside = [v for s, l, v in rows[: i + 1] if l == labels and s >= second - 120]
         steps = [b - a if b >= a else b for a, b in zip(inside, inside[1:])]
         want.append(sum(steps) / 120 if len(inside) >= 2 else None)
-    got = [r["rate"] for r in dicts(counter_rate(metric(spark, rows), 120, chunk).orderBy("ts"))]
+    got = [r["rate"] for r in dicts(counter_rate(metric(spark, rows), 120, panes, 1).orderBy("ts"))]
     assert got == pytest.approx(want)
 
 
@@ -108,3 +110,68 @@ def test_used_share_pairs_by_labels(spark):
     src = FrameTables(metrics=spark.createDataFrame(rows, UNKEYED))
     got = {(r["rule"], r["series"]) for r in dicts(alerts.alert_table(src))}
     assert got == {("DiskAlmostFull", "fstype=ext4,instance=h"), ("DiskCritical", "fstype=ext4,instance=h")}
+
+
+def plain_rates(rows, window):
+    """Rows of (seconds, series, value); the rate of each, by the definition."""
+    out = []
+    for second, series, _ in rows:
+        inside = [v for s, k, v in sorted(rows) if k == series and second - window <= s <= second]
+        steps = [b - a if b >= a else b for a, b in zip(inside, inside[1:])]
+        out.append((second, series, sum(steps) / window if len(inside) > 1 else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window, panes, least", [(60, 1, 1), (60, 4, 1), (300, 4, 60), (600, 4, 300), (300, 12, 1)])
+def test_rates_of_sparse_and_dense_series(spark, window, panes, least):
+    """Gaps of many panes, several samples a second, restarts in and between panes."""
+    draw = random.Random(window * panes)
+    rows = []
+    for series in "abc":
+        second, value = draw.randint(0, 50), 0.0
+        for _ in range(70):
+            second += draw.choice([1, 1, 2, 5, 15, 60, 61, 400, 3000])
+            value = draw.choice([value + draw.randint(0, 9), value + 100, draw.randint(0, 5)])
+            rows.append((second, series, value))
+    made = metric(spark, [(s, {"k": k}, v) for s, k, v in rows]).repartition(5)
+    got = sorted((int((r["ts"] - START).total_seconds()), r["labels"]["k"], r["rate"]) for r in dicts(counter_rate(made, window, panes, least)))
+    want = plain_rates(rows, window)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_rates_of_several_windows_in_one_pass(spark):
+    rows = [(s * 20, "a", (s * 7) % 50) for s in range(80)]
+    made = metric(spark, [(s, {"k": k}, v) for s, k, v in rows]).withColumn("series", series_text())
+    both = made.withColumn("window", F.explode(F.array(F.lit(0), F.lit(120), F.lit(600))))
+    got = dicts(counter_rates(both, [0, 120, 600], ["labels"]))
+    assert len(got) == 240 and all(r["rate"] is None and r["labels"] == {"k": "a"} for r in got if r["window"] == 0)
+    for window in (120, 600):
+        rates = [r["rate"] for r in sorted(got, key=lambda r: r["ts"]) if r["window"] == window]
+        assert rates == pytest.approx([w[2] for w in plain_rates(rows, window)])
+
+
+def windows_of(df):
+    return re.findall(r"Window \[.*?\], \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_window_holds_more_than_one_pane(spark):
+    samples = metric(spark, [(0, {}, 1)])
+    plans = windows_of(counter_rate(samples, 3600))
+    assert len(plans) >= 3 and all(re.match(r"_?pane#", keys) for keys in plans)
+    runs = windows_of(sustained(breaches(spark, "x."), ["series"], F.lit(0)))
+    # The first two see samples and the runs of one pane; the rest, at most two rows per pane.
+    assert len(runs) >= 3 and all(keys.startswith("_at#") for keys in runs[-2:])
+
+
+def test_a_dense_series_spreads_over_its_panes(spark):
+    """One series, an hour of many samples a second, in runs of 50 and one long one."""
+    dense = spark.range(200_000).select(
+        F.lit("s").alias("series"), (F.lit(START) + F.expr("make_dt_interval(0, 0, 0, id * 0.018)")).cast("timestamp_ntz").alias("ts"),
+        F.col("id").cast("double").alias("value"), ((F.col("id") % 51 != 0) | F.col("id").between(60_000, 150_000)).alias("breach"),
+    )
+    got = dicts(sustained(dense, ["series"], F.lit(60)))
+    assert [(r["samples"], r["value"]) for r in got] == [(150_042 - 59_977, 150_041.0)]
+    assert sustained(dense, ["series"], F.lit(0)).count() == sustained(dense, ["series"], F.lit(0), (3600,)).count()
+    panes = dense.groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 300_000_000)).count()
+    assert panes.count() >= 12 and panes.agg(F.max("count")).first()[0] <= 16_667
