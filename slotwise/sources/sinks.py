@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from datetime import date
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.operators.series import with_series
@@ -37,6 +34,19 @@ def write_days(
     )
 
 
+def add_run(df: DataFrame, path: str, run: str, sort: tuple[str, ...] = ("camera_id", "slot")) -> None:
+    """Append slots to the folder of a run, by day; no reader sees them until the run is
+    committed (:mod:`slotwise.sources.versions`)."""
+    (
+        df.withColumns({"dt": F.to_date("slot"), "run": F.lit(run)})
+        .hint("rebalance", F.col("dt"))
+        .sortWithinPartitions(*dict.fromkeys(("dt", *sort)))
+        .write.mode("append")
+        .partitionBy("run", "dt")
+        .parquet(path)
+    )
+
+
 def write_events(events: DataFrame, root: str, **options) -> None:
     """Slot rows without their samples, which are a table of their own."""
     write_days(events.drop("speed_series"), f"{root}/events", **options)
@@ -52,13 +62,6 @@ def write_frames(frames: DataFrame, root: str, **options) -> None:
     write_days(frames, f"{root}/frames", sort=("camera_id", "slot", "time"), **options)
 
 
-def drop_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
-    """Remove whole days of a stored table."""
-    for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def write_predicts(predicts: DataFrame, root: str, **options) -> None:
     write_days(predicts, f"{root}/predicts", **options)
 

@@ -12,6 +12,7 @@ from slotwise import schemas
 from slotwise.operators.joins import broadcast_below, scan_bytes, unnest_series
 from slotwise.operators.slots import KEYS, pack
 from slotwise.session import path_exists
+from slotwise.sources import versions
 
 
 # Bytes in memory of one byte of a Parquet file, at most, for the broadcast check.
@@ -38,7 +39,11 @@ def scan_days(df: DataFrame, column: str, start: datetime | None, end: datetime
 
 
 class StoredTables:
-    """The tables as :mod:`slotwise.sources.sinks` writes them under one root folder."""
+    """The tables as :mod:`slotwise.sources.sinks` writes them under one root folder.
+
+    Days that the batch job has committed are read from the folders of its runs, all tables
+    in the same version; other days from the tables' own folders.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -48,8 +53,25 @@ class StoredTables:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def _fact(self, name: str, schema, column: str, start, end) -> DataFrame:
-        with_day = type(schema)(schema.fields + [schemas.T.StructField("dt", schemas.T.DateType())])
-        return scan_days(self._read(name, with_day), column, start, end).drop("dt")
+        day = schemas.T.StructField("dt", schemas.T.DateType())
+        with_day = type(schema)([*schema.fields, day])
+        days = (versions.current(self.spark, self.root) or {}).get(name)
+        own = path_exists(self.spark, f"{self.root}/{name}")
+        rows = scan_days(self._read(name, with_day), column, start, end) if own or not days else None
+        if days:
+            if rows is not None:
+                rows = rows.where(~F.col("dt").isin(*days))
+            base = f"{self.root}/runs/{name}"
+            # One folder per day of the range; the pointer table holds a row per day.
+            paths = [
+                f"{base}/run={run}/dt={dt.isoformat()}" for dt, run in sorted(days.items())
+                if (start is None or dt >= start.date()) and (end is None or dt <= end.date())
+            ]
+            with_run = type(schema)([*schema.fields, schemas.T.StructField("run", schemas.T.StringType()), day])
+            if paths:
+                run = in_range(self.spark.read.schema(with_run).option("basePath", base).parquet(*paths), column, start, end).drop("run")
+                rows = run if rows is None else rows.unionByName(run)
+        return self.spark.createDataFrame([], schema) if rows is None else rows.drop("dt")
 
     def events(
         self, start: datetime | None = None, end: datetime | None = None, series: bool = False
@@ -63,10 +85,13 @@ class StoredTables:
 
     def exists(self) -> bool:
         """Whether any events were ever written."""
-        return path_exists(self.spark, f"{self.root}/events")
+        return self._has("events")
+
+    def _has(self, name: str) -> bool:
+        return path_exists(self.spark, f"{self.root}/{name}") or bool((versions.current(self.spark, self.root) or {}).get(name))
 
     def _long(self, name: str, schema, start, end) -> DataFrame:
-        if not path_exists(self.spark, f"{self.root}/{name}"):
+        if not self._has(name):
             return self.spark.createDataFrame([], schema)
         return self._fact(name, schema, "slot", start, end)
 
