@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwise.functions.timekeys import camera_from_path, slot_from_path
+from slotwise.sources.json_ranges import array_records
 
 # Fixed value: the suffix is matched in any case.
 JSON_SUFFIX = "*.[jJ][sS][oO][nN]"
 CORRUPT = "_corrupt_record"
+#: Bytes of a file above which it is read in ranges.
+SPLIT_ABOVE = 32 << 20
 
 
 def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> DataFrame:
     """Every JSON object under a prefix, at any depth: path and length, in path order.
 
-    Spark lists large trees on the executors and the contents are not read.
+    The contents are not read. Spark lists large trees on the executors, but keeps the names
+    of all files in the driver's file index.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     return files.load(prefix).select("path", "length").orderBy("path")
@@ -44,9 +48,10 @@ def _typed(column: Column, kind: T.DataType) -> Column:
     return column if isinstance(kind, T.StringType) else column.try_cast(kind)
 
 
-def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str) -> DataFrame:
-    """Records with text leaves, ``path``, and whether the file is no JSON at all."""
-    loose = T.StructType([*_as_text(schema).fields, T.StructField(CORRUPT, T.StringType())])
+def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str, split_above: int) -> DataFrame:
+    """Records with text leaves, ``path``, and whether it is no JSON at all."""
+    text_leaves = _as_text(schema)
+    loose = T.StructType([*text_leaves.fields, T.StructField(CORRUPT, T.StringType())])
     records = (
         spark.read.schema(loose)
         .option("multiLine", True)
@@ -55,31 +60,49 @@ def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .json(prefix)
+        .where(F.col("_metadata.file_size") <= split_above)
     )
     nothing = F.lit(True)
     for name in schema.fieldNames():
         nothing = nothing & F.col(name).isNull()
     broken = nothing | F.try_parse_json(F.col(CORRUPT)).isNull()
-    return records.select(
+    whole = records.select(
         *schema.fieldNames(), F.col("_metadata.file_path").alias("path"),
         (F.col(CORRUPT).isNotNull() & broken).alias("unreadable"),
     )
+    listed = list_json(spark, prefix, pattern).where(F.col("length") > split_above)
+    if listed.isEmpty():
+        return whole
+    # Files are told apart by their size; none is read both ways.
+    pieces = array_records(spark, prefix, pattern, split_above)
+    readable = F.col("whole") & F.try_parse_json(F.col("record")).isNotNull()
+    split = pieces.select("path", (~readable).alias("unreadable"), F.from_json("record", text_leaves).alias("r")).select(
+        *[F.col(f"r.{name}").alias(name) for name in schema.fieldNames()], "path", "unreadable"
+    )
+    return whole.unionByName(split)
 
 
-def read_json(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
+def read_json(
+    spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
     """All records under a prefix, with ``path``.
 
     Arrays become rows, ``[]`` gives none, and a file that is not JSON gives none either;
     :func:`unreadable_files` names it. A field of the wrong type is NULL, the rest of its
     record stays. ``{}`` gives a row of NULLs, which the cleaning operators drop.
+
+    Files up to ``split_above`` bytes are read by one task each. Larger ones are arrays read
+    in ranges by many; there a broken record costs only itself.
     """
-    records = _parsed(spark, prefix, schema, pattern).where(~F.col("unreadable"))
+    records = _parsed(spark, prefix, schema, pattern, split_above).where(~F.col("unreadable"))
     return records.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields], "path")
 
 
-def unreadable_files(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX) -> DataFrame:
-    """The paths of the files that :func:`read_json` could not read as JSON."""
-    return _parsed(spark, prefix, schema, pattern).where("unreadable").select("path").distinct()
+def unreadable_files(
+    spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
+    """The paths of the files of which :func:`read_json` could not read all as JSON."""
+    return _parsed(spark, prefix, schema, pattern, split_above).where("unreadable").select("path").distinct()
 
 
 def keyed_by_path(records: DataFrame) -> DataFrame:
