@@ -105,7 +105,9 @@ SELECT camera_id, slot, {cut('vehicles_count', (20, 'green'), (60, 'yellow'), ot
 FROM t_events""")
 SQL["alert_type"] = over("""
 SELECT camera_id, slot, CASE WHEN z < -3 THEN 'Sudden Drop' WHEN z > 3 THEN 'Sudden Spike' WHEN jam THEN 'Congestion' ELSE 'Normal' END AS alert_type
-FROM sc""", TODAY_EVENTS, BASELINE, SCORED)
+FROM (SELECT camera_id, slot, CASE WHEN s > 0 THEN (vehicles_count - m) / s END AS z, coalesce(speed_avg_kmh < 15, false) AS jam
+      FROM t_events JOIN (SELECT camera_id, avg(vehicles_count) AS m, stddev_samp(vehicles_count) AS s FROM t_events GROUP BY camera_id) b
+      USING (camera_id)) x""")
 SQL["safe_divide"] = over(f"""
 SELECT camera_id, slot, {q6('CASE WHEN coalesce(speed_min_kmh, 0) = 0 THEN -1 ELSE vehicles_count / speed_min_kmh END')} AS per_kmh
 FROM t_events""")

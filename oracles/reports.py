@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.views import SLOW, TODAY, day, day_type, dow, i, n, over, pct, period, q6, r
+from oracles.views import AS_OF, SLOW, TODAY, day, day_type, dow, i, n, over, pct, period, q6, r
 
 AV, AS = r("avg(vehicles_count)"), r("avg(speed_avg_kmh)")
 NAMES = "['Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday']"
@@ -338,8 +338,10 @@ WHERE before IS NOT NULL"""
 SQL["traffic_month_growth"] = over(f"""
 SELECT month, total, {q6('(total / before - 1) * 100')} AS growth_pct
 FROM (SELECT month, total, lag(total) OVER (ORDER BY month) AS before
-      FROM (SELECT strftime(d, '%Y-%m') AS month, coalesce(sum(total), 0) AS total FROM dd GROUP BY ALL) m) x
-WHERE before IS NOT NULL""", DAILY)
+      FROM (SELECT strftime(moved, '%Y-%m') AS month, coalesce(sum(vehicles_count), 0) AS total
+            FROM (SELECT *, slot - to_months(CAST(day(slot) % 3 AS INTEGER)) AS moved FROM t_events JOIN t_cameras USING (camera_id)) e
+            WHERE moved >= {AS_OF} - INTERVAL 90 DAY AND moved < {AS_OF} GROUP BY ALL) m) x
+WHERE before IS NOT NULL""")
 SQL["completeness"] = over(f"""
 SELECT {n('count(*)')} AS expected_days, {n('count(total)')} AS present_days, {n('count(*) - count(total)')} AS missing_days,
        {r(pct('count(total)', 'count(*)'))} AS complete_pct

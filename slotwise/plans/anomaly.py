@@ -20,16 +20,18 @@ def baseline(events: DataFrame) -> DataFrame:
     )
 
 
-def with_baseline(src, as_of: datetime, days: int = 7) -> DataFrame:
-    """Today's slots of cameras that have a baseline, with their z-score.
+def scored(slots: DataFrame, base: DataFrame) -> DataFrame:
+    """Slots of cameras that have a baseline, with their z-score; NULL where the deviation
+    is 0 or unknown."""
+    z = (F.col("vehicles_count") - F.col("avg_vehicles")) / F.col("std_vehicles")
+    columns = slots.select("camera_id", "slot", "vehicles_count", "speed_avg_kmh")
+    return columns.join(base, "camera_id").withColumn("z_score", F.when(F.col("std_vehicles") > 0, z))
+
 
-    The z-score is NULL where the deviation is 0 or unknown.
-    """
+def with_baseline(src, as_of: datetime, days: int = 7) -> DataFrame:
+    """Today's slots, :func:`scored` against the days before."""
     today = day_start(as_of)
-    current = src.events(today).select("camera_id", "slot", "vehicles_count", "speed_avg_kmh")
-    joined = current.join(baseline(src.events(today - timedelta(days=days), today)), "camera_id")
-    z = (F.col("vehicles_count") - F.col("avg_vehicles")) / F.col("std_vehicles")
-    return joined.withColumn("z_score", F.when(F.col("std_vehicles") > 0, z))
+    return scored(src.events(today), baseline(src.events(today - timedelta(days=days), today)))
 
 
 def anomalies(src, as_of: datetime) -> DataFrame:

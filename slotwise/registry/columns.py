@@ -126,7 +126,8 @@ register("traffic_light_band", lambda src: src.events().select(
     labels.traffic_light(F.col("speed_avg_kmh"), 15, 25, high_is_bad=False).alias("speed_light"),
     labels.gauge_band(F.col("speed_avg_kmh"), 50).alias("gauge"),
     labels.bullet_band(F.col("speed_avg_kmh"), 10, 20, 40).alias("bullet")))
-register("alert_type", lambda src: anomaly.with_baseline(src, AS_OF).select(
+# Every slot, against all slots of its camera.
+register("alert_type", lambda src: anomaly.scored(src.events(), anomaly.baseline(src.events())).select(
     *KEY, labels.alert_type(F.col("z_score"), labels.is_congested(F.col("speed_avg_kmh"))).alias("alert_type")))
 register("safe_divide", lambda src: src.events().select(
     *KEY, safe_divide(F.col("vehicles_count"), F.col("speed_min_kmh"), -1.0).alias("per_kmh")), 6)

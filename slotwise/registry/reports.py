@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.plans import anomaly, city, forecast, heatmap, quality, speed, trend, weather
 from slotwise.registry.base import AS_OF, DAYS, HOURS, register
+from slotwise.sources.tables import FrameTables
 
 
 def _windowed(report, digits: int | None = None, name: str | None = None, days: int = DAYS, **options):
@@ -81,6 +82,14 @@ register(
     lambda src: trend.month_growth(src.table("orders").withColumn("price", F.floor("o_totalprice").cast("double")), "o_orderdate", "price"),
     6,
 )
-register("traffic_month_growth", lambda src: trend.traffic_month_growth(src, AS_OF), 6)
+
+
+def _over_three_months(src) -> FrameTables:
+    """The slots moved to one of three months by their day, as the events span one alone."""
+    moved = src.events().withColumn("slot", F.expr("slot - make_ym_interval(0, day(slot) % 3)"))
+    return FrameTables(moved, src.cameras())
+
+
+register("traffic_month_growth", lambda src: trend.traffic_month_growth(_over_three_months(src), AS_OF), 6)
 _windowed(trend.completeness, 6)
 _windowed(trend.completeness_days, 6)

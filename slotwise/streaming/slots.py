@@ -108,7 +108,8 @@ def stream_slot_rows(feeds: DataFrame, lateness: str = LATENESS, local: bool = T
             F.avg("speed").alias("speed_avg_kmh"),
             F.min("speed").alias("speed_min_kmh"),
             F.max("speed").alias("speed_max_kmh"),
-            F.max_by("doc", F.when(F.col("doc").isNotNull(), F.col("ts"))).alias("_doc"),
+            # Of documents of one instant the largest as text, so that a re-run agrees.
+            F.max_by("doc", F.when(F.col("doc").isNotNull(), F.struct("ts", F.to_json("doc")))).alias("_doc"),
         )
     )
     return merged.select(
@@ -128,7 +129,8 @@ def stream_rate(samples: DataFrame, window: str = "10 minutes", slide: str = "15
     Samples are first reduced to panes of one slide: first and last value, and the increase
     from sample to sample, where a drop is a restart from 0. A window then adds its panes'
     increases and the steps between them, so any number of restarts is counted, and a
-    window's state is one small row per pane, not per sample.
+    window's state is one small row per pane, not per sample. A pane's own state, until the
+    watermark closes it, is its samples: late ones may still come between them.
     """
     step = lambda before, after: F.when(after >= before, after - before).otherwise(after)
     panes = (
@@ -198,22 +200,38 @@ def split_rejects(records: DataFrame, path: str, checkpoint: str, once: bool = F
     return _each_batch(records, write, checkpoint, once)
 
 
-def keep_latest(records: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """The last record per camera, as numbered snapshots; read them with :func:`read_latest`.
+#: Batches after which the changes may be folded into the base, at least.
+FOLD_BATCHES = 8
 
-    A batch merges into the newest snapshot before it and writes its own, so running a
-    batch again gives the same snapshot.
+
+def keep_latest(records: DataFrame, path: str, checkpoint: str, once: bool = False, fold_batches: int = FOLD_BATCHES) -> StreamingQuery:
+    """The last record per camera, as a base and changes; read it with :func:`read_latest`.
+
+    A batch writes its own newest record per camera to ``changes/batch=<id>``, and no more:
+    what is written follows the batch. When the changes since the base are as large as the
+    base, and ``fold_batches`` or more, they are folded into the next base, so folding
+    writes no more than the batches did. What the base before it covers is then removed.
+    A batch that runs again overwrites its change and its base with the same rows.
     """
     columns = records.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = last_per_camera(batch)
-        before = _newest_snapshot(spark, path, batch_id)
-        if before is not None:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/snapshot={before}")
-            merged = last_per_camera(merged.unionByName(old))
-        merged.select(*columns).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        last_per_camera(batch).select(*columns).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        base, changes = _state(spark, path, batch_id)
+        size = sum(_bytes(spark, f"{path}/changes/batch={n}") for n in changes)
+        if len(changes) < fold_batches or (base is not None and size < _bytes(spark, f"{path}/base/batch={base}")):
+            return
+        merged = last_per_camera(_state_rows(spark, path, batch.schema, base, changes))
+        merged.select(*columns).write.mode("overwrite").parquet(f"{path}/base/batch={batch_id}")
+        # The base before stays, with the changes after it, for readers that have begun and
+        # for this batch, should it run again.
+        old = -1 if base is None else base
+        for kind, limit in (("base", old), ("changes", old + 1)):
+            for n in _finished(spark, f"{path}/{kind}"):
+                if n < limit:
+                    files, folder = _folder(spark, f"{path}/{kind}/batch={n}")
+                    files.delete(folder, True)
 
     return _each_batch(records, write, checkpoint, once)
 
@@ -225,25 +243,47 @@ def last_per_camera(records: DataFrame) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    newest = _newest_snapshot(spark, path, None)
-    if newest is None:
+    """What :func:`keep_latest` holds: the newest base and the changes after it, merged."""
+    base, changes = _state(spark, path, None)
+    if base is None and not changes:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/snapshot={newest}")
+    return last_per_camera(_state_rows(spark, path, schema, base, changes)).select(*schema.fieldNames())
+
+
+def _state(spark: SparkSession, path: str, upto: int | None) -> tuple[int | None, list[int]]:
+    """The newest base before batch ``upto``, and the changes after it up to that batch."""
+    bases = [n for n in _finished(spark, f"{path}/base") if upto is None or n < upto]
+    base = max(bases, default=None)
+    changes = _finished(spark, f"{path}/changes")
+    return base, [n for n in changes if (base is None or n > base) and (upto is None or n <= upto)]
+
+
+def _state_rows(spark: SparkSession, path: str, schema: T.StructType, base: int | None, changes: list[int]) -> DataFrame:
+    folders = [f"{path}/changes/batch={n}" for n in changes] + ([] if base is None else [f"{path}/base/batch={base}"])
+    return spark.read.schema(schema).parquet(*folders)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    files, folder = _folder(spark, path)
+    return files.getContentSummary(folder).getLength()
 
 
-def _newest_snapshot(spark: SparkSession, path: str, before: int | None) -> int | None:
-    """The highest finished snapshot number, below ``before`` where given."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the finished batches under a folder: since the last fold, not all."""
+    files, root = _folder(spark, path)
     if not files.exists(root):
-        return None
+        return []
     numbers = []
     for status in files.listStatus(root):
         folder = status.getPath()
-        done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-        if folder.getName().startswith("snapshot=") and files.exists(done):
+        if folder.getName().startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
             numbers.append(int(folder.getName().split("=")[1]))
-    return max((n for n in numbers if before is None or n < before), default=None)
+    return sorted(numbers)
 
 
 def _each_batch(records: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:

@@ -137,3 +137,52 @@ def test_streamed_rate_is_the_batch_rate(spark, tmp_path, values):
 def test_decode(spark):
     messages = spark.createDataFrame([(b'{"camera_id": "a", "speed": 3}', at("2024-01-01")), (b"{bad", at("2024-01-01"))], "value binary, timestamp timestamp")
     assert [r["camera_id"] for r in dicts(stream.decode(messages, schemas.RAW_SPEED))] == ["a", None]
+
+
+def test_the_latest_table_is_a_log_that_is_folded(spark, tmp_path):
+    """Many batches of few of many cameras: what is written follows the batch, old files go."""
+    schema = schemas.T.StructType.fromDDL(FEED)
+    out, folder = tmp_path / "out", tmp_path / "in"
+    size = lambda kind: {f.name: sum(x.stat().st_size for x in f.glob("*.parquet")) for f in (out / kind).glob("batch=*")} if (out / kind).exists() else {}
+
+    def run():
+        live = stream.file_records(spark, str(folder), schema, per_trigger=1)
+        stream.keep_latest(live, str(out), f"{tmp_path}/ck", once=True, fold_batches=4).awaitTermination()
+        return {r["camera_id"]: r["speed"] for r in dicts(stream.read_latest(spark, str(out), schema))}
+
+    write(folder, "00.json", [(f"c{k}", "2024-01-01 00:00:00", "frame", 0.0, None) for k in range(3000)])
+    want = dict.fromkeys((f"c{k}" for k in range(3000)), 0.0)
+    for k in range(1, 12):
+        write(folder, f"{k:02d}.json", [(f"c{k}", f"2024-01-01 00:{k:02d}:00", "frame", float(k), None), (f"c{k + 1}", "2023-01-01 00:00:00", "frame", -1.0, None)])
+        want[f"c{k}"] = float(k)
+    assert run() == want
+    # The first fold came with the fourth batch; later changes are far smaller than the base.
+    assert list(size("base")) == ["batch=3"] and max(size("changes").values()) == size("changes")["batch=0"]
+    assert all(n < 0.2 * size("base")["batch=3"] for name, n in size("changes").items() if name != "batch=0")
+    for k in range(12, 17):
+        write(folder, f"{k:02d}.json", [(f"c{j}", f"2024-01-02 00:{k:02d}:00", "frame", float(k), None) for j in range(3000)])
+    assert run() == dict.fromkeys(want, 16.0)
+    bases = sorted(int(n[6:]) for n in size("base"))
+    assert 1 <= len(bases) <= 2 and bases[-1] >= 12
+    assert min(int(n[6:]) for n in size("changes")) > 3
+
+
+def test_a_batch_of_the_latest_table_that_runs_again_changes_nothing(spark, tmp_path):
+    schema = schemas.T.StructType.fromDDL(FEED)
+    write(tmp_path / "in", "1.json", [("a", f"2024-01-01 00:0{k}:00", "frame", float(k), None) for k in range(9)])
+    seen = []
+    for checkpoint in ("one", "two"):  # a lost checkpoint runs batch 0 again
+        live = stream.file_records(spark, str(tmp_path / "in"), schema, per_trigger=1)
+        stream.keep_latest(live, f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", once=True, fold_batches=1).awaitTermination()
+        seen.append(dicts(stream.read_latest(spark, f"{tmp_path}/out", schema)))
+    assert seen[0] == seen[1] and seen[0][0]["speed"] == 8.0
+    assert stream.read_latest(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_weather_documents_of_one_instant(spark, tmp_path):
+    for k, order in enumerate(((30.0, 31.0), (31.0, 30.0))):
+        root = tmp_path / str(k)
+        root.mkdir()
+        write(root / "in", "1.json", [("a", "2024-01-01 00:01:00", "weather", None, t) for t in order] + [("z", "2024-01-01 01:00:00", "frame", None, None)])
+        drain(stream.stream_slot_rows(feeds(spark, root / "in"), local=False), root)
+        assert [r["weather"]["temp"] for r in dicts(read(spark, root)) if r["camera_id"] == "a"] == [31.0]
