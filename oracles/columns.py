@@ -132,6 +132,7 @@ SELECT camera_id, {n('count(*)')} AS slots, {n(SLOW)} AS slow_slots FROM t_event
 SQL["join_camera"] = over(f"SELECT {PLAIN}, display_name, district, status FROM t_events JOIN t_cameras USING (camera_id)")
 SQL["join_predict"] = over(
     f"SELECT {PLAIN}, count_preds[1] AS count_t1 FROM t_events JOIN t_predicts USING (camera_id, slot)")
+SQL["join_predict_bucketed"] = SQL["join_predict"]
 SQL["join_baseline"] = over(f"""
 SELECT camera_id, slot, {q6('vehicles_count')} AS vehicles_count, {q6('bl.m')} AS avg_vehicles, {q6('s')} AS std_vehicles, {q6('z')} AS z_score
 FROM sc JOIN bl USING (camera_id)""", TODAY_EVENTS, BASELINE, SCORED)

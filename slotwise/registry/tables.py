@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from slotwise import schemas
 from slotwise.functions.cleaning import flat_weather
 from slotwise.operators import slots
+from slotwise.operators.joins import join_predicts
 from slotwise.plans import ingest
 from slotwise.registry.base import AS_OF, BUCKET, register
 from slotwise.session import fresh_dir
 from slotwise.sources import json_feed, sinks
+from slotwise.sources.bucketed import BucketedTables
 from slotwise.sources.tables import StoredTables
 
 KEY = ["camera_id", "slot"]
@@ -165,6 +167,17 @@ register("sink_predicts", _sink_predicts)
 register("src_metrics", _src_metrics)
 
 
+def _join_bucketed(src):
+    """Slots and forecasts joined bucket by bucket."""
+    tables = BucketedTables(src.spark, fresh_dir(src.spark, "tables"), 4)
+    tables.write("events", src.events())
+    tables.write("predicts", src.predicts())
+    return join_predicts(tables.events(), tables.predicts()).select(*PLAIN, F.element_at("count_preds", 1).alias("count_t1"))
+
+
+register("join_predict_bucketed", _join_bucketed)
+
+
 # JSON
 
 
