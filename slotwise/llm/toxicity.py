@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are tagged with their class (insult, threat, target, negation, report, quotation
-mark, boundary or other). Five transducers over these classes are composed into one: it
-reads a clause and writes, for each insult or threat, whether it is aimed at someone,
-negated, or reported as another's words. A document's score follows from its matched
-clauses, not from its words one by one. The words of the insult class and their weights,
-and the weights of the outcomes, are learned from labelled documents.
+Words are tagged with their class (insult word, verb of harm, first person or intent,
+target, negation, report, quotation mark, boundary or other). Six weighted transducers over
+these classes are composed into one, the weights of their arcs multiplied: the first two
+find insults and threats, the others rewrite them to aimed, negated or reported ones and
+weigh them by how near the target, the negation or the report stands. A document's score
+follows from its matched clauses, not from its words one by one. The words of the insult
+class and their weights, and the weights of the outcomes, are learned from labelled
+documents.
 """
 
 from __future__ import annotations
@@ -27,18 +29,18 @@ from slotwise.llm.shingles import shingles, sketch
 
 #: Labelled documents the grammar is learned from, at most (those with the smallest hash).
 TRAINING_ROWS = 12_000
-#: Words and beginnings of words in the insult class, at most.
-MOST_TERMS = 2_000
 #: A term must be in so many labelled documents of either half, and so many times as likely in a toxic one.
 LEAST_DOCUMENTS, LEAST_RATIO = 4, 6.0
 PREFIXES = (4, 5, 6, 7)
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]|[\"“”„«»]")
+#: A contracted negation, another word, a mark that ends a sentence or a paragraph, a quotation mark.
+_TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+|[.!?;\n]|[\"“”„«»]")
 
 # Classes with a closed list, in the four languages of the corpus.
 _LISTS = {
-    "T": """kill kills hurt destroy beat stab shoot murder burn crush töten umbringen schlagen vernichten tuer frapper
+    "H": """kill kills hurt destroy beat stab shoot murder burn crush töten umbringen schlagen vernichten tuer frapper
             détruire brûler matar golpear destruir quemar""",
+    "F": """i we my our gonna will shall ich wir werde werden wollen je nous vais allons yo nosotros voy vamos""",
     "Y": """you your yours yourself he him his she her they them their u du dich dir dein deine ihr euch sie tu toi ton
             ta vous votre vos il elle ils elles tú ti usted ustedes él ella ellos ellas vosotros""",
     "N": """not never no none nobody neither nor without cannot nicht nie niemals kein keine keinen ohne pas jamais aucun
@@ -48,80 +50,121 @@ _LISTS = {
 }
 _CLOSED = {word: symbol for symbol, words in _LISTS.items() for word in words.split()}
 _TAGS = {symbol: (symbol, 1.0) for symbol in (*_LISTS, "o")}
-_QUOTES = frozenset("\"“”„«»")
+_MARKS = {**dict.fromkeys("\"“”„«»", "Q"), **dict.fromkeys(".!?;", "B"), "\n": "P"}
+
+#: What is read: W insult word, H verb of harm, F first person or intent, Y target, N negation, R report,
+#: Q quotation mark, B end of a sentence, P end of a paragraph, o other.
+INPUT = frozenset("WHFYNRQBPo")
+#: What is written besides: I insult, T threat, J and U the same aimed at someone, each with - if negated, = if reported.
+HITS = ("I", "T", "J", "U")
 
 
 class Transducer(NamedTuple):
-    """Deterministic: (state, symbol) to (state, output); a pair that is missing keeps both."""
+    """Deterministic and weighted: (state, symbol) to (state, output, weight); a pair that
+    is missing keeps both, with weight 1."""
 
-    arcs: dict[tuple[str, str], tuple[str, str]]
+    arcs: dict[tuple[str, str], tuple[str, str, float]]
     start: str = "0"
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
 
-#: Symbols the transducers read and write: I insult, T threat, Y target, N negation, R report, Q quotation mark,
-#: o other; J and U are an insult and a threat aimed at someone, - marks a negated one, = a reported one.
-_INPUT = "ITYNRQo"
+def _insults() -> Transducer:
+    """Insult words are insults; one right after another weighs more."""
+    arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
+    for symbol in INPUT:
+        for state in ("0", "1"):
+            arcs[state, symbol] = ("0", symbol, 1.0)
+    return Transducer(arcs | {("0", "W"): ("1", "I", 1.0), ("1", "W"): ("1", "I", 1.5)})
 
 
-def _near(trigger: str, window: int, rewrite: dict[str, str]) -> Transducer:
-    """Rewrites symbols that follow the trigger within ``window`` symbols."""
+def _near(trigger: str, window: int, rewrite: dict[str, str], nearest: float, farthest: float, symbols: frozenset[str]) -> Transducer:
+    """Rewrites symbols that follow the trigger within ``window`` symbols, weighed from
+    ``nearest`` down (or up) to ``farthest``; sentences and paragraphs end its reach."""
     arcs = {}
-    states = ["0", *map(str, range(window, 0, -1))]
-    for state in states:
-        arcs[state, trigger] = (str(window), trigger)
-        later = "0" if state in ("0", "1") else str(int(state) - 1)
-        for symbol in {*"ITYNRQoJU", "I-", "T-", "J-", "U-"} - {trigger}:
-            arcs[state, symbol] = (later, rewrite.get(symbol, symbol) if state != "0" else symbol)
+    for left in range(window + 1):
+        state = str(left)
+        weight = farthest + (nearest - farthest) * (left - 1) / max(1, window - 1)
+        for symbol in symbols:
+            if symbol == trigger:
+                arcs[state, symbol] = (str(window), symbol, 1.0)
+            elif symbol in "BP":
+                arcs[state, symbol] = ("0", symbol, 1.0)
+            elif left and symbol in rewrite:
+                arcs[state, symbol] = (str(left - 1), rewrite[symbol], weight)
+            else:
+                arcs[state, symbol] = (str(max(0, left - 1)), symbol, 1.0)
     return Transducer(arcs)
 
 
-def _quoted(rewrite: dict[str, str]) -> Transducer:
-    """Rewrites symbols between quotation marks."""
-    arcs = {("0", "Q"): ("1", "Q"), ("1", "Q"): ("0", "Q")}
-    return Transducer(arcs | {("1", s): ("1", out) for s, out in rewrite.items()})
+def _threats(symbols: frozenset[str]) -> Transducer:
+    """Verbs of harm are threats; after a first person or an intent they weigh more."""
+    near = _near("F", 3, {"H": "T"}, 2.0, 1.5, symbols)
+    return Transducer({key: ((state, "T", 0.75) if key == ("0", "H") else (state, out, w)) for key, (state, out, w) in near.arcs.items()})
+
+
+def _quoted(rewrite: dict[str, str], weight: float) -> Transducer:
+    """Rewrites symbols between quotation marks. A quotation may hold several sentences, but
+    ends with the paragraph."""
+    arcs = {("0", "Q"): ("1", "Q", 1.0), ("1", "Q"): ("0", "Q", 1.0), ("1", "P"): ("0", "P", 1.0)}
+    return Transducer(arcs | {("1", s): ("1", out, weight) for s, out in rewrite.items()})
 
 
-def compose(first: Transducer, second: Transducer, symbols: set[str]) -> tuple[Transducer, set[str]]:
-    """The transducer that passes the first one's output to the second, and what it writes."""
-    arcs, out = {}, set()
-    todo, seen = [(first.start, second.start)], {(first.start, second.start)}
+def compose(first: Transducer, second: Transducer, symbols: frozenset[str]) -> tuple[Transducer, frozenset[str]]:
+    """The transducer that passes the first one's output to the second, weights multiplied,
+    and what it writes."""
+    arcs, out, names = {}, set(), {(first.start, second.start): "0"}
+    todo = [(first.start, second.start)]
     while todo:
         a, b = todo.pop()
         for symbol in symbols:
-            na, middle = first.step(a, symbol)
-            nb, written = second.step(b, middle)
-            arcs[f"{a}|{b}", symbol] = (f"{na}|{nb}", written)
+            na, middle, one = first.step(a, symbol)
+            nb, written, two = second.step(b, middle)
             out.add(written)
-            if (na, nb) not in seen:
-                seen.add((na, nb))
+            if (na, nb) not in names:
+                names[na, nb] = str(len(names))
                 todo.append((na, nb))
-    return Transducer(arcs, f"{first.start}|{second.start}"), out
+            arcs[names[a, b], symbol] = (names[na, nb], written, one * two)
+    return Transducer(arcs), frozenset(out)
+
+
+def stages() -> list[Transducer]:
+    """Insult, threat, target, negation, report and quotation, each over what those before it write."""
+    found, symbols = [], INPUT
+    reported = {x: f"{x[0]}=" for h in HITS for x in (h, f"{h}-")}
+    for build in (
+        lambda s: _insults(), _threats,
+        lambda s: _near("Y", 4, {"I": "J", "T": "U"}, 1.6, 1.1, s),
+        lambda s: _near("N", 3, {h: f"{h}-" for h in HITS}, 0.2, 0.5, s),
+        lambda s: _near("R", 8, reported, 0.3, 0.6, s),
+        lambda s: _quoted(reported, 0.4),
+    ):
+        stage = build(symbols)
+        found.append(stage)
+        symbols = frozenset(stage.step(state, symbol)[1] for state in {stage.start, *(s for s, _ in stage.arcs)} for symbol in symbols)
+    return found
 
 
 def grammar() -> Transducer:
-    """Target, negation, report and quotation over the tagged words, composed."""
-    hits = ("I", "T", "J", "U")
+    """All stages, composed."""
     machine = Transducer({})
-    symbols = set(_INPUT)
-    for stage in (
-        _near("Y", 4, {"I": "J", "T": "U"}),
-        _near("N", 3, {h: f"{h}-" for h in hits}),
-        _near("R", 8, {x: f"{x[0]}=" for h in hits for x in (h, f"{h}-")}),
-        _quoted({x: f"{x[0]}=" for h in hits for x in (h, f"{h}-")}),
-    ):
-        machine, _ = compose(machine, stage, symbols)
+    for stage in stages():
+        machine, _ = compose(machine, stage, INPUT)
     return machine
 
 
 GRAMMAR = grammar()
 #: The outcomes that are weighed apart: plain, aimed, negated, reported; insults and threats.
 _OUTCOMES = {"I": 0, "J": 1, "I-": 2, "J-": 2, "I=": 3, "J=": 3, "T": 4, "U": 5, "T-": 6, "U-": 6, "T=": 6, "U=": 6}
+#: By state and symbol: the next state, the outcome (or None) and the weight.
+_TABLE = {
+    state: {s: (GRAMMAR.arcs[state, s][0], _OUTCOMES.get(GRAMMAR.arcs[state, s][1]), GRAMMAR.arcs[state, s][2]) for s in INPUT}
+    for state in {state for state, _ in GRAMMAR.arcs}
+}
 FEATURES = (
     "plain", "aimed", "negated", "reported", "threat", "aimed_threat", "mild_threat",
-    "heaviest", "clauses", "share", "hits_per_word", "any", "several", "length",
+    "heaviest", "clauses", "share", "length",
 )
 
 
@@ -136,7 +179,8 @@ class Lexicon:
         found = self._known.get(word)
         if found is None:
             weights = [self.terms[t] for t in _terms(word) if t in self.terms]
-            found = ("I", max(weights)) if weights else _TAGS[_CLOSED.get(word, "o")]
+            negated = word.endswith(("n't", "n’t"))
+            found = ("W", max(weights)) if weights else _TAGS["N" if negated else _CLOSED.get(word, "o")]
             if len(self._known) > 200_000:
                 self._known.clear()
             self._known[word] = found
@@ -149,29 +193,28 @@ def _terms(word: str) -> list[str]:
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the matched clauses of a whole text amount to."""
-    sums, heaviest, matched, hits, total, n_words = [0.0] * 7, 0.0, 0, 0, 1, 0
-    state, clause = GRAMMAR.start, 0.0
-    arcs, tag = GRAMMAR.arcs, lexicon.tag
+    sums, heaviest, matched, total, n_words = [0.0] * 7, 0.0, 0, 1, 0
+    row, clause, tag = _TABLE[GRAMMAR.start], 0.0, lexicon.tag
     for token in _TOKEN.findall((text or "").lower()):
-        if token in ".!?;:\n":
-            total += 1
-            matched += clause > 0
-            heaviest = max(heaviest, clause)
-            state, clause = GRAMMAR.start, 0.0
-            continue
-        symbol, weight = ("Q", 1.0) if token in _QUOTES else tag(token)
-        n_words += 1
-        state, written = arcs[state, symbol]
-        outcome = _OUTCOMES.get(written)
+        mark = _MARKS.get(token)
+        if mark is None:
+            symbol, own = tag(token)
+            n_words += 1
+        else:
+            symbol, own = mark, 1.0
+            if mark != "Q":
+                total += 1
+                matched += clause > 0
+                heaviest, clause = max(heaviest, clause), 0.0
+        state, outcome, weight = row[symbol]
+        row = _TABLE[state]
         if outcome is not None:
-            sums[outcome] += weight
-            clause += weight
-            hits += 1
+            sums[outcome] += own * weight
+            clause += own * weight
     matched += clause > 0
     heaviest = max(heaviest, clause)
     return [
-        *(math.log1p(s) for s in sums), math.log1p(heaviest), math.log1p(matched), matched / total,
-        math.sqrt(hits / max(1, n_words)), float(hits > 0), float(hits > 1), math.log1p(n_words),
+        *(math.log1p(s) for s in sums), math.log1p(heaviest), math.log1p(matched), math.sqrt(matched / total), math.log1p(n_words),
     ]
 
 
@@ -209,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> M
     """The model from labelled documents whose id's crc32 modulo 5 is not 0.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (null labels are left out). Near
-    copies count once. The insult terms come from one half of the sample, the outcomes'
+    copies count once, and so do rows that repeat an id. The insult terms come from one half of the sample, the outcomes'
     weights from the other.
     """
     taken = (
@@ -217,8 +260,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> M
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    # At most TRAINING_ROWS rows of two numbers.
-    sample = docs.join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "text")
+    # At most TRAINING_ROWS rows of two numbers; of rows that repeat an id one is learned from.
+    sample = docs.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
     sample = stored(_without_copies(stored(sample, "toxicity-sample")), "toxicity-training")
     half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))
     counts = {bool(r.toxic): r["count"] for r in sample.where(half == 0).groupBy("toxic").count().collect()}
@@ -291,7 +336,7 @@ def _learned_terms(sample: DataFrame, counts: dict[bool, int]) -> dict[str, floa
             F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("good"),
         )
         .where(F.col("bad") >= LEAST_DOCUMENTS).withColumn("ratio", ratio).where(F.col("ratio") >= math.log(LEAST_RATIO))
-        .orderBy(F.desc("ratio"), F.desc("bad"), "term").limit(MOST_TERMS).collect()
+        .select("term", "ratio").collect()  # terms of TRAINING_ROWS documents that several toxic ones share
     )
     weights = {r.term: float(r.ratio) for r in found}
     return {
