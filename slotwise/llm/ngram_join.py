@@ -3,8 +3,9 @@
 1. One pass gives each document the size and digest of its shingle set and a small sketch.
    Equal sets become one set.
 2. Groups: sets that share half of their sketch with one hub are a group, so a cloud of
-   near copies is one, whether its members link or not. The members of a group are compared
-   block by block.
+   near copies is one, whether its members link or not. A group's members are cut into
+   blocks, and blocks meet two by two: a set whose overlap with the union of the other block
+   cannot reach the threshold is compared with none of its members.
 3. The matrix: a set can only be similar to one it shares one of its rarest shingles with
    (a fifth of its own and one). The rarest shingles of all sets are joined across groups;
    that says which groups a query may have to visit.
@@ -12,8 +13,8 @@
    with the union bounds its overlap with every member; only groups where the bound
    reaches the threshold are opened, and their members compared with it exactly.
 
-No link is lost: every pair inside a group is compared, and steps 3 and 4 drop only pairs
-of different groups that cannot reach the threshold.
+No link is lost: what the unions exclude, and what steps 3 and 4 drop, are only pairs that
+cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -43,8 +44,11 @@ BITS = 16
 CELL, BLOCK, BLOCK_SHINGLES, DENSE = 1000, 128, 100_000, 2_000_000
 #: Numbers in a sketch, and how many of them a set shares with the hub of its group.
 SKETCH, ALIKE = 8, 4
-#: The shingles with the smallest hashes, this share of all, are counted and taken first.
-COUNTED = 0.6
+#: The shingles with the smallest hashes, this share of all, are counted and taken first: twice
+#: what a set has to show, so that there are enough of them beside common ones.
+COUNTED = 0.4
+#: Parts that the sets of one bucket are dealt to.
+SALTS = 8
 _LAST = np.uint64(int(COUNTED * 2**64))
 
 
@@ -56,7 +60,7 @@ def signatures(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", t
     """Per row: doc_id, n (size of its set), digest, s0 to s7 (its sketch; null without shingles)."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType(), False),
-        *(T.StructField(name, T.LongType()) for name in ("digest", *(f"s{k}" for k in range(SKETCH)))),
+        T.StructField("digest", T.BinaryType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(SKETCH)),
     ])
     arrow = arrow_schema(schema)
 
@@ -67,13 +71,13 @@ def signatures(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", t
                 found = shingles(text, words)
                 n.append(len(found))
                 if len(found):
-                    digest = hashlib.blake2b(found.tobytes(), digest_size=8).digest()
-                    out.append([int.from_bytes(digest, "little", signed=True), *_signed(sketch(found)).tolist()])
+                    out.append([hashlib.blake2b(found.tobytes(), digest_size=16).digest(), *_signed(sketch(found)).tolist()])
                 else:
                     out.append([None] * (1 + SKETCH))
             columns = list(zip(*out, strict=True)) or [()] * (1 + SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], schema=arrow
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(columns[0], arrow.field("digest").type),
+                 *(pa.array(c, pa.int64()) for c in columns[1:])], schema=arrow,
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -120,18 +124,20 @@ def _attached(sets: DataFrame) -> DataFrame:
     """(a, b): each set with a hub it shares at least ALIKE of the SKETCH numbers with.
 
     The sets that share a number are a bucket; its hub is the set whose own buckets are the
-    largest: near copies that were changed least share most numbers with the others.
+    largest: near copies that were changed least share most numbers with the others. Rows of
+    a bucket are dealt to SALTS parts, and what is known of it is sent to each.
     """
     buckets = sets.select("rep", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("low")) for k in range(SKETCH)
-    ])).alias("bucket"))
+    ])).alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = stored(buckets.join(sizes, "bucket"), "join-buckets")
+    sized = stored(buckets.join(sizes.select("*", salts), ["bucket", "salt"]), "join-buckets")
     weight = sized.groupBy("rep").agg(F.sum("n").alias("weight"))
     hubs = sized.join(weight, "rep").groupBy("bucket").agg(
         F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("b")
     )
-    shared = sized.join(hubs, "bucket").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").count()
+    shared = sized.join(hubs.select("*", salts), ["bucket", "salt"]).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").count()
     return shared.where(F.col("count") >= ALIKE).select("a", "b")
 
 
@@ -147,7 +153,7 @@ def _joined(cells: DataFrame, keys: list[str], words: int, percent: int, label:
         found, ids, side = [shingles(t, words) for t in cell.text], cell.rep.to_numpy(), cell.side.to_numpy()
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if side.any() else one
-        x, y = _linked_pairs([found[k] for k in one], [found[k] for k in two], percent)
+        x, y = _linked_pairs([found[k] for k in one], [found[k] for k in two], percent, two is one)
         node, root = _spanning(one[x], two[y], len(ids))
         kept = ids[node] != ids[root]
         return pd.DataFrame({"a": ids[node][kept], "b": ids[root][kept]})
@@ -186,11 +192,38 @@ def _visited(opened: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return _joined(queries.unionByName(members), ["grp", "i", "j"], words, percent, "join-visited")
 
 
-def _linked_pairs(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the similar pairs of two lists of sets."""
+def _may_link(sets: list[np.ndarray], others: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets share so much with the union of the others that they may link to one of them."""
+    if not len(others):
+        return np.zeros(len(sets), dtype=bool)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    inside = others[np.minimum(np.searchsorted(others, flat), len(others) - 1)] == flat
+    overlap = np.bincount(np.repeat(np.arange(len(sets)), sizes), inside, len(sets))
+    return (sizes > 0) & (100 * overlap >= percent * sizes)
+
+
+def _linked_pairs(one: list[np.ndarray], two: list[np.ndarray], percent: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the similar pairs of two lists of sets; with ``same`` they are one list."""
+    none = np.empty(0, dtype="int64")
+    if not one or not two or not sum(map(len, one)) or not sum(map(len, two)):
+        return none, none
+    # The union of the other block; of the own one what two sets have at least.
+    if same:
+        known, counts = np.unique(np.concatenate(one), return_counts=True)
+        left = right = np.flatnonzero(_may_link(one, known[counts > 1], percent))
+    else:
+        left = np.flatnonzero(_may_link(one, np.unique(np.concatenate(two)), percent))
+        right = np.flatnonzero(_may_link(two, np.unique(np.concatenate(one)), percent)) if len(left) else left
+    if not len(left) or not len(right):
+        return none, none
+    x, y = _compared([one[k] for k in left], [two[k] for k in right], percent)
+    return left[x], right[y]
+
+
+def _compared(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the similar pairs, by a matrix product over the shared shingles."""
     sets = one + two
-    if not one or not two:
-        return np.empty(0, dtype="int64"), np.empty(0, dtype="int64")
     known, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     sizes = np.array([len(s) for s in sets])
     column = np.cumsum(counts > 1) - 1  # shingles of one set alone are in no intersection
@@ -375,7 +408,7 @@ def linked(
     Fewer words than ``words``: the whole sequence is the one shingle. Rows without id have
     a null component and link with nothing. Rows that repeat an id count as one document
     with several texts. Very long texts are read whole. An empty table gives no rows. Other
-    columns are not read. Sets are told apart by size and a 64-bit digest, shingles by
+    columns are not read. Sets are told apart by size and a 128-bit digest, shingles by
     64-bit hashes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,10 +1,20 @@
-"""Word shingles of a text as 64-bit numbers."""
+"""Word shingles of a text as 64-bit numbers.
+
+A shingle is the value of a polynomial over its bytes, modulo 2^64. Such values are alike
+for some long texts that are made for it, so shingles of LONG bytes or more, which are few,
+are hashed byte by byte instead.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 WORDS = 5
+#: Bytes of a shingle from which on its own digest is taken, and words looked at together:
+#: the powers held are those of so many words of less than LONG bytes.
+LONG, TOGETHER = 64, 1 << 14
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -39,20 +49,34 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     words than ``size``: the whole sequence is one shingle; no words: none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= TOGETHER:
+        return np.unique(_hashes(words, size))
+    parts = [_hashes(words[k: k + TOGETHER + size - 1], size) for k in range(0, len(words) - size + 1, TOGETHER)]
+    return np.unique(np.concatenate(parts))
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of every shingle, in order."""
     if not words:
         return np.empty(0, dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    whole = words
+    if lengths.max() > LONG:  # every shingle with such a word is long
+        words, lengths = [w[:LONG] for w in words], np.minimum(lengths, LONG)
     data = np.frombuffer(b" ".join(words), dtype=np.uint8)
     up, down = _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     if len(words) < size:
-        starts, ends = starts[:1], ends[-1:]
+        size, starts, ends = len(words), starts[:1], ends[-1:]
     else:
         starts, ends = starts[: len(words) - size + 1], ends[size - 1:]
-    return np.unique(_mixed((sums[ends] - sums[starts]) * down[starts]))
+    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
+    for k in np.flatnonzero(ends - starts >= LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(b" ".join(whole[k: k + size]), digest_size=8).digest(), "little")
+    return hashes
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:

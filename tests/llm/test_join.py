@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from slotwise.llm import ngram_join, queries
+from slotwise.llm import shingles as shingle_module
 from slotwise.llm.common import components
 from slotwise.llm.shingles import shingles
 from tests.llm import cases
@@ -110,3 +112,63 @@ def test_components_of_paths_stars_and_loops(spark):
     found = dict(components(spark.createDataFrame(edges, "a long, b long"), "test").collect())
     assert found == {k: v for k, v in root.items() if k != 300}
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_made_to_hash_alike_are_told_apart(spark):
+    rows = [(k, thue_morse(n, letters)) for k, (n, letters) in enumerate((n, x) for n in (64, 128, 1024, 4096) for x in ("ab", "ba"))]
+    rows += [(20, "one two three four " + rows[4][1]), (21, "one two three four " + rows[5][1])]
+    assert len({int(shingles(t)[0]) for _, t in rows}) == len(rows)
+    found = ngram_join.linked(cases.documents(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+
+
+@pytest.mark.parametrize("together", [1, 7, 100, 1 << 14])
+def test_long_texts_have_the_shingles_of_their_parts(monkeypatch, together):
+    text = " ".join(f"w{k % 50}" if k % 9 else "x" * (k % 150) for k in range(400))
+    want = {s for s in sets_of(text)}
+    monkeypatch.setattr(shingle_module, "TOGETHER", together)
+    assert len(shingles(text)) == len(want)
+    assert (shingles(text) == shingles(text.upper().replace("X", "x"))).all()
+    monkeypatch.setattr(shingle_module, "TOGETHER", 1 << 14)
+    whole = shingles(text)
+    monkeypatch.setattr(shingle_module, "TOGETHER", together)
+    assert (shingles(text) == whole).all() and len(shingles("")) == len(shingles(" \n")) == 0
+
+
+def test_a_cloud_without_links_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts that share two thirds: one group, but no set may link to a block's union."""
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(80)]
+    texts = [" ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(45)]) for _ in range(300)]
+    sets = [shingles(t) for t in texts]
+    compared = []
+    real = ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda one, two, percent: compared.append(len(one) * len(two)) or real(one, two, percent))
+    for one, two, same in ((sets[:150], sets[150:], False), (sets, sets, True)):
+        assert len(ngram_join._linked_pairs(one, two, 80, same)[0]) == 0
+    assert sum(compared) == 0
+    near = [" ".join(shared + [f"v{k}"] + t.split()[80:]) for k, t in enumerate(texts[:5])]
+    x, y = ngram_join._linked_pairs(sets, [shingles(t) for t in near], 80)
+    assert sorted(zip(x.tolist(), y.tolist())) == [(k, k) for k in range(5)] and sum(compared) == 25
+    check(spark, list(enumerate(texts[:60] + near)))
+
+
+def test_pairs_of_sets_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        universe = rng.randint(3, 40)
+        sets = [np.unique(np.array(rng.choices(range(universe), k=rng.randint(0, 30)), dtype=np.uint64)) for _ in range(rng.randint(1, 14))]
+        cut = rng.randint(0, len(sets))
+        for one, two, same in ((sets[:cut], sets[cut:], False), (sets, sets, True)):
+            got = set(zip(*(k.tolist() for k in ngram_join._linked_pairs(one, two, 80, same))))
+            want = {
+                (i, j) for i, x in enumerate(one) for j, y in enumerate(two)
+                if len(x) and len(y) and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+            }
+            if same:  # a set that shares too little with all others is not met by itself
+                got, want = ({(i, j) for i, j in pairs if i != j} for pairs in (got, want))
+            assert got == want
