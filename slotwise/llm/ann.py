@@ -27,8 +27,9 @@ SAMPLE = 4096
 MOST_PARTS = 256
 #: Recall that the number of visited parts must reach on the sample.
 RECALL = 0.96
-#: Rows and queries that one task compares at a time, at most about so many.
-BLOCK = 4096
+#: Rows and queries that one task compares at a time, at most about so many. Parts that are
+#: small are compared together, so that a query has one partial result for all of them.
+ROW_BLOCK, BLOCK = 16_384, 4096
 
 
 class Router(NamedTuple):
@@ -114,6 +115,17 @@ def learned(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> Router
     return Router(weights, probes)
 
 
+def _bundles(sizes: np.ndarray, most: int = ROW_BLOCK) -> np.ndarray:
+    """Parts in their order, put together as long as they hold ``most`` rows in all."""
+    bundle, held = np.zeros(len(sizes), dtype="int64"), 0
+    for part, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            bundle[part:] += 1
+            held = 0
+        held += size
+    return bundle
+
+
 def search(
     vectors: DataFrame, *, k: int = 20, every: int = 20, sample: int = SAMPLE, most_parts: int = MOST_PARTS,
     id_col: str = "vec_id", vector_col: str = "embedding",
@@ -127,8 +139,9 @@ def search(
     repeat an id are candidates each for other ids, and one query: that with the smallest
     digest of its vector. Other columns are not read.
 
-    A part that holds many rows (a very common vector, say) is split into blocks by hash,
-    as are its queries, so that no task holds more than two blocks.
+    Small parts are compared together; a part that holds many rows (a very common vector,
+    say) is split into blocks by hash, as are its queries, so that no task holds more than
+    two blocks.
     """
     dim = dimension(vectors, vector_col)
     rows = stored(usable(vectors, dim, id_col=id_col, vector_col=vector_col), "ann-rows")
@@ -155,22 +168,27 @@ def search(
         enough = (np.cumsum(sizes[order], axis=1) <= k).sum(1) + 1  # parts that hold k others at least
         return pd.Series([o[: max(router.probes, e)].astype("int32") for o, e in zip(order, enough, strict=True)])
 
-    asked = asked.select("id", "vector", F.explode(visited("vector")).alias("part")).where(
-        F.col("part").isin([int(p) for p in held])
+    bundle = _bundles(sizes)  # one number per part, MOST_PARTS at most
+    bundles = F.array(*[F.lit(int(b)) for b in bundle])
+    of = lambda part: F.get(bundles, part)
+    asked = asked.select("id", "vector", visited("vector").alias("visited")).select(
+        "id", "vector", "visited", F.explode(F.array_distinct(F.transform("visited", of))).alias("bundle")
     )
-    asked = stored(asked, "ann-asked")
-    queries = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
+    asked = stored(asked.withColumn("visited", F.filter("visited", lambda p: of(p) == F.col("bundle"))), "ann-asked")
+    queries = {r.bundle: r["count"] for r in asked.groupBy("bundle").count().collect()}
+    rows_of_bundle = np.bincount(bundle, sizes, bundle.max() + 1)
     blocks = asked.sparkSession.createDataFrame(
-        [(int(p), -(-held[p] // BLOCK), -(-queries.get(p, 1) // BLOCK)) for p in held], "part int, row_blocks int, query_blocks int"
+        [(int(b), int(-(-n // ROW_BLOCK)), -(-queries[b] // BLOCK)) for b, n in enumerate(rows_of_bundle) if n and b in queries],
+        "bundle int, row_blocks int, query_blocks int",
     )
-    # One row per part, MOST_PARTS at most.
-    own = placed.join(F.broadcast(blocks), "part").select(
-        "part", F.pmod(F.xxhash64("id"), "row_blocks").cast("int").alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "vector",
+    # One row per bundle, no more than there are parts.
+    own = placed.withColumn("bundle", of(F.col("part"))).join(F.broadcast(blocks), "bundle").select(
+        "bundle", F.pmod(F.xxhash64("id"), "row_blocks").cast("int").alias("rb"),
+        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "part", "vector",
     )
-    theirs = asked.join(F.broadcast(blocks), "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"),
-        F.pmod(F.xxhash64("id"), "query_blocks").cast("int").alias("qb"), "id", "vector",
+    theirs = asked.join(F.broadcast(blocks), "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"),
+        F.pmod(F.xxhash64("id"), "query_blocks").cast("int").alias("qb"), "id", "visited", "vector",
     )
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -178,24 +196,32 @@ def search(
         if len(q) and len(r):
             r = r.sort_values("id", kind="stable")
             x, ids = matrix(list(r.vector), dim), r.id.to_numpy()
-            y = matrix(list(q.vector), dim)
-            for start in range(0, len(y), 256):
-                scores = y[start: start + 256] @ x.T
-                for query, vector, row in zip(q.id.to_numpy()[start: start + 256], y[start: start + 256], scores, strict=True):
-                    row[ids == query] = -np.inf
-                    if len(row) > k:
-                        least = -np.partition(-row, k - 1)[k - 1]
-                        near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-                    else:
-                        near = np.arange(len(row))
-                    near = near[ids[near] != query]
+            y, asks = matrix(list(q.vector), dim), q.id.to_numpy()
+            parts, of_row = np.unique(r.part.to_numpy(), return_inverse=True)
+            open_ = np.array([np.isin(parts, np.asarray(v)) for v in q.visited])
+            whole = open_.all()
+            for start in range(0, len(y), 128):
+                step = slice(start, start + 128)
+                scores = y[step] @ x.T
+                if not whole:
+                    scores[~open_[step][:, of_row]] = -np.inf
+                scores[ids[None, :] == asks[step, None]] = -np.inf
+                least = np.full(len(scores), -np.inf)
+                if len(ids) > k:
+                    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                least = least - 1e-9 * np.maximum(1.0, np.where(np.isfinite(least), np.abs(least), 1.0))
+                for query, vector, row, bound in zip(asks[step], y[step], scores, least, strict=True):
+                    near = np.flatnonzero((row >= bound) & (row > -np.inf))
                     # Summed the same way for every pair, so that equal vectors score equally.
                     exact = (x[near] * vector).sum(1)
                     chosen = np.argsort(-exact, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][chosen], "score": exact[chosen]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append((query, ids[near][chosen], exact[chosen]))
+        return pd.DataFrame({
+            "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]) if out else [],
+            "vec_id": np.concatenate([o[1] for o in out]) if out else [], "score": np.concatenate([o[2] for o in out]) if out else [],
+        })
 
-    found = theirs.groupBy("part", "rb", "qb").cogroup(own.groupBy("part", "rb", "qb")).applyInPandas(
+    found = theirs.groupBy("bundle", "rb", "qb").cogroup(own.groupBy("bundle", "rb", "qb")).applyInPandas(
         best, "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

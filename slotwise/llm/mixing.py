@@ -13,10 +13,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm.common import stored
+
 SEED = 17
 #: A larger mean is drawn as a sum of Poisson numbers with at most this mean each, as the
 #: distribution is inverted in doubles.
 LARGEST_MEAN = 256.0
+#: The sources' rates are broadcast up to so many of them (some 40 MB at most); beyond it
+#: texts are shuffled by source first.
+BROADCAST_SOURCES = 10_000
 
 
 def _uniform(*parts: Column) -> Column:
@@ -83,9 +88,11 @@ def mix(
     weight at all, or an empty table: no rows. Columns of ``docs`` that carry these names
     already are kept if another ``prefix`` is given.
     """
-    own, table = docs.columns, rates(docs, weights, size=size, source_col=source_col, text_col=text_col)
+    own, table = docs.columns, stored(rates(docs, weights, size=size, source_col=source_col, text_col=text_col), "mixing-rates")
     names = {c: f"__{prefix}{c}" for c in table.columns}
+    few = table.count() <= BROADCAST_SOURCES
     table = table.select(*[F.col(c).alias(n) for c, n in names.items()])
+    table = F.broadcast(table) if few else table
     joined = docs.join(table, docs[source_col].eqNullSafe(table[names["source"]]))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = F.transform(
@@ -111,18 +118,19 @@ WITH mass AS (SELECT source, sum(coalesce(length(text), 0) + 1) AS mass FROM doc
 rated AS (
   SELECT source, sqrt(CAST(mass AS DOUBLE)) * CAST(sum(mass) OVER () AS DOUBLE)
          / (sum(sqrt(CAST(mass AS DOUBLE))) OVER () * CAST(mass AS DOUBLE)) AS rate FROM mass),
+most AS (SELECT CAST(ceil(max(rate) + 12 * sqrt(max(rate)) + 40) AS BIGINT) AS k FROM rated),
 terms AS (
-  SELECT source, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p
-  FROM rated, range(0, 100) AS r(k)),
+  SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+  FROM rated, unnest(range(0, (SELECT k FROM most) + 1)) AS r(k)),
 cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms),
 drawn AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+  SELECT row_number() OVER () AS r, d.doc_id, d.text, d.lang, d.source, d.n_chars,
          CAST('0x' || substr(md5(concat_ws(':', '{SEED}', '1', coalesce(CAST(d.doc_id AS VARCHAR), 'null'))), 1, 13) AS BIGINT)
          / 4503599627370496.0::DOUBLE AS u FROM documents d),
 counted AS (
-  SELECT doc_id, text, lang, d.source, n_chars, any_value(rate) AS rate, count(*) FILTER (WHERE s <= u) AS n
+  SELECT r, doc_id, text, lang, d.source, n_chars, any_value(rate) AS rate, count(*) FILTER (WHERE s <= u) AS n
   FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source
-  GROUP BY doc_id, text, lang, d.source, n_chars)
+  GROUP BY r, doc_id, text, lang, d.source, n_chars)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, CAST(copy AS INTEGER) AS mix_copy,
        substr(md5(concat_ws(':', '{SEED}', 'order', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(copy AS VARCHAR))), 1, 16) AS mix_key
 FROM counted, unnest(range(1, n + 1)) AS c(copy)

@@ -5,7 +5,9 @@ of cosine t lie within sqrt(2 - 2t) of each other in every coordinate, so a grid
 width over the first few coordinates leaves only pairs of neighbouring cells to compare.
 Cells are cut into tiles of bounded size. Inside a pair of tiles the products of leading
 coordinates are summed first; what the rest can add is bounded by the norms of the
-suffixes, and pairs that cannot reach the threshold are dropped before the next step.
+suffixes, and pairs that cannot reach the threshold are dropped before the next step. Tiles
+are ordered by the leading coordinate: rows of the other tile that lie too far off in it
+are not looked at.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from slotwise.llm.vectors import dimension, matrix, sampled, usable
 THRESHOLD = 0.98
 #: Vectors the turn is computed from, at most; any turn gives the same links.
 SAMPLE = 8192
-#: Vectors of one tile, about; a cell with more is split by hash.
-TILE = 768
-#: Coordinates of the grid, at most, and those added in each step of a comparison.
-MOST_AXES, STEPS = 5, (8, 16, 32)
+#: Vectors of one tile, about; a cell with more is split by hash. A tile is sent to each
+#: tile it meets, so larger tiles are sent less often.
+TILE = 4096
+#: Coordinates of the grid, at most, those added in each step of a comparison, and rows of a
+#: tile that are compared at a time.
+MOST_AXES, STEPS, ROWS = 8, (8, 16, 32), 128
 
 
 def turn(x: np.ndarray) -> np.ndarray:
@@ -41,7 +45,25 @@ def turn(x: np.ndarray) -> np.ndarray:
 def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, steps: tuple[int, ...] = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of ``a`` and ``b`` (unit vectors, turned) that may reach the
     threshold; pairs left out cannot."""
-    dim, need = a.shape[1], threshold - 1e-9
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    one, two = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
+    leading, found = b[two, 0], []
+    for start in range(0, len(one), ROWS):
+        rows = one[start: start + ROWS]
+        low = np.searchsorted(leading, a[rows[0], 0] - reach)
+        high = np.searchsorted(leading, a[rows[-1], 0] + reach, side="right")
+        if low < high:
+            i, j = _reaching(a[rows], b[two[low:high]], threshold - 1e-9, steps)
+            found.append((rows[i], two[low:high][j]))
+    if not found:
+        return np.empty(0, dtype="int64"), np.empty(0, dtype="int64")
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _reaching(a: np.ndarray, b: np.ndarray, need: float, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs whose product may be ``need`` or more: leading coordinates first, the rest
+    bounded by the norms of the suffixes."""
+    dim = a.shape[1]
     cuts = [c for c in steps if c < dim] + [dim]
     first = cuts[0]
     partial = a[:, :first] @ b[:, :first].T
