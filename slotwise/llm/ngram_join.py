@@ -44,9 +44,9 @@ BITS = 16
 CELL, BLOCK, BLOCK_SHINGLES, DENSE = 1000, 128, 100_000, 2_000_000
 #: Numbers in a sketch, and how many of them a set shares with the hub of its group.
 SKETCH, ALIKE = 8, 4
-#: The shingles with the smallest hashes, this share of all, are counted and taken first: twice
-#: what a set has to show, so that there are enough of them beside common ones.
-COUNTED = 0.4
+#: The shingles with the smallest hashes, this share of all, are counted and taken first: three
+#: times what a set has to show, so that there are enough of them beside common ones.
+COUNTED = 0.6
 #: Parts that the sets of one bucket are dealt to.
 SALTS = 8
 _LAST = np.uint64(int(COUNTED * 2**64))
@@ -192,54 +192,48 @@ def _visited(opened: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return _joined(queries.unionByName(members), ["grp", "i", "j"], words, percent, "join-visited")
 
 
-def _may_link(sets: list[np.ndarray], others: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets share so much with the union of the others that they may link to one of them."""
-    if not len(others):
-        return np.zeros(len(sets), dtype=bool)
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    inside = others[np.minimum(np.searchsorted(others, flat), len(others) - 1)] == flat
-    overlap = np.bincount(np.repeat(np.arange(len(sets)), sizes), inside, len(sets))
-    return (sizes > 0) & (100 * overlap >= percent * sizes)
-
-
 def _linked_pairs(one: list[np.ndarray], two: list[np.ndarray], percent: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the similar pairs of two lists of sets; with ``same`` they are one list."""
-    none = np.empty(0, dtype="int64")
-    if not one or not two or not sum(map(len, one)) or not sum(map(len, two)):
+    """Indexes of the similar pairs of two lists of sets; with ``same`` they are one list.
+
+    A set is compared only if its overlap with the union of the other list (of its own list:
+    with what two sets have at least) can reach the threshold with one of them.
+    """
+    none, sets = np.empty(0, dtype="int64"), one if same else one + two
+    sizes, cut = np.array([len(s) for s in sets]), len(sets) if same else len(one)
+    if not sizes[:cut].any() or not (same or sizes[cut:].any()):
         return none, none
-    # The union of the other block; of the own one what two sets have at least.
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
     if same:
-        known, counts = np.unique(np.concatenate(one), return_counts=True)
-        left = right = np.flatnonzero(_may_link(one, known[counts > 1], percent))
+        met = counts[column] > 1
     else:
-        left = np.flatnonzero(_may_link(one, np.unique(np.concatenate(two)), percent))
-        right = np.flatnonzero(_may_link(two, np.unique(np.concatenate(one)), percent)) if len(left) else left
+        first = np.bincount(column[row < cut], minlength=len(counts))
+        met = np.where(row < cut, first[column] < counts[column], first[column] > 0)
+    may = (sizes > 0) & (100 * np.bincount(row, met, len(sets)) >= percent * sizes)
+    left, right = np.flatnonzero(may[:cut]), np.flatnonzero(may if same else may[cut:])
     if not len(left) or not len(right):
         return none, none
-    x, y = _compared([one[k] for k in left], [two[k] for k in right], percent)
+    kept = met & may[row]
+    row, column = (np.cumsum(may) - 1)[row[kept]], np.unique(column[kept], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    common = _products(row[order], column[order], int(may.sum()), len(left), same)
+    own, other = sizes[left], sizes[right if same else right + cut]
+    x, y = np.nonzero(100 * common >= percent * (own[:, None] + other[None, :] - common))
     return left[x], right[y]
 
 
-def _compared(one: list[np.ndarray], two: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the similar pairs, by a matrix product over the shared shingles."""
-    sets = one + two
-    known, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    sizes = np.array([len(s) for s in sets])
-    column = np.cumsum(counts > 1) - 1  # shingles of one set alone are in no intersection
-    row, shared = np.repeat(np.arange(len(sets)), sizes), counts[inverse] > 1
-    row, column, width = row[shared], column[inverse[shared]], int((counts > 1).sum())
-    common = np.zeros((len(one), len(two)), dtype="float64")
-    step = max(1, DENSE // max(1, len(sets)))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+def _products(row: np.ndarray, column: np.ndarray, n: int, left: int, same: bool) -> np.ndarray:
+    """Shingles that each of the first ``left`` of ``n`` sets shares with each of the others
+    (with ``same``: of all), from (set, shingle) places in the order of the shingles; a
+    matrix product over so many shingles at a time as fit."""
+    common = np.zeros((left, n if same else n - left))
+    width, step = int(column[-1]) + 1 if len(column) else 0, max(1, DENSE // max(1, n))
     for low in range(0, width, step):
         part = slice(*np.searchsorted(column, (low, low + step)))
-        matrix = np.zeros((len(sets), min(step, width - low)), dtype="float32")
+        matrix = np.zeros((n, min(step, width - low)), dtype="float32")
         matrix[row[part], column[part] - low] = 1
-        common += matrix[: len(one)] @ matrix[len(one):].T
-    union = sizes[: len(one), None] + sizes[None, len(one):] - common
-    return np.nonzero((union > 0) & (100 * common >= percent * union))
+        common += matrix[:left] @ (matrix if same else matrix[left:]).T
+    return common
 
 
 def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

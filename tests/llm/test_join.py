@@ -146,8 +146,8 @@ def test_a_cloud_without_links_is_not_compared_pair_by_pair(spark, monkeypatch):
     texts = [" ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(45)]) for _ in range(300)]
     sets = [shingles(t) for t in texts]
     compared = []
-    real = ngram_join._compared
-    monkeypatch.setattr(ngram_join, "_compared", lambda one, two, percent: compared.append(len(one) * len(two)) or real(one, two, percent))
+    real = ngram_join._products
+    monkeypatch.setattr(ngram_join, "_products", lambda row, column, n, left, same: compared.append(left * (n - left)) or real(row, column, n, left, same))
     for one, two, same in ((sets[:150], sets[150:], False), (sets, sets, True)):
         assert len(ngram_join._linked_pairs(one, two, 80, same)[0]) == 0
     assert sum(compared) == 0
