@@ -41,14 +41,14 @@ COMMON_GROUPS, MOST_COMMON = 16, 1_000_000
 BITS = 16
 #: Pairs compared in one call, on average; sets of one block of a group, and shingles of
 #: its sets together, on average; cells of a matrix.
-CELL, BLOCK, BLOCK_SHINGLES, DENSE = 1000, 128, 100_000, 2_000_000
+CELL, BLOCK, BLOCK_SHINGLES, DENSE = 4000, 128, 100_000, 2_000_000
 #: Numbers in a sketch, and how many of them a set shares with the hub of its group.
 SKETCH, ALIKE = 8, 4
-#: The shingles with the smallest hashes, this share of all, are counted and taken first: three
-#: times what a set has to show, so that there are enough of them beside common ones.
-COUNTED = 0.6
+#: The shingles with the smallest hashes, this share of all, are counted and taken first:
+#: more than twice what a set has to show, so that there are enough of them beside common ones.
+COUNTED = 0.5
 #: Parts that the sets of one bucket are dealt to.
-SALTS = 8
+SALTS = 3
 _LAST = np.uint64(int(COUNTED * 2**64))
 
 
