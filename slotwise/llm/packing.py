@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 #: Words remembered by one worker; at the bound the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: Python's split() takes these for white space, the vocabulary's own rules do not.
