@@ -43,6 +43,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTER = _byte_letters()
+#: Latin letters that the vocabulary's normalization does nothing to but lower them, one by one.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 
 
 class _Memory(dict):
@@ -84,7 +86,8 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         if not part.isalpha():
             return self._whole(part)
-        plain = part if part.isascii() else self._normalized(part)
+        latin = _LATIN.fullmatch(part)
+        plain = part.lower() if latin else self._normalized(part)
         if not plain.isalpha():
             return self._whole(part)
         unit = plain if plain.isascii() else "".join([_LETTER[b] for b in plain.encode()])
@@ -94,10 +97,10 @@ class Encoder:
         """Leading punctuation, letters, trailing punctuation; or the word as it is, also
         where lower-casing gives a mark, which the vocabulary joins with the punctuation."""
         core = word.strip(_PUNCTUATION)
-        if not core.isalpha() or not (core.isascii() or self._normalized(core).isalpha()):
+        if not _LATIN.fullmatch(core) and not (core.isalpha() and self._normalized(core).isalpha()):
             return self._parts[word]
         start = word.index(core)
-        known, letters = self._parts, core.lower() if core.isascii() else core
+        known, letters = self._parts, core.lower() if _LATIN.fullmatch(core) else core
         if len(core) == len(word):
             return known[letters]
         return b"".join([known[p] for p in (word[:start], letters, word[start + len(core):]) if p])
