@@ -31,6 +31,15 @@ SQL["stream_close"] = parts(f"SELECT camera_id, slot + INTERVAL 7 HOUR AS slot,
 SQL["stream_sink"] = with_(RAW, SAMPLES) + f"""
 SELECT strftime(slot + INTERVAL 7 HOUR, '%Y-%m-%d') AS dt, {n('count(DISTINCT camera_id || slot)')} AS slots, {n('count(*)')} AS samples
 FROM sp WHERE {SPEED_CLOSED} GROUP BY ALL"""
+SQL["stream_folded"] = with_(RAW, SAMPLES) + f"""
+SELECT strftime(ts, '%Y-%m-%d') AS dt, {n('count(*)')} AS samples, sum(speed) AS speeds FROM sp GROUP BY ALL"""
+SQL["stream_late"] = with_(RAW, SAMPLES) + f""", came AS (
+  SELECT *, CAST(speed * 2 AS BIGINT) % 11 = 0 AS late FROM sp),
+upto AS (
+  SELECT max(slot) AS slot FROM came WHERE NOT late AND {closed("SELECT max(ts) FROM came WHERE NOT late")})
+SELECT camera_id, slot + INTERVAL 7 HOUR AS slot, {i('count(*)')} AS speed_count, {n('count(*) FILTER (WHERE late)')} AS late_samples,
+       count(*) FILTER (WHERE NOT late) = 0 AS missed
+FROM came WHERE slot <= (SELECT slot FROM upto) GROUP BY camera_id, slot HAVING count(*) FILTER (WHERE late) > 0"""
 SQL["stream_last_wins"] = with_(RAW, FRAMES) + """
 SELECT camera_id, max(ts) AS ts, arg_max(image_ref, ts) AS image_ref FROM fr GROUP BY camera_id"""
 SQL["stream_reject"] = with_(RAW, ROUTED) + "SELECT * FROM rt"

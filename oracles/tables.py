@@ -96,6 +96,8 @@ SELECT camera_id, {n("count(*) FILTER (WHERE event_type <> 'view')")} AS speeds,
 FROM t_raw GROUP BY camera_id"""
 SQL["src_json_list"] = parts(
     "SELECT strftime(slot, '%Y-%m-%d') AS dt, true AS has_content FROM parts GROUP BY ALL")
+SQL["src_json_new"] = parts(
+    "SELECT strftime(slot, '%Y-%m-%d') AS dt, true AS has_content, true AS once FROM parts GROUP BY ALL")
 SQL["src_json_weather"] = with_(RAW) + """
 SELECT camera_id, strftime(slot, '%Y-%m-%dT%H:%M:%S') AS slot, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stored_at, k + 500 AS weather_id,
        'Mist' AS weather_main, CAST(20 + k % 17 AS DOUBLE) AS weather_temp, 50 + k % 46 AS weather_humidity,

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from slotwise import schemas
 from slotwise.functions import cleaning as clean
+from slotwise.operators import late
 from slotwise.operators import slots as batch
 from slotwise.registry.base import BUCKET, register
 from slotwise.session import fresh_dir
 from slotwise.sources.driver_tables import DriverTables
+from slotwise.streaming import folded
 from slotwise.streaming import slots as stream
 
 
@@ -82,6 +84,29 @@ def _stream_sink(src):
 register("stream_sink", _stream_sink)
 
 
+def _stream_folded(src):
+    """Every sample, appended by a stream that folds its runs, counted per day."""
+    samples = _speed_feed(streamed(src)).select("camera_id", F.col("ts").cast("timestamp_ntz").alias("slot"), "speed")
+    root = fresh_dir(src.spark, "stream")
+    folded.append_folded(samples, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    return folded.read_folded(src.spark, f"{root}/out", samples.schema).groupBy("dt").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("speed").alias("speeds"))
+
+
+register("stream_folded", _stream_folded)
+
+
+def _stream_late(src):
+    """What a stream that never saw every eleventh sample is missing in its closed slots."""
+    samples = _speed_feed(streamed(src))
+    streamed_slots = _drain(src, stream.stream_speed_slots(samples.where((F.col("speed") * 2).cast("long") % 11 != 0)))
+    found = late.late_slots(stream.stream_speed_slots(_speed_feed(src)), streamed_slots)
+    return found.select("camera_id", "slot", "speed_count", F.col("late_samples").cast("long").alias("late_samples"), "missed")
+
+
+register("stream_late", _stream_late)
+
+
 def _stream_last_wins(src):
     """The newest image reference per camera."""
     live = streamed(src)

@@ -254,8 +254,19 @@ def _src_json_list(src):
         (F.sum("length") > 0).alias("has_content")).orderBy("dt")
 
 
+def _src_json_new(src):
+    """The same files, noted as they come: the second look finds nothing new."""
+    path, index = fresh_dir(src.spark, "slot-json"), fresh_dir(src.spark, "json-index")
+    sinks.write_slot_documents(_documents(src), path)
+    for _ in range(2):
+        json_feed.note_new(src.spark, path, index).awaitTermination()
+    return json_feed.noted(src.spark, index).groupBy(F.regexp_extract("path", r"dt=([0-9-]+)", 1).alias("dt")).agg(
+        (F.sum("length") > 0).alias("has_content"), (F.count("path") == F.count_distinct("path")).alias("once"))
+
+
 register("src_json_load", _src_json_load)
 register("src_json_merge", _src_json_merge)
 register("src_json_list", _src_json_list)
+register("src_json_new", _src_json_new)
 register("src_json_weather", _src_json_weather)
 register("ingest_batch", _ingest_batch, 6)

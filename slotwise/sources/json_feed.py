@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from slotwise.functions.timekeys import camera_from_path, slot_from_path
+from slotwise.session import path_exists
 from slotwise.sources.json_ranges import array_records
 
 # Fixed value: the suffix is matched in any case.
@@ -17,6 +19,12 @@ JSON_SUFFIX = "*.[jJ][sS][oO][nN]"
 CORRUPT = "_corrupt_record"
 #: Bytes of a file above which it is read in ranges.
 SPLIT_ABOVE = 32 << 20
+#: How much older than the newest object a new one may be; longer than any tree is old.
+MAX_AGE = "36500d"
+_LISTED = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
+])
 
 
 def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> DataFrame:
@@ -29,6 +37,33 @@ def list_json(spark: SparkSession, prefix: str, pattern: str = JSON_SUFFIX) -> D
     return files.load(prefix).select("path", "length").orderBy("path")
 
 
+def note_new(spark: SparkSession, prefix: str, index: str, pattern: str = JSON_SUFFIX, max_age: str = MAX_AGE) -> StreamingQuery:
+    """Add the objects that came since the last call to ``index``, a table of path and
+    length, and stop; read it with :func:`noted`.
+
+    Each object is noted once, also when a call is stopped and runs again. No content is
+    read. The stream's checkpoint holds the names that are at most ``max_age`` older than
+    the newest object, and an older newcomer is passed over: where objects keep the time of
+    their upload, some days are enough, and the driver keeps no more names than that.
+    """
+    files = _each_new(spark, "binaryFile", _LISTED, pattern, max_age).load(prefix).select("path", "length")
+    writer = files.writeStream.format("parquet").option("path", f"{index}/objects").option("checkpointLocation", f"{index}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def noted(spark: SparkSession, index: str) -> DataFrame:
+    """All objects that :func:`note_new` found, in path order."""
+    schema, path = "path string, length long", f"{index}/objects"
+    if not path_exists(spark, f"{path}/_spark_metadata/0"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).orderBy("path")
+
+
+def _each_new(spark: SparkSession, file_format: str, schema: T.StructType, pattern: str, max_age: str):
+    reader = spark.readStream.format(file_format).schema(schema).option("maxFileAge", max_age)
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+
+
 def _as_text(kind: T.DataType) -> T.DataType:
     """The same shape with every leaf as text, which takes any JSON value."""
     if isinstance(kind, T.StructType):
@@ -48,28 +83,31 @@ def _typed(column: Column, kind: T.DataType) -> Column:
     return column if isinstance(kind, T.StringType) else column.try_cast(kind)
 
 
-def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str, split_above: int) -> DataFrame:
-    """Records with text leaves, ``path``, and whether it is no JSON at all."""
-    text_leaves = _as_text(schema)
-    loose = T.StructType([*text_leaves.fields, T.StructField(CORRUPT, T.StringType())])
-    records = (
-        spark.read.schema(loose)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(prefix)
-        .where(F.col("_metadata.file_size") <= split_above)
-    )
+def _loose(schema: T.StructType) -> T.StructType:
+    return T.StructType([*_as_text(schema).fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _lenient(reader):
+    return reader.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def _whole(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records of files read whole, ``path``, and whether a file is no JSON at all."""
     nothing = F.lit(True)
     for name in schema.fieldNames():
         nothing = nothing & F.col(name).isNull()
     broken = nothing | F.try_parse_json(F.col(CORRUPT)).isNull()
-    whole = records.select(
+    return records.select(
         *schema.fieldNames(), F.col("_metadata.file_path").alias("path"),
         (F.col(CORRUPT).isNotNull() & broken).alias("unreadable"),
     )
+
+
+def _parsed(spark: SparkSession, prefix: str, schema: T.StructType, pattern: str, split_above: int) -> DataFrame:
+    """Records with text leaves, ``path``, and whether it is no JSON at all."""
+    text_leaves = _as_text(schema)
+    reader = spark.read.format("json").schema(_loose(schema)).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    whole = _whole(_lenient(reader).load(prefix).where(F.col("_metadata.file_size") <= split_above), schema)
     listed = list_json(spark, prefix, pattern).where(F.col("length") > split_above)
     if listed.isEmpty():
         return whole
@@ -94,10 +132,28 @@ def read_json(
     Files up to ``split_above`` bytes are read by one task each. Larger ones are arrays read
     in ranges by many; there a broken record costs only itself.
     """
-    records = _parsed(spark, prefix, schema, pattern, split_above).where(~F.col("unreadable"))
+    return _readable(_parsed(spark, prefix, schema, pattern, split_above), schema)
+
+
+def _readable(parsed: DataFrame, schema: T.StructType) -> DataFrame:
+    records = parsed.where(~F.col("unreadable"))
     return records.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields], "path")
 
 
+def stream_json(
+    spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX, max_age: str = MAX_AGE,
+    per_trigger: int | None = None,
+) -> DataFrame:
+    """What :func:`read_json` gives, as a stream: a query with a checkpoint reads each file
+    once, in the run that finds it. Each file is read by one task, whatever its size;
+    ``max_age`` as in :func:`note_new`.
+    """
+    reader = _lenient(_each_new(spark, "json", _loose(schema), pattern, max_age))
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return _readable(_whole(reader.load(prefix), schema), schema)
+
+
 def unreadable_files(
     spark: SparkSession, prefix: str, schema: T.StructType, pattern: str = JSON_SUFFIX, split_above: int = SPLIT_ABOVE
 ) -> DataFrame:
