@@ -1,7 +1,11 @@
 """A corpus pipeline of five operators: raw documents in, packed token sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and any further ones ``docs`` has, under whatever
+names. Null and empty texts are clean, are no copies of each other, hold nothing to redact
+and are packed as their end mark alone. Very long texts are read whole. Rows that repeat an
+id become one in the second stage; rows without id are kept, each for itself. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
