@@ -5,6 +5,7 @@ from helpers import at, cameras, dicts, events, tables
 from pyspark.sql import functions as F
 
 from slotwise.operators.calendar import fill_calendar
+from slotwise.operators import quantiles
 from slotwise.operators.quantiles import exact_quantiles
 from slotwise.operators.ranking import latest_slots
 from slotwise.plans import anomaly, city, forecast, quality, speed, trend, weather
@@ -145,9 +146,12 @@ def test_quantiles_are_exact(spark):
     assert exact_quantiles(df.where("false"), "v", [0.5]).count() == 0
 
 
-def test_quantiles_of_values_that_lie_close_or_far_apart(spark):
+@pytest.mark.parametrize("few", [quantiles.FEW, 0])
+def test_quantiles_of_values_that_lie_close_or_far_apart(spark, monkeypatch, few):
     import numpy as np
 
+    monkeypatch.setattr(quantiles, "FEW", few)
+
     rng = np.random.default_rng(3)
     close = 30.0 + rng.integers(0, 4000, 3000) * 1e-13
     far = np.concatenate([10.0 ** rng.uniform(-300, 300, 500), -(10.0 ** rng.uniform(-300, 300, 500)), [0.0, -0.0, 5e-324, -5e-324]])
@@ -162,6 +166,29 @@ def test_quantiles_of_values_that_lie_close_or_far_apart(spark):
                 assert found == low
 
 
+def test_quantile_passes_follow_what_the_brackets_hold(spark, monkeypatch):
+    passes, written = [], []
+    bracketed, folder = quantiles._bracketed, quantiles.fresh_dir
+    monkeypatch.setattr(quantiles, "_bracketed", lambda *a, **k: passes.append(a[2]) or bracketed(*a, **k))
+    monkeypatch.setattr(quantiles, "fresh_dir", lambda *a: written.append(1) or folder(*a))
+
+    def run(df):
+        passes.clear(), written.clear()
+        got = {r["prob"]: r["quantile"] for r in dicts(exact_quantiles(df, "v", [0.25, 0.9], weight="n"))}
+        return got, list(passes), len(written)
+
+    whole = spark.range(2000).select((F.col("id") % 100).cast("double").alias("v"), (F.col("id") % 3).alias("n"))
+    fine = spark.range(2000).select((F.lit(40.0) + F.col("id") * 1e-9).alias("v"), F.lit(2).alias("n"))
+    assert run(whole)[1:] == ([40], 0)
+    bracket, passed, writes = run(fine)
+    assert (passed, writes) == ([40, 0], 0)
+    monkeypatch.setattr(quantiles, "FEW", 100)
+    narrowed, passed, writes = run(fine)
+    assert (passed, writes, narrowed) == ([40, 20, 0], 1, bracket)
+    every = fine.unionByName(fine).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.9))).alias("q"))
+    assert list(bracket.values()) == pytest.approx(dicts(every)[0]["q"], abs=1e-12)
+
+
 def test_month_growth_over_two_months(spark):
     src = tables(spark, [("a", "2023-12-30 01:00:00", 100.0, 1.0), ("a", "2024-01-02 01:00:00", 50.0, 1.0),
                          ("a", "2024-01-09 01:00:00", 70.0, 1.0)], [("a", "d")])
