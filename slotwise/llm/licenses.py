@@ -73,12 +73,12 @@ wtfpl | want to public | do what the fuck you want to public licen[cs]e | 1 2
 wtfpl | wtfpl | wtfpl | 1 2
 cc0 | cc0 | cc0 | 1
 cc0 | public domain dedication | public domain dedication | 1
-cc-by-nc-nd | nd | cc.by.nc.nd | 2 2.5 3 4
-cc-by-nc-sa | sa | cc.by.nc.sa | 2 2.5 3 4
-cc-by-nc | nc | cc.by.nc | 2 2.5 3 4
-cc-by-nd | nd | cc.by.nd | 2 2.5 3 4
-cc-by-sa | sa | cc.by.sa | 1 2 2.5 3 4
-cc-by | cc | cc.by | 1 2 2.5 3 4
+cc-by-nc-nd | cc by | cc.by.nc.nd | 2 2.5 3 4
+cc-by-nc-sa | cc by | cc.by.nc.sa | 2 2.5 3 4
+cc-by-nc | cc by | cc.by.nc | 2 2.5 3 4
+cc-by-nd | cc by | cc.by.nd | 2 2.5 3 4
+cc-by-sa | cc by | cc.by.sa | 1 2 2.5 3 4
+cc-by | cc by | cc.by | 1 2 2.5 3 4
 cc-by-nc-nd | deriv | (?:creative commons )?attribution.non.?commercial.no.?deriv(?:s|atives?|ative works) | 2 2.5 3 4
 cc-by-nc-sa | sharealike | (?:creative commons )?attribution.non.?commercial.sharealike | 2 2.5 3 4
 cc-by-nc-sa | share alike | (?:creative commons )?attribution.non.?commercial.share alike | 2 2.5 3 4
@@ -114,6 +114,59 @@ commons-clause | commons clause | commons clause | 1
 polyform | polyform | polyform (?:noncommercial|small business|strict|shield|perimeter) licen[cs]e | 1
 cecill | cecill | cecill(?:-[abc])? | 1 2 2.1
 mulan-psl | mulan | mulan permissive software licen[cs]e | 1 2
+apsl | apple public source | apple public source licen[cs]e | 1 1.1 1.2 2
+apl | adaptive public | adaptive public licen[cs]e | 1
+aal | attribution assurance | attribution assurance licen[cs]e | -
+blueoak | blue oak | blue oak model licen[cs]e | 1
+cal | cryptographic autonomy | cryptographic autonomy licen[cs]e | 1
+cc-devnations | developing nations | creative commons developing nations licen[cs]e | 2
+cdla-permissive | community data licen | community data licen[cs]e agreement.{1,4}?permissive | 1 2
+cdla-sharing | community data licen | community data licen[cs]e agreement.{1,4}?sharing | 1
+cern-ohl | cern open hardware | cern open hardware licen[cs]e | 1.1 1.2 2
+c-uda | computational use of data | computational use of data agreement | 1
+cpal | common public attribution | common public attribution licen[cs]e | 1
+dl-de | datenlizenz deutschland | datenlizenz deutschland | 1 2
+dsl | design science | design science licen[cs]e | -
+ecl | educational community | educational community licen[cs]e | 1 2
+efl | eiffel forum | eiffel forum licen[cs]e | 1 2
+entessa | entessa public | entessa public licen[cs]e | -
+fair | fair licen | the fair licen[cs]e | -
+frameworx | frameworx | frameworx (?:open )?licen[cs]e | 1
+ftl | freetype | freetype (?:project )?licen[cs]e | -
+gemma | gemma terms | gemma terms of use | -
+hippocratic | hippocratic | hippocratic licen[cs]e | 1 2.1 3
+ibm-pl | ibm public | ibm public licen[cs]e | 1
+imagemagick | imagemagick licen | imagemagick licen[cs]e | -
+intel | intel open source | intel open source licen[cs]e | -
+lal | free art licen | free art licen[cs]e | 1.2 1.3
+lal | licence art libre | licence art libre | 1.2 1.3
+lppl | latex project public | latex project public licen[cs]e | 1 1.1 1.2 1.3
+liliq | libre du québec | licence libre du québec | 1.1
+lpl | lucent public | lucent public licen[cs]e | 1 1.02
+ms-lpl | microsoft limited public | microsoft limited public licen[cs]e | -
+nasa | nasa open source | nasa open source agreement | 1.3
+naumen | naumen public | naumen public licen[cs]e | -
+netcdf | netcdf licen | netcdf licen[cs]e | -
+nokia | nokia open source | nokia open source licen[cs]e | 1
+nposl | non-profit open software | non-profit open software licen[cs]e | 3
+npl | netscape public | netscape public licen[cs]e | 1 1.1
+oclc | oclc research | oclc research public licen[cs]e | 2
+ogl-canada | government licen | open government licen[cs]e.{1,4}?canada | 2
+oldap | openldap public | openldap public licen[cs]e | 2.7 2.8
+opl | open publication | open publication licen[cs]e | 1
+o-uda | open use of data | open use of data agreement | 1
+parity | parity public | parity public licen[cs]e | 6 7
+prosperity | prosperity public | prosperity public licen[cs]e | 2 3
+ricoh | ricoh source code | ricoh source code public licen[cs]e | 1
+rpl | reciprocal public | reciprocal public licen[cs]e | 1.1 1.5
+rpsl | realnetworks public | realnetworks public source licen[cs]e | 1
+simpl | simple public | simple public licen[cs]e | 2
+solderpad | solderpad | solderpad hardware licen[cs]e | 0.5 2
+spl | sun public | sun public licen[cs]e | 1
+tapr-ohl | tapr open hardware | tapr open hardware licen[cs]e | 1
+vsl | vovida software | vovida software licen[cs]e | 1
+watcom | open watcom | (?:sybase )?open watcom public licen[cs]e | 1
+xnet | x.net | x\.net licen[cs]e | -
 """
 
 # Label | keyword | whole sentences of notices and license texts, or addresses.
@@ -167,6 +220,132 @@ ofl | scripts.sil.org/ | scripts\.sil\.org/ofl
 ogl-uk | nationalarchives.gov.uk/ | nationalarchives\.gov\.uk/doc/open-government-licence
 eupl | joinup.ec.europa.eu/ | joinup\.ec\.europa\.eu/.{0,40}?eupl
 boost | boost.org/ | boost\.org/license_1_0
+gpl | see the gnu | without even the implied warranty of merchantability or fitness for a particular purpose[.;,] see the gnu general public
+lgpl | see the gnu | without even the implied warranty of merchantability or fitness for a particular purpose[.;,] see the gnu (?:lesser|library) general public
+agpl | see the gnu | without even the implied warranty of merchantability or fitness for a particular purpose[.;,] see the gnu affero general public
+gpl | received a copy of the gnu | you should have received a copy of the gnu general public licen[cs]e
+lgpl | received a copy of the gnu | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e
+agpl | received a copy of the gnu | you should have received a copy of the gnu affero general public licen[cs]e
+gpl-2.0 | licenses for most software | the licenses for most software are designed to take away your freedom to share and change it
+gpl-3.0 | licenses for most software | the licenses for most software and other practical works are designed to take away your freedom
+gpl-3.0 | free, copyleft license | is a free, copyleft license for software and other kinds of works
+agpl-3.0 | network server software | specifically designed to ensure cooperation with the community in the case of network server software
+lgpl-2.1 | specially designated software | applies to some specially designated software packages
+lgpl-3.0 | supplemented by the additional | of version 3 of the gnu general public license, supplemented by the additional permissions
+gnu | verbatim copies of this license | everyone is permitted to copy and distribute verbatim copies of this license document
+gfdl | gnu free documentation | permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation
+gfdl | no invariant sections | with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts
+classpath-exception | special exception | as a special exception, the copyright holders of this library give you permission to link
+font-exception | special exception | as a special exception, if you create a document which uses this font
+bison-exception | special exception | as a special exception, you may create a larger work that contains part or all of the bison parser
+autoconf-exception | special exception | as a special exception.{1,90}? a configuration script generated by autoconf
+gcc-exception | gcc runtime library | gcc runtime library exception
+linux-syscall-note | by normal system calls | does (?:\*not\*|not) cover user programs that use kernel services by normal system calls
+llvm-exception | llvm exception | (?:apache.2\.0 with )?llvm exceptions?(?: to the apache 2\.0 license)?
+apache-2.0 | without warranties or conditions | on an .as is. basis,? without warranties or conditions of any kind
+apache-2.0 | each contributor hereby grants | each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+apache-2.0 | contributor license agreements | under one or more contributor license agreements
+apache-1.1 | software developed by the apache | this product includes software developed by the apache (?:software foundation|group)
+mit | this permission notice shall be | the above copyright notice and this permission notice shall be included in all copies
+mit | authors or copyright holders be | in no event shall the authors or copyright holders be liable for any claim
+x11 | of the x consortium | the name of the x consortium shall not be used in advertising
+hpnd | in supporting documentation | copyright notice and this permission notice appear in supporting documentation
+hpnd | makes no representations about | makes no representations about the suitability of this software for any purpose
+isc | with regard to this software | the author disclaims all warranties with regard to this software
+bsd | redistributions of source code | redistributions of source code must retain the above copyright notice
+bsd | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice
+bsd | copyright holders and contributors | this software is provided by the copyright holders and contributors
+bsd | regents and contributors | this software is provided by the regents and contributors
+bsd-3-clause-clear | party's patent rights | no express or implied licenses to any party's patent rights are granted by this license
+bsd-4-clause-uc | university of california | this product includes software developed by the university of california
+openssl | openssl project | this product includes software developed by the openssl project
+ssleay | cryptographic software | this product includes cryptographic software written by eric young
+zlib | origin of this software | the origin of this software must not be misrepresented
+zlib | without any express or implied | this software is provided .as.is.,? without any express or implied warranty
+ijg | independent jpeg group | this software is based in part on the work of the independent jpeg group
+ftl | freetype project | portions of this software are copyright .{1,40}? the freetype project
+unlicense | copy, modify, publish, use | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+beerware | buy me a beer | you can buy me a beer in return
+cc0-1.0 | related or neighboring rights | waived all copyright and related or neighboring rights
+mpl | subject to the mozilla public | the contents of this file are subject to the mozilla public license
+mpl-2.0 | copy of the mpl was not | if a copy of the mpl was not distributed with this file
+mpl-2.0-no-copyleft | incompatible with secondary | incompatible with secondary licenses
+npl | subject to the netscape public | the contents of this file are subject to the netscape public license
+epl | terms of the eclipse public | this program and the accompanying materials are made available under the terms of the eclipse public license
+epl | terms of this eclipse public | the accompanying program is provided under the terms of this eclipse public license
+edl | terms of the eclipse distribution | made available under the terms of the eclipse distribution license
+cpl | terms of this common public | the accompanying program is provided under the terms of this common public license
+cddl | common development and distribution | subject to the terms of the common development and distribution license
+cddl | this cddl header | when distributing covered (?:code|software), include this cddl header
+artistic-1.0 | which a package may be copied | the conditions under which a package may be copied
+artistic-2.0 | given free software package | the terms under which a given free software package may be copied
+perl | same terms as perl | you can redistribute it and/or modify it under the same terms as perl itself
+psf | psf is making python | psf is making python available to licensee
+php | includes php software | this product includes php software, freely available from
+postgresql | without a written agreement | for any purpose, without fee, and without a written agreement is hereby granted
+ncsa | to deal with the software | to deal with the software without restriction
+ms-pl | you accept this license | if you use the software, you accept this license
+sspl | available to third parties | make the functionality of the program or a modified version available to third parties as a service
+busl | additional use grant | additional use grant
+busl | not an open source license | the business source license.{1,60}? is not an open source license
+elastic-2.0 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
+commons-clause | the right to sell the software | does not (?:include, and the license does not )?grant to you,? the right to sell the software
+ofl | this font software is licensed | this font software is licensed under the sil open font license
+ofl | reserved font name | with (?:no )?reserved font names?
+unicode | unicode data files | the unicode data files and any associated documentation
+json | shall be used for good | the software shall be used for good, not evil
+w3c | using and/or copying this work | by obtaining, using and/or copying this work, you .{1,30}? agree
+lppl | latex project public | may be distributed and/or modified under the conditions of the latex project public license
+sleepycat | obtain complete source code | redistributions in any form must be accompanied by information on how to obtain complete source code
+cc-by | give appropriate credit | you must give appropriate credit, provide a link to the license
+cc-by-nc | for commercial purposes | you may not use the material for commercial purposes
+cc-by-nd | distribute the modified material | you may not distribute the modified material
+cc-by-sa | under the same license as | you must distribute your contributions under the same license as the original
+creative-commons | creative commons | (?:lizenziert unter|steht unter) (?:einer )?creative commons
+creative-commons | creative commons | sous (?:une )?licence creative commons
+creative-commons | creative commons | bajo (?:una )?licencia (?:de )?creative commons
+gpl | publique générale | licence publique générale gnu
+gpl | pública general | licencia pública general (?:de )?gnu
+odbl | under the open database license | made available under the open database license
+odbl | database contents license | licensed under the database contents license
+ogl-uk | public sector information | contains public sector information licensed under the open government licen[cs]e
+crown-copyright | crown copyright | crown copyright (?:is )?reserved
+us-government | united states government | work of the united states government
+us-government | copyright protection in the united | not subject to copyright protection in the united states
+openrail | use-based restrictions | use-based restrictions
+llama | built with | built with (?:meta )?llama
+proprietary | proprietary | contains (?:confidential and )?proprietary (?:and confidential )?information
+proprietary | may be reproduced | no part of this (?:publication|document|work|book) may be reproduced
+proprietary | written permission of | without the (?:prior |express |prior express )?written permission of
+proprietary | licensed, not sold | licensed, not sold
+proprietary | end user licen | end user licen[cs]e agreement
+proprietary | evaluation purposes only | for evaluation purposes only
+proprietary | internal use only | for internal use only
+noncommercial | academic and non-commercial | for academic and non-commercial (?:use|purposes|research)
+noncommercial | research purposes only | for (?:non-commercial )?research purposes only
+gpl | gnu.org/ | gnu\.org/copyleft/gpl
+lgpl | gnu.org/ | gnu\.org/copyleft/(?:lesser|lgpl)
+apache-2.0 | opensource.org/ | opensource\.org/licenses?/apache-2\.0
+artistic | opensource.org/ | opensource\.org/licenses?/artistic
+gpl | opensource.org/ | opensource\.org/licenses?/gpl
+lgpl | opensource.org/ | opensource\.org/licenses?/lgpl
+afl | opensource.org/ | opensource\.org/licenses?/afl
+osl | opensource.org/ | opensource\.org/licenses?/osl
+ecl | opensource.org/ | opensource\.org/licenses?/ecl
+mpl-2.0 | opensource.org/ | opensource\.org/licenses?/mpl-2\.0
+epl-2.0 | opensource.org/ | opensource\.org/licenses?/epl-2\.0
+zlib | opensource.org/ | opensource\.org/licenses?/zlib
+0bsd | opensource.org/ | opensource\.org/licenses?/0bsd
+postgresql | opensource.org/ | opensource\.org/licenses?/postgresql
+php | php.net/license | php\.net/license
+polyform | polyformproject.org/ | polyformproject\.org/licenses
+cecill | cecill.info/ | cecill\.info/licen[cs]es
+psf | python.org/ | python\.org/psf/license
+elastic | elastic.co/licensing | elastic\.co/licensing
+sspl | server-side-public-license | mongodb\.com/licensing/server-side-public-license
+lppl | latex-project.org/ | latex-project\.org/lppl
+etalab | etalab.gouv.fr/ | etalab\.gouv\.fr/.{0,40}?licence
+dl-de | govdata.de/ | govdata\.de/dl-de
 spdx-other | spdx-license-identifier | spdx-license-identifier: ?[a-z0-9.+-]+
 """
 
@@ -237,23 +416,19 @@ def _prefilter() -> tuple[ahocorasick.Automaton, dict[str, list[Rule]]]:
 _BLANKS = re.compile(r"[\t-\r\x1c-\x20]{2,}|[\t-\r\x1c-\x1f]")
 
 
-def _plausible(text: str) -> bool:
-    """Whether any license word occurs at all in a text with single blanks; every rule needs one of these."""
-    return any(word in text for word in (
-        "licen", "gpl", "cc", "spdx", "public domain", "all rights reserved", "attribution", "proprietary", "bsd",
-        "wtfpl", "cecill", ".org", ".net", ".gov", ".eu", "redistribut", "commons", "without fee", "to deal in", "perl",
-        "permission is", "copying", "advertising", "misrepresented", "endorse", "commercial", "obtaining a copy",
-    ))
+#: The keyword "cc by" takes any one sign or white space of any length between its words, as its rules do.
+_CC_BY = re.compile(r"cc(?:\S|\s++)by")
 
 
 def candidates(text: str) -> list[Rule]:
     """The rules to try on a lower-cased text. White space beyond ASCII, which is part of
     words in the contract, separates no words of a keyword."""
     text = _BLANKS.sub(" ", text)
-    if not _plausible(text):
-        return []
     automaton, gated = _prefilter()
-    return [rule for keyword in {word for _, word in automaton.iter(text)} for rule in gated[keyword]]
+    keywords = {word for _, word in automaton.iter(text)}
+    if "cc" in text and _CC_BY.search(text):
+        keywords.add("cc by")
+    return [rule for keyword in keywords for rule in gated[keyword]]
 
 
 def detections(text: str) -> list[tuple[int, int, Rule]]:

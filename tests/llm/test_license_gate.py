@@ -1,5 +1,6 @@
 """No license rule is kept from a text that it matches, however the text is wrapped."""
 
+import random
 import re
 from re import _parser
 
@@ -64,6 +65,11 @@ def test_gate_holds_no_rule_back(blank):
     ("Neither the name of the\ncopyright holder nor the names of its contributors\n  may be used to endorse or promote\nproducts", "bsd-3-clause"),
     ("Unauthorized copying of this file,\nvia any medium is\nstrictly prohibited", "proprietary"),
     ("Mozilla\nPublic License 2.0", "mpl-2.0"), ("Open RAIL license", "openrail"), ("CC\nBY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("This software is provided 'as-is', without any express\n or implied warranty", "zlib"),
+    ("built with\tLlama", "llama"), ("with no Invariant Sections, no Front-Cover Texts,\nand no Back-Cover Texts", "gfdl"),
+    ("As a special exception, the copyright holders\nof this library give you permission to link", "classpath-exception"),
+    ("NASA Open Source\nAgreement v1.3", "nasa-1.3"), ("Sous licence\nCreative Commons", "creative-commons"),
+    ("No part of this book\nmay be reproduced", "proprietary"), ("He accepts, by and by, that no part of it is his", ""),
     ("NCSA Open Source License", "ncsa"), ("Attribution-No Derivatives 4.0", "cc-by-nd-4.0"),
 ])
 def test_wrapped_licenses(text, labels):
@@ -79,3 +85,23 @@ def test_offsets_are_those_of_the_text_as_it_stands():
 def test_gaps_take_long_white_space_in_linear_time():
     text = "neither the name of " + "a b " * 30 + " " * 100_000 + "may be used to endorse or promote"
     assert licenses.detections(re.sub("$", " x", text)) == []
+
+
+def plain(text):
+    """Detections read plainly: every rule without a gate, each interval against all kept ones."""
+    found = [(m.start(), m.end(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(text)]
+    kept = []
+    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
+    return sorted((start, end, rule.label) for start, end, rule in kept)
+
+
+def test_detections_match_a_plain_reading():
+    rng = random.Random(11)
+    texts = [text for rule in licenses.rules() for text in examples(rule)[:3]]
+    filler = ["and", "the", "version", "2.0", "accept by", "public", "or later", "licensed under", ",", "(c)", "share", "é"]
+    for _ in range(120):
+        parts = [rng.choice(texts) if rng.random() < 0.4 else rng.choice(filler) for _ in range(rng.randint(1, 14))]
+        text = rng.choice([" ", "\n", ", ", " \t "]).join(parts).lower()
+        assert sorted((start, end, rule.label) for start, end, rule in licenses.detections(text)) == plain(text)
