@@ -26,8 +26,8 @@ from slotwise.llm.common import arrow_schema, rows_of, stored
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
-#: Words remembered by one worker; at the bound the memory is emptied and filled anew.
-REMEMBERED = 800_000
+#: Words, and their parts, remembered by one worker; at the bound the memory is emptied and filled anew.
+REMEMBERED = 1_600_000
 
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: Python's split() takes these for white space, the vocabulary's own rules do not.
@@ -78,18 +78,12 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._normalized = self._tokenizer.normalizer.normalize_str
         self._merged = self._tokenizer.model.tokenize
-        self._words, self._parts = _Memory(self._word), _Memory(self._part)
+        self._words = _Memory(self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        if not part.isalpha():
-            return self._whole(part)
-        latin = _LATIN.fullmatch(part)
-        plain = part.lower() if latin else self._normalized(part)
-        if not plain.isalpha():
-            return self._whole(part)
+    def _unit(self, plain: str) -> bytes:
         unit = plain if plain.isascii() else "".join([_LETTER[b] for b in plain.encode()])
         return b"".join([t.id.to_bytes(4, "little") for t in self._merged(unit)])
 
@@ -97,13 +91,19 @@ class Encoder:
         """Leading punctuation, letters, trailing punctuation; or the word as it is, also
         where lower-casing gives a mark, which the vocabulary joins with the punctuation."""
         core = word.strip(_PUNCTUATION)
-        if not _LATIN.fullmatch(core) and not (core.isalpha() and self._normalized(core).isalpha()):
-            return self._parts[word]
-        start = word.index(core)
-        known, letters = self._parts, core.lower() if _LATIN.fullmatch(core) else core
-        if len(core) == len(word):
+        if core.isalpha() if core.isascii() else _LATIN.fullmatch(core):
+            letters = plain = core.lower()
+        elif core.isalpha() and (plain := self._normalized(core)).isalpha():
+            letters = core
+        else:
+            return self._whole(word)
+        if letters == word:
+            return self._unit(plain)
+        known, size = self._words, len(core)
+        if size == len(word):
             return known[letters]
-        return b"".join([known[p] for p in (word[:start], letters, word[start + len(core):]) if p])
+        start = word.index(core)
+        return b"".join([known[p] for p in (word[:start], letters, word[start + size:]) if p])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or _SEPARATORS.search(text):
