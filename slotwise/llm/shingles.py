@@ -22,8 +22,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 #: Odd factors and offsets of the permutations behind a sketch.
-_FACTORS = _rng.integers(0, 1 << 64, 8, dtype=np.uint64) | np.uint64(1)
-_OFFSETS = _rng.integers(0, 1 << 64, 8, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 64, 8, dtype=np.uint64)[:, None] | np.uint64(1)
+_OFFSETS = _rng.integers(0, 1 << 64, 8, dtype=np.uint64)[:, None]
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +50,35 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) <= TOGETHER:
-        return np.unique(_hashes(words, size))
+        return _distinct(_hashes(words, size))
     parts = [_hashes(words[k: k + TOGETHER + size - 1], size) for k in range(0, len(words) - size + 1, TOGETHER)]
-    return np.unique(np.concatenate(parts))
+    return _distinct(np.concatenate(parts))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text with single blanks starts and ends."""
+    blanks = np.flatnonzero(data == 32)
+    return np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(data)]))
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
     """The hash of every shingle, in order."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    whole = words
-    if lengths.max() > LONG:  # every shingle with such a word is long
-        words, lengths = [w[:LONG] for w in words], np.minimum(lengths, LONG)
-    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    data, whole = np.frombuffer(b" ".join(words), dtype=np.uint8), words
+    starts, ends = _bounds(data)
+    if (ends - starts).max() > LONG:  # every shingle with such a word is long
+        words = [w[:LONG] for w in words]
+        data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        starts, ends = _bounds(data)
     up, down = _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
     if len(words) < size:
         size, starts, ends = len(words), starts[:1], ends[-1:]
     else:
@@ -81,7 +91,8 @@ def _hashes(words: list[bytes], size: int) -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Eight numbers; sets of similarity s share each of them with probability s."""
-    return np.array([((hashes ^ o) * f).min() for f, o in zip(_FACTORS, _OFFSETS, strict=True)])
+    parts = [hashes[k: k + TOGETHER] for k in range(0, len(hashes), TOGETHER)]
+    return np.min([((part ^ _OFFSETS) * _FACTORS).min(1) for part in parts], axis=0)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
