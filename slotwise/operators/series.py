@@ -13,12 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotwise.operators.joins import scan_bytes
+
 SECOND = 1_000_000
 #: Seconds of a pane, at least, and of how many panes a window of a rate is made at most.
 PANE_SECONDS, PANES = 300, 4
 #: Length of a pane in which runs are found, and of longer ones in which they are joined,
 #: each a multiple of the one before; then per series, from two rows per pane.
 RUN_PANES = (PANE_SECONDS,)
+#: Bytes that a task of ordered work has, by the planner's estimate, and such tasks at most.
+TASK_BYTES, MOST_TASKS = 1 << 20, 2000
+#: An estimate from here on says that the size is not known.
+UNKNOWN = 1 << 60
 
 
 def _quoted(text: str) -> str:
@@ -74,6 +80,17 @@ def _pane(us: str, length: int) -> Column:
     return F.expr(f"({us} - pmod({us}, {length})) div {length}")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of equal ``keys`` in one task, of which there are more for larger inputs.
+
+    Left alone, adaptive execution joins partitions until they have so many compressed bytes;
+    labels and series compress so well that a task would sort millions of rows. Rows whose
+    size the planner does not know, such as those made in the driver, are left alone.
+    """
+    size = scan_bytes(df)
+    return df if size >= UNKNOWN else df.repartition(max(1, min(MOST_TASKS, size // TASK_BYTES)), *keys)
+
+
 def _step(before: Column, after: Column) -> Column:
     """What a counter gained between two samples; a drop is a restart from 0."""
     return F.when(after >= before, after - before).when(before.isNotNull(), after)
@@ -110,7 +127,10 @@ def counter_rates(
         "_pane", F.expr(f"(_us - pmod(_us, {length})) div ({length})")
     )
     # The pane comes first, as a number sorts faster than labels that begin alike.
-    inside = W.partitionBy("_pane", "series", "metric", "window").orderBy("_us")
+    # Not by window too: where it is a constant, Spark drops it from the windows' keys.
+    cell = ["series", "metric", "window"]
+    spread = _dealt(spread, "_pane", "series", "metric")
+    inside = W.partitionBy("_pane", *cell).orderBy("_us")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = spread.withColumns({
         "_gain": F.coalesce(_step(F.lag("value").over(inside), F.col("value")), F.lit(0.0)),
@@ -141,7 +161,8 @@ def counter_rates(
     )
     # Backwards in time: first the summaries, then the samples and probes of the pane itself,
     # a sample before a probe of its instant.
-    back = W.partitionBy("pane", "series", "metric", "window").orderBy(F.desc("at"), F.desc("kind"))
+    rows = _dealt(rows, "pane", "series", "metric")
+    back = W.partitionBy("pane", *cell).orderBy(F.desc("at"), F.desc("kind"))
     seen = back.rowsBetween(W.unboundedPreceding, W.currentRow)
     of = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
     looked = rows.withColumn(
@@ -204,6 +225,7 @@ def _joined_runs(runs: DataFrame, keys: list[str], cells: list[str]) -> DataFram
     tail, perhaps an empty one; a head exists where it starts in a breach. A head goes on
     the tail before it, the last row of the cell before.
     """
+    runs = _dealt(runs, *keys, *cells)
     along = W.partitionBy(*keys, *cells).orderBy("_at", "_run")
     goes_on = F.col("_head") & (F.coalesce(F.lag("samples").over(along), F.lit(0)) > 0)
     numbered = runs.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn(
@@ -238,6 +260,7 @@ def sustained(
     rows = samples.select(
         *keys, "ts", "value", F.coalesce("breach", F.lit(False)).alias("breach"), micros("ts").alias("_us"),
     ).withColumn("_at", _pane("_us", panes[0] * SECOND))
+    rows = _dealt(rows, "_at", *keys)
     cell = W.partitionBy("_at", *keys)
     # A run is the breaches that follow the same number of calm samples.
     past_calm = F.expr("count_if(NOT breach)").over(cell.orderBy("_us").rowsBetween(W.unboundedPreceding, 0))

@@ -7,6 +7,7 @@ from helpers import at, dicts
 from pyspark.sql import functions as F
 
 from slotwise import schemas
+from slotwise.operators import series
 from slotwise.operators.series import children_of, counter_rate, counter_rates, matches, series_text, sum_by, sustained
 from slotwise.plans import alerts
 from slotwise.sources.tables import FrameTables
@@ -175,3 +176,20 @@ def test_a_dense_series_spreads_over_its_panes(spark):
     assert sustained(dense, ["series"], F.lit(0)).count() == sustained(dense, ["series"], F.lit(0), (3600,)).count()
     panes = dense.groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 300_000_000)).count()
     assert panes.count() >= 12 and panes.agg(F.max("count")).first()[0] <= 16_667
+
+
+def test_ordered_work_is_dealt_by_size(spark, monkeypatch):
+    """Partitions whose number is asked for are not joined again by adaptive execution, and
+    no second exchange follows on them."""
+    monkeypatch.setattr(series, "TASK_BYTES", 100)
+    samples = spark.range(600).selectExpr(
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 20) AS ts", "concat('m', id % 2) AS metric",
+        "map('i', CAST(id % 3 AS STRING)) AS labels", "CAST(id AS DOUBLE) AS value")
+    rated = counter_rate(samples, 3600)
+    runs = sustained(
+        samples.select("metric", "ts", "value", (F.col("value") % 10 > 2).alias("breach")), ["metric"], F.lit(60), (300, 3600))
+    for df, exchanges in ((rated, 2), (runs, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == exchanges
+        parts = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan)
+        assert min(map(int, parts)) > 20
