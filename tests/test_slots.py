@@ -1,10 +1,12 @@
 import json
+from datetime import timedelta
 
 from helpers import at, dicts
 from pyspark.sql import functions as F
 
 from slotwise import schemas
 from slotwise.operators import slots
+from slotwise.operators.series import with_series
 from slotwise.plans import ingest
 from slotwise.sources import json_feed, sinks
 from slotwise.sources.tables import StoredTables
@@ -199,3 +201,19 @@ def test_a_bad_field_costs_only_itself(spark, tmp_path):
     assert got["c"].wind is None or got["c"].wind.speed is None
     lost = json_feed.unreadable_files(spark, str(tmp_path), schemas.RAW_WEATHER).collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in lost) == ["e.json", "f.json"]
+
+
+def test_large_days_of_metrics_are_cut_by_rows(spark, monkeypatch, tmp_path):
+    start = at("2024-01-01T00:00:00")
+    rows = [(start + timedelta(seconds=60 * k), f"m{k % 2}", {"i": str(k)}, float(k)) for k in range(2000)]
+    samples = spark.createDataFrame(rows, "ts timestamp_ntz, metric string, labels map<string,string>, value double").coalesce(1)
+    keyed = with_series(samples)
+    assert sinks._pieces(keyed, "ts", ("ts", "series")) is None
+    monkeypatch.setattr(sinks, "TASK_ROWS", 500)
+    number, piece = sinks._pieces(keyed, "ts", ("ts", "series"))
+    sizes = keyed.withColumn("dt", F.to_date("ts")).groupBy("dt", piece.alias("piece")).count().collect()
+    assert number == 20 and [len([r for r in sizes if r.dt.day == d]) for d in (1, 2)] == [3, 2]
+    assert max(r["count"] for r in sizes) < 700
+    sinks.write_metrics(samples, str(tmp_path))
+    found = StoredTables(spark, str(tmp_path)).metrics()
+    assert sorted(r.value for r in found.collect()) == [float(k) for k in range(2000)]
