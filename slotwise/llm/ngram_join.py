@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotwise.llm.common import arrow_schema, components, rows_of, stored
+from slotwise.llm.common import arrow_rows, arrow_schema, components, rows_of, stored
 from slotwise.llm.shingles import WORDS, shingles, similar, sketch
 
 PERCENT = 80
@@ -50,6 +50,13 @@ COUNTED = 0.5
 #: Parts that the sets of one bucket are dealt to.
 SALTS = 3
 _LAST = np.uint64(int(COUNTED * 2**64))
+#: Texts that Spark hands to Python at a time: each task holds them in both.
+ARROW_ROWS = 512
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    with arrow_rows(df.sparkSession, ARROW_ROWS):
+        return stored(df, label)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -117,7 +124,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, label
         return asked.loc[kept, ["a_", "b_"]].set_axis(["a", "b"], axis=1)
 
     checked = texts.groupBy("cell").cogroup(_renamed(pairs).groupBy("cell_")).applyInPandas(compare, "a long, b long")
-    return stored(checked, label)
+    return _stored(checked, label)
 
 
 def _attached(sets: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def _attached(sets: DataFrame) -> DataFrame:
     ])).alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = stored(buckets.join(sizes.select("*", salts), ["bucket", "salt"]), "join-buckets")
+    sized = _stored(buckets.join(sizes.select("*", salts), ["bucket", "salt"]), "join-buckets")
     weight = sized.groupBy("rep").agg(F.sum("n").alias("weight"))
     hubs = sized.join(weight, "rep").groupBy("bucket").agg(
         F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("b")
@@ -158,7 +165,7 @@ def _joined(cells: DataFrame, keys: list[str], words: int, percent: int, label:
         kept = ids[node] != ids[root]
         return pd.DataFrame({"a": ids[node][kept], "b": ids[root][kept]})
 
-    return stored(cells.select(*keys, "side", "rep", "text").groupBy(*keys).applyInPandas(compare, "a long, b long"), label)
+    return _stored(cells.select(*keys, "side", "rep", "text").groupBy(*keys).applyInPandas(compare, "a long, b long"), label)
 
 
 def _numbered(column: str, blocks: str):
@@ -296,7 +303,7 @@ def _common(texts: DataFrame, words: int, percent: int, least: int, most: int) -
     """Sorted 48-bit hashes of the counted shingles that occur in more than ``least`` groups, or in more
     than the number that leaves ``most`` of them."""
     counts = _emitted(texts, words, percent).groupBy("shingle").count().where(F.col("count") > least)
-    counts = stored(counts, "join-common")
+    counts = _stored(counts, "join-common")
     sizes = counts.groupBy(F.ceil(F.log2("count")).alias("power")).count().collect()  # one row per power of two
     total, floor = 0, least
     for row in sorted(sizes, key=lambda r: -r.power):
@@ -385,7 +392,7 @@ def _opened(visits: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             kept.append(any(100 * overlap(found, size, union) >= percent * len(found) for found in sets[a]))
         return asked.loc[kept, ["a_", "grp_"]].set_axis(["a", "grp"], axis=1)
 
-    return stored(
+    return _stored(
         held.groupBy("cell").cogroup(_renamed(visits).groupBy("cell_")).applyInPandas(bound, "a long, grp long"), "join-opened"
     )
 
@@ -406,8 +413,8 @@ def linked(
     64-bit hashes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(docs, words=words), "join-signatures")
-    sets = stored(
+    signed = _stored(signatures(docs, words=words), "join-signatures")
+    sets = _stored(
         signed.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(
             F.min("doc_id").alias("rep"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]
         ), "join-sets",
@@ -417,22 +424,22 @@ def linked(
     grouped = sets.select("rep", "n").join(groups, "rep", "left").select(
         "rep", "n", F.coalesce("component", "rep").alias("grp")
     )
-    grouped = stored(grouped, "join-grouped")
+    grouped = _stored(grouped, "join-grouped")
     # What a set must know of its group is joined to numbers, before its text comes along.
     sizes = grouped.groupBy("grp").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"),
         F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     ).where("members > 1").drop("members")
     grouped = grouped.join(sizes, "grp", "left")
-    texts = stored(
+    texts = _stored(
         grouped.join(known, grouped.rep == known.doc_id).select("rep", "grp", "n", "low", "high", "blocks", "text"), "join-texts"
     )
     near = _within(texts, words, percent)
 
     common = _common(texts, words, percent, common_groups, most_common)
-    rare = stored(_emitted(texts, words, percent, common), "join-rare")
+    rare = _stored(_emitted(texts, words, percent, common), "join-rare")
     shared = rare.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
-    rare = stored(rare.join(shared.select("shingle"), "shingle"), "join-shared")
+    rare = _stored(rare.join(shared.select("shingle"), "shingle"), "join-shared")
     alone = rare.where("low = 0").select("shingle", "rep", "n")
     fits = (100 * F.col("n") >= percent * F.col("n_2")) & (100 * F.col("n_2") >= percent * F.col("n"))
     # A group of one is its own union: its set is compared at once, the tightest bound.
@@ -446,11 +453,11 @@ def linked(
     visits = rare.join(matrix, "shingle").where("grp <> grp_2 and (low = 0 or grp < grp_2)").where(
         (100 * F.col("n") >= percent * F.col("low_2")) & (100 * F.col("high_2") >= percent * F.col("n"))
     )
-    visits = stored(visits.select(F.col("rep").alias("a"), F.col("grp_2").alias("grp")).distinct(), "join-visits")
+    visits = _stored(visits.select(F.col("rep").alias("a"), F.col("grp_2").alias("grp")).distinct(), "join-visits")
     opened = _opened(visits, texts, words, percent)
     visited = _visited(opened, texts, words, percent)
     across = _verified(
-        stored(met.distinct(), "join-met"), texts.select(F.col("rep").alias("doc_id"), "text"), words, percent, "join-across"
+        _stored(met.distinct(), "join-met"), texts.select(F.col("rep").alias("doc_id"), "text"), words, percent, "join-across"
     )
 
     # A repeated id ties its texts' sets together.

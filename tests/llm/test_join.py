@@ -172,3 +172,12 @@ def test_pairs_of_sets_against_brute_force():
             if same:  # a set that shares too little with all others is not met by itself
                 got, want = ({(i, j) for i, j in pairs if i != j} for pairs in (got, want))
             assert got == want
+
+
+def test_few_texts_at_a_time(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, plain = spark.conf.get(key), ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, label: seen.append(int(spark.conf.get(key))) or plain(df, label))
+    check(spark, [(k, f"a b c d e f{k % 7}") for k in range(40)])
+    assert seen and max(seen) <= ngram_join.ARROW_ROWS < int(before)
+    assert spark.conf.get(key) == before
