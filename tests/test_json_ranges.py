@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise import schemas
+from slotwise.operators import slots
 from slotwise.sources import json_feed, json_ranges
 
 
@@ -100,3 +101,42 @@ def test_windows_hold_a_range_or_one_row_per_range(spark, tmp_path):
         if re.match(r"Window \[.*?\], \[path#\d+\](?:,|\])", part):
             assert "HashAggregate" in plan[plan.index(part):]
     assert "Python" not in plan
+
+
+def test_strings_are_cut_before_the_windows(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[]")
+    plan = json_ranges.array_records(spark, str(tmp_path), "*.json", 0)._jdf.queryExecution().optimizedPlan().toString()
+    below = [part.split("Relation")[0] for part in plan.split('"[^"]')[1:]]
+    assert below and not any("Window" in part for part in below)
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"camera_id": f"c{k}", "slot": "2024-01-01T00:00:00", "time": "t", "speed": k} for k in range(9)]))
+    records = json_feed.read_json(spark, str(tmp_path), schemas.RAW_SPEED, split_above=0)
+    used = slots.clean_speed(records.withColumn("slot", F.col("slot").try_cast("timestamp_ntz"))).where("slot > '2023-01-01' AND speed < 7")
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and used.count() == 7
+
+
+def test_numbers_of_a_whole_file_are_not_read_again(spark, tmp_path):
+    """A file is read in one go, whatever its leaves; numbers keep their text."""
+    texts_of = ["1e2", "1.50", "-0", "12.3400000000000000000000001", "true", '{"x" : 1.0}', "[1, 2.50]"]
+    path = tmp_path / "a.json"
+    path.write_text("[" + ",\n".join(f'{{"camera_id": "c{k}", "speed": {texts_of[k % 7]}}}' for k in range(2100)) + "]")
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+    before = bytes_read()
+    found = {r.camera_id: r.speed for r in json_feed.read_json(spark, str(tmp_path), schemas.RAW_SPEED).collect()}
+    assert found == {f"c{k}": texts_of[k % 7] for k in range(2100)}
+    assert bytes_read() - before < 20 * path.stat().st_size
+
+
+def test_a_file_in_another_encoding_is_named(spark, tmp_path):
+    for name, encoding in {"a": "utf-16", "b": "utf-16-le", "c": "utf-16-be", "d": "utf-32"}.items():
+        (tmp_path / f"{name}.json").write_bytes('[{"camera_id": "x", "speed": 1.5}]'.encode(encoding))
+    (tmp_path / "e.json").write_bytes('\ufeff[{"camera_id": "x", "speed": 1.50}]'.encode())
+    assert [(r.camera_id, r.speed) for r in json_feed.read_json(spark, str(tmp_path), schemas.RAW_SPEED).collect()] == [("x", "1.50")]
+    lost = json_feed.unreadable_files(spark, str(tmp_path), schemas.RAW_SPEED).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in lost) == ["a.json", "b.json", "c.json", "d.json"]
