@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import timedelta
 
 from helpers import at, dicts
@@ -217,3 +218,43 @@ def test_large_days_of_metrics_are_cut_by_rows(spark, monkeypatch, tmp_path):
     sinks.write_metrics(samples, str(tmp_path))
     found = StoredTables(spark, str(tmp_path)).metrics()
     assert sorted(r.value for r in found.collect()) == [float(k) for k in range(2000)]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if f.endswith(".data") and "shuffle_" in f}
+
+
+def test_large_metrics_are_shuffled_some_days_at_a_time(spark, monkeypatch, tmp_path):
+    start = at("2024-01-01T00:00:00")
+    # The first instant of a day, the last one before it, and rows without a time.
+    times = [start + timedelta(days=d, microseconds=us) for d in range(7) for us in (0, 1, 86_399_999_999)] + [None, None]
+    rows = [(t, "m", {"i": str(k)}, float(k)) for k, t in enumerate(times)]
+    samples = spark.createDataFrame(rows, "ts timestamp_ntz, metric string, labels map<string,string>, value double").repartition(3)
+    sinks.write_metrics(samples, str(tmp_path / "once"))
+    monkeypatch.setattr(sinks, "WRITE_ROWS", 5)
+    before, key = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key)
+    for _ in range(2):  # a re-run replaces the days
+        sinks.write_metrics(samples, str(tmp_path / "cut"))
+    writes = {}
+    for file in (tmp_path / "cut" / "metrics").glob("dt=*/*.parquet"):
+        writes.setdefault(file.name.split("-", 2)[2].split(".")[0].rsplit("-", 1)[0], set()).add(file.parent.name)
+    none, day = "dt=__HIVE_DEFAULT_PARTITION__", "dt=2024-01-0{}".format
+    assert sorted(map(sorted, writes.values())) == [[day(1), none], [day(2), day(3)], [day(4), day(5)], [day(6), day(7)]]
+    read = lambda name: sorted(map(str, StoredTables(spark, str(tmp_path / name)).metrics().collect()))
+    assert read("cut") == read("once") and len(read("cut")) == len(rows)
+    assert spark.conf.get(key) == set_before
+    until = time.monotonic() + 20
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_spans_leave_no_gap(monkeypatch):
+    day = lambda d: at(f"2024-01-{d:02}T00:00:00").date()
+    assert sinks._spans({}) == sinks._spans({None: 3}) == [(None, None)]
+    monkeypatch.setattr(sinks, "WRITE_ROWS", 10)
+    assert sinks._spans({day(3): 2, day(1): 9, day(2): 1, day(9): 50, day(10): 1}) == [(None, day(3)), (day(3), day(10)), (day(10), None)]
+    # No more writes than MOST_WRITES, however many rows there are.
+    assert len(sinks._spans({day(d): 1000 for d in range(1, 31)})) == 15
